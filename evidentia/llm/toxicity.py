@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.labelled import MAX_LABELLED, crc_part, labelled_texts, pick
+
 # fixed values: letters of other alphabets that look like Latin ones, and what digits and signs stand for
 LOOKALIKES = "аaеeоoрpсcуyхxіiјjѕsԁdɡgһhԛqԝwкkмmтtвbнhαaεeιiοoρpτtυuνvκkχxγyωwıiℓlƖl"
 DIGITS = {"0": "o", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
@@ -80,7 +82,7 @@ class Lexicon:
     exceptions: list[str] = field(default_factory=list)  # two words each
     centre: float = 0.0  # log density halfway between the classes
     steep: float = 4.0
-    max_labelled: int = 20_000
+    max_labelled: int = MAX_LABELLED
 
     def automaton(self) -> ahocorasick.Automaton:
         a = ahocorasick.Automaton()
@@ -115,14 +117,9 @@ def score_of(lexicon: Lexicon, d: float) -> float:
     return 0.0 if d <= 0 else 1 / (1 + math.exp(-max(-500.0, min(500.0, lexicon.steep * (math.log(d) - lexicon.centre)))))
 
 
-def learn(documents: DataFrame, labels: DataFrame, label: str, usable, max_labelled: int = 20_000) -> Lexicon:
+def learn(documents: DataFrame, labels: DataFrame, label: str, usable, max_labelled: int = MAX_LABELLED) -> Lexicon:
     """Lexicon from labelled rows for which ``usable`` (a Column over doc_id) holds."""
-    picked = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable)
-        .groupBy("doc_id").agg(F.max(label).alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    )
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most max_labelled small rows
+    rows = labelled_texts(documents, pick(labels, label, usable, max_labelled))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
@@ -213,12 +210,7 @@ def score(documents: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_c
     return documents.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, score double, n_matches long, density double")
 
 
-def crc_part(modulus: int):
-    """crc32 of doc_id as decimal text, modulo ``modulus``."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % modulus
-
-
-def classify(documents: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Scores of all documents by a lexicon learnt from the rows that are not held out."""
     lexicon = learn(documents, labels, "toxic", crc_part(5) != 0, max_labelled)
     scored = score(documents, lexicon)
