@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import bpe, decontaminate, quality, toxicity
+from evidentia.llm import bpe, decontaminate, html_extract, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op7_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_tree_scoring_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op2_additive_quality": op2_additive_quality,
     "op7_lexicon_toxicity": op7_lexicon_toxicity,
+    "op8_tree_scoring_extraction": op8_tree_scoring_extraction,
     "op10_bpe_transducer": op10_bpe_transducer,
 }
 
