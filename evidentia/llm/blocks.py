@@ -46,7 +46,7 @@ def to_blocks(documents: DataFrame) -> DataFrame:
     size = len(documents.columns) and documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, n, held, filled = TaskContext.get().partitionId() << 32, 0, [], 0
+        base, n, held, filled = TaskContext.get().partitionId() << 24, 0, [], 0
         for batch in batches:
             at = 0
             ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(size)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

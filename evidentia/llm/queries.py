@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import ann, bpe, decontaminate, html_extract, quality, substrings, toxicity, warc
+from evidentia.llm import ann, bpe, decontaminate, html_extract, ngram_join, quality, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_adaptive_scan_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_vertical_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op2_additive_quality": op2_additive_quality,
     "op3_adaptive_scan_neighbours": op3_adaptive_scan_neighbours,
+    "op4_vertical_ngram_join": op4_vertical_ngram_join,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_lexicon_toxicity": op7_lexicon_toxicity,
     "op8_tree_scoring_extraction": op8_tree_scoring_extraction,
