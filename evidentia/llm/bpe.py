@@ -27,6 +27,7 @@ import codecs
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -37,7 +38,8 @@ import regex
 from pyspark.sql import DataFrame
 
 PIECE_CHARS = 1 << 16
-CACHED = 250_000
+CACHED = 400_000
+_NO_END = (-1, -2)  # no encoding ends here: a merge always goes across
 
 
 def byte_alphabet() -> list[str]:
@@ -65,6 +67,7 @@ class Merges:
         self.lookahead = max(len(t) - (cut if suffix and t.endswith(suffix) else 0) for t in vocab)
         self.beside: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
+        self.trie = self.grow()
 
     def edge(self, token: int, side: int, last: int) -> list[tuple[int, int]]:
         """(symbol, rank of the merge that consumes it) along one edge, from the token inwards."""
@@ -104,41 +107,76 @@ class Merges:
             self.whole[token] = known
         return known
 
+    def grow(self) -> dict:
+        """Trie of the tokens' symbols, with each token that stands alone at the key ""."""
+        root: dict = {}
+        cut = len(self.suffix)
+        for text, token in self.vocab.items():
+            if not self.stands(token):
+                continue
+            body, ends = (text[:-cut], True) if cut and text.endswith(self.suffix) and len(text) > cut else (text, False)
+            node = root
+            for k, c in enumerate(body):
+                node = node.setdefault(c + self.suffix if ends and k == len(body) - 1 else c, {})
+            node[""] = token
+        return root
+
+    def step(self, active: list, chain: list, symbol: str) -> list:
+        """Read one symbol: ``active`` holds the tokens begun, ``chain`` gets the last token of the longer prefix."""
+        found, going, beside = None, [], self.beside
+        for node, start in active:
+            node = node.get(symbol)
+            if node is None:
+                continue
+            going.append((node, start))
+            if found is None and (token := node.get("")) is not None:
+                before = chain[start][1]
+                if before < 0:
+                    found = (start, token)
+                else:
+                    fits = beside.get(before << 20 | token)
+                    if fits or (fits is None and self.may_follow(before, token)):
+                        found = (start, token)
+        if found is None:
+            chain.append(_NO_END)
+        else:
+            chain.append(found)
+            going.append((self.trie, len(chain) - 1))
+        return going
+
     def stream(self, symbols: Iterable[str]) -> Iterator[int]:
         """Token ids of one pre-token, each as soon as it is final; ``symbols`` ends with the suffixed symbol."""
-        vocab, reach = self.vocab, self.lookahead
-        tail: list[str] = []  # symbols after position `base`
-        chain: list[tuple[int, int]] = [(-1, -1)]  # of each position from `base`: start of its last token, the token
-        base_token = -1  # last token before `base`
+        reach = self.lookahead
+        chain: list[tuple[int, int]] = [(-1, -1)]  # of each position from the settled one: start of its last token, the token
+        active = [(self.trie, 0)]
         for symbol in symbols:
-            tail.append(symbol)
-            i = len(tail)
-            for start in range(max(0, i - reach), i):
-                token = vocab.get("".join(tail[start:]))
-                if token is None or not self.stands(token):
-                    continue
-                before = chain[start][1] if start else base_token
-                if before < 0 and start or before is None:
-                    continue
-                if before == -1 or self.may_follow(before, token):
-                    chain.append((start, token))
-                    break
-            else:
-                chain.append((-1, None))  # no encoding ends here: inside a character sequence that always merges
+            active = self.step(active, chain, symbol)
+            i = len(chain) - 1
             if i >= 4 * reach:  # settle what all open positions agree on
-                paths = [self._path(chain, q) for q in range(i - reach + 1, i + 1) if chain[q][1] is not None]
+                paths = [self._path(chain, q) for q in range(i - reach + 1, i + 1) if chain[q] is not _NO_END]
                 agreed = 0
                 while all(len(p) > agreed and p[agreed] == paths[0][agreed] for p in paths):
                     agreed += 1
-                if agreed and (cut := paths[0][agreed - 1]) and cut <= i - reach:
+                if agreed and (cut := paths[0][agreed - 1]) <= i - reach:
                     for q in paths[0][:agreed]:
                         yield chain[q][1]
-                    base_token = chain[cut][1]
-                    tail = tail[cut:]
-                    chain = [(-1, -1)] + [(s - cut, t) if t is not None and s >= cut else (-1, None) for s, t in chain[cut + 1 :]]
-        for q in self._path(chain, len(tail)):
+                    chain = [(-1, chain[cut][1])] + [(s - cut, t) if s >= cut else _NO_END for s, t in chain[cut + 1 :]]
+                    active = [(node, start - cut) for node, start in active if start >= cut]
+        for q in self._path(chain, len(chain) - 1):
             yield chain[q][1]
 
+    def settle(self, symbols: Iterable[str]) -> list[int]:
+        """The same for a short pre-token, all at its end."""
+        chain: list[tuple[int, int]] = [(-1, -1)]
+        active = [(self.trie, 0)]
+        for symbol in symbols:
+            active = self.step(active, chain, symbol)
+        out, q = [], len(chain) - 1
+        while q > 0:
+            q, token = chain[q]
+            out.append(token)
+        return out[::-1]
+
     @staticmethod
     def _path(chain: list, q: int) -> list[int]:
         out = []
@@ -171,19 +209,20 @@ class Tokenizer:
         self.joined = spec.get("decoder") is None
         self.known: dict[str, bytes] = {}
 
-    def symbols(self, word: str) -> Iterator[str]:
-        raw = word.encode()
-        for b in raw[:-1]:
-            yield self.alphabet[b]
-        yield self.alphabet[raw[-1]] + self.merges.suffix
+    def symbols(self, word: str) -> list[str]:
+        out = [self.alphabet[b] for b in word.encode()]
+        out[-1] += self.merges.suffix
+        return out
 
     def word(self, word: str) -> bytes:
         """Ids of one pre-token as little-endian 32-bit integers; short ones are remembered."""
-        out = np.fromiter(self.merges.stream(self.symbols(word)), np.uint32).astype("<u4").tobytes()
-        if len(word) <= 40:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            self.known[word] = out
+        if len(word) > 40:
+            return np.fromiter(self.merges.stream(self.symbols(word)), np.uint32).astype("<u4").tobytes()
+        ids = self.merges.settle(self.symbols(word))
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.known) >= CACHED:
+            self.known.clear()
+        self.known[word] = out
         return out
 
     def pieces(self, text: str) -> Iterator[str]:
