@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import ann, bpe, decontaminate, html_extract, ngram_join, quality, substrings, toxicity, warc
+from evidentia.llm import ann, bpe, decontaminate, html_extract, ngram_join, pitman_yor, quality, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_vertical_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_additive_quality": op2_additive_quality,
     "op3_adaptive_scan_neighbours": op3_adaptive_scan_neighbours,
     "op4_vertical_ngram_join": op4_vertical_ngram_join,
+    "op5_pitman_yor_scores": op5_pitman_yor_scores,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_lexicon_toxicity": op7_lexicon_toxicity,
     "op8_tree_scoring_extraction": op8_tree_scoring_extraction,
