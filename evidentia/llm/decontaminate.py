@@ -26,12 +26,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evidentia.llm.textblocks import _POSITION, mix, word_slices
 
 MASKS = ("111111", "1101101101", "11011000111", "101110010011")
 PENALTY = 2
+MIN_WORDS, MIN_IDENTITY, MIN_ITEM = 10, 0.75, 5
 BLOCK_WORDS = 1 << 18
 _BITS = 22
 
@@ -120,7 +120,7 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
 SCHEMA = "doc_id long, item_id long, n_matched long, n_run long, item_words long, word_start long"
 
 
-def overlaps(documents: DataFrame, benchmark: DataFrame, min_words: int = 10, min_identity: float = 0.75, min_item: int = 5) -> DataFrame:
+def overlaps(documents: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, min_item: int = MIN_ITEM) -> DataFrame:
     """Verified overlaps, one row per document row and item: the one with the most matches, the first of equals."""
     items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null")
     out = None
@@ -146,35 +146,53 @@ def blocks(items: DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
         yield ids, words
 
 
+def found_in(column: pa.Array, index: SeedIndex, bits: np.ndarray, min_words: int, min_identity: float) -> list[tuple]:
+    """(row, item, matches, run, item words, start) of the verified overlaps of a batch of texts."""
+    rows = []
+    for s in word_slices(column, True):
+        bounds = s.word_starts()
+        tried: set[tuple[int, int, int]] = set()
+        found: dict[tuple[int, int], tuple] = {}
+        for pos, item, offset in index.hits(s.hashes, s.doc, bits):
+            for p, t, o in set(zip((pos - offset).tolist(), item.tolist(), s.doc[pos].tolist(), strict=True)) - tried:
+                tried.add((p, t, o))
+                a, b = int(index.starts[t]), int(index.starts[t + 1])
+                low, high = max(p, int(bounds[o])), min(p + b - a, int(bounds[o + 1]))
+                start, end, n = best_run(s.hashes[low:high] == index.words[a + low - p : a + high - p])
+                if n >= min(min_words, b - a) and n >= min_identity * (end - start):
+                    row = (n, end - start, b - a, low + start - int(bounds[o]))
+                    best = found.get((o, t))
+                    if best is None or (-row[0], row[3], row[1]) < (-best[0], best[3], best[1]):
+                        found[o, t] = row
+        rows += [(s.first + o, t, *r) for (o, t), r in sorted(found.items())]
+    return rows
+
+
 def search(documents: DataFrame, index: SeedIndex, min_words: int, min_identity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = index.filter()
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for s in word_slices(batch.column(1), True):
-                bounds = s.word_starts()
-                tried: dict[tuple[int, int], tuple[int, int, int] | None] = {}
-                found: dict[tuple[int, int], tuple] = {}
-                for pos, item, offset in index.hits(s.hashes, s.doc, bits):
-                    for p, t, o in sorted(set(zip((pos - offset).tolist(), item.tolist(), s.doc[pos].tolist(), strict=True))):
-                        if (p, t, o) in tried:
-                            continue
-                        tried[p, t, o] = None
-                        a, b = int(index.starts[t]), int(index.starts[t + 1])
-                        low, high = max(p, int(bounds[o])), min(p + b - a, int(bounds[o + 1]))
-                        start, end, n = best_run(s.hashes[low:high] == index.words[a + low - p : a + high - p])
-                        if n >= min(min_words, b - a) and n >= min_identity * (end - start):
-                            row = (n, end - start, b - a, low + start - int(bounds[o]))
-                            best = found.get((o, t))
-                            if best is None or (-row[0], row[3]) < (-best[0], best[3]):
-                                found[o, t] = row
-                rows += [(ids[s.first + o], index.ids[t], *r) for (o, t), r in sorted(found.items())]
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[i], index.ids[t], *r) for i, t, *r in found_in(batch.column(1), index, bits, min_words, min_identity)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], SCHEMA.replace(" long", "").split(", "))
 
     return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
 
 
-def clean(documents: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
-    """Documents without a verified overlap, all columns kept."""
-    leaked = overlaps(documents, benchmark, **kwargs).select("doc_id").distinct()
-    return documents.join(leaked.withColumnRenamed("doc_id", "__leaked"), F.col("doc_id").eqNullSafe(F.col("__leaked")), "left_anti")
+def clean(documents: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY, min_item: int = MIN_ITEM) -> DataFrame:
+    """The documents without a verified overlap, with all their columns."""
+    at = documents.columns.index("text")
+    for ids, words in blocks(benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null")):
+        documents = without(documents, at, SeedIndex.build(ids, words, min_item), min_words, min_identity)
+    return documents
+
+
+def without(documents: DataFrame, at: int, index: SeedIndex, min_words: int, min_identity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = index.filter()
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r[0] for r in found_in(batch.column(at), index, bits, min_words, min_identity)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -197,19 +197,32 @@ def score(documents: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = lexicon.automaton()
         for batch in batches:
-            scores, hits, dens = [], [], []
-            for value in batch.column(1):
-                text = fold(value.as_py() or "")
-                total, n = matched(a, text) if len(a) and text else (0.0, 0)
-                d = density(total, len(_WORD.findall(text))) if n else 0.0
-                scores.append(score_of(lexicon, d))
-                hits.append(n)
-                dens.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(hits, pa.int64()), pa.array(dens, pa.float64())], ["doc_id", "score", "n_matches", "density"])
+            rows = [judged(a, lexicon, value.as_py()) for value in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.float64(), pa.int64(), pa.float64())))], ["doc_id", "score", "n_matches", "density"])
 
     return documents.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text").mapInArrow(run, "doc_id long, score double, n_matches long, density double")
 
 
+def judged(a: ahocorasick.Automaton, lexicon: Lexicon, text: str | None) -> tuple[float, int, float]:
+    """Score, matches and density of one text."""
+    folded = fold(text or "")
+    total, n = matched(a, folded) if len(a) and folded else (0.0, 0)
+    d = density(total, len(_WORD.findall(folded))) if n else 0.0
+    return score_of(lexicon, d), n, d
+
+
+def harmless(documents: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """The documents that score below 0.5, with all their columns."""
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = lexicon.automaton()
+        for batch in batches:
+            yield batch.filter(pa.array([judged(a, lexicon, value.as_py())[0] < 0.5 for value in batch.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def classify(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Scores of all documents by a lexicon learnt from the rows that are not held out."""
     lexicon = learn(documents, labels, "toxic", crc_part(5) != 0, max_labelled)
