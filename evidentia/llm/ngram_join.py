@@ -14,9 +14,11 @@ count could fail also sends the single shingles of its prefix (all but the
 Verifying: the order is cut into ``FRAGMENTS`` equal parts, each pair's overlap is
 counted in every part by a task of its own, and the counts are summed per pair.
 
-Groups of equal fragments are never expanded into all pairs.  First every member
-is verified against the group's smallest; then, as long as a group holds sets of
-different components, those not yet compared are, if their sizes allow a link.
+Groups of equal fragments are never expanded into all pairs.  First every set is
+verified against one other, of the smallest sets of its groups the one it shares
+most with; then, as long as a group holds sets of different components, those not
+yet compared are, if their sizes and the number of fragments they share allow a
+link.
 Sets that are equal as a whole are linked without verification.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing (the
@@ -41,7 +43,7 @@ from evidentia.llm.shared import keep
 from evidentia.llm.substrings import firsts, send
 from evidentia.llm.textblocks import WordSlice, mix, window_hash, word_slices
 
-N, PERCENT, FRAGMENTS, SPLIT = 4, 85, 4, 4_000
+N, PERCENT, FRAGMENTS, SPLIT = 4, 85, 4, 20_000
 _SIX = 6
 
 
@@ -102,6 +104,28 @@ def classes(largest: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def fragments(sets: Sets, rows: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sets of these rows: their shingles, where each non-empty fragment begins in them, and its number (owner * count + fragment)."""
+    n = sets.sizes[rows]
+    place = np.repeat(sets.starts[rows] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    h = sets.hashes[place]
+    part = ((h >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+    tag = np.repeat(np.arange(len(rows)), n) * count + part
+    new = firsts(tag)
+    return h, new, tag[new]
+
+
+def demands(sets: Sets) -> np.ndarray:
+    """How many fragments at least a set shares with a larger one that it links with: all but the differing and the empty ones."""
+    need = np.ones(len(sets.sizes), np.int64)
+    for low, high, count in classes(int(sets.sizes.max(initial=0))):
+        rows = np.flatnonzero((sets.sizes >= low) & (sets.sizes < high))
+        if len(rows):
+            filled = np.bincount(fragments(sets, rows, count)[2] // count, minlength=len(rows))
+            need[rows] = np.maximum(1, filled - most_difference(sets.sizes[rows]))
+    return need
+
+
 def signatures(sets: Sets, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each non-empty fragment of the sets of these rows, and its row."""
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -111,17 +135,13 @@ def signatures(sets: Sets, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(mine):
             continue
         n = sets.sizes[mine]
-        place = np.repeat(sets.starts[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        h, owner = sets.hashes[place], np.repeat(np.arange(len(mine)), n)
-        part = ((h >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
-        tag = owner * count + part
-        new = firsts(tag)
+        h, new, tag = fragments(sets, mine, count)
+        owner, part = tag // count, (tag % count).astype(np.uint64)
         salt = mix(np.array([number + 1], np.uint64))[0]
-        content = np.add.reduceat(mix(h), new)
-        keys.append(mix(content + salt * (part[new].astype(np.uint64) * np.uint64(2) + np.uint64(1))))
-        owners.append(mine[owner[new]])
+        keys.append(mix(np.add.reduceat(mix(h), new) + salt * (part * np.uint64(2) + np.uint64(1))))
+        owners.append(mine[owner])
         # sets in which all equal fragments could be empty ones
-        filled = np.bincount(owner[new], minlength=len(mine))
+        filled = np.bincount(owner, minlength=len(mine))
         for i in np.flatnonzero(filled <= most_difference(np.minimum(n, high - 1))):
             prefix = sets.hashes[sets.starts[mine[i]] :][: int(n[i]) - -(-PERCENT * int(n[i]) // 100) + 1]
             keys.append(mix(prefix ^ salt ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
@@ -130,7 +150,7 @@ def signatures(sets: Sets, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(blocks: DataFrame) -> DataFrame:
-    """(node, doc_id, n, f1, f2) of every document; a node is a block and a row in it."""
+    """(node, doc_id, n, f1, f2, need) of every document; a node is a block and a row in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,9 +158,9 @@ def describe(blocks: DataFrame) -> DataFrame:
                 table = unpack(payload)
                 sets = Sets(table)
                 f1, f2 = sets.prints()
-                yield pa.RecordBatch.from_arrays([pa.array((bid << 16) + np.arange(table.num_rows)), table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(sets.sizes), pa.array(f1), pa.array(f2)], ["node", "doc_id", "n", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([pa.array((bid << 16) + np.arange(table.num_rows)), table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(sets.sizes), pa.array(f1), pa.array(f2), pa.array(demands(sets))], ["node", "doc_id", "n", "f1", "f2", "need"])
 
-    return blocks.mapInArrow(run, "node long, doc_id long, n long, f1 long, f2 long")
+    return blocks.mapInArrow(run, "node long, doc_id long, n long, f1 long, f2 long, need long")
 
 
 def send_signatures(blocks: DataFrame, parts: int) -> DataFrame:
@@ -160,7 +180,7 @@ def send_signatures(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def gather(table: pa.Table) -> pa.Table:
-    """Of one key range: the groups of nodes with an equal fragment, each group of nodes once."""
+    """Of one key range: the groups of nodes with an equal fragment, each group of nodes once, with the number of such fragments."""
     keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(v.as_py(), np.uint64) for v in table.column("keys")]])
     nodes = np.concatenate([np.zeros(0, np.int64), *[(bid << 16) + np.frombuffer(v.as_py(), np.uint16).astype(np.int64) for bid, v in zip(table.column("bid").to_pylist(), table.column("rows"), strict=True)]])
     order = np.lexsort((nodes, keys))
@@ -173,38 +193,51 @@ def gather(table: pa.Table) -> pa.Table:
     many = np.repeat(size > 1, size)
     nodes, size = nodes[many], size[size > 1]
     at = np.cumsum(size) - size
+    weight = np.zeros(0, np.int64)
     if len(at):
         member = np.add.reduceat(mix(nodes.astype(np.uint64)), at)
-        _, once = np.unique(np.stack([member.view(np.int64), size, nodes[at]], axis=1), axis=0, return_index=True)
+        _, once, weight = np.unique(np.stack([member.view(np.int64), size, nodes[at]], axis=1), axis=0, return_index=True, return_counts=True)
+        order = np.argsort(once)
+        once, weight = once[order], weight[order]
         keep_group = np.zeros(len(at), bool)
         keep_group[once] = True
         nodes, size = nodes[np.repeat(keep_group, size)], size[keep_group]
-    return pa.table({"p": pa.array([table.column("p")[0].as_py()], pa.int32()), "groups": pa.array([pack(pa.table({"nodes": pa.array([nodes]), "size": pa.array([size])}))], pa.binary())})
+    return pa.table({"p": pa.array([table.column("p")[0].as_py()], pa.int32()), "groups": pa.array([pack(pa.table({"nodes": pa.array([nodes]), "size": pa.array([size]), "weight": pa.array([weight])}))], pa.binary())})
 
 
-def groups_of(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+def groups_of(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     t = unpack(value)
-    return np.asarray(t.column("nodes")[0].values), np.asarray(t.column("size")[0].values)
+    return tuple(np.asarray(t.column(c)[0].values) for c in ("nodes", "size", "weight"))
+
+
+def summed(pairs: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, the index of one occurrence of each, and their summed weights."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (pairs[order[1:]] != pairs[order[:-1]]).any(axis=1)
+    at = np.flatnonzero(new)
+    return pairs[order[at]], order[at], np.add.reduceat(weight[order], at) if len(at) else np.zeros(0, np.int64)
 
 
 def star_pairs(groups: DataFrame) -> DataFrame:
-    """Each member of a group with the group's smallest node."""
+    """Each node with that smallest node of its groups with which it shares the most fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for value in batch.column(0):
-                nodes, size = groups_of(value)
+                nodes, size, weight = groups_of(value)
                 first = np.repeat(nodes[np.cumsum(size) - size], size) if len(size) else nodes
-                pairs = np.unique(np.stack([first, nodes], axis=1)[first < nodes], axis=0)
-                for i in range(0, len(pairs), 50_000):
-                    part = pairs[i : i + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["a", "b"])
+                other = first < nodes
+                pairs, _, k = summed(np.stack([first, nodes], axis=1)[other], np.repeat(weight, size)[other])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(k)], ["a", "b", "k"])
 
-    return groups.select("groups").mapInArrow(run, "a long, b long").distinct()
+    shared = groups.select("groups").mapInArrow(run, "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
+    best = shared.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("m"))).alias("best"))
+    return best.select((-F.col("best.m")).alias("a"), "b")
 
 
 def open_pairs(groups: DataFrame, known: DataFrame, parts: int) -> DataFrame:
-    """Pairs of a group that are of different components and sizes that allow a link; ``known``: node, root, n."""
+    """Pairs of different components whose sizes and shared fragments allow a link; ``known``: node, root, n, need."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,16 +245,16 @@ def open_pairs(groups: DataFrame, known: DataFrame, parts: int) -> DataFrame:
                 nodes = np.unique(groups_of(value)[0])
                 yield pa.RecordBatch.from_arrays([pa.array([p.as_py()] * len(nodes), pa.int32()), pa.array(nodes)], ["p", "node"])
 
-    facts = groups.mapInArrow(members, "p int, node long").join(known, "node").select("p", "node", "root", "n", F.lit(None).cast("binary").alias("groups"))
-    rows = facts.unionByName(groups.select("p", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("n"), "groups"))
+    facts = groups.mapInArrow(members, "p int, node long").join(known, "node").select("p", "node", "root", "n", "need", F.lit(None).cast("binary").alias("groups"))
+    rows = facts.unionByName(groups.select("p", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("need"), "groups"))
 
     def run(table: pa.Table) -> pa.Table:
         mask = table.column("node").is_valid()
         here = table.filter(mask).sort_by("node")
-        ids, root, n = (here.column(c).to_numpy() for c in ("node", "root", "n"))
-        out = [np.zeros((0, 2), np.int64)]
+        ids, root, n, need = (here.column(c).to_numpy() for c in ("node", "root", "n", "need"))
+        out, needs, weights = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for value in table.filter(pa.compute.invert(mask)).column("groups"):
-            nodes, size = groups_of(value)
+            nodes, size, weight = groups_of(value)
             ends = np.cumsum(size)
             at = np.searchsorted(ids, nodes)
             roots = root[at]
@@ -234,17 +267,22 @@ def open_pairs(groups: DataFrame, known: DataFrame, parts: int) -> DataFrame:
                     rest = own[i + 1 : reach[i]]
                     rest = rest[root[rest] != root[own[i]]]
                     out.append(np.stack([np.minimum(ids[rest], ids[own[i]]), np.maximum(ids[rest], ids[own[i]])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+                    needs.append(np.full(len(rest), need[own[i]]))
+                    weights.append(np.full(len(rest), weight[g]))
+        pairs, one, k = summed(np.concatenate(out), np.concatenate(weights))
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "k": pa.array(k), "need": pa.array(np.concatenate(needs)[one])})
 
-    return by_range(rows, run, "a long, b long").distinct()
+    shared = by_range(rows, run, "a long, b long, k long, need long").groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("need").alias("need"))
+    return shared.where("k >= need").select("a", "b")
 
 
 def verify(blocks: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     """(a, b, overlap) of the pairs, counted fragment by fragment and summed."""
-    # pairs of one node go to tasks of at most SPLIT pairs; the node's segments go to each of them
-    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("s"))
-    keyed = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("s"))), F.lit(parts)).cast("int").alias("g"))
+    # pairs that hang together are verified in one task, so that a set travels once; a large cluster is split by its pairs' second sets
+    cluster = components(pairs).select(F.col("node").alias("a"), "root")
+    placed = pairs.join(cluster, "a")
+    load = placed.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("s"))
+    keyed = keep(placed.join(load, "root").select("a", "b", F.pmod(F.xxhash64("root", F.pmod(F.xxhash64("b"), F.col("s"))), F.lit(parts)).cast("int").alias("g")))
     asked = keyed.select(F.col("a").alias("node"), "g").unionByName(keyed.select(F.col("b").alias("node"), "g")).distinct()
     asked = asked.select(F.shiftright("node", 16).alias("bid"), F.lit(0).alias("p"), F.col("node").bitwiseAND(F.lit(65535)).cast("int").alias("row"), "g")
 
@@ -325,7 +363,7 @@ def nodes_with_components(documents: DataFrame) -> DataFrame:
         links = keep(links.unionByName(linked(blocks, facts, pairs, parts)))
         roots = keep(components(links))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        known = facts.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+        known = facts.join(roots, "node", "left").select("node", "n", "need", F.coalesce("root", "node").alias("root"))
         pairs = keep(open_pairs(groups, known, parts).join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             return facts.join(roots, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
