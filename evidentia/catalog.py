@@ -1,14 +1,14 @@
-"""Registry of the queries built on the generic operators."""
+"""All queries built on the generic operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from evidentia.queries import predicates  # noqa: F401  registers its queries
+from evidentia.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+    return QUERIES["p12_entity_kinds"](spark, sf_dir)
