@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import bpe, decontaminate, ngram_join, substrings, toxicity
 from evidentia.llm.labelled import crc_part
-from evidentia.llm.shared import new_folder
+from evidentia.shared import new_folder
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.shared import keep
+from evidentia.shared import keep
 
 BLOCK_BYTES = 8 << 20
 BLOCK = "bid long, payload binary"
-_IPC = pa.ipc.IpcWriteOptions(compression="zstd")
+_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
 
 def pack(table: pa.Table) -> bytes:

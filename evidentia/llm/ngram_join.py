@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from evidentia.llm.blocks import by_range, pack, ranges, to_blocks, unpack, with_blocks
 from evidentia.llm.components import components
-from evidentia.llm.shared import keep
-from evidentia.llm.substrings import firsts, send
+from evidentia.shared import keep, release
+from evidentia.llm.substrings import firsts, five_bytes, from_five, send
 from evidentia.llm.textblocks import WordSlice, mix, window_hash, word_slices
 
 N, PERCENT, FRAGMENTS, SPLIT = 4, 85, 4, 20_000
@@ -172,16 +172,17 @@ def send_signatures(blocks: DataFrame, parts: int) -> DataFrame:
                 # of equal sets within the block the first one speaks
                 _, first = np.unique(np.stack([sets.sizes, f1, f2], axis=1), axis=0, return_index=True)
                 keys, rows = signatures(sets, np.sort(first[sets.sizes[first] > 0]))
+                keys = keys >> np.uint64(24) << np.uint64(24)  # 40 bits select; whatever they select is verified
                 order = np.lexsort((rows, keys))
                 keys, rows = keys[order], rows[order].astype(np.uint16)
-                yield send(bid, parts, keys, {"keys": lambda a, b: keys[a:b].tobytes(), "rows": lambda a, b: rows[a:b].tobytes()})
+                yield send(bid, parts, keys, {"keys": lambda a, b: five_bytes(keys[a:b]), "rows": lambda a, b: rows[a:b].tobytes()})
 
     return blocks.mapInArrow(run, "p int, bid long, keys binary, rows binary")
 
 
 def gather(table: pa.Table) -> pa.Table:
     """Of one key range: the groups of nodes with an equal fragment, each group of nodes once, with the number of such fragments."""
-    keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(v.as_py(), np.uint64) for v in table.column("keys")]])
+    keys = np.concatenate([np.zeros(0, np.uint64), *[from_five(v.as_py()) for v in table.column("keys")]])
     nodes = np.concatenate([np.zeros(0, np.int64), *[(bid << 16) + np.frombuffer(v.as_py(), np.uint16).astype(np.int64) for bid, v in zip(table.column("bid").to_pylist(), table.column("rows"), strict=True)]])
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
@@ -358,9 +359,11 @@ def nodes_with_components(documents: DataFrame) -> DataFrame:
     once = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
     rows = facts.join(once, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
     groups = keep(by_range(send_signatures(blocks, parts), gather, "p int, groups binary"))
+    release(documents.sparkSession)
     links, tried, pairs = keep(copies.unionByName(rows)), None, keep(star_pairs(groups))
     while True:
         links = keep(links.unionByName(linked(blocks, facts, pairs, parts)))
+        release(documents.sparkSession)
         roots = keep(components(links))
         tried = pairs if tried is None else tried.unionByName(pairs)
         known = facts.join(roots, "node", "left").select("node", "n", "need", F.coalesce("root", "node").alias("root"))

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.shared import keep, new_folder
+from evidentia.shared import keep, new_folder
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES, STRETCH, GAP = 128 << 20, 8 << 20, 64 << 10
