@@ -16,9 +16,9 @@ counted in every part by a task of its own, and the counts are summed per pair.
 
 Groups of equal fragments are never expanded into all pairs.  First every set is
 verified against one other, of the smallest sets of its groups the one it shares
-most with; then, as long as a group holds sets of different components, those not
-yet compared are, if their sizes and the number of fragments they share allow a
-link.
+most with; then against the closest two of its groups that are in other components,
+which joins most components.  At last all sets that share a group but no component
+are compared, if their sizes allow a link.
 Sets that are equal as a whole are linked without verification.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing (the
@@ -31,6 +31,7 @@ ignored (``distinct_documents`` carries them).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ from evidentia.llm.substrings import firsts, five_bytes, from_five, send
 from evidentia.llm.textblocks import WordSlice, mix, window_hash, word_slices
 
 N, PERCENT, FRAGMENTS, SPLIT = 4, 85, 4, 20_000
+CLOSEST, NODES = 2, 8_000  # partners of a set that are verified before the rest; sets of a task
 _SIX = 6
 
 
@@ -115,17 +117,6 @@ def fragments(sets: Sets, rows: np.ndarray, count: int) -> tuple[np.ndarray, np.
     return h, new, tag[new]
 
 
-def demands(sets: Sets) -> np.ndarray:
-    """How many fragments at least a set shares with a larger one that it links with: all but the differing and the empty ones."""
-    need = np.ones(len(sets.sizes), np.int64)
-    for low, high, count in classes(int(sets.sizes.max(initial=0))):
-        rows = np.flatnonzero((sets.sizes >= low) & (sets.sizes < high))
-        if len(rows):
-            filled = np.bincount(fragments(sets, rows, count)[2] // count, minlength=len(rows))
-            need[rows] = np.maximum(1, filled - most_difference(sets.sizes[rows]))
-    return need
-
-
 def signatures(sets: Sets, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each non-empty fragment of the sets of these rows, and its row."""
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -150,7 +141,7 @@ def signatures(sets: Sets, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(blocks: DataFrame) -> DataFrame:
-    """(node, doc_id, n, f1, f2, need) of every document; a node is a block and a row in it."""
+    """(node, doc_id, n, f1, f2) of every document; a node is a block and a row in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,9 +149,9 @@ def describe(blocks: DataFrame) -> DataFrame:
                 table = unpack(payload)
                 sets = Sets(table)
                 f1, f2 = sets.prints()
-                yield pa.RecordBatch.from_arrays([pa.array((bid << 16) + np.arange(table.num_rows)), table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(sets.sizes), pa.array(f1), pa.array(f2), pa.array(demands(sets))], ["node", "doc_id", "n", "f1", "f2", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array((bid << 16) + np.arange(table.num_rows)), table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(sets.sizes), pa.array(f1), pa.array(f2)], ["node", "doc_id", "n", "f1", "f2"])
 
-    return blocks.mapInArrow(run, "node long, doc_id long, n long, f1 long, f2 long, need long")
+    return blocks.mapInArrow(run, "node long, doc_id long, n long, f1 long, f2 long")
 
 
 def send_signatures(blocks: DataFrame, parts: int) -> DataFrame:
@@ -180,8 +171,8 @@ def send_signatures(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.mapInArrow(run, "p int, bid long, keys binary, rows binary")
 
 
-def gather(table: pa.Table) -> pa.Table:
-    """Of one key range: the groups of nodes with an equal fragment, each group of nodes once, with the number of such fragments."""
+def gather(table: pa.Table, parts: int) -> pa.Table:
+    """Of one key range: the groups of nodes with an equal fragment, by the hash of a group's smallest node."""
     keys = np.concatenate([np.zeros(0, np.uint64), *[from_five(v.as_py()) for v in table.column("keys")]])
     nodes = np.concatenate([np.zeros(0, np.int64), *[(bid << 16) + np.frombuffer(v.as_py(), np.uint16).astype(np.int64) for bid, v in zip(table.column("bid").to_pylist(), table.column("rows"), strict=True)]])
     order = np.lexsort((nodes, keys))
@@ -191,19 +182,39 @@ def gather(table: pa.Table) -> pa.Table:
     keys, nodes = keys[new], nodes[new]
     at = firsts(keys)
     size = np.diff(np.concatenate([at, [len(keys)]]))
-    many = np.repeat(size > 1, size)
-    nodes, size = nodes[many], size[size > 1]
+    nodes, size = nodes[np.repeat(size > 1, size)], size[size > 1]
+    nodes, size, weight = merged(nodes, size, np.ones(len(size), np.int64))
+    to = (mix(nodes[np.cumsum(size) - size].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    ends, out = np.cumsum(size), []
+    for p in np.unique(to):
+        own = order[to[order] == p]
+        out.append((int(p), packed(np.concatenate([nodes[ends[g] - size[g] : ends[g]] for g in own]), size[own], weight[own])))
+    return pa.table({"p": pa.array([p for p, _ in out], pa.int32()), "groups": pa.array([g for _, g in out], pa.binary())})
+
+
+def merged(nodes: np.ndarray, size: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each group of nodes once, with the summed weights."""
+    if not len(size):
+        return nodes, size, weight
     at = np.cumsum(size) - size
-    weight = np.zeros(0, np.int64)
-    if len(at):
-        member = np.add.reduceat(mix(nodes.astype(np.uint64)), at)
-        _, once, weight = np.unique(np.stack([member.view(np.int64), size, nodes[at]], axis=1), axis=0, return_index=True, return_counts=True)
-        order = np.argsort(once)
-        once, weight = once[order], weight[order]
-        keep_group = np.zeros(len(at), bool)
-        keep_group[once] = True
-        nodes, size = nodes[np.repeat(keep_group, size)], size[keep_group]
-    return pa.table({"p": pa.array([table.column("p")[0].as_py()], pa.int32()), "groups": pa.array([pack(pa.table({"nodes": pa.array([nodes]), "size": pa.array([size]), "weight": pa.array([weight])}))], pa.binary())})
+    member = np.add.reduceat(mix(nodes.astype(np.uint64)), at)
+    _, once, back = np.unique(np.stack([member.view(np.int64), size, nodes[at]], axis=1), axis=0, return_index=True, return_inverse=True)
+    total = np.bincount(back.ravel(), weight, len(once)).astype(np.int64)
+    order = np.argsort(once)
+    stay = np.zeros(len(size), bool)
+    stay[once] = True
+    return nodes[np.repeat(stay, size)], size[stay], total[order]
+
+
+def packed(nodes: np.ndarray, size: np.ndarray, weight: np.ndarray) -> bytes:
+    return pack(pa.table({"nodes": pa.array([nodes]), "size": pa.array([size]), "weight": pa.array([weight])}))
+
+
+def meet(table: pa.Table) -> pa.Table:
+    """All groups with a smallest node of one hash, each group of nodes once with the number of fragments that it shares."""
+    found = [groups_of(v) for v in table.column("groups")]
+    return pa.table({"p": table.column("p").slice(0, 1), "groups": pa.array([packed(*merged(*map(np.concatenate, zip(*found, strict=True))))], pa.binary())})
 
 
 def groups_of(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,8 +248,8 @@ def star_pairs(groups: DataFrame) -> DataFrame:
     return best.select((-F.col("best.m")).alias("a"), "b")
 
 
-def open_pairs(groups: DataFrame, known: DataFrame, parts: int) -> DataFrame:
-    """Pairs of different components whose sizes and shared fragments allow a link; ``known``: node, root, n, need."""
+def with_facts(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """The groups of each p, and a row (node, root, n) for each node in them."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,50 +257,141 @@ def open_pairs(groups: DataFrame, known: DataFrame, parts: int) -> DataFrame:
                 nodes = np.unique(groups_of(value)[0])
                 yield pa.RecordBatch.from_arrays([pa.array([p.as_py()] * len(nodes), pa.int32()), pa.array(nodes)], ["p", "node"])
 
-    facts = groups.mapInArrow(members, "p int, node long").join(known, "node").select("p", "node", "root", "n", "need", F.lit(None).cast("binary").alias("groups"))
-    rows = facts.unionByName(groups.select("p", F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("need"), "groups"))
+    facts = groups.mapInArrow(members, "p int, node long").join(known, "node").select("p", "node", "root", "n", F.lit(None).cast("binary").alias("groups"))
+    return facts.unionByName(groups.select("p", *[F.lit(None).cast("long").alias(c) for c in ("node", "root", "n")], "groups"))
 
-    def run(table: pa.Table) -> pa.Table:
+
+@dataclass
+class Mixed:
+    """Groups that hold several components: nodes with their roots and sizes, and members as indices into them."""
+
+    ids: np.ndarray
+    root: np.ndarray
+    n: np.ndarray
+    member: np.ndarray
+    size: np.ndarray
+    weight: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Mixed:
         mask = table.column("node").is_valid()
         here = table.filter(mask).sort_by("node")
-        ids, root, n, need = (here.column(c).to_numpy() for c in ("node", "root", "n", "need"))
-        out, needs, weights = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for value in table.filter(pa.compute.invert(mask)).column("groups"):
-            nodes, size, weight = groups_of(value)
-            ends = np.cumsum(size)
-            at = np.searchsorted(ids, nodes)
-            roots = root[at]
-            mixed = np.minimum.reduceat(roots, ends - size) != np.maximum.reduceat(roots, ends - size) if len(size) else []
-            for g in np.flatnonzero(mixed):
-                own = at[ends[g] - size[g] : ends[g]]
-                own = own[np.argsort(n[own], kind="stable")]
-                reach = np.searchsorted(n[own], 100 * n[own] // PERCENT, "right")  # sizes that the smaller set allows
-                for i in np.flatnonzero(reach > np.arange(len(own)) + 1):
-                    rest = own[i + 1 : reach[i]]
-                    rest = rest[root[rest] != root[own[i]]]
-                    out.append(np.stack([np.minimum(ids[rest], ids[own[i]]), np.maximum(ids[rest], ids[own[i]])], axis=1))
-                    needs.append(np.full(len(rest), need[own[i]]))
-                    weights.append(np.full(len(rest), weight[g]))
-        pairs, one, k = summed(np.concatenate(out), np.concatenate(weights))
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "k": pa.array(k), "need": pa.array(np.concatenate(needs)[one])})
-
-    shared = by_range(rows, run, "a long, b long, k long, need long").groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("need").alias("need"))
-    return shared.where("k >= need").select("a", "b")
+        ids, root, n = (here.column(c).to_numpy() for c in ("node", "root", "n"))
+        nodes, size, weight = groups_of(table.filter(pa.compute.invert(mask)).column("groups")[0])
+        at, ends = np.searchsorted(ids, nodes), np.cumsum(size)
+        mixed = np.minimum.reduceat(root[at], ends - size) != np.maximum.reduceat(root[at], ends - size) if len(size) else np.zeros(0, bool)
+        used, member = np.unique(at[np.repeat(mixed, size)], return_inverse=True)
+        return cls(ids[used], root[used], n[used], member, size[mixed], weight[mixed])
+
+    def rows(self, salt: int = 0, split: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each node the nodes of other components that share a group and whose sizes allow a link, with the fragments shared; a row of the co-occurrence matrix at a time."""
+        ends = np.cumsum(self.size)
+        order = np.argsort(self.member, kind="stable")
+        of = np.repeat(np.arange(len(self.size)), self.size)[order]
+        who, first = np.unique(self.member[order], return_index=True)
+        for x, own in zip(who.tolist(), np.split(of, first[1:]), strict=True):
+            if x % split != salt:
+                continue
+            others = np.concatenate([self.member[ends[g] - self.size[g] : ends[g]] for g in own])
+            near, place = np.unique(others, return_inverse=True)
+            k = np.bincount(place, np.repeat(self.weight[own], self.size[own]), len(near)).astype(np.int64)
+            n, m = self.n[near], self.n[x]
+            fit = (self.root[near] != self.root[x]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+            yield x, near[fit], k[fit]
+
+    def pack(self) -> bytes:
+        return pack(pa.table({k: pa.array([v]) for k, v in vars(self).items()}))
+
+    @classmethod
+    def unpack(cls, value: pa.Scalar) -> Mixed:
+        t = unpack(value)
+        return cls(*[np.asarray(t.column(c)[0].values) for c in ("ids", "root", "n", "member", "size", "weight")])
+
+
+def closest(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """(a, b): each node with the ``most`` nodes of other components that share the most fragments; ``known``: node, root, n."""
 
+    def run(table: pa.Table) -> pa.Table:
+        mixed = Mixed.of(table)
+        out = [np.zeros((0, 2), np.int64)]
+        for x, near, k in mixed.rows():
+            near = near[np.lexsort((near, -k))[:most]]
+            out.append(np.stack([np.minimum(mixed.ids[near], mixed.ids[x]), np.maximum(mixed.ids[near], mixed.ids[x])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-def verify(blocks: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
-    """(a, b, overlap) of the pairs, counted fragment by fragment and summed."""
-    # pairs that hang together are verified in one task, so that a set travels once; a large cluster is split by its pairs' second sets
-    cluster = components(pairs).select(F.col("node").alias("a"), "root")
-    placed = pairs.join(cluster, "a")
-    load = placed.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("s"))
-    keyed = keep(placed.join(load, "root").select("a", "b", F.pmod(F.xxhash64("root", F.pmod(F.xxhash64("b"), F.col("s"))), F.lit(parts)).cast("int").alias("g")))
-    asked = keyed.select(F.col("a").alias("node"), "g").unionByName(keyed.select(F.col("b").alias("node"), "g")).distinct()
-    asked = asked.select(F.shiftright("node", 16).alias("bid"), F.lit(0).alias("p"), F.col("node").bitwiseAND(F.lit(65535)).cast("int").alias("row"), "g")
+    return by_range(with_facts(groups, known), run, "a long, b long").distinct()
+
+
+def remaining(blocks: DataFrame, groups: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b): all links between sets of different components that share a group.
+
+    A task takes the mixed groups of one p (a share of their nodes, if they are
+    many) and one fragment of the order, and counts the overlaps of a set with all
+    others through the fragment's inverted lists; overlaps travel packed, pairs
+    never become rows, and the sums over the fragments leave only the links.
+    """
+
+    def tasks(table: pa.Table) -> pa.Table:
+        p, mixed = table.column("p")[0].as_py(), Mixed.of(table)
+        split = -(-len(mixed.ids) // NODES)
+        rows = [{"g": p << 20 | i, "split": split, "task": mixed.pack(), "node": None} for i in range(split)]
+        rows += [{"g": p << 20 | i, "split": split, "task": None, "node": node} for i in range(split) for node in mixed.ids.tolist()]
+        return pa.Table.from_pylist(rows, pa.schema([("g", pa.int64()), ("split", pa.int32()), ("task", pa.binary()), ("node", pa.int64())]))
+
+    todo = keep(by_range(with_facts(groups, known), tasks, "g long, split int, task binary, node long"))
+    sent = send_segments(blocks, todo.where("node is not null").select("node", "g")).withColumn("split", F.lit(None).cast("int")).withColumn("task", F.lit(None).cast("binary"))
+    told = todo.where("task is not null").select("g", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("p"), F.lit(None).cast("binary").alias("segments"), "split", "task")
+
+    def count(table: pa.Table) -> pa.Table:
+        given = table.filter(table.column("task").is_valid())
+        g, p, split = (given.column(c)[0].as_py() for c in ("g", "p", "split"))
+        mixed = Mixed.unpack(given.column("task")[0])
+        own = segments_of(table.filter(table.column("segments").is_valid()))
+        held = [own[node] for node in mixed.ids.tolist()]
+        sizes = np.array([len(h) for h in held])
+        _, key = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        order = np.argsort(key, kind="stable")
+        holder = np.repeat(np.arange(len(held)), sizes)[order]
+        lists = np.concatenate([[0], np.cumsum(np.bincount(key))]) if len(key) else np.zeros(1, np.int64)
+        pairs, overlap = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+        for x, near, _ in mixed.rows(g & 0xFFFFF, split):
+            near = near[(mixed.n[near] > mixed.n[x]) | ((mixed.n[near] == mixed.n[x]) & (near > x))]  # each pair once
+            if not len(near):
+                continue
+            k = key[starts[x] : starts[x + 1]]
+            length = lists[k + 1] - lists[k]
+            at = np.repeat(lists[k] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            overlap.append(np.bincount(holder[at], minlength=len(held))[near])
+            if p == 0:
+                pairs.append(np.stack([np.full(len(near), x), near], axis=1))
+        body = {"overlap": pa.array([np.concatenate(overlap).astype(np.uint32)])}
+        if p == 0:
+            two = np.concatenate(pairs)
+            body |= {"x": pa.array([two[:, 0]]), "y": pa.array([two[:, 1]]), "ids": pa.array([mixed.ids]), "n": pa.array([mixed.n])}
+        return pa.table({"g": pa.array([g], pa.int64()), "p": pa.array([p], pa.int32()), "counts": pa.array([pack(pa.table(body))], pa.binary())})
+
+    partial = sent.unionByName(told).groupBy("g", "p").applyInArrow(count, "g long, p int, counts binary")
+
+    def total(table: pa.Table) -> pa.Table:
+        found = [unpack(v) for v in table.sort_by("p").column("counts")]
+        get = lambda c: np.asarray(found[0].column(c)[0].values)
+        x, y, ids, n = get("x"), get("y"), get("ids"), get("n")
+        overlap = sum(np.asarray(f.column("overlap")[0].values).astype(np.int64) for f in found)
+        link = 100 * overlap >= PERCENT * (n[x] + n[y] - overlap)
+        return pa.table({"a": pa.array(np.minimum(ids[x], ids[y])[link]), "b": pa.array(np.maximum(ids[x], ids[y])[link])})
+
+    return partial.groupBy("g").applyInArrow(total, "a long, b long")
+
+
+def send_segments(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(g, p, segments): for each asked (node, g) the node's shingles in each fragment p of the order."""
+    asked = asked.select(F.shiftright("node", 16).alias("bid"), F.lit(0).alias("p"), F.col("node").bitwiseAND(F.lit(65535)).cast("int").alias("row"), F.col("g").cast("long").alias("g"))
 
     def segments(documents: pa.Table, wanted: pa.Table) -> pa.Table:
         if not wanted.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in (("g", pa.int32()), ("p", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("segments", pa.binary()))})
+            return pa.table({c: pa.array([], t) for c, t in (("g", pa.int64()), ("p", pa.int32()), ("segments", pa.binary()))})
         bid = wanted.column("bid")[0].as_py()
         rows, back = np.unique(wanted.column("row").to_numpy(), return_inverse=True)
         g = wanted.column("g").to_numpy()
@@ -306,24 +408,40 @@ def verify(blocks: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
                 out["g"].append(int(group))
                 out["p"].append(v)
                 out["segments"].append(pack(pa.table({"nodes": pa.array([(bid << 16) + rows[own].astype(np.int64)]), "size": pa.array([np.array([b - a for a, b in spans])]), "data": pa.array([data.tobytes()], pa.binary())})))
-        n = len(out["g"])
-        return pa.table({"g": pa.array(out["g"], pa.int32()), "p": pa.array(out["p"], pa.int32()), "a": pa.nulls(n, pa.int64()), "b": pa.nulls(n, pa.int64()), "segments": pa.array(out["segments"], pa.binary())})
+        return pa.table({"g": pa.array(out["g"], pa.int64()), "p": pa.array(out["p"], pa.int32()), "segments": pa.array(out["segments"], pa.binary())})
 
     # only blocks that are asked take part
     needed = blocks.join(asked.select("bid").distinct(), "bid", "left_semi")
-    sent = with_blocks(needed, asked, segments, "g int, p int, a long, b long, segments binary")
+    return with_blocks(needed, asked, segments, "g long, p int, segments binary")
+
+
+def segments_of(table: pa.Table) -> dict[int, np.ndarray]:
+    """Sorted shingles of each node, as sent."""
+    own: dict[int, np.ndarray] = {}
+    for value in table.column("segments"):
+        t = unpack(value)
+        wide = np.zeros((len(d := np.frombuffer(t.column("data")[0].as_py(), np.uint8)) // _SIX, 8), np.uint8)
+        wide[:, :_SIX] = d.reshape(-1, _SIX)
+        flat, ends = wide.view("<u8").ravel(), np.cumsum(np.asarray(t.column("size")[0].values))
+        for node, a, b in zip(np.asarray(t.column("nodes")[0].values).tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            own[node] = flat[a:b]
+    return own
+
+
+def verify(blocks: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """(a, b, overlap) of the pairs, counted fragment by fragment and summed."""
+    # pairs that hang together are verified in one task, so that a set travels once; a large cluster is split by its pairs' second sets
+    cluster = components(pairs).select(F.col("node").alias("a"), "root")
+    placed = pairs.join(cluster, "a")
+    load = placed.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("s"))
+    keyed = keep(placed.join(load, "root").select("a", "b", F.pmod(F.xxhash64("root", F.pmod(F.xxhash64("b"), F.col("s"))), F.lit(parts)).cast("long").alias("g")))
+    asked = keyed.select(F.col("a").alias("node"), "g").unionByName(keyed.select(F.col("b").alias("node"), "g")).distinct()
+    sent = send_segments(blocks, asked).withColumn("a", F.lit(None).cast("long")).withColumn("b", F.lit(None).cast("long"))
     told = keyed.select("g", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("p"), "a", "b", F.lit(None).cast("binary").alias("segments"))
 
     def count(table: pa.Table) -> pa.Table:
-        own: dict[int, np.ndarray] = {}
         is_pair = table.column("a").is_valid()
-        for value in table.filter(pa.compute.invert(is_pair)).column("segments"):
-            t = unpack(value)
-            wide = np.zeros((len(d := np.frombuffer(t.column("data")[0].as_py(), np.uint8)) // _SIX, 8), np.uint8)
-            wide[:, :_SIX] = d.reshape(-1, _SIX)
-            flat, ends = wide.view("<u8").ravel(), np.cumsum(np.asarray(t.column("size")[0].values))
-            for node, a, b in zip(np.asarray(t.column("nodes")[0].values).tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                own[node] = flat[a:b]
+        own = segments_of(table.filter(pa.compute.invert(is_pair)))
         asked = table.filter(is_pair).sort_by("a")
         a, b = asked.column("a").to_pylist(), asked.column("b").to_pylist()
         found = []
@@ -358,18 +476,25 @@ def nodes_with_components(documents: DataFrame) -> DataFrame:
     # rows with one doc_id are one document
     once = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
     rows = facts.join(once, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    groups = keep(by_range(send_signatures(blocks, parts), gather, "p int, groups binary"))
+    groups = by_range(send_signatures(blocks, parts), lambda t: gather(t, parts), "p int, groups binary")
+    groups = keep(by_range(groups, meet, "p int, groups binary"))
     release(documents.sparkSession)
-    links, tried, pairs = keep(copies.unionByName(rows)), None, keep(star_pairs(groups))
-    while True:
-        links = keep(links.unionByName(linked(blocks, facts, pairs, parts)))
-        release(documents.sparkSession)
+    links, pairs = keep(copies.unionByName(rows)), keep(star_pairs(groups))
+
+    def joined() -> tuple[DataFrame, DataFrame]:
         roots = keep(components(links))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        known = facts.join(roots, "node", "left").select("node", "n", "need", F.coalesce("root", "node").alias("root"))
-        pairs = keep(open_pairs(groups, known, parts).join(tried, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            return facts.join(roots, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
+        return roots, facts.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+
+    links = keep(links.unionByName(linked(blocks, facts, pairs, parts)))
+    roots, known = joined()
+    release(documents.sparkSession)
+    links = keep(links.unionByName(linked(blocks, facts, keep(closest(groups, known, CLOSEST)), parts)))
+    roots, known = joined()
+    release(documents.sparkSession)
+    # what is left between different components is compared as a whole, so no link can be missing after it
+    links = keep(links.unionByName(remaining(blocks, groups, known)))
+    roots, known = joined()
+    return facts.join(roots, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
 
 
 def join(documents: DataFrame) -> DataFrame:
