@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.queries import predicates  # noqa: F401  registers its queries
+from evidentia.queries import predicates, relational, rules  # noqa: F401  they register their queries
 from evidentia.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
