@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.queries import predicates, relational, rules  # noqa: F401  they register their queries
+from evidentia.queries import graphs, predicates, relational, retrieval, rules  # noqa: F401  they register their queries
 from evidentia.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p12_entity_kinds"](spark, sf_dir)
+    return QUERIES["x4_fused_retrieval"](spark, sf_dir)

@@ -41,9 +41,9 @@ def has_phrase(c: Column, phrase: str) -> Column:
     wanted = [w for w in re.findall(r"[^\W_]+", phrase.lower())]
     if not wanted:
         return F.lit(False)
-    tokens = word_tokens(c)
-    n = len(wanted)
-    return F.coalesce(F.exists(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.slice(tokens, i, n) == F.array(*map(F.lit, wanted))), F.lit(False))
+    # tokens hold no spaces, so the tokens in one line hold the phrase exactly if they hold it as neighbours
+    line = F.concat(F.lit(" "), F.array_join(word_tokens(c), " "), F.lit(" "))
+    return F.coalesce(F.contains(line, F.lit(f" {' '.join(wanted)} ")), F.lit(False))
 
 
 def content_digest(*parts: Column, domain: str = "") -> Column:

@@ -39,5 +39,6 @@ def release(spark: SparkSession) -> None:
     The cleaner acts when the driver collects its garbage, which a job of a few
     large stages may not do before it ends; the files would pile up until then.
     """
+    spark.range(1).collect()  # the session holds on to its last query
     gc.collect()
     spark.sparkContext._jvm.System.gc()
