@@ -15,9 +15,8 @@ Verifying: the order is cut into ``FRAGMENTS`` equal parts, each pair's overlap
 counted in every part by a task of its own, and the counts are summed per pair.
 
 Groups of equal fragments are never expanded into all pairs.  First every set is
-verified against one other, of the smallest sets of its groups the one it shares
-most with; then against the closest two of its groups that are in other components,
-which joins most components.  At last all sets that share a group but no component
+verified against the two others of its groups that it shares the most fragments
+with, which joins most components.  At last all sets that share a group but no component
 are compared, if their sizes allow a link.
 Sets that are equal as a whole are linked without verification.
 
@@ -222,32 +221,6 @@ def groups_of(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.asarray(t.column(c)[0].values) for c in ("nodes", "size", "weight"))
 
 
-def summed(pairs: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, the index of one occurrence of each, and their summed weights."""
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    new = np.ones(len(order), bool)
-    new[1:] = (pairs[order[1:]] != pairs[order[:-1]]).any(axis=1)
-    at = np.flatnonzero(new)
-    return pairs[order[at]], order[at], np.add.reduceat(weight[order], at) if len(at) else np.zeros(0, np.int64)
-
-
-def star_pairs(groups: DataFrame) -> DataFrame:
-    """Each node with that smallest node of its groups with which it shares the most fragments."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for value in batch.column(0):
-                nodes, size, weight = groups_of(value)
-                first = np.repeat(nodes[np.cumsum(size) - size], size) if len(size) else nodes
-                other = first < nodes
-                pairs, _, k = summed(np.stack([first, nodes], axis=1)[other], np.repeat(weight, size)[other])
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(k)], ["a", "b", "k"])
-
-    shared = groups.select("groups").mapInArrow(run, "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
-    best = shared.groupBy("b").agg(F.max(F.struct("k", (-F.col("a")).alias("m"))).alias("best"))
-    return best.select((-F.col("best.m")).alias("a"), "b")
-
-
 def with_facts(groups: DataFrame, known: DataFrame) -> DataFrame:
     """The groups of each p, and a row (node, root, n) for each node in them."""
 
@@ -309,7 +282,7 @@ class Mixed:
 
 
 def closest(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
-    """(a, b): each node with the ``most`` nodes of other components that share the most fragments; ``known``: node, root, n."""
+    """(a, b, g): each node with the ``most`` nodes of other components that share the most fragments, and where they meet; ``known``: node, root, n."""
 
     def run(table: pa.Table) -> pa.Table:
         mixed = Mixed.of(table)
@@ -318,9 +291,10 @@ def closest(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
             near = near[np.lexsort((near, -k))[:most]]
             out.append(np.stack([np.minimum(mixed.ids[near], mixed.ids[x]), np.maximum(mixed.ids[near], mixed.ids[x])], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        g = (table.column("p")[0].as_py() << 20) + np.arange(len(pairs)) // SPLIT
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "g": pa.array(g)})
 
-    return by_range(with_facts(groups, known), run, "a long, b long").distinct()
+    return by_range(with_facts(groups, known), run, "a long, b long, g long").groupBy("a", "b").agg(F.min("g").alias("g"))
 
 
 def remaining(blocks: DataFrame, groups: DataFrame, known: DataFrame) -> DataFrame:
@@ -428,13 +402,8 @@ def segments_of(table: pa.Table) -> dict[int, np.ndarray]:
     return own
 
 
-def verify(blocks: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
-    """(a, b, overlap) of the pairs, counted fragment by fragment and summed."""
-    # pairs that hang together are verified in one task, so that a set travels once; a large cluster is split by its pairs' second sets
-    cluster = components(pairs).select(F.col("node").alias("a"), "root")
-    placed = pairs.join(cluster, "a")
-    load = placed.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("s"))
-    keyed = keep(placed.join(load, "root").select("a", "b", F.pmod(F.xxhash64("root", F.pmod(F.xxhash64("b"), F.col("s"))), F.lit(parts)).cast("long").alias("g")))
+def verify(blocks: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(a, b, overlap) of the pairs (a, b, g), counted fragment by fragment and summed; a set goes once to each g."""
     asked = keyed.select(F.col("a").alias("node"), "g").unionByName(keyed.select(F.col("b").alias("node"), "g")).distinct()
     sent = send_segments(blocks, asked).withColumn("a", F.lit(None).cast("long")).withColumn("b", F.lit(None).cast("long"))
     told = keyed.select("g", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("p"), "a", "b", F.lit(None).cast("binary").alias("segments"))
@@ -457,11 +426,11 @@ def verify(blocks: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     return partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
 
 
-def linked(blocks: DataFrame, facts: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+def linked(blocks: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the pairs that link: equal sets at once, the rest if sizes allow it and the overlap is enough."""
     left, right = (facts.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "f1", "f2")]) for s in "ab")
     sized = keep(pairs.join(left, "a").join(right, "b").withColumn("same", F.expr("n_a = n_b and f1_a = f1_b and f2_a = f2_b")).where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"))
-    counted = verify(blocks, sized.where("not same").select("a", "b"), parts)
+    counted = verify(blocks, sized.where("not same").select("a", "b", "g"))
     enough = sized.join(counted, ["a", "b"]).where(f"100 * overlap >= {PERCENT} * (n_a + n_b - overlap)")
     return keep(sized.where("same").select("a", "b").unionByName(enough.select("a", "b")))
 
@@ -471,30 +440,24 @@ def nodes_with_components(documents: DataFrame) -> DataFrame:
     parts = ranges(documents)
     blocks = to_blocks(documents)
     facts = keep(describe(blocks))
-    first = facts.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    copies = facts.where("n > 0").join(first, ["n", "f1", "f2"]).select("a", F.col("node").alias("b")).where("a <> b")
+    first = facts.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    copies = keep(facts.where("n > 0").join(first, ["n", "f1", "f2"]).select(F.col("first").alias("a"), F.col("node").alias("b")))
     # rows with one doc_id are one document
     once = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    rows = facts.join(once, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
+    rows = facts.join(once, "doc_id").select("a", F.col("node").alias("b"))
     groups = by_range(send_signatures(blocks, parts), lambda t: gather(t, parts), "p int, groups binary")
     groups = keep(by_range(groups, meet, "p int, groups binary"))
     release(documents.sparkSession)
-    links, pairs = keep(copies.unionByName(rows)), keep(star_pairs(groups))
 
-    def joined() -> tuple[DataFrame, DataFrame]:
-        roots = keep(components(links))
-        return roots, facts.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    def rooted(roots: DataFrame) -> DataFrame:
+        return facts.join(roots, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
 
-    links = keep(links.unionByName(linked(blocks, facts, pairs, parts)))
-    roots, known = joined()
-    release(documents.sparkSession)
-    links = keep(links.unionByName(linked(blocks, facts, keep(closest(groups, known, CLOSEST)), parts)))
-    roots, known = joined()
+    near = keep(closest(groups, rooted(copies.select(F.col("b").alias("node"), F.col("a").alias("root"))), CLOSEST))
+    links = keep(copies.unionByName(rows).unionByName(linked(blocks, facts, near)))
     release(documents.sparkSession)
     # what is left between different components is compared as a whole, so no link can be missing after it
-    links = keep(links.unionByName(remaining(blocks, groups, known)))
-    roots, known = joined()
-    return facts.join(roots, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
+    left = remaining(blocks, groups, rooted(keep(components(links))))
+    return rooted(keep(components(keep(links.unionByName(left)))))
 
 
 def join(documents: DataFrame) -> DataFrame:
