@@ -16,8 +16,8 @@ counted in every part by a task of its own, and the counts are summed per pair.
 
 Groups of equal fragments are never expanded into all pairs.  First every set is
 verified against the two others of its groups that it shares the most fragments
-with, which joins most components.  At last all sets that share a group but no component
-are compared, if their sizes allow a link.
+with, which joins most components.  At last all sets that share a group but no component are compared,
+if their sizes and the number of fragments they share allow a link.
 Sets that are equal as a whole are linked without verification.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing (the
@@ -44,7 +44,7 @@ from evidentia.llm.substrings import firsts, five_bytes, from_five, send
 from evidentia.llm.textblocks import WordSlice, mix, window_hash, word_slices
 
 N, PERCENT, FRAGMENTS, SPLIT = 4, 85, 4, 20_000
-CLOSEST, NODES = 2, 8_000  # partners of a set that are verified before the rest; sets of a task
+CLOSEST, PAIRS = 2, 500_000  # partners of a set that are verified before the rest; pairs of a task
 _SIX = 6
 
 
@@ -116,6 +116,17 @@ def fragments(sets: Sets, rows: np.ndarray, count: int) -> tuple[np.ndarray, np.
     return h, new, tag[new]
 
 
+def demands(sets: Sets) -> np.ndarray:
+    """How many fragments at least a set shares with a larger one that it links with: all but the differing and the empty ones."""
+    need = np.ones(len(sets.sizes), np.int64)
+    for low, high, count in classes(int(sets.sizes.max(initial=0))):
+        rows = np.flatnonzero((sets.sizes >= low) & (sets.sizes < high))
+        if len(rows):
+            filled = np.bincount(fragments(sets, rows, count)[2] // count, minlength=len(rows))
+            need[rows] = np.maximum(1, filled - most_difference(sets.sizes[rows]))
+    return need
+
+
 def signatures(sets: Sets, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each non-empty fragment of the sets of these rows, and its row."""
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -140,7 +151,7 @@ def signatures(sets: Sets, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe(blocks: DataFrame) -> DataFrame:
-    """(node, doc_id, n, f1, f2) of every document; a node is a block and a row in it."""
+    """(node, doc_id, n, f1, f2, need) of every document; a node is a block and a row in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +159,9 @@ def describe(blocks: DataFrame) -> DataFrame:
                 table = unpack(payload)
                 sets = Sets(table)
                 f1, f2 = sets.prints()
-                yield pa.RecordBatch.from_arrays([pa.array((bid << 16) + np.arange(table.num_rows)), table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(sets.sizes), pa.array(f1), pa.array(f2)], ["node", "doc_id", "n", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([pa.array((bid << 16) + np.arange(table.num_rows)), table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(sets.sizes), pa.array(f1), pa.array(f2), pa.array(demands(sets))], ["node", "doc_id", "n", "f1", "f2", "need"])
 
-    return blocks.mapInArrow(run, "node long, doc_id long, n long, f1 long, f2 long")
+    return blocks.mapInArrow(run, "node long, doc_id long, n long, f1 long, f2 long, need long")
 
 
 def send_signatures(blocks: DataFrame, parts: int) -> DataFrame:
@@ -221,8 +232,28 @@ def groups_of(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.asarray(t.column(c)[0].values) for c in ("nodes", "size", "weight"))
 
 
+def homes(groups: DataFrame) -> DataFrame:
+    """(node, home): the smallest node of all its groups, which sets of a family mostly have in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                nodes, size, _ = groups_of(value)
+                if not len(size):
+                    continue
+                first = np.repeat(nodes[np.cumsum(size) - size], size)
+                order = np.lexsort((first, nodes))
+                at = firsts(nodes[order])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[order][at]), pa.array(first[order][at])], ["node", "home"])
+
+    return groups.select("groups").mapInArrow(run, "node long, home long").groupBy("node").agg(F.min("home").alias("home"))
+
+
+FACTS = ("node", "root", "n", "need", "home")
+
+
 def with_facts(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """The groups of each p, and a row (node, root, n) for each node in them."""
+    """The groups of each p, and a row (node, root, n, need, home) for each node in them."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,8 +261,8 @@ def with_facts(groups: DataFrame, known: DataFrame) -> DataFrame:
                 nodes = np.unique(groups_of(value)[0])
                 yield pa.RecordBatch.from_arrays([pa.array([p.as_py()] * len(nodes), pa.int32()), pa.array(nodes)], ["p", "node"])
 
-    facts = groups.mapInArrow(members, "p int, node long").join(known, "node").select("p", "node", "root", "n", F.lit(None).cast("binary").alias("groups"))
-    return facts.unionByName(groups.select("p", *[F.lit(None).cast("long").alias(c) for c in ("node", "root", "n")], "groups"))
+    facts = groups.mapInArrow(members, "p int, node long").join(known, "node").select("p", *FACTS, F.lit(None).cast("binary").alias("groups"))
+    return facts.unionByName(groups.select("p", *[F.lit(None).cast("long").alias(c) for c in FACTS], "groups"))
 
 
 @dataclass
@@ -241,6 +272,8 @@ class Mixed:
     ids: np.ndarray
     root: np.ndarray
     n: np.ndarray
+    need: np.ndarray
+    home: np.ndarray
     member: np.ndarray
     size: np.ndarray
     weight: np.ndarray
@@ -249,22 +282,20 @@ class Mixed:
     def of(cls, table: pa.Table) -> Mixed:
         mask = table.column("node").is_valid()
         here = table.filter(mask).sort_by("node")
-        ids, root, n = (here.column(c).to_numpy() for c in ("node", "root", "n"))
+        ids, root, n, need, home = (here.column(c).to_numpy() for c in FACTS)
         nodes, size, weight = groups_of(table.filter(pa.compute.invert(mask)).column("groups")[0])
         at, ends = np.searchsorted(ids, nodes), np.cumsum(size)
         mixed = np.minimum.reduceat(root[at], ends - size) != np.maximum.reduceat(root[at], ends - size) if len(size) else np.zeros(0, bool)
         used, member = np.unique(at[np.repeat(mixed, size)], return_inverse=True)
-        return cls(ids[used], root[used], n[used], member, size[mixed], weight[mixed])
+        return cls(ids[used], root[used], n[used], need[used], home[used], member, size[mixed], weight[mixed])
 
-    def rows(self, salt: int = 0, split: int = 1) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of each node the nodes of other components that share a group and whose sizes allow a link, with the fragments shared; a row of the co-occurrence matrix at a time."""
         ends = np.cumsum(self.size)
         order = np.argsort(self.member, kind="stable")
         of = np.repeat(np.arange(len(self.size)), self.size)[order]
         who, first = np.unique(self.member[order], return_index=True)
         for x, own in zip(who.tolist(), np.split(of, first[1:]), strict=True):
-            if x % split != salt:
-                continue
             others = np.concatenate([self.member[ends[g] - self.size[g] : ends[g]] for g in own])
             near, place = np.unique(others, return_inverse=True)
             k = np.bincount(place, np.repeat(self.weight[own], self.size[own]), len(near)).astype(np.int64)
@@ -272,14 +303,6 @@ class Mixed:
             fit = (self.root[near] != self.root[x]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
             yield x, near[fit], k[fit]
 
-    def pack(self) -> bytes:
-        return pack(pa.table({k: pa.array([v]) for k, v in vars(self).items()}))
-
-    @classmethod
-    def unpack(cls, value: pa.Scalar) -> Mixed:
-        t = unpack(value)
-        return cls(*[np.asarray(t.column(c)[0].values) for c in ("ids", "root", "n", "member", "size", "weight")])
-
 
 def closest(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
     """(a, b, g): each node with the ``most`` nodes of other components that share the most fragments, and where they meet; ``known``: node, root, n."""
@@ -297,61 +320,81 @@ def closest(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
     return by_range(with_facts(groups, known), run, "a long, b long, g long").groupBy("a", "b").agg(F.min("g").alias("g"))
 
 
-def remaining(blocks: DataFrame, groups: DataFrame, known: DataFrame) -> DataFrame:
+def remaining(blocks: DataFrame, groups: DataFrame, known: DataFrame, parts: int) -> DataFrame:
     """(a, b): all links between sets of different components that share a group.
 
-    A task takes the mixed groups of one p (a share of their nodes, if they are
-    many) and one fragment of the order, and counts the overlaps of a set with all
-    others through the fragment's inverted lists; overlaps travel packed, pairs
-    never become rows, and the sums over the fragments leave only the links.
+    Pairs never become rows.  The fragments that two sets share are counted where
+    their groups are and summed where the smaller set's home is; pairs that share
+    as many as a link demands are verified there, at most ``PAIRS`` in a task and
+    fragment of the order: the overlaps of a set with all others are counted through
+    the fragment's inverted lists and travel packed, and the sums over the
+    fragments leave only the links.
     """
 
-    def tasks(table: pa.Table) -> pa.Table:
-        p, mixed = table.column("p")[0].as_py(), Mixed.of(table)
-        split = -(-len(mixed.ids) // NODES)
-        rows = [{"g": p << 20 | i, "split": split, "task": mixed.pack(), "node": None} for i in range(split)]
-        rows += [{"g": p << 20 | i, "split": split, "task": None, "node": node} for i in range(split) for node in mixed.ids.tolist()]
-        return pa.Table.from_pylist(rows, pa.schema([("g", pa.int64()), ("split", pa.int32()), ("task", pa.binary()), ("node", pa.int64())]))
+    def share(table: pa.Table) -> pa.Table:
+        mixed = Mixed.of(table)
+        found = [(np.full(int(m.sum()), x), near[m], k[m]) for x, near, k in mixed.rows() if (m := (mixed.n[near] > mixed.n[x]) | ((mixed.n[near] == mixed.n[x]) & (near > x))).any()]
+        if not found:
+            return pa.table({"p": pa.array([], pa.int32()), "shared": pa.array([], pa.binary())})
+        x, y, k = map(np.concatenate, zip(*found, strict=True))
+        to = (mix(mixed.home[x].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        out = []
+        for q in np.unique(to):
+            m = to == q
+            out.append((int(q), pack(pa.table({c: pa.array([v]) for c, v in (("x", mixed.ids[x[m]]), ("y", mixed.ids[y[m]]), ("k", k[m].astype(np.int32)), ("nx", mixed.n[x[m]].astype(np.int32)), ("ny", mixed.n[y[m]].astype(np.int32)), ("need", mixed.need[x[m]].astype(np.int32)))}))))
+        return pa.table({"p": pa.array([q for q, _ in out], pa.int32()), "shared": pa.array([v for _, v in out], pa.binary())})
 
-    todo = keep(by_range(with_facts(groups, known), tasks, "g long, split int, task binary, node long"))
-    sent = send_segments(blocks, todo.where("node is not null").select("node", "g")).withColumn("split", F.lit(None).cast("int")).withColumn("task", F.lit(None).cast("binary"))
-    told = todo.where("task is not null").select("g", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("p"), F.lit(None).cast("binary").alias("segments"), "split", "task")
+    def tasks(table: pa.Table) -> pa.Table:
+        p = table.column("p")[0].as_py()
+        x, y, k, nx, ny, need = (np.concatenate(c) for c in zip(*[[np.asarray(t.column(c)[0].values) for c in ("x", "y", "k", "nx", "ny", "need")] for t in map(unpack, table.column("shared"))], strict=True))
+        order = np.lexsort((y, x))
+        new = np.ones(len(x), bool)
+        new[1:] = (x[order[1:]] != x[order[:-1]]) | (y[order[1:]] != y[order[:-1]])
+        at = np.flatnonzero(new)
+        one = order[at][np.add.reduceat(k[order], at) >= need[order[at]]]
+        tasks, nodes = [], []
+        for i in range(0, len(one), PAIRS):
+            part = one[i : i + PAIRS]
+            ids, index, place = np.unique(np.concatenate([x[part], y[part]]), return_index=True, return_inverse=True)
+            n = np.concatenate([nx[part], ny[part]])[index].astype(np.int64)
+            tasks.append((p << 20 | i // PAIRS, pack(pa.table({c: pa.array([v]) for c, v in (("ids", ids), ("n", n), ("x", place[: len(part)]), ("y", place[len(part) :]))}))))
+            nodes.append((np.full(len(ids), p << 20 | i // PAIRS), ids))
+        g = np.concatenate([np.array([t[0] for t in tasks], np.int64), *[n[0] for n in nodes]])
+        return pa.table({"g": pa.array(g, pa.int64()), "task": pa.array([t[1] for t in tasks] + [None] * (len(g) - len(tasks)), pa.binary()), "node": pa.array(np.concatenate([np.zeros(len(tasks), np.int64), *[n[1] for n in nodes]]), pa.int64())})
+
+    shared = by_range(with_facts(groups, known), share, "p int, shared binary")
+    todo = keep(by_range(shared, tasks, "g long, task binary, node long"))
+    sent = send_segments(blocks, todo.where("task is null").select("node", "g")).withColumn("task", F.lit(None).cast("binary"))
+    told = todo.where("task is not null").select("g", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("p"), F.lit(None).cast("binary").alias("segments"), "task")
 
     def count(table: pa.Table) -> pa.Table:
         given = table.filter(table.column("task").is_valid())
-        g, p, split = (given.column(c)[0].as_py() for c in ("g", "p", "split"))
-        mixed = Mixed.unpack(given.column("task")[0])
+        task = unpack(given.column("task")[0])
+        ids, x, y = (np.asarray(task.column(c)[0].values) for c in ("ids", "x", "y"))
         own = segments_of(table.filter(table.column("segments").is_valid()))
-        held = [own[node] for node in mixed.ids.tolist()]
+        held = [own[node] for node in ids.tolist()]
         sizes = np.array([len(h) for h in held])
         _, key = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        order = np.argsort(key, kind="stable")
-        holder = np.repeat(np.arange(len(held)), sizes)[order]
+        holder = np.repeat(np.arange(len(held)), sizes)[np.argsort(key, kind="stable")]
         lists = np.concatenate([[0], np.cumsum(np.bincount(key))]) if len(key) else np.zeros(1, np.int64)
-        pairs, overlap = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
-        for x, near, _ in mixed.rows(g & 0xFFFFF, split):
-            near = near[(mixed.n[near] > mixed.n[x]) | ((mixed.n[near] == mixed.n[x]) & (near > x))]  # each pair once
-            if not len(near):
-                continue
-            k = key[starts[x] : starts[x + 1]]
+        overlap = np.zeros(len(x), np.uint32)
+        bounds = np.concatenate([firsts(x), [len(x)]])
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            i = int(x[a])
+            k = key[starts[i] : starts[i + 1]]
             length = lists[k + 1] - lists[k]
             at = np.repeat(lists[k] - np.cumsum(length) + length, length) + np.arange(length.sum())
-            overlap.append(np.bincount(holder[at], minlength=len(held))[near])
-            if p == 0:
-                pairs.append(np.stack([np.full(len(near), x), near], axis=1))
-        body = {"overlap": pa.array([np.concatenate(overlap).astype(np.uint32)])}
-        if p == 0:
-            two = np.concatenate(pairs)
-            body |= {"x": pa.array([two[:, 0]]), "y": pa.array([two[:, 1]]), "ids": pa.array([mixed.ids]), "n": pa.array([mixed.n])}
+            overlap[a:b] = np.bincount(holder[at], minlength=len(held))[y[a:b]]
+        g, p = given.column("g")[0].as_py(), given.column("p")[0].as_py()
+        body = {"overlap": pa.array([overlap])} | ({c: task.column(c) for c in ("ids", "n", "x", "y")} if p == 0 else {})
         return pa.table({"g": pa.array([g], pa.int64()), "p": pa.array([p], pa.int32()), "counts": pa.array([pack(pa.table(body))], pa.binary())})
 
     partial = sent.unionByName(told).groupBy("g", "p").applyInArrow(count, "g long, p int, counts binary")
 
     def total(table: pa.Table) -> pa.Table:
         found = [unpack(v) for v in table.sort_by("p").column("counts")]
-        get = lambda c: np.asarray(found[0].column(c)[0].values)
-        x, y, ids, n = get("x"), get("y"), get("ids"), get("n")
+        x, y, ids, n = (np.asarray(found[0].column(c)[0].values) for c in ("x", "y", "ids", "n"))
         overlap = sum(np.asarray(f.column("overlap")[0].values).astype(np.int64) for f in found)
         link = 100 * overlap >= PERCENT * (n[x] + n[y] - overlap)
         return pa.table({"a": pa.array(np.minimum(ids[x], ids[y])[link]), "b": pa.array(np.maximum(ids[x], ids[y])[link])})
@@ -450,13 +493,14 @@ def nodes_with_components(documents: DataFrame) -> DataFrame:
     release(documents.sparkSession)
 
     def rooted(roots: DataFrame) -> DataFrame:
-        return facts.join(roots, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
+        return facts.join(roots, "node", "left").select("node", "doc_id", "n", "need", F.coalesce("root", "node").alias("root"))
 
-    near = keep(closest(groups, rooted(copies.select(F.col("b").alias("node"), F.col("a").alias("root"))), CLOSEST))
+    home = keep(homes(groups))
+    near = keep(closest(groups, rooted(copies.select(F.col("b").alias("node"), F.col("a").alias("root"))).join(home, "node"), CLOSEST))
     links = keep(copies.unionByName(rows).unionByName(linked(blocks, facts, near)))
     release(documents.sparkSession)
     # what is left between different components is compared as a whole, so no link can be missing after it
-    left = remaining(blocks, groups, rooted(keep(components(links))))
+    left = remaining(blocks, groups, rooted(keep(components(links))).join(home, "node"), parts)
     return rooted(keep(components(keep(links.unionByName(left)))))
 
 

@@ -57,6 +57,7 @@ _FOLD = fold_table()
 _DIGITS = str.maketrans(DIGITS)
 _SIGN = re.compile(r"(?<=[a-z0-9])[@$!|€+]+(?=[a-z0-9])")
 _DIGIT = re.compile(r"[0-9]+[a-z]|[a-z][0-9]")
+_MIXED = re.compile(r"[a-z]+[0-9][a-z0-9]*|[0-9]+[a-z][a-z0-9]*")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -66,7 +67,7 @@ def fold(text: str) -> str:
         text = text.translate(_FOLD)
     if _SIGN.search(text):
         text = _SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
-    return text.translate(_DIGITS) if _DIGIT.search(text) else text
+    return _MIXED.sub(lambda m: m[0].translate(_DIGITS), text) if _DIGIT.search(text) else text
 
 
 def spellings(word: str) -> list[str]:
