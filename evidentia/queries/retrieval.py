@@ -377,3 +377,50 @@ def _(s: Source):
 @query("n2_source_map", "SELECT api, position, CAST(sum(length(concat('---@field a', position, ' ', original_type, CASE WHEN nilable THEN '?' ELSE '' END)) + 1) OVER (PARTITION BY api ORDER BY position) AS BIGINT) AS byte_end FROM members", "members")
 def _(s: Source):
     return N.source_map(s.members).select("api", "position", "byte_end")
+
+
+@query("f16_positions", "SELECT doc_id, CAST(len(string_split(text[1:40], chr(10))) - 1 AS BIGINT) AS line, CAST(length(list_last(string_split(text[1:40], chr(10)))) AS BIGINT) AS character FROM documents WHERE strlen(text) = length(text) AND length(text) > 40")
+def _(s: Source):
+    from evidentia.functions.positions import positions
+
+    d = s.documents.where("octet_length(text) = length(text) and length(text) > 40").select("doc_id", "text", F.lit(40).cast("long").alias("at"))
+    return positions(d, "text", "at").select("doc_id", "line", "character")
+
+
+@query("s18_token_table", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w AS token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w, unnest(generate_series(1, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')))) AS i FROM documents WHERE n_chars < 800)")
+def _(s: Source):
+    return s.documents.where("n_chars < 800").select("doc_id", F.posexplode(S.word_tokens(F.col("text"))).alias("pos", "token"))
+
+
+@query("s14_s15_v5_published_version", "SELECT p_partkey, p_name FROM part WHERE p_size > 25")
+def _(s: Source):
+    from evidentia.shared import new_folder
+
+    store = V.VersionStore(s.spark, new_folder(s.spark, "versions"))
+    first = store.prepare(s.part.where("p_size <= 25").select("p_partkey", "p_name"))
+    store.validate(first)
+    store.activate(first, None)
+    second = store.prepare(s.part.where("p_size > 25").select("p_partkey", "p_name"))
+    store.validate(second)
+    store.activate(second, first)
+    store.collect(set(), 10)
+    return store.read()
+
+
+@query("s17_stub_sink", "SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT l_orderkey, count(*) + 1 AS n FROM lineitem GROUP BY l_orderkey)")
+def _(s: Source):
+    from evidentia.shared import new_folder
+
+    folder = new_folder(s.spark, "stubs")
+    N.stubs(s.members).select("stub").write.text(folder, lineSep="\n\n")
+    back = s.spark.read.text(folder, lineSep="\n\n").where("value <> ''")
+    return back.agg(count().alias("files"), F.sum(F.size(F.split("value", "\n"))).cast("long").alias("lines"))
+
+
+@query("k6_page_fixpoint", "SELECT CAST(page AS BIGINT) AS page, CAST(total AS BIGINT) AS bytes FROM (SELECT page, s + CASE WHEN s + 2 < 100 THEN 2 ELSE 3 END AS total FROM (SELECT r // 10 AS page, sum(length(p_name)) AS s FROM (SELECT p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part WHERE p_partkey < 200) GROUP BY r // 10))")
+def _(s: Source):
+    """A page holds the digits of its own size: the smallest size that is its content plus its digits."""
+    n = (F.row_number().over(Window.orderBy("p_partkey")) - 1).alias("r")
+    sizes = s.part.where("p_partkey < 200").select(F.octet_length("p_name").alias("b"), n).groupBy(F.floor(F.col("r") / 10).alias("page")).agg(F.sum("b").cast("long").alias("content"))
+    fix = F.element_at(F.filter(F.sequence(F.lit(1), F.lit(8)), lambda d: F.length((F.col("content") + d).cast("string")) == d), 1)
+    return sizes.select("page", (F.col("content") + fix).alias("bytes"))
