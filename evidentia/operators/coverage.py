@@ -21,7 +21,7 @@ def summary(records: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("status")).cast("int")
     worst = F.max(F.when(F.col("status") != "not_applicable", rank))
     pairs = F.struct("part_id", "producer")
-    return records.groupBy(*keys).agg(F.coalesce(F.element_at(F.array(*map(F.lit, order)), worst), F.lit("not_applicable")).alias("status"), (F.count(F.lit(1)) > F.count_distinct(pairs)).alias("duplicate"))
+    return records.groupBy(*keys).agg(F.coalesce(F.get(F.array(*map(F.lit, order)), worst - 1), F.lit("not_applicable")).alias("status"), (F.count(F.lit(1)) > F.count_distinct(pairs)).alias("duplicate"))
 
 
 def availability(status: Column, conflicts: Column, truncated: Column) -> Column:

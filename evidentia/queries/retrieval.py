@@ -56,7 +56,7 @@ def _(s: Source):
     return X.lane_states(parts(s), MIXED)
 
 
-@query("x5_overall_state", "SELECT 'truncated' AS state, 'mixed' AS request UNION ALL SELECT 'exact_found', 'exact' UNION ALL SELECT 'exact_not_found_partial', 'absent' UNION ALL SELECT 'missing_required', 'required'")
+@query("x5_overall_state", "SELECT CASE WHEN (SELECT count(*) FROM part WHERE starts_with(p_name, 'small')) > 40 THEN 'truncated' ELSE 'exact_found' END AS state, 'mixed' AS request UNION ALL SELECT 'exact_found', 'exact' UNION ALL SELECT 'exact_not_found_partial', 'absent' UNION ALL SELECT 'missing_required', 'required'")
 def _(s: Source):
     requests = {
         "mixed": MIXED,
