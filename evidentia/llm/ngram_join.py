@@ -304,7 +304,7 @@ class Mixed:
             yield x, near[fit], k[fit]
 
 
-def closest(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
+def closest(groups: DataFrame, known: DataFrame, most: int, parts: int) -> DataFrame:
     """(a, b, g): each node with the ``most`` nodes of other components that share the most fragments, and where they meet; ``known``: node, root, n."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -314,10 +314,14 @@ def closest(groups: DataFrame, known: DataFrame, most: int) -> DataFrame:
             near = near[np.lexsort((near, -k))[:most]]
             out.append(np.stack([np.minimum(mixed.ids[near], mixed.ids[x]), np.maximum(mixed.ids[near], mixed.ids[x])], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0)
-        g = (table.column("p")[0].as_py() << 20) + np.arange(len(pairs)) // SPLIT
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "g": pa.array(g)})
+        a, b = (np.searchsorted(mixed.ids, pairs[:, k]) for k in (0, 1))
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "home": pa.array(np.minimum(mixed.home[a], mixed.home[b]))})
 
-    return by_range(with_facts(groups, known), run, "a long, b long, g long").groupBy("a", "b").agg(F.min("g").alias("g"))
+    # pairs of one home are verified in one task, so that a set travels about once; many pairs are split by their second sets
+    pairs = keep(by_range(with_facts(groups, known), run, "a long, b long, home long").groupBy("a", "b").agg(F.min("home").alias("home")))
+    load = pairs.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("s"))
+    share = F.pmod(F.xxhash64("b"), F.col("s"))
+    return pairs.join(load, "home").select("a", "b", F.pmod(F.xxhash64("home", share), F.lit(parts)).alias("g"))
 
 
 def remaining(blocks: DataFrame, groups: DataFrame, known: DataFrame, parts: int) -> DataFrame:
@@ -496,7 +500,7 @@ def nodes_with_components(documents: DataFrame) -> DataFrame:
         return facts.join(roots, "node", "left").select("node", "doc_id", "n", "need", F.coalesce("root", "node").alias("root"))
 
     home = keep(homes(groups))
-    near = keep(closest(groups, rooted(copies.select(F.col("b").alias("node"), F.col("a").alias("root"))).join(home, "node"), CLOSEST))
+    near = keep(closest(groups, rooted(copies.select(F.col("b").alias("node"), F.col("a").alias("root"))).join(home, "node"), CLOSEST, parts))
     links = keep(copies.unionByName(rows).unionByName(linked(blocks, facts, near)))
     release(documents.sparkSession)
     # what is left between different components is compared as a whole, so no link can be missing after it
