@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from evidentia.shared import keep
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 60_000  # a row's number in its block fits 16 bits
 BLOCK = "bid long, payload binary"
 _IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
@@ -52,11 +52,13 @@ def to_blocks(documents: DataFrame) -> DataFrame:
             ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(size)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             while at < batch.num_rows:
                 before = int(ends[at - 1]) if at else 0
-                to = max(at + 1, min(batch.num_rows, int(np.searchsorted(ends, before + BLOCK_BYTES - filled, "right"))))
+                rows = sum(b.num_rows for b in held)
+                to = max(at + 1, min(batch.num_rows, at + BLOCK_ROWS - rows, int(np.searchsorted(ends, before + BLOCK_BYTES - filled, "right"))))
                 held.append(batch.slice(at, to - at))
                 filled += int(ends[to - 1]) - before
+                rows += to - at
                 at = to
-                if filled >= BLOCK_BYTES or sum(b.num_rows for b in held) >= 60_000:
+                if filled >= BLOCK_BYTES or rows >= BLOCK_ROWS:
                     yield _block(base + n, held)
                     n, held, filled = n + 1, [], 0
         if held:

@@ -388,3 +388,13 @@ def test_neighbours_recall_and_cases(spark):
         assert all(abs(score - s[v]) < 1e-9 for v, score in got[q]) and [sc for _, sc in got[q]] == sorted((sc for _, sc in got[q]), reverse=True)
     assert set(got) == set(range(0, 600, 50)) and hit >= 0.9 * 60
     assert ann.search(df.where("vec_id < 3")).count() == 2 and ann.search(df.where("false")).count() == 0
+
+
+def test_blocks_hold_every_row_once(spark, monkeypatch):
+    from evidentia.llm import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 50)
+    df = spark.createDataFrame([(i, "x" * (i % 13 * 9) if i % 5 else None, "en", i) for i in range(101)], SCHEMA).repartition(3)
+    found = [(r.bid, blocks.unpack(bytes(r.payload))) for r in blocks.to_blocks(df).collect()]
+    assert len({b for b, _ in found}) == len(found) and sorted(i for _, t in found for i in t.column("doc_id").to_pylist()) == list(range(101))
