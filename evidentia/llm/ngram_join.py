@@ -482,10 +482,9 @@ def linked(blocks: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
     return keep(sized.where("same").select("a", "b").unionByName(enough.select("a", "b")))
 
 
-def nodes_with_components(documents: DataFrame) -> DataFrame:
+def nodes_with_components(blocks: DataFrame) -> DataFrame:
     """(node, doc_id, n, root) of every document row; root is the smallest node of the component."""
-    parts = ranges(documents)
-    blocks = to_blocks(documents)
+    parts, spark = ranges(blocks), blocks.sparkSession
     facts = keep(describe(blocks))
     first = facts.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     copies = keep(facts.where("n > 0").join(first, ["n", "f1", "f2"]).select(F.col("first").alias("a"), F.col("node").alias("b")))
@@ -494,7 +493,7 @@ def nodes_with_components(documents: DataFrame) -> DataFrame:
     rows = facts.join(once, "doc_id").select("a", F.col("node").alias("b"))
     groups = by_range(send_signatures(blocks, parts), lambda t: gather(t, parts), "p int, groups binary")
     groups = keep(by_range(groups, meet, "p int, groups binary"))
-    release(documents.sparkSession)
+    release(spark)
 
     def rooted(roots: DataFrame) -> DataFrame:
         return facts.join(roots, "node", "left").select("node", "doc_id", "n", "need", F.coalesce("root", "node").alias("root"))
@@ -502,20 +501,34 @@ def nodes_with_components(documents: DataFrame) -> DataFrame:
     home = keep(homes(groups))
     near = keep(closest(groups, rooted(copies.select(F.col("b").alias("node"), F.col("a").alias("root"))).join(home, "node"), CLOSEST, parts))
     links = keep(copies.unionByName(rows).unionByName(linked(blocks, facts, near)))
-    release(documents.sparkSession)
+    release(spark)
     # what is left between different components is compared as a whole, so no link can be missing after it
     left = remaining(blocks, groups, rooted(keep(components(links))).join(home, "node"), parts)
     return rooted(keep(components(keep(links.unionByName(left)))))
 
 
+def rows_with_components(blocks: DataFrame) -> DataFrame:
+    """(node, doc_id, n, component_id) of every document row."""
+    nodes = keep(nodes_with_components(blocks))
+    release(blocks.sparkSession)
+    smallest = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return nodes.join(smallest, "root").select("node", "doc_id", "n", "component_id")
+
+
 def join(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document row."""
-    nodes = keep(nodes_with_components(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")))
-    smallest = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return nodes.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    blocks = to_blocks(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"))
+    return rows_with_components(blocks).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def distinct_documents(documents: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all its columns."""
-    gone = join(documents).where("doc_id <> component_id").select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    blocks = to_blocks(documents)
+    gone = rows_with_components(blocks).where("doc_id <> component_id").select(F.shiftright("node", 16).alias("bid"), F.lit(0).alias("p"), F.col("node").bitwiseAND(F.lit(65535)).cast("int").alias("row"))
+
+    def stay(table: pa.Table, answers: pa.Table) -> pa.Table:
+        mask = np.ones(table.num_rows, bool)
+        mask[answers.column("row").to_numpy()] = False
+        return table.filter(pa.array(mask))
+
+    return with_blocks(blocks, gone, stay, documents.schema)
