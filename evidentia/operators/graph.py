@@ -51,8 +51,10 @@ def neighbors(edges: DataFrame, queries: DataFrame, relations: Sequence[str], di
     seen = incident(edges.where(F.col("relation").isin(*relations) & (F.col("confidence") <= ceiling)), direction)
     by_query = Window.partitionBy("at").orderBy("edge_id")
     rows = seen.join(queries.select(F.col("node_id").alias("at")).distinct(), "at")
-    counted = rows.withColumn("matched", F.count(F.lit(1)).over(Window.partitionBy("at"))).withColumn("rank", F.row_number().over(by_query))
-    return counted.where(F.col("rank") <= most).withColumn("truncated", F.col("matched") > most)
+    # counts by partial aggregation, and a rank that Spark limits before the shuffle: a hub's edges don't meet in one task
+    kept = rows.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= most)
+    matched = rows.groupBy("at").agg(F.count(F.lit(1)).alias("matched"))
+    return kept.join(matched, "at").withColumn("truncated", F.col("matched") > most)
 
 
 def subgraph(edges: DataFrame, roots: DataFrame, relations: Sequence[str], direction: str = "out", depth: int = 4) -> DataFrame:

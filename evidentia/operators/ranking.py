@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.shared import keep
+
 RRF_SCALE, RRF_OFFSET, RANK_MAX = 1_000_000, 60, (1 << 32) - 1
 
 
@@ -15,9 +17,25 @@ def contribution(rank: Column) -> Column:
     return F.floor(F.lit(RRF_SCALE) / (RRF_OFFSET + rank)).cast("long")
 
 
+def ranked(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """1-based place of each row within its group by ``order``, without gathering a group in one task.
+
+    Rows are range-partitioned by (group, order) and numbered within their
+    partition; what earlier partitions hold of the group is added from a table of
+    one row for each partition and group.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    local = Window.partitionBy("__p", group).orderBy(order)
+    placed = keep(df.repartitionByRange(parts, group, order).withColumn("__p", F.spark_partition_id()).withColumn("__r", F.row_number().over(local)))
+    sizes = placed.groupBy(group, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(group, "__p", F.coalesce(before, F.lit(0)).alias("__before"))
+    return placed.join(offsets, [group, "__p"]).withColumn(name, (F.col("__r") + F.col("__before")).cast("int")).drop("__p", "__r", "__before")
+
+
 def lane_ranks(signals: DataFrame) -> DataFrame:
     """1-based place of each entity within its lane, by entity id."""
-    return signals.select("lane", "entity_id", "band").distinct().withColumn("lane_rank", F.row_number().over(Window.partitionBy("lane").orderBy("entity_id")))
+    return ranked(signals.select("lane", "entity_id", "band").distinct(), "lane", "entity_id", "lane_rank")
 
 
 def fuse(ranked: DataFrame) -> DataFrame:

@@ -187,7 +187,6 @@ class Evaluation:
                 state = self.control_flow(state, body)
             elif kind in ("exists", "all_of"):
                 state, bound = self.conjunction(body, state, bound)
-                state = self.distinct(state, bound)
             elif kind == "any_of":
                 state, bound = self.any_of(body, state, bound)
             else:
@@ -225,7 +224,10 @@ class Evaluation:
         return self.distinct(reduce(DataFrame.unionByName, rows), common), common
 
     def distinct(self, state: DataFrame, bound: tuple[str, ...]) -> DataFrame:
-        """One row for each binding of the visible aliases: witnesses united, exact if any derivation is."""
+        """One row for each binding of the visible aliases: witnesses united, exact if any derivation is.
+
+        Only needed where aliases are dropped: scans and joins of facts with unique ids give each binding once.
+        """
         keys = [f"{a}!id" for a in bound]
         rest = [c for c in state.columns if c not in keys and c not in ("!w", "!x")]
         values = [F.first(F.col(f"`{c}`")).alias(c) for c in rest]
@@ -267,7 +269,6 @@ def run_rule(pack: Pack, rule: Mapping, facts: DataFrame, coverage: Mapping[str,
     try:
         ev = Evaluation(facts, coverage, pack.needed[rule["rule_id"]])
         rows, bound = ev.conjunction(rule["clauses"], None, ())
-        rows = ev.distinct(rows, bound)
     except (Unconnected, Incomplete):
         return None
     captures = []

@@ -241,3 +241,11 @@ def test_edit_log_stream_equals_batch(spark, tmp_path):
     log.write.parquet(f"{tmp_path}/log")
     streamed = changes.drain(changes.fold_stream(spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")), "edits")
     assert {tuple(r) for r in streamed.collect()} == expect
+
+
+def test_distributed_ranks(spark):
+    df = spark.range(1000).select((F.col("id") % 3 == 0).cast("string").alias("lane"), (F.col("id") * 37 % 1009).alias("entity_id"))
+    got = ranking.ranked(df, "lane", "entity_id", "r").collect()
+    for lane in ("true", "false"):
+        own = sorted((r for r in got if r.lane == lane), key=lambda r: r.entity_id)
+        assert [r.r for r in own] == list(range(1, len(own) + 1))
