@@ -26,12 +26,12 @@ from evidentia.shared import keep
 
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 60_000  # a row's number in its block fits 16 bits
 BLOCK = "bid long, payload binary"
-_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+_IPC, _DENSE = (pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level)) for level in (3, 9))  # keys, and texts that are stored and sent again
 
 
-def pack(table: pa.Table) -> bytes:
+def pack(table: pa.Table, dense: bool = False) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=_IPC) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=_DENSE if dense else _IPC) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -68,7 +68,7 @@ def to_blocks(documents: DataFrame) -> DataFrame:
 
 
 def _block(bid: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([pack(pa.Table.from_batches(held))], pa.binary())], ["bid", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([pack(pa.Table.from_batches(held), dense=True)], pa.binary())], ["bid", "payload"])
 
 
 def ranges(df: DataFrame) -> int:
