@@ -291,6 +291,8 @@ class Mixed:
 
     def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of each node the nodes of other components that share a group and whose sizes allow a link, with the fragments shared; a row of the co-occurrence matrix at a time."""
+        if not len(self.size):
+            return
         ends = np.cumsum(self.size)
         order = np.argsort(self.member, kind="stable")
         of = np.repeat(np.arange(len(self.size)), self.size)[order]

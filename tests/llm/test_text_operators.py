@@ -398,3 +398,19 @@ def test_blocks_hold_every_row_once(spark, monkeypatch):
     df = spark.createDataFrame([(i, "x" * (i % 13 * 9) if i % 5 else None, "en", i) for i in range(101)], SCHEMA).repartition(3)
     found = [(r.bid, blocks.unpack(bytes(r.payload))) for r in blocks.to_blocks(df).collect()]
     assert len({b for b, _ in found}) == len(found) and sorted(i for _, t in found for i in t.column("doc_id").to_pylist()) == list(range(101))
+
+
+def test_empty_tables(spark, docs):
+    none = docs.where("false")
+    _, labels = labelled(spark, n=40)
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    for df in (ngram_join.join(none), ngram_join.distinct_documents(none), substrings.digests(none), substrings.dedup(none), bpe.encode_decode(none), quality.classify(none, labels), toxicity.classify(none, labels), html_extract.extract(pages)):
+        assert df.count() == 0
+
+
+def test_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text, "en", 0), (1, text, "en", 0), (2, text, "en", 0), (2, "other words entirely, five", "en", 0)], SCHEMA)
+    assert sorted(tuple(r) for r in ngram_join.join(df).collect()) == [(1, 37, 1), (1, 37, 1), (2, 1, 1), (2, 37, 1)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.digests(df).collect())
+    assert got == [(1, 40, 0), (1, 40, 0), (2, 4, 0), (2, 40, 40)]
