@@ -14,7 +14,9 @@ input as for any other shuffle.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +73,35 @@ def _block(bid: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([pack(pa.Table.from_batches(held), dense=True)], pa.binary())], ["bid", "payload"])
 
 
+@lru_cache(maxsize=1)
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:  # another C library: nothing to trim
+        return None
+
+
+def tidy() -> None:
+    """Give freed memory back: Python workers live on, and what one group needed would else stay with them."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+def light(work: Callable) -> Callable:
+    """``work`` on a group, followed by tidy()."""
+
+    @wraps(work)
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return work(table)
+        finally:
+            tidy()
+
+    return run
+
+
 def ranges(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -83,7 +114,7 @@ def range_bounds(sorted_keys: np.ndarray, parts: int) -> np.ndarray:
 
 def by_range(df: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Apply ``answer`` to all rows of one key range ``p``."""
-    return df.groupBy("p").applyInArrow(answer, schema)
+    return df.groupBy("p").applyInArrow(light(answer), schema)
 
 
 def with_blocks(blocks: DataFrame, answers: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -96,7 +127,7 @@ def with_blocks(blocks: DataFrame, answers: DataFrame, work: Callable[[pa.Table,
         table = table.sort_by("p")
         return work(unpack(table.column("payload")[0]), table.slice(1))
 
-    return left.unionByName(right).groupBy("bid").applyInArrow(run, schema)
+    return left.unionByName(right).groupBy("bid").applyInArrow(light(run), schema)
 
 
 def flags(column: pa.ChunkedArray, counts: np.ndarray) -> np.ndarray:

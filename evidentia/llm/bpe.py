@@ -37,8 +37,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from evidentia.llm.blocks import tidy
+
 PIECE_CHARS = 1 << 16
-CACHED = 400_000
+CACHED = 250_000
 _NO_END = (-1, -2)  # no encoding ends here: a merge always goes across
 
 
@@ -311,26 +313,35 @@ def encode_decode(documents: DataFrame, name: str = "word_bpe_49k.json", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = load(tokenizer_path(name))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                counts, ids_sha, out_sha, kept = [], [], [], []
-                for text in part.column(1):
-                    text = text.as_py() or ""
-                    ids, out, n, all_ids, decoder = hashlib.sha256(), hashlib.sha256(), 0, [], tok.decoder()
-                    for chunk in tok.encode(text):
-                        n += len(chunk) // 4
-                        ids.update(chunk)
-                        out.update(decoder.feed(chunk).encode())
-                        if keep_ids:
-                            all_ids.append(chunk)
-                    out.update(decoder.close().encode())
-                    counts.append(n)
-                    ids_sha.append(ids.hexdigest())
-                    out_sha.append(out.hexdigest())
-                    kept.append(b"".join(all_ids))
-                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
+        try:
+            yield from _encoded(tok, batches, keep_ids)
+        finally:  # a worker lives on after its task
+            tok.known.clear()
+            tok.merges.beside.clear()
+            tidy()
 
     picked = documents.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
     return picked.mapInArrow(run, SCHEMA + ", ids binary" * keep_ids)
+
+
+def _encoded(tok: Tokenizer, batches: Iterator[pa.RecordBatch], keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            counts, ids_sha, out_sha, kept = [], [], [], []
+            for text in part.column(1):
+                text = text.as_py() or ""
+                ids, out, n, all_ids, decoder = hashlib.sha256(), hashlib.sha256(), 0, [], tok.decoder()
+                for chunk in tok.encode(text):
+                    n += len(chunk) // 4
+                    ids.update(chunk)
+                    out.update(decoder.feed(chunk).encode())
+                    if keep_ids:
+                        all_ids.append(chunk)
+                out.update(decoder.close().encode())
+                counts.append(n)
+                ids_sha.append(ids.hexdigest())
+                out_sha.append(out.hexdigest())
+                kept.append(b"".join(all_ids))
+            columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(out_sha, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)

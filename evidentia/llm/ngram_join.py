@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.blocks import by_range, pack, ranges, to_blocks, unpack, with_blocks
+from evidentia.llm.blocks import by_range, light, pack, ranges, to_blocks, unpack, with_blocks
 from evidentia.llm.components import components
 from evidentia.shared import keep, release
 from evidentia.llm.substrings import firsts, five_bytes, from_five, send
@@ -396,7 +396,7 @@ def remaining(blocks: DataFrame, groups: DataFrame, known: DataFrame, parts: int
         body = {"overlap": pa.array([overlap])} | ({c: task.column(c) for c in ("ids", "n", "x", "y")} if p == 0 else {})
         return pa.table({"g": pa.array([g], pa.int64()), "p": pa.array([p], pa.int32()), "counts": pa.array([pack(pa.table(body))], pa.binary())})
 
-    partial = sent.unionByName(told).groupBy("g", "p").applyInArrow(count, "g long, p int, counts binary")
+    partial = sent.unionByName(told).groupBy("g", "p").applyInArrow(light(count), "g long, p int, counts binary")
 
     def total(table: pa.Table) -> pa.Table:
         found = [unpack(v) for v in table.sort_by("p").column("counts")]
@@ -405,7 +405,7 @@ def remaining(blocks: DataFrame, groups: DataFrame, known: DataFrame, parts: int
         link = 100 * overlap >= PERCENT * (n[x] + n[y] - overlap)
         return pa.table({"a": pa.array(np.minimum(ids[x], ids[y])[link]), "b": pa.array(np.maximum(ids[x], ids[y])[link])})
 
-    return partial.groupBy("g").applyInArrow(total, "a long, b long")
+    return partial.groupBy("g").applyInArrow(light(total), "a long, b long")
 
 
 def send_segments(blocks: DataFrame, asked: DataFrame) -> DataFrame:
@@ -471,7 +471,7 @@ def verify(blocks: DataFrame, keyed: DataFrame) -> DataFrame:
             found.append(int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "overlap": pa.array(found, pa.int64())})
 
-    partial = sent.unionByName(told).groupBy("g", "p").applyInArrow(count, "a long, b long, overlap long")
+    partial = sent.unionByName(told).groupBy("g", "p").applyInArrow(light(count), "a long, b long, overlap long")
     return partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
 
 
