@@ -1,8 +1,8 @@
 """Hierarchical Pitman-Yor bigram model with Gibbs-sampled seating.
 
 Tokens are words (A-Z lower-cased) and one end a text.  Every context, the word
-before (or the text's start), has a restaurant; contexts are hashed to
-``CONTEXTS`` restaurants.  They all share one parent, the unigram restaurant: each
+before (or the text's start), has a restaurant, known by the 64-bit hash of the
+word.  They all share one parent, the unigram restaurant: each
 table of a context is a customer there.  The parent's base is diffuse, so each
 known word has one table in it and what is left is the probability of a new word:
 
@@ -13,18 +13,22 @@ with c customers and t tables.  Unknown words are one type, so P sums to 1 over
 the V known types and the unknown one.  Discounts come from the counts of counts,
 strengths are 1.
 
-Gibbs: a customer is taken from a random table of every (context, word) with at
-least two customers and seated again by its conditional probabilities, STEPS
-times a round.  Key ranges work on their own pairs and exchange the restaurants'
+Gibbs: STEPS times a round, a customer is taken from a random table of every
+(context, word) with at least two customers and seated again by its conditional
+probabilities.  Key ranges work on their own pairs and exchange the restaurants'
 table counts after each round (within a round a range sees its own changes only).
 The probabilities of the last SAMPLES rounds are averaged, and a text's score is
 the sum of the logarithms of those averages.
 
-Data: blocks of documents send their distinct training pairs (first job) and their
-tokens with document numbers (last job) to the range of the word's hash; a range
-answers with sums per document.  Words that make up a thousandth of a small sample
+Data: a block of documents sends its distinct pairs, with their training counts,
+to the range of the word's hash, once.  A range keeps which of its pairs each block
+sent, and at the end answers with a logarithm (single precision) for each, in the
+order sent; the block adds them up over its tokens.  A range of words needs the
+table counts of the contexts it has: it asks the range of each context's hash, which
+sums what all word ranges have and answers in the order asked.  No task or driver
+holds all contexts.  Words that make up a thousandth of a small sample
 of blocks or more are few; their pairs are spread by word and context, and their
-counts are exchanged as those of the contexts.  Counts cover all training texts;
+counts are exchanged through the driver.  Counts cover all training texts;
 the sample only decides where a pair is counted.
 
 Cases: a null or empty text is its end token; a null id counts as text ``null``
@@ -42,12 +46,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.blocks import pack, range_bounds, ranges, to_blocks, unpack
-from evidentia.shared import keep
-from evidentia.llm.substrings import firsts
+from evidentia.llm.blocks import light, pack, range_bounds, ranges, to_blocks, unpack, with_blocks
+from evidentia.shared import keep, release
 from evidentia.llm.textblocks import crc_mod, mix, word_slices
 
-CONTEXTS, ROUNDS, SAMPLES, STEPS = 1 << 15, 4, 2, 6
+ROUNDS, SAMPLES, STEPS = 4, 2, 6
+CONTEXTS = 1 << 15  # restaurants of the seating test only: the model has one for each context
 STRENGTH0 = STRENGTH1 = 1.0
 HEAVY_SHARE, SAMPLE_BLOCKS = 1e-3, 4
 END, START = np.uint64(0xE4D), np.uint64(0x57A47)
@@ -67,7 +71,7 @@ class Tokens:
         self.word, self.doc = np.concatenate(hashes), np.concatenate(docs).astype(np.uint16)
         before = np.concatenate([[START], self.word[:-1]]) if len(self.word) else self.word
         before = np.where(np.concatenate([np.ones(min(1, len(self.doc)), bool), self.doc[1:] != self.doc[:-1]]), START, before)
-        self.context = (mix(before) % np.uint64(CONTEXTS)).astype(np.uint16)
+        self.context = mix(before)
         ids = table.column("doc_id").combine_chunks()
         self.doc_ids, self.held = ids, crc_mod(ids, MODULUS) == HELD
         self.train = ~self.held[self.doc] if len(self.doc) else np.zeros(0, bool)
@@ -80,106 +84,111 @@ class Tokens:
         hot = heavy[at] == self.word
         return np.where(hot, mix(self.word + self.context * np.uint64(0x9E3779B97F4A7C15)), self.word), np.where(hot, at, -1).astype(np.int16)
 
+    def pairs(self, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens ordered by key and context, where a new pair begins there, and the pairs' keys and heavy numbers."""
+        keys, hot = self.routes(heavy)
+        order = np.lexsort((self.context, keys))
+        k, x = keys[order], self.context[order]
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (x[1:] != x[:-1])]))
+        return order, new, k[new], hot[order][new]
 
-def spread(bid: int, parts: int, keys: np.ndarray, columns: dict[str, np.ndarray], meta: bytes = b"") -> pa.RecordBatch:
-    """One row a range: distinct keys and, in their order, the columns with the number of the key."""
-    new = firsts(keys)
-    number = np.cumsum(np.concatenate([np.ones(min(1, len(keys)), np.int64), (keys[1:] != keys[:-1]).astype(np.int64)])) - 1
-    distinct = keys[new]
-    cut_keys = range_bounds(distinct, parts)
-    cut = np.concatenate([new, [len(keys)]])[cut_keys]
-    blobs = []
-    for i in range(parts):
-        a, b, k = cut[i], cut[i + 1], cut_keys[i]
-        data = {"step": np.diff(number[a:b], prepend=k).astype(np.uint8)} | {c: v[a:b] for c, v in columns.items()}
-        blobs.append(pack(pa.table({"keys": pa.array([distinct[k : cut_keys[i + 1]]])} | {c: pa.array([v]) for c, v in data.items()})))
-    return pa.RecordBatch.from_pydict({"p": pa.array(range(parts), pa.int32()), "bid": pa.array([bid] * parts, pa.int64()), "kind": pa.array([0] * parts, pa.int32()), "data": pa.array(blobs, pa.binary()), "meta": pa.array([meta] + [b""] * (parts - 1), pa.binary())})
 
-
-ROW = "p int, bid long, kind int, data binary, meta binary"
+def steps(keys: np.ndarray) -> np.ndarray:
+    """1 where a key differs from the one before, else 0."""
+    return np.diff(keys, prepend=keys[:1]).astype(bool).astype(np.int64)
 
 
 def send_pairs(blocks: DataFrame, parts: int, heavy: np.ndarray) -> DataFrame:
-    """Distinct (word, context) pairs of the training texts with their counts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = Tokens(unpack(payload))
-                keys, hot = (x[t.train] for x in t.routes(heavy))
-                context = t.context[t.train]
-                order = np.lexsort((context, keys))
-                keys, context, hot = keys[order], context[order], hot[order]
-                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (context[1:] != context[:-1])]))
-                count = np.diff(np.concatenate([new, [len(keys)]]))
-                yield spread(bid, parts, keys[new], {"context": context[new], "hot": hot[new], "count": count.astype(np.uint32)})
-
-    return blocks.mapInArrow(run, ROW)
-
-
-def send_tokens(blocks: DataFrame, parts: int, heavy: np.ndarray) -> DataFrame:
-    """All tokens with their documents; the first range's row also says which documents they are."""
+    """Distinct (word, context) pairs of each block with their counts in training texts, 0 for those of held-out texts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 t = Tokens(unpack(payload))
-                keys, hot = t.routes(heavy)
-                order = np.argsort(keys, kind="stable")
-                meta = pack(pa.table({"doc_id": t.doc_ids, "held": pa.array(t.held), "n": pa.array(np.bincount(t.doc, minlength=len(t.held)))}))
-                yield spread(bid, parts, keys[order], {"context": t.context[order], "hot": hot[order], "doc": t.doc[order], "train": t.train[order]}, meta)
-
-    return blocks.mapInArrow(run, ROW)
-
+                order, new, keys, hot = t.pairs(heavy)
+                context = t.context[order][new]
+                count = np.add.reduceat(t.train[order].astype(np.uint32), new) if len(new) else np.zeros(0, np.uint32)
+                cut = range_bounds(keys, parts)
+                blobs = []
+                for a, b in zip(cut[:-1], cut[1:], strict=True):
+                    step = steps(keys[a:b])
+                    first = np.concatenate([[0], np.flatnonzero(step)]) if b > a else np.zeros(0, np.int64)
+                    contexts, index = np.unique(context[a:b], return_inverse=True)
+                    data = {"keys": keys[a:b][first], "hot": hot[a:b][first], "step": step, "contexts": contexts, "context": index, "count": count[a:b].astype(np.int64)}
+                    blobs.append(packed(**data))
+                yield pa.RecordBatch.from_pydict({"p": pa.array(range(parts), pa.int32()), "bid": pa.array([bid] * parts, pa.int64()), "data": pa.array(blobs, pa.binary())})
+
+    return blocks.mapInArrow(run, "p int, bid long, data binary")
+
+
+def packed(**arrays: np.ndarray) -> bytes:
+    """Arrays in few bytes: differences where sorted, zigzag where negative, no more bytes a number than the largest has, in planes."""
+    columns = {}
+    for name, v in arrays.items():
+        form, v = v.dtype.kind, np.ascontiguousarray(v)
+        if form == "b":
+            v = v.view(np.uint8)
+        elif form == "f":
+            v = v.astype(np.float32).view(np.uint32)
+        elif len(v) and (v[1:] >= v[:-1]).all():
+            form, v = form + "d", np.concatenate([v[:1], np.diff(v)])
+        if form[0] == "i":
+            v = v.astype(np.int64)
+            v = (v << 1) ^ (v >> 63)
+        v = v.astype(np.uint64)
+        width = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
+        columns[f"{name}:{form}:{width}"] = pa.array([v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.ravel()])
+    return pack(pa.table(columns))
 
-def received(table: pa.Table, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Keys of all rows' entries, and their columns."""
-    keys, columns = [np.zeros(0, np.uint64)], [[] for _ in names]
-    for value in table.column("data"):
-        t = unpack(value)
-        own = np.asarray(t.column("keys")[0].values)
-        keys.append(own[np.cumsum(np.asarray(t.column("step")[0].values).astype(np.int64))])
-        for out, c in zip(columns, names, strict=True):
-            out.append(t.column(c)[0].values.to_numpy(zero_copy_only=False))
-    return np.concatenate(keys), [np.concatenate(c) if c else np.zeros(0) for c in columns]
 
-
-def pair_table(keys: np.ndarray, context: np.ndarray, count: np.ndarray, hot: np.ndarray) -> dict[str, np.ndarray]:
-    """Pairs with summed counts, sorted by word and context; words numbered in that order."""
-    order = np.lexsort((context, keys))
-    keys, context, count, hot = keys[order], context[order], count[order].astype(np.int64), hot[order]
-    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), (keys[1:] != keys[:-1]) | (context[1:] != context[:-1])]))
-    total = np.add.reduceat(count, new) if len(new) else np.zeros(0, np.int64)
-    keys, context, hot = keys[new], context[new].astype(np.int64), hot[new].astype(np.int64)
-    word = np.cumsum(np.concatenate([np.ones(min(1, len(keys)), np.int64), (keys[1:] != keys[:-1]).astype(np.int64)])) - 1
-    return {"keys": keys, "context": context, "hot": hot, "count": total, "word": word}
+def fields(value: pa.Scalar | bytes) -> dict[str, np.ndarray]:
+    t, found = unpack(value), {}
+    for column in t.column_names:
+        name, form, width = column.split(":")
+        planes = t.column(column)[0].values.to_numpy(zero_copy_only=False).reshape(int(width), -1)
+        whole = np.zeros((planes.shape[1], 8), np.uint8)
+        whole[:, : int(width)] = planes.T
+        v = whole.reshape(-1).view("<u8").astype(np.uint64)
+        if form[0] == "i":
+            v = (v >> np.uint64(1)).astype(np.int64) ^ -(v & np.uint64(1)).astype(np.int64)
+        if form[1:] == "d":
+            v = np.cumsum(v, dtype=v.dtype)
+        found[name] = v.astype(bool) if form == "b" else v.astype(np.uint32).view(np.float32) if form == "f" else v
+    return found
 
 
 def bins(values: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(values, weights, n).astype(np.int64)
 
 
-def state_row(p: int, kind: int, **arrays: np.ndarray) -> dict:
-    return {"p": p, "kind": kind, "data": pack(pa.table({k: pa.array([v]) for k, v in arrays.items()}))}
+STATE = "p int, kind int, tag long, data binary"  # see KINDS
+# seats of a range; sums for the driver; ask: a word range (tag) to a context range; book: contexts whose tables change, and who asked;
+# tell: a context range (tag) to a word range; pairs of a range; sent: a block's (tag) pairs there; whole: all contexts of a range, and who asked
+SEATS, SUMS, ASK, BOOK, TELL, PAIRS, SENT, WHOLE = range(8)
+
+
+def state_row(p: int, kind: int, tag: int = 0, **arrays: np.ndarray) -> dict:
+    return {"p": p, "kind": kind, "tag": tag, "data": packed(**arrays)}
 
 
 def state_table(rows: list[dict]) -> pa.Table:
-    return pa.Table.from_pylist(rows, pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())]))
+    return pa.Table.from_pylist(rows, pa.schema([("p", pa.int32()), ("kind", pa.int32()), ("tag", pa.int64()), ("data", pa.binary())]))
 
 
-def fields(value: pa.Scalar | bytes) -> dict[str, np.ndarray]:
-    t = unpack(value)
-    return {c: t.column(c)[0].values.to_numpy(zero_copy_only=False).copy() for c in t.column_names}
+def of_kind(table: pa.Table, kind: int) -> list[tuple[int, dict[str, np.ndarray]]]:
+    """(tag, fields) of the rows of a kind in the order of tags."""
+    rows = table.filter(pa.compute.equal(table.column("kind"), kind)).sort_by("tag")
+    return [(tag, fields(v)) for tag, v in zip(rows.column("tag").to_pylist(), rows.column("data"), strict=True)]
 
 
-CHUNK = 1 << 10  # entries of a restaurant vector that travel together
+CHUNK = 1 << 10  # entries of a vector that travel together; no fewer than there are heavy words
 
 
 def stat_rows(vectors: dict[str, np.ndarray]) -> list[dict]:
-    """Vectors as rows by chunk, kind 1: summed over ranges by totals()."""
+    """Vectors as rows by chunk: summed over ranges by totals()."""
     rows = []
     for i in range(0, max(map(len, vectors.values())), CHUNK):
-        rows.append(state_row(i // CHUNK, 1, **{k: v[i : i + CHUNK] for k, v in vectors.items()}))
+        rows.append(state_row(i // CHUNK, SUMS, **{k: v[i : i + CHUNK] for k, v in vectors.items()}))
     return rows
 
 
@@ -191,9 +200,9 @@ def totals(state: DataFrame) -> dict[str, np.ndarray]:
         for value in table.column("data"):
             for k, v in fields(value).items():
                 total[k] = total.get(k, 0) + v
-        return state_table([state_row(table.column("p")[0].as_py(), 1, **total)])
+        return state_table([state_row(table.column("p")[0].as_py(), SUMS, **total)])
 
-    rows = state.where("kind = 1").groupBy("p").applyInArrow(add, "p int, kind int, data binary").collect()
+    rows = state.where(F.col("kind") == SUMS).groupBy("p").applyInArrow(add, STATE).collect()
     parts = [fields(r["data"]) for r in sorted(rows, key=lambda r: r["p"])]
     names = parts[0].keys() if parts else []
     return {k: np.concatenate([p[k] for p in parts]) for k in names}
@@ -219,35 +228,95 @@ def heavy_words(blocks: DataFrame) -> np.ndarray:
     return np.sort(word[n >= HEAVY_SHARE * total].view(np.uint64))
 
 
-def gather(table: pa.Table, n_heavy: int) -> pa.Table:
-    """First state of a range: the pairs that can have several tables, and its counts."""
+def padded(values: np.ndarray | list[int]) -> np.ndarray:
+    return np.concatenate([np.asarray(values, np.int64), np.zeros(CHUNK - len(values), np.int64)])
+
+
+def gather(table: pa.Table, n_heavy: int, parts: int) -> pa.Table:
+    """First state of a range: its pairs, the seats of those that can have several tables, and what it asks of each context range."""
     p = table.column("p")[0].as_py()
-    keys, (context, hot, count) = received(table, ["context", "hot", "count"])
-    t = pair_table(keys, context, count, hot)
-    many = t["count"] > 1
-    words = int(t["word"][-1]) + 1 if len(t["word"]) else 0
-    cold = t["hot"] < 0
-    used, number = np.unique(t["word"][many], return_inverse=True)
-    state = state_row(p, 0, context=t["context"][many], count=t["count"][many], hot=t["hot"][many], word=number, single=bins(t["word"][~many], words)[used], size=t["count"][many], pair=np.arange(many.sum()))
-    per_word = bins(t["word"], words)  # pairs of each word: its customers at the parent, at first
-    cold_words = per_word[np.unique(t["word"][cold])]
-    heads = np.zeros(CHUNK, np.int64)
-    heads[:6] = (t["count"] == 1).sum(), (t["count"] == 2).sum(), (cold_words == 1).sum(), (cold_words == 2).sum(), len(cold_words), t["count"].sum()
-    vectors = {"customers": bins(t["context"], CONTEXTS, t["count"]), "tables": bins(t["context"], CONTEXTS), "heavy_count": np.zeros(CONTEXTS, np.int64), "heavy_tables": np.zeros(CONTEXTS, np.int64)}
-    vectors["heads"] = np.concatenate([heads, np.zeros(CONTEXTS - CHUNK, np.int64)])  # few numbers, sent as a vector
-    vectors["heavy_count"][:n_heavy] = bins(t["hot"][~cold], n_heavy, t["count"][~cold])
-    vectors["heavy_tables"][:n_heavy] = bins(t["hot"][~cold], n_heavy)
-    return state_table([state, *stat_rows(vectors)])
+    table = table.sort_by("bid")
+    got = [fields(v) for v in table.column("data")]
+    words, key = np.unique(np.concatenate([g["keys"] for g in got]), return_inverse=True)
+    contexts, own = np.unique(np.concatenate([g["contexts"] for g in got]), return_inverse=True)
+    hot = np.full(len(words), -1, np.int64)
+    hot[key] = np.concatenate([g["hot"] for g in got])
+    width, codes, at_key, at_context = max(1, len(contexts)), [], 0, 0
+    for g in got:
+        codes.append(key[at_key + np.cumsum(g["step"])] * width + own[at_context + g["context"]])
+        at_key, at_context = at_key + len(g["keys"]), at_context + len(g["contexts"])
+    pairs, number = np.unique(np.concatenate(codes), return_inverse=True)
+    count = bins(number, len(pairs), np.concatenate([g["count"] for g in got]))
+    word, context = pairs // width, pairs % width
+    rows, at = [], 0
+    for bid, c in zip(table.column("bid").to_pylist(), codes, strict=True):
+        rows.append(state_row(p, SENT, bid, pair=number[at : at + len(c)]))
+        at += len(c)
+    rows.append(state_row(p, PAIRS, count=count, word=word, context=context, hot=hot))
+    many, known = count > 1, count > 0
+    used, local = np.unique(word[many], return_inverse=True)
+    moving, place = np.unique(context[many], return_inverse=True)
+    rows.append(state_row(p, SEATS, context=place, count=count[many], hot=hot[word][many], word=local, single=bins(word[count == 1], len(words))[used], size=count[many], pair=np.arange(many.sum())))
+    customers, tables = bins(context, len(contexts), count), bins(context[known], len(contexts))
+    moves = np.zeros(len(contexts), bool)
+    moves[moving] = True
+    cut = range_bounds(contexts, parts)
+    for q, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        rows.append(state_row(q, ASK, p, keys=contexts[a:b], customers=customers[a:b], tables=tables[a:b], moves=moves[a:b]))
+    per_word = bins(word[known], len(words))  # pairs of each word: its customers at the parent, at first
+    cold_words, warm = per_word[hot < 0], hot >= 0
+    heads = [(count == 1).sum(), (count == 2).sum(), (cold_words == 1).sum(), (cold_words == 2).sum(), (cold_words > 0).sum(), count.sum(), known.sum()]
+    vectors = {"heads": padded(heads), "heavy_count": padded(bins(hot[warm], n_heavy, bins(word, len(words), count)[warm])), "heavy_tables": padded(bins(hot[warm], n_heavy, per_word[warm]))}
+    return state_table([*rows, *stat_rows(vectors)])
+
+
+def tell(q: int, src: np.ndarray, n: np.ndarray, index: np.ndarray, **columns: np.ndarray) -> list[dict]:
+    """To each word range, the values of the contexts it asked about."""
+    ends = np.cumsum(n)
+    return [state_row(p, TELL, q, **{k: v[index[e - m : e]] for k, v in columns.items()}) for p, m, e in zip(src.tolist(), n.tolist(), ends.tolist(), strict=True)]
+
+
+def book(table: pa.Table) -> pa.Table:
+    """A context range's books from what all word ranges have, and the first answers."""
+    q, asked = table.column("p")[0].as_py(), of_kind(table, ASK)
+    keys, at = np.unique(np.concatenate([f["keys"] for _, f in asked]), return_inverse=True)
+    customers, tables = (bins(at, len(keys), np.concatenate([f[c] for _, f in asked])) for c in ("customers", "tables"))
+    moves = np.concatenate([f["moves"] for _, f in asked])
+    moving, src = np.unique(at[moves]), np.array([p for p, _ in asked])
+    n, n_moving = (np.array([f(x["moves"]) for _, x in asked], np.int64) for f in (len, np.sum))
+    index = np.searchsorted(moving, at[moves])
+    whole = state_row(q, WHOLE, src=src, n=n, index=at, customers=customers, tables=tables, moving=moving)
+    return state_table([whole, state_row(q, BOOK, src=src, n=n_moving, index=index, tables=tables[moving]), *tell(q, src, n_moving, index, tables=tables[moving])])
+
+
+def change(table: pa.Table) -> pa.Table:
+    """The books after a round, and answers for the next."""
+    q, (_, b) = table.column("p")[0].as_py(), of_kind(table, BOOK)[0]
+    deltas = [f["delta"] for _, f in of_kind(table, ASK)]
+    b["tables"] = b["tables"] + bins(b["index"], len(b["tables"]), np.concatenate(deltas))
+    return state_table([state_row(q, BOOK, **b), *tell(q, b["src"], b["n"], b["index"], tables=b["tables"])])
+
+
+def last(table: pa.Table) -> pa.Table:
+    """Customers of all contexts that word ranges asked about, and their tables in each sample."""
+    q, (_, w) = table.column("p")[0].as_py(), of_kind(table, WHOLE)[0]
+    columns = {"customers": w["customers"]}
+    for number, b in of_kind(table, BOOK):
+        columns[f"tables{number}"] = w["tables"].copy()
+        columns[f"tables{number}"][w["moving"]] = b["tables"]
+    return state_table(tell(q, w["src"], w["n"], w["index"], **columns))
 
 
 class Model:
-    """What all ranges share: restaurants' customers and tables, discounts, and heavy words."""
+    """Tables of a range's restaurants, and what all ranges share: discounts, all tables, and heavy words."""
 
     def __init__(self, t: dict[str, np.ndarray], n_heavy: int):
-        zero = np.zeros(CONTEXTS, np.int64)
-        self.customers, self.tables = t.get("customers", zero), t.get("tables", zero)
+        zero = np.zeros(CHUNK, np.int64)
+        self.tables = t.get("tables", zero)
         self.heavy_count, self.heavy_tables = t.get("heavy_count", zero)[:n_heavy], t.get("heavy_tables", zero)[:n_heavy]
-        n1, n2, w1, w2, words, self.train_tokens = (int(x) for x in t.get("heads", zero)[:6])
+        heads = t.get("heads", zero)
+        n1, n2, w1, w2, words, self.train_tokens = (int(x) for x in heads[:6])
+        self.all_tables = int(heads[6] if len(heads) > 6 else self.tables.sum())
         self.types = words + int((self.heavy_count > 0).sum())
         self.discount1, self.discount0 = self.discount(n1, n2), self.discount(w1, w2)
 
@@ -256,7 +325,7 @@ class Model:
         return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
     def parent(self) -> float:
-        return STRENGTH0 + float(self.tables.sum())
+        return STRENGTH0 + float(self.all_tables)
 
 
 def seat(s: dict[str, np.ndarray], model: Model, seed: list[int]) -> None:
@@ -267,7 +336,7 @@ def seat(s: dict[str, np.ndarray], model: Model, seed: list[int]) -> None:
     if not n:
         return
     d1, d0 = model.discount1, model.discount0
-    other = model.tables - bins(context[s["pair"]], CONTEXTS)  # tables outside this state
+    other = model.tables - bins(context[s["pair"]], len(model.tables))  # tables outside this state
     mine_hot = bins(hot[s["pair"]][hot[s["pair"]] >= 0], len(model.heavy_tables))
     other_hot = model.heavy_tables - mine_hot
     ends = np.cumsum(count)
@@ -278,7 +347,7 @@ def seat(s: dict[str, np.ndarray], model: Model, seed: list[int]) -> None:
         size[at] -= 1
         gone = size[at] == 0
         left = tables - gone
-        in_context = other[context] + bins(context[pair], CONTEXTS)[context] - gone
+        in_context = other[context] + bins(context[pair], len(other))[context] - gone
         at_parent = s["single"][word] + bins(word[pair], len(s["single"]))[word] - gone
         is_hot = hot >= 0
         if is_hot.any():
@@ -304,107 +373,109 @@ def seat(s: dict[str, np.ndarray], model: Model, seed: list[int]) -> None:
         s["size"], s["pair"] = size[order], pair[order]
 
 
-def table_counts(s: dict[str, np.ndarray], n_heavy: int) -> dict[str, np.ndarray]:
-    hot = s["hot"][s["pair"]]
-    heavy = np.zeros(CONTEXTS, np.int64)
-    heavy[:n_heavy] = bins(hot[hot >= 0], n_heavy)
-    return {"tables": bins(s["context"][s["pair"]], CONTEXTS), "heavy_tables": heavy}
+def reseat(table: pa.Table, total: dict[str, np.ndarray], n_heavy: int, number: int) -> pa.Table:
+    """A round of one range: new seating, and by how much tables changed."""
+    p, (_, s) = table.column("p")[0].as_py(), of_kind(table, SEATS)[0]
+    told = of_kind(table, TELL)
+    n = sum(len(f["tables"]) for _, f in told)
 
+    def tables() -> tuple[np.ndarray, np.ndarray]:
+        hot = s["hot"][s["pair"]]
+        return bins(s["context"][s["pair"]], n), bins(hot[hot >= 0], n_heavy)
 
-def reseat(state: DataFrame, model: Model, number: int) -> DataFrame:
-    """A round of all ranges: new seating, and by how much tables changed."""
-    n_heavy = len(model.heavy_tables)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for p, value in zip(batch.column("p").to_pylist(), batch.column("data"), strict=True):
-                s = fields(value)
-                was = table_counts(s, n_heavy)
-                seat(s, model, [p, number])
-                now = table_counts(s, n_heavy)
-                yield from state_table([state_row(p, 0, **s), *stat_rows({k: now[k] - was[k] for k in now})]).to_batches()
-
-    return keep(state.where("kind = 0").mapInArrow(run, "p int, kind int, data binary"))
+    was, heavy_was = tables()
+    seat(s, Model(total | {"tables": np.concatenate([f["tables"] for _, f in told])}, n_heavy), [p, number])
+    now, heavy_now = tables()
+    rows, at = [state_row(p, SEATS, **s)], 0
+    for q, f in told:
+        m = len(f["tables"])
+        rows.append(state_row(q, ASK, p, delta=(now - was)[at : at + m]))
+        at += m
+    return state_table([*rows, *stat_rows({"heads": padded([0] * 6 + [(now - was).sum()]), "heavy_tables": padded(heavy_now - heavy_was)})])
 
 
 def answer(table: pa.Table, samples: list[Model]) -> pa.Table:
-    """Of one range: sums over the tokens of each document of each block."""
-    p = table.column("p")[0].as_py()
-    kind = table.column("kind").to_numpy()
-    sent = table.filter(pa.array(kind == 0)).sort_by("bid")
-    seats = [fields(v) for v in table.filter(pa.array(kind > 0)).sort_by("kind").column("data")]
-    keys, (context, hot, doc, train) = received(sent, ["context", "hot", "doc", "train"])
-    t = pair_table(keys, context, train, hot)
-    words = int(t["word"][-1]) + 1 if len(t["word"]) else 0
-    many, c, u = t["count"] > 1, t["count"], t["context"]
-    prob, single = np.zeros(len(c)), bins(t["word"][c == 1], words)
-    is_hot, model = t["hot"] >= 0, samples[-1]
-    for model, s in zip(samples, seats, strict=False):
+    """Of one range: the logarithm of each pair that a block sent, and the customers of each of its words."""
+    p, (_, t) = table.column("p")[0].as_py(), of_kind(table, PAIRS)[0]
+    told = [f for _, f in of_kind(table, TELL)]
+    seats = [f for _, f in of_kind(table, SEATS)]
+    of = {c: np.concatenate([f[c] for f in told]) for c in told[0]}
+    word, c, u = t["word"], t["count"], t["context"]
+    words, hot = len(t["hot"]), t["hot"][word]
+    many, is_hot = c > 1, hot >= 0
+    prob, single = np.zeros(len(c)), bins(word[c == 1], words)
+    for number, (model, s) in enumerate(zip(samples, seats, strict=True)):
         tables = (c > 0).astype(np.int64)
         tables[many] = bins(s["pair"], int(many.sum()))
-        at_parent = (single + bins(t["word"], words, tables * many))[t["word"]]
+        at_parent = (single + bins(word, words, tables * many))[word]
         if len(model.heavy_tables):
-            at_parent = np.where(is_hot, model.heavy_tables[np.maximum(t["hot"], 0)], at_parent)
+            at_parent = np.where(is_hot, model.heavy_tables[np.maximum(hot, 0)], at_parent)
         new = STRENGTH0 + model.discount0 * model.types
         parent = np.where(at_parent > 0, at_parent - model.discount0, new) / model.parent()
-        prob += (c - model.discount1 * tables + (STRENGTH1 + model.discount1 * model.tables[u]) * parent) / (STRENGTH1 + model.customers[u])
-    log = np.log10(prob / len(samples))
-    total = bins(t["word"], words, c)[t["word"]]
-    if len(model.heavy_count):
-        total = np.where(is_hot, model.heavy_count[np.maximum(t["hot"], 0)], total)
-    # back to the tokens
-    order = np.lexsort((context, keys))
-    k, x = keys[order], context[order]
-    number = np.cumsum(np.concatenate([np.ones(min(1, len(k)), np.int64), ((k[1:] != k[:-1]) | (x[1:] != x[:-1])).astype(np.int64)])) - 1
-    pair = np.empty(len(k), np.int64)
-    pair[order] = number
-    out: dict[str, list] = {"bid": [], "p": [], "sums": [], "meta": []}
-    at = 0
-    for bid, value, meta in zip(sent.column("bid").to_pylist(), sent.column("data"), sent.column("meta"), strict=True):
-        n = len(unpack(value).column("step")[0])
-        own, docs = pair[at : at + n], doc[at : at + n]
-        at += n
-        ids, place = np.unique(docs, return_inverse=True)
-        sums = {"doc": ids, "known": np.bincount(place, total[own] > 0, len(ids)).astype(np.uint32), "base": np.bincount(place, np.log10(total[own] + 1), len(ids)), "score": np.bincount(place, log[own], len(ids))}
+        prob += (c - model.discount1 * tables + (STRENGTH1 + model.discount1 * of[f"tables{number}"][u]) * parent) / (STRENGTH1 + of["customers"][u])
+    log = np.log10(prob / len(samples)).astype(np.float32)
+    total = bins(word, words, c)[word]
+    if len(samples[-1].heavy_count):
+        total = np.where(is_hot, samples[-1].heavy_count[np.maximum(hot, 0)], total)
+    out: dict[str, list] = {"bid": [], "data": []}
+    for bid, f in of_kind(table, SENT):
+        own = f["pair"]
         out["bid"].append(bid)
-        out["p"].append(p)
-        out["sums"].append(pack(pa.table({a: pa.array([b]) for a, b in sums.items()})))
-        out["meta"].append(meta.as_py())
-    return pa.table({"bid": pa.array(out["bid"], pa.int64()), "p": pa.array(out["p"], pa.int32()), "sums": pa.array(out["sums"], pa.binary()), "meta": pa.array(out["meta"], pa.binary())})
+        first = np.flatnonzero(np.diff(word[own], prepend=-1))
+        out["data"].append(packed(log=log[own], total=total[own][first]))
+    return pa.table({"bid": pa.array(out["bid"], pa.int64()), "p": pa.array([p] * len(out["bid"]), pa.int32()), "data": pa.array(out["data"], pa.binary())})
 
 
 def score(documents: DataFrame) -> DataFrame:
     """Scores of all documents by a model of those that are not held out."""
-    parts = ranges(documents)
+    spark, parts = documents.sparkSession, ranges(documents)
     blocks = to_blocks(documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"))
     heavy = heavy_words(blocks)
     n_heavy = len(heavy)
-    state = keep(send_pairs(blocks, parts, heavy).groupBy("p").applyInArrow(lambda t: gather(t, n_heavy), "p int, kind int, data binary"))
-    total = totals(state)
-    models, seats = [], []
+
+    def by_range(rows: DataFrame, work) -> DataFrame:
+        return rows.groupBy("p").applyInArrow(light(work), STATE)
+
+    def kind(rows: DataFrame, *kinds: int, tag: int | None = None) -> DataFrame:
+        some = rows.where(F.col("kind").isin(*kinds))
+        return some if tag is None else some.withColumn("tag", F.lit(tag).cast("long"))
+
+    def free() -> None:  # what the first call lets go of is only cleaned by the second
+        release(spark)
+        release(spark)
+
+    first = keep(by_range(send_pairs(blocks, parts, heavy), lambda t: gather(t, n_heavy, parts)))
+    total = totals(first)
+    books = keep(by_range(kind(first, ASK), book))
+    free()
+    state, register, models, seats, registers = first, books, [], [], []
     for number in range(ROUNDS):
-        state = reseat(state, Model(total, n_heavy), number)
+        now = dict(total)
+        state = keep(by_range(kind(state, SEATS).unionByName(kind(register, TELL)), lambda t, now=now, number=number: reseat(t, now, n_heavy, number)))
+        register = keep(by_range(kind(register, BOOK).unionByName(kind(state, ASK)), change))
         for k, v in totals(state).items():
             total[k] = total[k] + v
+        free()
         if number >= ROUNDS - SAMPLES:
+            seats.append(kind(state, SEATS, tag=len(models)))
+            registers.append(kind(register, BOOK, tag=len(models)))
             models.append(Model(total, n_heavy))
-            seats.append(state.where("kind = 0").select("p", F.lit(None).cast("long").alias("bid"), F.lit(len(models)).alias("kind"), "data", F.lit(None).cast("binary").alias("meta")))
-    rows = send_tokens(blocks, parts, heavy)
-    for s in seats:
-        rows = rows.unionByName(s)
-    sums = rows.groupBy("p").applyInArrow(lambda t: answer(t, models), "bid long, p int, sums binary, meta binary")
+    ends, rows = kind(books, WHOLE), kind(first, PAIRS, SENT)
+    for r, s in zip(registers, seats, strict=True):
+        ends, rows = ends.unionByName(r), rows.unionByName(s)
+    rows = rows.unionByName(by_range(ends, last))
+    answers = rows.groupBy("p").applyInArrow(light(lambda t: answer(t, models)), "bid long, p int, data binary")
     train_tokens, types = models[-1].train_tokens, models[-1].types
 
-    def finish(table: pa.Table) -> pa.Table:
-        meta = unpack(next(v.as_py() for v in table.sort_by("p").column("meta") if v.as_py()))
-        n = meta.num_rows
-        known, base, total = np.zeros(n), np.zeros(n), np.zeros(n)
-        for value in table.sort_by("p").column("sums"):
-            f = fields(value)
-            known[f["doc"]] += f["known"]
-            base[f["doc"]] += f["base"]
-            total[f["doc"]] += f["score"]
-        tokens = meta.column("n").to_numpy()
-        return pa.table({"doc_id": meta.column("doc_id"), "held_out": meta.column("held"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known.astype(np.int64)), "train_tokens": pa.array(np.full(n, train_tokens, np.int64)), "base_score": pa.array(base - tokens * np.log10(train_tokens + types + 1)), "score": pa.array(total)})
-
-    return sums.groupBy("bid").applyInArrow(finish, SCHEMA)
+    def finish(table: pa.Table, told: pa.Table) -> pa.Table:
+        t, got = Tokens(table), [fields(v) for v in told.column("data")]
+        order, new, keys, _ = t.pairs(heavy)
+        number = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+        log, total = (np.concatenate([f[c] for f in got]) for c in ("log", "total"))
+        total = total[np.cumsum(steps(keys))][number] if len(number) else total
+        log, doc, n = log[number].astype(np.float64), t.doc[order], len(t.held)
+        tokens = np.bincount(doc, minlength=n)
+        base = np.bincount(doc, np.log10(total + 1), n) - tokens * np.log10(train_tokens + types + 1)
+        return pa.table({"doc_id": t.doc_ids, "held_out": pa.array(t.held), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(np.bincount(doc, total > 0, n).astype(np.int64)), "train_tokens": pa.array(np.full(n, train_tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(np.bincount(doc, log, n))})
+
+    return with_blocks(blocks, answers, finish, SCHEMA)
