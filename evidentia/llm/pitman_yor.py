@@ -13,11 +13,13 @@ with c customers and t tables.  Unknown words are one type, so P sums to 1 over
 the V known types and the unknown one.  Discounts come from the counts of counts,
 strengths are 1.
 
-Gibbs: STEPS times a round, a customer is taken from a random table of every
-(context, word) with at least two customers and seated again by its conditional
-probabilities.  Key ranges work on their own pairs and exchange the restaurants'
+Gibbs: a round takes every customer of each (context, word) with at least two from
+its table once, on average, and seats it again by its conditional probabilities, in
+batches where a pair has many.  Key ranges work on their own pairs and exchange the restaurants'
 table counts after each round (within a round a range sees its own changes only).
-The probabilities of the last SAMPLES rounds are averaged, and a text's score is
+Rounds go on until the number of all tables changes by no more than TOLERANCE of it
+(or its square root, the noise of few tables), ROUNDS at most.  The probabilities
+of SAMPLES further rounds are averaged, and a text's score is
 the sum of the logarithms of those averages.
 
 Data: a block of documents sends its distinct pairs, with their training counts,
@@ -50,7 +52,7 @@ from evidentia.llm.blocks import light, pack, range_bounds, ranges, to_blocks, u
 from evidentia.shared import keep, release
 from evidentia.llm.textblocks import crc_mod, mix, word_slices
 
-ROUNDS, SAMPLES, STEPS = 4, 2, 6
+ROUNDS, SAMPLES, STEPS, TOLERANCE = 20, 2, 16, 2e-3
 CONTEXTS = 1 << 15  # restaurants of the seating test only: the model has one for each context
 STRENGTH0 = STRENGTH1 = 1.0
 HEAVY_SHARE, SAMPLE_BLOCKS = 1e-3, 4
@@ -262,7 +264,8 @@ def gather(table: pa.Table, n_heavy: int, parts: int) -> pa.Table:
     moves[moving] = True
     cut = range_bounds(contexts, parts)
     for q, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-        rows.append(state_row(q, ASK, p, keys=contexts[a:b], customers=customers[a:b], tables=tables[a:b], moves=moves[a:b]))
+        if b > a:
+            rows.append(state_row(q, ASK, p, keys=contexts[a:b], customers=customers[a:b], tables=tables[a:b], moves=moves[a:b]))
     per_word = bins(word[known], len(words))  # pairs of each word: its customers at the parent, at first
     cold_words, warm = per_word[hot < 0], hot >= 0
     heads = [(count == 1).sum(), (count == 2).sum(), (cold_words == 1).sum(), (cold_words == 2).sum(), (cold_words > 0).sum(), count.sum(), known.sum()]
@@ -273,7 +276,7 @@ def gather(table: pa.Table, n_heavy: int, parts: int) -> pa.Table:
 def tell(q: int, src: np.ndarray, n: np.ndarray, index: np.ndarray, **columns: np.ndarray) -> list[dict]:
     """To each word range, the values of the contexts it asked about."""
     ends = np.cumsum(n)
-    return [state_row(p, TELL, q, **{k: v[index[e - m : e]] for k, v in columns.items()}) for p, m, e in zip(src.tolist(), n.tolist(), ends.tolist(), strict=True)]
+    return [state_row(p, TELL, q, **{k: v[index[e - m : e]] for k, v in columns.items()}) for p, m, e in zip(src.tolist(), n.tolist(), ends.tolist(), strict=True) if m]
 
 
 def book(table: pa.Table) -> pa.Table:
@@ -293,7 +296,7 @@ def change(table: pa.Table) -> pa.Table:
     """The books after a round, and answers for the next."""
     q, (_, b) = table.column("p")[0].as_py(), of_kind(table, BOOK)[0]
     deltas = [f["delta"] for _, f in of_kind(table, ASK)]
-    b["tables"] = b["tables"] + bins(b["index"], len(b["tables"]), np.concatenate(deltas))
+    b["tables"] = b["tables"] + bins(b["index"], len(b["tables"]), np.concatenate([np.zeros(0, np.int64), *deltas]))
     return state_table([state_row(q, BOOK, **b), *tell(q, b["src"], b["n"], b["index"], tables=b["tables"])])
 
 
@@ -329,48 +332,76 @@ class Model:
 
 
 def seat(s: dict[str, np.ndarray], model: Model, seed: list[int]) -> None:
-    """STEPS times: take one customer of every pair away and seat it again; ``s`` changes in place."""
+    """A sweep: every customer is taken away and seated again once, on average; ``s`` changes in place.
+
+    In each of STEPS steps a pair of at most STEPS customers moves one (as many steps
+    as it has customers), a larger one each customer with probability 1 / STEPS.  Those
+    that move together don't see each other, nor what other pairs do in the step.
+    """
     rng = np.random.Generator(np.random.PCG64(seed))
-    context, count, word, hot = s["context"], s["count"], s["word"], s["hot"]
-    n = len(count)
+    count, n = s["count"], len(s["count"])
     if not n:
         return
     d1, d0 = model.discount1, model.discount0
-    other = model.tables - bins(context[s["pair"]], len(model.tables))  # tables outside this state
-    mine_hot = bins(hot[s["pair"]][hot[s["pair"]] >= 0], len(model.heavy_tables))
-    other_hot = model.heavy_tables - mine_hot
-    ends = np.cumsum(count)
-    for _ in range(STEPS):
-        size, pair = s["size"], s["pair"]
-        tables = bins(pair, n)
-        at = np.searchsorted(np.cumsum(size), ends - count + np.minimum((rng.random(n) * count).astype(np.int64), count - 1), "right")
-        size[at] -= 1
-        gone = size[at] == 0
-        left = tables - gone
-        in_context = other[context] + bins(context[pair], len(other))[context] - gone
-        at_parent = s["single"][word] + bins(word[pair], len(s["single"]))[word] - gone
+    in_context, at_word, at_hot = model.tables.copy(), s["single"] + bins(s["word"][s["pair"]], len(s["single"])), model.heavy_tables.copy()
+    size, pair, act = s["size"], s["pair"], np.arange(n)
+    done = []
+    for step in range(STEPS):
+        on = count[act] > step
+        if not on.all():
+            mine = on[pair]
+            done.append((size[~mine], act[pair[~mine]]))
+            size, pair, act = size[mine], (np.cumsum(on) - 1)[pair[mine]], act[on]
+        if not len(act):
+            break
+        c, context, word, hot = (s[x][act] for x in ("count", "context", "word", "hot"))
         is_hot = hot >= 0
-        if is_hot.any():
-            now = other_hot + bins(hot[pair][hot[pair] >= 0], len(other_hot))
-            at_parent = np.where(is_hot, now[np.maximum(hot, 0)] - gone, at_parent)
-        fresh = (STRENGTH1 + d1 * in_context) * np.maximum(at_parent - d0, 1e-9) / model.parent()
-        seated = count - 1 - d1 * left
-        draw = rng.random(n) * (seated + fresh)
-        opens = draw >= seated
-        weight = np.where(size > 0, size - d1, 0.0)
-        upto = np.cumsum(weight)
-        before = np.concatenate([[0.0], upto])[np.concatenate([[0], np.cumsum(tables)[:-1]])]
-        pick = np.minimum(np.searchsorted(upto, before + draw, "right"), np.cumsum(tables) - 1)
-        while (empty := ~opens & (size[pick] == 0)).any():  # rounding at a border
-            pick[empty] -= 1
-            pick = np.maximum(pick, np.cumsum(tables) - tables)
-            if (size[pick[empty]] == 0).all():
-                opens |= empty
-        np.add.at(size, pick[~opens], 1)
+        out, ends = np.zeros(len(size), np.int64), np.cumsum(c)
+        large = (c > STEPS)[pair]
+        out[large] = rng.binomial(size[large], 1 / STEPS)
+        few = np.flatnonzero(c <= STEPS)
+        out[np.searchsorted(np.cumsum(size), ends[few] - 1 - np.minimum((rng.random(len(few)) * c[few]).astype(np.int64), c[few] - 1), "right")] += 1
+        moved, size = bins(pair, len(act), out), size - out
         stay = size > 0
-        size, pair = np.concatenate([size[stay], np.ones(opens.sum(), np.int64)]), np.concatenate([pair[stay], np.flatnonzero(opens)])
+        gone = bins(pair[~stay], len(act))
+        size, pair = size[stay], pair[stay]
+        left = bins(pair, len(act))
+        at_parent = at_word[word]
+        if is_hot.any():
+            at_parent = np.where(is_hot, at_hot[np.maximum(hot, 0)], at_parent)
+        fresh = (STRENGTH1 + d1 * (in_context[context] - gone)) * np.maximum(at_parent - gone - d0, 1e-9) / model.parent()
+        seated = c - moved - d1 * left
+        opens = rng.binomial(moved, np.where(left > 0, fresh / (np.maximum(seated, 0) + fresh), 1.0))
+        # the others go to the pair's tables, one table after the other
+        back, rest, weight, first = moved - opens, seated.copy(), size - d1, np.cumsum(left) - left
+        todo, r = np.flatnonzero(back), 0
+        while len(todo):
+            row = first[todo] + r
+            x = rng.binomial(back[todo], np.where(left[todo] == r + 1, 1.0, np.clip(weight[row] / np.maximum(rest[todo], 1e-9), 0, 1)))
+            size[row] += x
+            back[todo] -= x
+            rest[todo] -= weight[row]
+            todo, r = todo[back[todo] > 0], r + 1
+        more = opens - gone
+        in_context += bins(context, len(in_context), more)
+        at_word += bins(word, len(at_word), more)
+        if is_hot.any():
+            at_hot += bins(hot[is_hot], len(at_hot), more[is_hot])
+        size, pair = np.concatenate([size, np.ones(opens.sum(), np.int64)]), np.concatenate([pair, np.repeat(np.arange(len(act)), opens)])
         order = np.argsort(pair, kind="stable")
-        s["size"], s["pair"] = size[order], pair[order]
+        size, pair = size[order], pair[order]
+    done.append((size, act[pair]))
+    size, pair = (np.concatenate(x) for x in zip(*done, strict=True))
+    order = np.argsort(pair, kind="stable")
+    s["size"], s["pair"] = size[order], pair[order]
+
+
+def steady(total: dict[str, np.ndarray], moved: dict[str, np.ndarray]) -> bool:
+    """Whether a round changed the number of all tables by little."""
+    if not moved:
+        return True
+    tables, change = int(total["heads"][6]), abs(int(moved["heads"][6]))
+    return change <= max(TOLERANCE * tables, tables**0.5)
 
 
 def reseat(table: pa.Table, total: dict[str, np.ndarray], n_heavy: int, number: int) -> pa.Table:
@@ -384,7 +415,7 @@ def reseat(table: pa.Table, total: dict[str, np.ndarray], n_heavy: int, number:
         return bins(s["context"][s["pair"]], n), bins(hot[hot >= 0], n_heavy)
 
     was, heavy_was = tables()
-    seat(s, Model(total | {"tables": np.concatenate([f["tables"] for _, f in told])}, n_heavy), [p, number])
+    seat(s, Model(total | {"tables": np.concatenate([np.zeros(0, np.int64), *[f["tables"] for _, f in told]])}, n_heavy), [p, number])
     now, heavy_now = tables()
     rows, at = [state_row(p, SEATS, **s)], 0
     for q, f in told:
@@ -449,17 +480,21 @@ def score(documents: DataFrame) -> DataFrame:
     books = keep(by_range(kind(first, ASK), book))
     free()
     state, register, models, seats, registers = first, books, [], [], []
-    for number in range(ROUNDS):
+    number, settled = 0, False
+    while len(models) < SAMPLES:
         now = dict(total)
         state = keep(by_range(kind(state, SEATS).unionByName(kind(register, TELL)), lambda t, now=now, number=number: reseat(t, now, n_heavy, number)))
         register = keep(by_range(kind(register, BOOK).unionByName(kind(state, ASK)), change))
-        for k, v in totals(state).items():
+        moved = totals(state)
+        for k, v in moved.items():
             total[k] = total[k] + v
         free()
-        if number >= ROUNDS - SAMPLES:
+        number += 1
+        if settled:
             seats.append(kind(state, SEATS, tag=len(models)))
             registers.append(kind(register, BOOK, tag=len(models)))
             models.append(Model(total, n_heavy))
+        settled = settled or number >= ROUNDS or steady(total, moved)
     ends, rows = kind(books, WHOLE), kind(first, PAIRS, SENT)
     for r, s in zip(registers, seats, strict=True):
         ends, rows = ends.unionByName(r), rows.unionByName(s)
