@@ -290,6 +290,11 @@ def _(s: Source):
     return R.top(R.fuse(R.lane_ranks(lanes(s))), R.ORDER_KEY, 50).select("entity_id", "place")
 
 
+@query("w6_ordinals_whole", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)")
+def _(s: Source):
+    return s.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+
+
 @query("k2_prefix_limit", "SELECT edge_id, true AS more FROM (SELECT edge_id FROM edges WHERE relation = 'owned_by' ORDER BY edge_id LIMIT 20)", "edges")
 def _(s: Source):
     return R.top(s.edges.where("relation = 'owned_by'").select("edge_id"), ["edge_id"], 20).select("edge_id", "more")

@@ -350,6 +350,12 @@ def _(s: Source):
     return els.where("tag = 'p'").groupBy("page_id").agg(count().alias("paragraphs"))
 
 
+@query("s4_manifest_lines_whole", """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, CASE WHEN trim(l) = '' THEN 'blank' WHEN starts_with(l, '##') THEN 'metadata' WHEN starts_with(l, '#') THEN 'comment' ELSE 'file' END AS kind,
+    CAST(sum(strlen(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(l) - 1 AS BIGINT) AS byte_start FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)""")
+def _(s: Source):
+    return T.manifest_lines(s.documents, "doc_id", "text").select("doc_id", "line", "kind", "byte_start")
+
+
 @query("s8_s9_api_documents", "SELECT l_orderkey AS api, count(*) AS arguments, count(*) FILTER (l_linestatus = 'O') AS nilable FROM lineitem GROUP BY l_orderkey")
 def _(s: Source):
     rows = s.members.groupBy("api").agg(F.array_sort(F.collect_list(F.struct("position", "original_type", "nilable"))).alias("args"))
@@ -409,6 +415,11 @@ def _(s: Source):
 
 @query("s17_stub_sink", "SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT l_orderkey, count(*) + 1 AS n FROM lineitem GROUP BY l_orderkey)")
 def _(s: Source):
+@query("s18_token_table_whole", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w AS token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w, unnest(generate_series(1, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')))) AS i FROM documents)")
+def _(s: Source):
+    return s.documents.select("doc_id", F.posexplode(S.word_tokens(F.col("text"))).alias("pos", "token"))
+
+
     from evidentia.shared import new_folder
 
     folder = new_folder(s.spark, "stubs")
