@@ -98,3 +98,12 @@ def expansion_budget(counts: Sequence[Column]) -> Column:
         product = (product * c.cast("decimal(12,0)")).cast("decimal(38,0)")
         total = (total + product).cast("decimal(38,0)")
     return total
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """All rows with their place ``r`` in the order of a unique key: numbers within key ranges plus the ranges' offsets."""
+    rows = keep(df.repartitionByRange(key).withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    offsets = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
+    return rows.withColumn("own", own).join(F.broadcast(offsets), "range").withColumn("r", F.col("own") + F.col("offset")).drop("range", "own", "offset")

@@ -129,6 +129,12 @@ def _(s: Source):
     return s.part.where("p_size < 3").groupBy("p_name").agg(F.when(b & t, "attributes").when(b, "owner").when(t, "kind").otherwise("none").alias("conflict"))
 
 
+@query("g15_conflict_kinds_whole", "SELECT p_name, CASE WHEN count(DISTINCT p_brand) > 1 AND count(DISTINCT p_type) > 1 THEN 'attributes' WHEN count(DISTINCT p_brand) > 1 THEN 'owner' WHEN count(DISTINCT p_type) > 1 THEN 'kind' ELSE 'none' END AS conflict FROM part GROUP BY p_name")
+def _(s: Source):
+    b, t = F.count_distinct("p_brand") > 1, F.count_distinct("p_type") > 1
+    return s.part.groupBy("p_name").agg(F.when(b & t, "attributes").when(b, "owner").when(t, "kind").otherwise("none").alias("conflict"))
+
+
 @query("a11_g16_discovery_confidence", """WITH RECURSIVE walk(node_id, depth, weakest) AS (SELECT 'customer:5', 0, 0 UNION ALL SELECT e.dst, w.depth + 1, greatest(w.weakest, e.confidence) FROM walk w JOIN edges e ON e.src = w.node_id AND e.relation IN ('owns', 'uses') WHERE w.depth < 2) SELECT node_id, min(depth) AS depth, min(weakest) AS weakest FROM walk GROUP BY node_id""", "edges")
 def _(s: Source):
     e = s.edges.where("relation in ('owns', 'uses')")
@@ -208,6 +214,12 @@ def _(s: Source):
     return s.lineitem.where("l_orderkey < 500").select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).alias("unit"))
 
 
+@query("d8_load_units_whole", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS unit FROM lineitem")
+def _(s: Source):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return s.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).alias("unit"))
+
+
 @query("d9_saved_declarations", "SELECT c_custkey, split_part(c_name, '#', 1) AS name, 'account' AS scope FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_mktsegment, 'character' FROM customer WHERE c_custkey % 2 = 1")
 def _(s: Source):
     raw = F.when(F.col("c_custkey") % 2 == 0, F.split("c_name", "#")[0]).otherwise(F.col("c_mktsegment"))

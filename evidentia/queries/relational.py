@@ -212,6 +212,11 @@ def _(s: Source):
     return C.deduplicate(s.part.where("p_size < 4").select(F.col("p_name").alias("finding_id"), F.col("p_type").alias("code")), "finding_id", ["code"])
 
 
+@query("a9_finding_dedup_whole", "SELECT p_name AS finding_id, min(p_type) AS code, count(DISTINCT p_type) > 1 AS conflict FROM part GROUP BY p_name")
+def _(s: Source):
+    return C.deduplicate(s.part.select(F.col("p_name").alias("finding_id"), F.col("p_type").alias("code")), "finding_id", ["code"])
+
+
 @query("a10_conflicted_relations", "WITH bad AS (SELECT node_id FROM nodes WHERE kind = 'part' AND owner_key = 'Brand#4') SELECT DISTINCT relation FROM edges WHERE src IN (SELECT node_id FROM bad) OR dst IN (SELECT node_id FROM bad)", "nodes edges")
 def _(s: Source):
     bad = s.nodes.where("kind = 'part' and owner_key = 'Brand#4'").select("node_id")
@@ -285,14 +290,14 @@ def _(s: Source):
     return s.documents.where("n_chars < 400").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
 
 
-@query("k1_rank_tuple", f"SELECT entity_id, CAST(row_number() OVER (ORDER BY band, best_rank, 4294967295 - rr, entity_id) AS INTEGER) AS place FROM ({FUSED}) ORDER BY place LIMIT 50")
+@query("w6_ordinals_whole", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)")
 def _(s: Source):
-    return R.top(R.fuse(R.lane_ranks(lanes(s))), R.ORDER_KEY, 50).select("entity_id", "place")
+    return s.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
 
 
-@query("w6_ordinals_whole", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)")
+@query("k1_rank_tuple", f"SELECT entity_id, CAST(row_number() OVER (ORDER BY band, best_rank, 4294967295 - rr, entity_id) AS INTEGER) AS place FROM ({FUSED}) ORDER BY place LIMIT 50")
 def _(s: Source):
-    return s.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    return R.top(R.fuse(R.lane_ranks(lanes(s))), R.ORDER_KEY, 50).select("entity_id", "place")
 
 
 @query("k2_prefix_limit", "SELECT edge_id, true AS more FROM (SELECT edge_id FROM edges WHERE relation = 'owned_by' ORDER BY edge_id LIMIT 20)", "edges")

@@ -184,6 +184,13 @@ def _(s: Source):
     return s.part.join(declared, "p_size", "left").select("p_partkey", state.alias("resolution"))
 
 
+@query("l2_type_resolution_whole", "SELECT p_partkey, CASE WHEN t.n IS NULL THEN 'unresolved' WHEN t.blocked THEN 'correction_blocked' WHEN t.n > 1 THEN 'ambiguous' ELSE 'resolved' END AS resolution FROM part LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n, bool_or(c_acctbal < 0) AS blocked FROM customer GROUP BY c_nationkey) t ON t.k = p_size")
+def _(s: Source):
+    declared = s.customer.groupBy(F.col("c_nationkey").alias("p_size")).agg(count().alias("n"), F.bool_or(F.col("c_acctbal") < 0).alias("blocked"))
+    state = F.when(F.col("n").isNull(), "unresolved").when(F.col("blocked"), "correction_blocked").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
+    return s.part.join(declared, "p_size", "left").select("p_partkey", state.alias("resolution"))
+
+
 CONSTANTS = """WITH RECURSIVE c AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE (n_nationkey * 5 + 3) % 28 END AS ref, n_nationkey * 10 AS own FROM nation),
     w(id, here, total, depth) AS (SELECT id, id, 0, 0 FROM c UNION ALL SELECT w.id, c.ref, w.total + c.own, w.depth + 1 FROM w JOIN c ON c.id = w.here WHERE w.depth < 48 AND c.ref IS NOT NULL)"""
 
@@ -229,6 +236,11 @@ def _(s: Source):
     return s.part.where("p_size < 10").select("p_partkey", S.content_digest(F.col("p_name"), F.col("p_type"), domain="finding").alias("fingerprint"))
 
 
+@query("l9_fingerprints_whole", "SELECT p_partkey, sha256(concat('finding|', length(p_name), ':', p_name, length(p_type), ':', p_type)) AS fingerprint FROM part")
+def _(s: Source):
+    return s.part.select("p_partkey", S.content_digest(F.col("p_name"), F.col("p_type"), domain="finding").alias("fingerprint"))
+
+
 @query("l10_presentation_roots", "SELECT node_id FROM nodes WHERE kind IN ('customer', 'order') AND node_id NOT IN (SELECT dst FROM edges WHERE relation = 'owns')", "nodes edges")
 def _(s: Source):
     children = s.edges.where("relation = 'owns'").select(F.col("dst").alias("node_id"))
@@ -285,6 +297,11 @@ def _(s: Source):
     return V.unreferenced(s.part.select("p_partkey"), "p_partkey", s.lineitem.where("l_orderkey < 3000").select(F.col("l_partkey").alias("p_partkey"))).withColumn("state", F.lit("orphan"))
 
 
+@query("v9_recovery_scan_whole", "SELECT p_partkey, 'orphan' AS state FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+def _(s: Source):
+    return V.unreferenced(s.part.select("p_partkey"), "p_partkey", s.lineitem.select(F.col("l_partkey").alias("p_partkey"))).withColumn("state", F.lit("orphan"))
+
+
 @query("c1_map", "SELECT at AS root, edge_id, n.kind AS adjacent_kind FROM (SELECT src AS \"at\", dst AS \"to\", edge_id FROM edges UNION ALL SELECT dst, src, edge_id FROM edges WHERE src <> dst) e JOIN nodes n ON n.node_id = e.\"to\" WHERE \"at\" = 'part:3'".replace("SELECT at AS root", "SELECT \"at\" AS root"), "nodes edges")
 def _(s: Source):
     from evidentia.operators import graph as G
@@ -333,6 +350,12 @@ def _(s: Source):
     return T.manifest_lines(s.documents.where("n_chars < 1000"), "doc_id", "text").select("doc_id", "line", "kind", "byte_start")
 
 
+@query("s4_manifest_lines_whole", """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, CASE WHEN trim(l) = '' THEN 'blank' WHEN starts_with(l, '##') THEN 'metadata' WHEN starts_with(l, '#') THEN 'comment' ELSE 'file' END AS kind,
+    CAST(sum(strlen(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(l) - 1 AS BIGINT) AS byte_start FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)""")
+def _(s: Source):
+    return T.manifest_lines(s.documents, "doc_id", "text").select("doc_id", "line", "kind", "byte_start")
+
+
 @query("s2_pinned_read", "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'digest_mismatch' ELSE 'ok' END AS state FROM documents")
 def _(s: Source):
     pins = s.documents.select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.sha2("text", 256)).alias("expected"))
@@ -350,12 +373,6 @@ def _(s: Source):
     return els.where("tag = 'p'").groupBy("page_id").agg(count().alias("paragraphs"))
 
 
-@query("s4_manifest_lines_whole", """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, CASE WHEN trim(l) = '' THEN 'blank' WHEN starts_with(l, '##') THEN 'metadata' WHEN starts_with(l, '#') THEN 'comment' ELSE 'file' END AS kind,
-    CAST(sum(strlen(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(l) - 1 AS BIGINT) AS byte_start FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)""")
-def _(s: Source):
-    return T.manifest_lines(s.documents, "doc_id", "text").select("doc_id", "line", "kind", "byte_start")
-
-
 @query("s8_s9_api_documents", "SELECT l_orderkey AS api, count(*) AS arguments, count(*) FILTER (l_linestatus = 'O') AS nilable FROM lineitem GROUP BY l_orderkey")
 def _(s: Source):
     rows = s.members.groupBy("api").agg(F.array_sort(F.collect_list(F.struct("position", "original_type", "nilable"))).alias("args"))
@@ -398,6 +415,11 @@ def _(s: Source):
     return s.documents.where("n_chars < 800").select("doc_id", F.posexplode(S.word_tokens(F.col("text"))).alias("pos", "token"))
 
 
+@query("s18_token_table_whole", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w AS token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w, unnest(generate_series(1, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')))) AS i FROM documents)")
+def _(s: Source):
+    return s.documents.select("doc_id", F.posexplode(S.word_tokens(F.col("text"))).alias("pos", "token"))
+
+
 @query("s14_s15_v5_published_version", "SELECT p_partkey, p_name FROM part WHERE p_size > 25")
 def _(s: Source):
     from evidentia.shared import new_folder
@@ -415,11 +437,6 @@ def _(s: Source):
 
 @query("s17_stub_sink", "SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT l_orderkey, count(*) + 1 AS n FROM lineitem GROUP BY l_orderkey)")
 def _(s: Source):
-@query("s18_token_table_whole", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w AS token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w, unnest(generate_series(1, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')))) AS i FROM documents)")
-def _(s: Source):
-    return s.documents.select("doc_id", F.posexplode(S.word_tokens(F.col("text"))).alias("pos", "token"))
-
-
     from evidentia.shared import new_folder
 
     folder = new_folder(s.spark, "stubs")
@@ -435,3 +452,10 @@ def _(s: Source):
     sizes = s.part.where("p_partkey < 200").select(F.octet_length("p_name").alias("b"), n).groupBy(F.floor(F.col("r") / 10).alias("page")).agg(F.sum("b").cast("long").alias("content"))
     fix = F.element_at(F.filter(F.sequence(F.lit(1), F.lit(8)), lambda d: F.length((F.col("content") + d).cast("string")) == d), 1)
     return sizes.select("page", (F.col("content") + fix).alias("bytes"))
+
+
+@query("k6_page_fixpoint_whole", "SELECT CAST(page AS BIGINT) AS page, CAST(total AS BIGINT) AS bytes FROM (SELECT page, s + CASE WHEN s + 2 < 100 THEN 2 ELSE 3 END AS total FROM (SELECT r // 10 AS page, sum(length(p_name)) AS s FROM (SELECT p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part) GROUP BY r // 10))")
+def _(s: Source):
+    sizes = R.numbered(s.part.select("p_partkey", F.octet_length("p_name").alias("b")), "p_partkey").groupBy(F.floor(F.col("r") / 10).alias("page")).agg(F.sum("b").cast("long").alias("content"))
+    fix = F.element_at(F.filter(F.sequence(F.lit(1), F.lit(8)), lambda d: F.length((F.col("content") + d).cast("string")) == d), 1)
+    return sizes.select("page", (F.col("content") + fix).alias("bytes"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia import catalog
+from evidentia.operators import ranking
 
 TEXTS = [(1, "short one\n\n## m\n# c\nfile"), (2, "\n".join(f"Long line {i} of thé text" for i in range(120))), (3, ""), (4, "x " * 900)]
 
@@ -31,3 +32,19 @@ def test_long_texts(spark, folder):
     assert rows(spark, folder, "w6_ordinals_whole") == lines
     starts = [(d, i, len("".join(f"{s}\n" for s in t.split("\n")[:i]).encode())) for d, t in TEXTS for i in range(len(t.split("\n")))]
     assert [(d, i, at) for d, i, _, at in rows(spark, folder, "s4_manifest_lines_whole")] == starts
+
+
+def test_all_ids(spark, folder):
+    assert rows(spark, folder, "v9_recovery_scan_whole") == [(p, "orphan") for p in range(1101, 1200)]
+    assert len(rows(spark, folder, "d8_load_units_whole")) == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    pages = rows(spark, folder, "k6_page_fixpoint_whole")
+    assert pages == [(p, (n := sum(len(f"part {i}") for i in range(10 * p + 1, min(1200, 10 * p + 11)))) + (2 if n + 2 < 100 else 3)) for p in range(120)]
+
+
+def test_places_over_several_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranking.numbered(spark.range(0, 5000, 1, 6).select((F.col("id") * 7919 % 5003).alias("k")), "k").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.r for r in sorted(got)] == list(range(5000))
