@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_LABELLED = 20_000
+PARTS = 32  # of the labelled texts
 
 
 def crc_part(modulus: int) -> Column:
@@ -23,5 +24,12 @@ def pick(labels: DataFrame, label: str, usable: Column, most: int = MAX_LABELLED
 
 
 def labelled_texts(documents: DataFrame, picked: DataFrame) -> DataFrame:
-    """(doc_id, text, y); ``picked`` has a fixed number of small rows and is broadcast."""
-    return documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(picked), "doc_id")
+    """(doc_id, text, y) of distinct texts; ``picked`` has a fixed number of small rows and is broadcast.
+
+    Of rows with one id the smallest text counts, so there are no more rows than
+    picked ids.  Equal texts are one row with the smallest id, 1 if half of them are.
+    """
+    rows = documents.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), (F.avg("y") >= 0.5).cast("int").alias("y"))
+    return rows.select("doc_id", "text", "y").repartition(PARTS, "doc_id")
