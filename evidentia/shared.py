@@ -24,12 +24,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared folder, deleted with what it holds when the session's driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """The rows, computed once and stored in the shared folder."""
+ROWS_A_FILE = 250_000  # of few numbers each
+
+
+def keep(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows, computed once and stored in the shared folder.
+
+    ``rows``: a bound on how many narrow rows there are, if the caller knows one; they
+    are then stored in as many files as that takes, not in one for each partition.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 
