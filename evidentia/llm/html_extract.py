@@ -4,7 +4,14 @@ A page is read into a light tree: comments, scripts and styles are skipped, end
 tags that browsers imply are supplied, unclosed elements end with their parent.
 Text is gathered into blocks, which end wherever a block element starts or ends.
 Subtrees whose tag, role, class or id names page furniture (menus, headers,
-footers, sidebars, notices, adverts, forms, comments) are set aside.
+footers, sidebars, notices, adverts, forms, comments) are set aside.  A name is read
+by its parts: what counts is the whole name, or its last part after words for boxes
+and lists (``cookie-banner``, ``comments-area``), or a first part that hardly names
+anything else (``sidebar-left``); states such as ``has-sidebar`` say nothing.  An
+element with most of the page's text is no furniture, whatever its name, if it holds
+an article or the page's title, is named like one too, or the page has neither (of
+comments: with nearly all of the text, and the title); neither is the header of an
+article.
 
 Every remaining paragraph gives 1 point, 1 for each comma and up to 3 for its
 length to its parent, half of that to the grandparent and a falling share to
@@ -12,17 +19,25 @@ further ancestors.  A container's points are scaled by 1 - link density.  The
 best container, or the article or main element around it, is kept with those of
 its siblings that score well themselves or are plain running text.
 
+Reading and scoring take time in proportion to the page: an unclosed tag or quote
+is looked for once, ends of tags that are not open are skipped, and sums over
+ancestors are taken once for each element.
+
 Cases: a null or empty page, and one without text, give an empty text; a page
 with no scoring container keeps the blocks outside furniture that are not mostly
-links; null ids and URLs are carried; repeated rows are extracted alike; page
-depth is not limited (no recursion); other columns are ignored.
+links; between equal containers the outer or earlier one is kept; null ids and URLs
+are carried; repeated rows are extracted alike; length and depth of a page are not
+limited (no recursion); an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,41 +51,127 @@ CLOSES_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead",
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 FENCE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 FURNITURE = frozenset("nav header footer aside form button select dialog menu".split())
+ALWAYS = frozenset("nav footer button select".split())  # furniture however much text they hold
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|rail|footer|foot|header|masthead|comments?|comment-list|respond|replies|disqus|discussion|share|sharing|social|related|recommend(?:ed|ations)?|newsletter|subscribe|signup|sign-up|login|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|toolbar|widget|pagination|pager|tags|copyright|legal|search)(?:$|[\s_-])|(?:sidebar|comments?|navbar|advert|cookie|newsletter)",
-    re.I,
-)
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promotions banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar comment comments commentlist respond replies reply disqus discussion share sharing social related recommend recommended recommendation recommendations newsletter subscribe subscription signup login signin cookie cookies consent gdpr notice notices alert alerts popup modal overlay toolbar widget widgets pagination pager tags copyright legal search searchform skip".split()
+)
+FIRST = frozenset("ad ads advert advertisement nav navbar breadcrumb breadcrumbs sidebar footer comment comments cookie cookies newsletter related sponsored masthead disqus".split())
+COMMENTS = frozenset("comment comments commentlist respond replies reply disqus discussion".split())
+BOXES = frozenset("wrap wrapper container box inner outer holder area section block list row col column item items left right top bottom bar slot links link buttons button posts articles stories group panel region zone unit primary secondary global site".split())
+STATES = frozenset("has with no without is not hide show js".split())
 LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
 PARAGRAPH = frozenset("p pre blockquote td dd li div section article main body figcaption".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+)|<", re.S)
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+LEAVES = frozenset("p pre blockquote td dd li figcaption".split())  # that pass their points to the parent
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>=]")
+ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SPACES = re.compile(r"\s+")
 _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
+@lru_cache(maxsize=4096)
+def named(token: str) -> int:
+    """0: a class or id that says nothing of furniture, 1: furniture, 2: reader comments."""
+    parts = [p.lower() for p in PARTS.findall(token)]
+    if not parts or parts[0] in STATES:
+        return 0
+    heads = {"".join(parts), parts[0] if parts[0] in FIRST else ""}
+    while len(parts) > 1 and (parts[-1] in BOXES or parts[-1].isdigit()):
+        parts.pop()
+    found = (heads | {parts[-1]}) & NAMES
+    return 2 if found & COMMENTS else int(bool(found))
+
+
 class Node:
-    __slots__ = ("at", "chars", "furniture", "likely", "link_chars", "parent", "points", "tag")
+    __slots__ = ("block", "branch", "chars", "holds", "likely", "link_chars", "mark", "parent", "points", "role", "sealed", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, furniture: bool, likely: int, at: int):
-        self.tag, self.parent, self.furniture, self.likely, self.at = tag, parent, furniture, likely, at
+    def __init__(self, tag: str, parent: Node | None):
+        self.tag, self.parent = tag, parent
+        self.block = self if parent is None or tag in BLOCK else parent.block  # the innermost block element
+        self.role = self.likely = self.holds = 0  # holds: bit 0 an article, bit 1 a title; role: 0 page, 1 furniture, 2 comments, 3 always furniture
         self.points, self.chars, self.link_chars = 0.0, 0, 0
+        self.branch: Node | None = None
+        self.mark = self.sealed = False
+
+
+class Tags:
+    """Tags of a page and the text between them, found in one pass."""
+
+    def __init__(self, page: str):
+        self.page, self.no_end = page, False
+        self.no_quote = {'"': False, "'": False}
+
+    def end_of(self, at: int) -> int:
+        """Place of the > that ends the tag at ``at``, quoted values skipped; -1 if none follows."""
+        page = self.page
+        while not self.no_end:
+            m = STOP.search(page, at)
+            if m is None or (m[0] == "=" and page.find(">", m.end()) < 0):
+                break
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            while at < len(page) and page[at].isspace():
+                at += 1
+            quote = page[at : at + 1]
+            if quote in self.no_quote and quote and not self.no_quote[quote]:
+                close = page.find(quote, at + 1)
+                if close < 0:
+                    self.no_quote[quote] = True
+                else:
+                    at = close + 1
+        self.no_end = page.find(">", at) < 0
+        return -1
+
+    def __iter__(self) -> Generator[tuple[str, str, str, int], int | None]:
+        """(kind, name or text, attributes, where it ends); kind: text, < or /.  A place sent back is where to go on."""
+        page, at, size = self.page, 0, len(self.page)
+        while at < size:
+            if page[at] != "<":
+                to = page.find("<", at)
+                to = size if to < 0 else to
+                yield "text", page[at:to], "", to
+                at = to
+                continue
+            if page.startswith("<!--", at):
+                to = page.find("-->", at + 4)
+                at = size if to < 0 else to + 3
+                continue
+            closing = page.startswith("/", at + 1)
+            m = NAME.match(page, at + 1 + closing)
+            if m is None and page[at + 1 : at + 2] not in ("!", "?", "/") or self.no_end:
+                yield "text", "<", "", at + 1
+                at += 1
+                continue
+            to = self.end_of(m.end()) if m else page.find(">", at)
+            if to < 0:  # never ended: text
+                yield "text", "<", "", at + 1
+                at += 1
+                continue
+            if m:
+                onward = yield ("/" if closing else "<"), m[0].lower(), page[m.end() : to], to + 1
+                if onward is not None:
+                    yield "", "", "", onward
+                    at = onward
+                    continue
+            at = to + 1
 
 
-def parse(page: str) -> list[tuple[Node, str, int]]:
-    """Blocks in page order: innermost element, text, and characters that are link text."""
-    root = Node("html", None, False, 0, 0)
-    stack, blocks, text, links, in_link, count = [root], [], [], 0, 0, 0
+def parse(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
+    """Blocks in page order (innermost block element, text, characters that are link text), and all elements, parents first."""
+    root = Node("html", None)
+    stack, nodes, blocks, text, links, in_link = [root], [root], [], [], 0, 0
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal links
         if text:
-            joined = SPACES.sub(" ", html.unescape("".join(text))).strip()
+            joined = SPACES.sub(" ", "".join(text)).strip()
             if joined:
-                owner = stack[-1]
-                while owner.tag not in BLOCK and owner.parent is not None:
-                    owner = owner.parent
-                blocks.append((owner, joined, min(links, len(joined))))
+                blocks.append((stack[-1].block, joined, min(links, len(joined))))
             text.clear()
         links = 0
 
@@ -78,24 +179,21 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
         nonlocal in_link
         for node in stack[to:]:
             in_link -= node.tag == "a"
+            opened[node.tag] -= 1
         del stack[to:]
 
-    at, size = 0, len(page)
-    while at < size:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        if m[4] is not None or m[0] == "<":
-            text.append(m[0] if m[0] != "<" else "&lt;")
+    tags = iter(Tags(page))
+    for kind, tag, attributes, at in tags:
+        if kind == "text":
+            piece = html.unescape(tag) if "&" in tag else tag
+            text.append(piece)
             if in_link:
-                links += len(m[0].strip())
+                links += len(piece.strip())
             continue
-        if m[2] is None:  # comment, doctype
-            continue
-        tag = m[2].lower()
-        if m[1]:  # end tag
+        if kind == "/":
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -105,98 +203,121 @@ def parse(page: str) -> list[tuple[Node, str, int]]:
         if tag in VOID:
             if tag == "hr":
                 flush()
-            elif tag in ("br", "wbr", "img"):
-                text.append(" " if tag == "br" else "")
+            elif tag == "br":
+                text.append(" ")
             continue
         if tag in RAW:
-            end = _ENDS[tag].search(page, at) if not m[3].endswith("/") else None
-            at = end.end() if end else (at if m[3].endswith("/") else size)
+            if not attributes.endswith("/"):
+                end = _ENDS[tag].search(page, at)
+                tags.send(end.end() if end else len(page))
             continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and opened["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
                         close(k)
                         break
                     if stack[k].tag in BLOCK:
                         break
-            if tag in IMPLIED:
-                k = len(stack) - 1
+            if tag in IMPLIED and any(opened[t] > 0 for t in IMPLIED[tag]):
                 last = None
-                while k > 0 and stack[k].tag not in FENCE[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in FENCE[tag]:
+                        break
                     if stack[k].tag in IMPLIED[tag]:
                         last = k
-                    k -= 1
                 if last is not None:
                     close(last)
-        parent = stack[-1]
-        furniture, likely = parent.furniture or tag in FURNITURE, 0
-        if m[3] and not furniture:
-            names = []
-            for name, a, b, c in ATTRIBUTE.findall(m[3]):
-                name, value = name.lower(), a or b or c
-                if name in ("class", "id"):
-                    names.append(value)
-                elif name == "role":
-                    furniture = furniture or value.lower() in ROLES
-                elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-                    furniture = True
-            if names and tag not in ("html", "body", "article", "main"):
-                furniture = furniture or any(UNLIKELY.search(n) for n in names)
-            likely = 25 * any(LIKELY.search(n) for n in names)
-        count += 1
-        stack.append(Node(tag, parent, furniture, likely + {"article": 25, "main": 20}.get(tag, 0), count))
-        if tag == "a":
-            in_link += 1
+        node = Node(tag, stack[-1])
+        describe(node, attributes, opened["article"] + opened["main"] > 0)
+        stack.append(node)
+        nodes.append(node)
+        opened[tag] += 1
+        in_link += tag == "a"
     flush()
-    return blocks
+    return blocks, nodes
+
+
+def describe(node: Node, attributes: str, in_article: bool) -> None:
+    """Whether an element's tag, role and names say furniture or text."""
+    tag, role = node.tag, 0
+    if tag in FURNITURE and not (tag == "header" and in_article):
+        role = 3 if tag in ALWAYS else 1
+    likely = False
+    for name, a, b, c in ATTRIBUTE.findall(attributes) if "=" in attributes or "hidden" in attributes else ():
+        name, value = name.lower(), a or b or c
+        if name in ("class", "id"):
+            likely = likely or LIKELY.search(value) is not None
+            if tag not in ("html", "body", "article", "main"):
+                role = max([role, *map(named, value.split())])
+        elif name == "role" and value.lower() in ROLES:
+            role = max(role, 1)
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
+            role = 3
+    node.role, node.likely = role, 25 * likely + {"article": 25, "main": 20}.get(tag, 0)
 
 
-def inside(node: Node | None, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.parent
-    return False
+def seal(blocks: list[tuple[Node, str, int]], nodes: list[Node]) -> None:
+    """Mark what lies in furniture: whatever is named so and does not hold the page's article, by its text and headings."""
+    for node in nodes:
+        node.sealed = node.role == 3 or (node.parent is not None and node.parent.sealed)
+    free = 0
+    for node, text, _ in blocks:
+        if not node.sealed:
+            node.chars += len(text)
+            free += len(text)
+    for node in reversed(nodes):
+        node.holds |= {"article": 1, "main": 3, "h1": 3}.get(node.tag, 0) * (not node.sealed)
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.holds |= node.holds
+    for node in nodes:
+        text = (node.role == 1 and node.chars > 0.5 * free and (node.likely or node.holds)) or (node.role == 2 and node.chars > 0.9 * free and node.holds > 1)
+        text = text or (node.role < 3 and node.chars > 0.9 * free and not nodes[0].holds)
+        node.sealed = node.role == 3 or (node.role > 0 and not text) or (node.parent is not None and node.parent.sealed)
+    for node in nodes:
+        node.chars = 0
 
 
 def main_text(page: str | None) -> str:
     """The page's main text, blocks joined by an empty line."""
     if not page:
         return ""
-    blocks = [b for b in parse(page) if not b[0].furniture]
+    blocks, nodes = parse(page)
+    seal(blocks, nodes)
+    blocks = [b for b in blocks if not b[0].sealed]
     if not blocks:
         return ""
-    scored: dict[int, Node] = {}
+    scored: list[Node] = []
     for node, text, links in blocks:
-        up = node
-        while up is not None:
-            up.chars += len(text)
-            up.link_chars += links
-            up = up.parent
+        node.chars += len(text)
+        node.link_chars += links
         if node.tag not in PARAGRAPH or len(text) < 25:
             continue
         points = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)) * (1 - links / len(text))
-        up, level = (node.parent if node.tag in ("p", "pre", "blockquote", "td", "dd", "li", "figcaption") and node.parent else node), 0
+        up, level = (node.parent if node.tag in LEAVES and node.parent else node), 0
         while up is not None and level < 6:
             if not up.points:
                 up.points = float(up.likely) + 1e-9
+                scored.append(up)
             up.points += points / (1, 2, 6, 9, 12, 15)[level]
-            scored[id(up)] = up
             up, level = up.parent, level + 1
-    final = {k: n.points * (1 - n.link_chars / max(n.chars, 1)) for k, n in scored.items() if n.tag not in ("html",)}
-    semantic = {}
-    for node, *_ in blocks:
-        up = node
-        while up is not None:
-            if up.tag in ("article", "main"):
-                semantic[id(up)] = up
-            up = up.parent
-    if final:
-        top = scored[max(final, key=lambda k: (final[k], -scored[k].at))]
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.link_chars += node.link_chars
+
+    def final(node: Node) -> float:
+        return node.points * (1 - node.link_chars / max(node.chars, 1))
+
+    place = {id(n): i for i, n in enumerate(nodes)}
+    some = [n for n in scored if n.tag != "html"]
+    semantic = [n for n in nodes if n.tag in ("article", "main") and n.chars]
+    if some:
+        top = max(some, key=lambda n: (final(n), -place[id(n)]))
     elif semantic:
-        top = max(semantic.values(), key=lambda n: (n.chars, -n.at))
+        top = max(semantic, key=lambda n: (n.chars, -place[id(n)]))
     else:
         return "\n\n".join(t for _, t, links in blocks if links <= len(t) / 2)
     up = top
@@ -206,21 +327,22 @@ def main_text(page: str | None) -> str:
             if up.tag == "article":
                 break
         up = up.parent
-    floor = max(10.0, 0.2 * final.get(id(top), 0.0))
+    for node in nodes:
+        up = node.parent
+        node.mark = node is top or (up is not None and up.mark)
+        node.branch = node if up is not None and up is top.parent else up.branch if up is not None else None
+    floor, alone = 0.2 * final(top), top.tag in ("article", "main")
     kept = []
     for node, text, links in blocks:
-        if inside(node, top):
-            kept.append(text)
-            continue
-        child = node
-        while child is not None and child.parent is not top.parent:
-            child = child.parent
-        if child is None or top.parent is None or top.tag in ("body",):
-            continue
-        loose = links / len(text)
-        running = child is node and child.tag == "p" and ((len(text) > 80 and loose < 0.25) or (loose == 0 and len(text) > 25 and text.endswith((".", "!", "?"))))
-        if final.get(id(child), 0.0) >= floor or (running and top.tag not in ("article", "main")) or (child is node and re.match("h[1-6]$", child.tag) and top.tag not in ("article", "main")):
+        child = node.branch
+        if node.mark:
             kept.append(text)
+        elif child is not None and top.tag != "body":
+            loose = links / len(text)
+            running = child is node and child.tag == "p" and ((len(text) > 80 and loose < 0.25) or (loose == 0 and len(text) > 25 and text.endswith((".", "!", "?"))))
+            good = child.points and final(child) >= floor and child.link_chars <= child.chars / 2
+            if good or (not alone and (running or (child is node and re.match("h[1-6]$", child.tag)))):
+                kept.append(text)
     return "\n\n".join(kept)
 
 
