@@ -4,18 +4,22 @@ A seed is a mask over consecutive words: hashed positions and ignored ones.  The
 words of every test item and every training document are hashed under each mask
 at every position, so that a replaced word hides a seed only where a mask looks
 at it.  Hashes met on both sides give alignments (document, item, offset), and
-each is verified word by word around the hit: the best run of the alignment,
-where a match counts 1 and a replaced word -`PENALTY`, must hold at least
-``min_words`` matches (or the whole item, if shorter) at ``min_identity``.
+each is verified word by word around the hit.  An item of over ``SHORT`` words
+overlaps if the best run of the alignment, where a match counts 1 and a replaced word
+-`PENALTY`, holds at least ``min_words`` matches at ``min_identity``; a shorter one if
+that share of all its words matches; one of fewer than ``TOLERANT`` words only as a
+whole.  The masks of each length were searched for so that, at the default limits,
+replaced words can't hide every seed from the shortest overlap that counts.
 
 Test items are the smaller side.  They go to the executors as sorted arrays in
 blocks of at most ``BLOCK_WORDS`` words, each a pass over the documents, so what
 is broadcast has a fixed bound and any number of items is handled exactly.
 
-Cases: items and documents that are null, empty or shorter than ``min_item``
-words match nothing; an item shorter than the masks is looked up as a whole;
-repeated rows are reported again; null ids are carried; an empty side gives no
-rows; other columns are ignored.
+Cases: null and empty items and documents match nothing, nor do items shorter than
+``min_item`` words (by default there are none); very long texts are searched whole;
+repeated rows are reported again; of equally good places of an item in a document the
+first is reported; null ids are carried; an empty side gives no rows (``clean`` then
+keeps all); other columns are ignored, whatever their names (``clean`` carries them).
 """
 
 from __future__ import annotations
@@ -29,9 +33,17 @@ from pyspark.sql import DataFrame
 
 from evidentia.llm.textblocks import _POSITION, mix, word_slices
 
-MASKS = ("111111", "1101101101", "11011000111", "101110010011")
 PENALTY = 2
-MIN_WORDS, MIN_IDENTITY, MIN_ITEM = 10, 0.75, 5
+MIN_WORDS, MIN_IDENTITY, MIN_ITEM = 10, 0.75, 1
+SHORT, TOLERANT = 12, 5
+# by the least length of an item; found by search, tests check that they miss nothing
+MASKS = {
+    13: ("11111", "110111", "1101000011", "100001111"),
+    12: ("10111", "11101"),
+    8: ("1111", "11011", "1100011"),
+    5: ("1111", "10111", "11011", "11101"),
+    **{n: ("1" * n,) for n in range(1, TOLERANT)},
+}
 BLOCK_WORDS = 1 << 18
 _BITS = 22
 
@@ -44,8 +56,9 @@ def seed_hash(hashes: np.ndarray, at: np.ndarray, mask: str) -> np.ndarray:
     return mix(total)
 
 
-def whole_hash(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    return seed_hash(hashes, at, "1" * n)
+def masks_for(n: int) -> tuple[str, ...]:
+    """The masks of items of n words."""
+    return MASKS[max(k for k in MASKS if k <= n)]
 
 
 @dataclass
@@ -58,31 +71,27 @@ class SeedIndex:
     keys: np.ndarray
     item: np.ndarray
     offset: np.ndarray
-    short: list[int]  # lengths of items that are shorter than the longest mask
+    masks: list[str]  # that are in use
 
     @classmethod
     def build(cls, ids: list, items: list[np.ndarray], min_item: int) -> SeedIndex:
         starts = np.concatenate([[0], np.cumsum([len(w) for w in items])]).astype(np.int64)
         words = np.concatenate([*items, np.zeros(0, np.uint64)])
-        keys, item, offset, short = [], [], [], set()
-        longest = max(map(len, MASKS))
+        keys, item, offset, masks = [], [], [], set()
         for n, w in enumerate(items):
-            if len(w) < min_item:
+            if len(w) < max(1, min_item):
                 continue
-            if len(w) < longest:
-                short.add(len(w))
-                found = [(whole_hash(w, np.zeros(1, np.int64), len(w)), np.zeros(1, np.int64))]
-            else:
-                found = [(seed_hash(w, at, m), at) for m in MASKS if len(at := np.arange(len(w) - len(m) + 1))]
-            for h, at in found:
-                keys.append(h)
-                item.append(np.full(len(h), n))
+            for mask in masks_for(len(w)):
+                at = np.arange(len(w) - len(mask) + 1)
+                masks.add(mask)
+                keys.append(seed_hash(w, at, mask))
+                item.append(np.full(len(at), n))
                 offset.append(at)
         if not keys:
             return cls(np.array(ids, object), words, starts, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [])
         keys, item, offset = np.concatenate(keys), np.concatenate(item), np.concatenate(offset)
         order = np.argsort(keys, kind="stable")
-        return cls(np.array(ids, object), words, starts, keys[order], item[order], offset[order], sorted(short))
+        return cls(np.array(ids, object), words, starts, keys[order], item[order], offset[order], sorted(masks))
 
     def filter(self) -> np.ndarray:
         bits = np.zeros(1 << _BITS, bool)
@@ -91,7 +100,8 @@ class SeedIndex:
 
     def hits(self, hashes: np.ndarray, doc: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(position, item, offset in the item) of each seed met, mask by mask."""
-        for mask in (*MASKS, *("1" * n for n in self.short)):
+        whole = np.diff(self.starts) < TOLERANT
+        for mask in self.masks:
             n = len(hashes) - len(mask) + 1
             if n <= 0:
                 continue
@@ -104,7 +114,10 @@ class SeedIndex:
             if count.any():
                 pos = np.repeat(at, count)
                 place = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                yield pos, self.item[place], self.offset[place]
+                item, offset = self.item[place], self.offset[place]
+                # what only counts as a whole counts once a document
+                once = np.unique(np.stack([doc[pos], np.where(whole[item], item, -1 - np.arange(len(item)))]), axis=1, return_index=True)[1] if whole[item].any() else slice(None)
+                yield pos[once], item[once], offset[once]
 
 
 def best_run(equal: np.ndarray) -> tuple[int, int, int]:
@@ -158,8 +171,15 @@ def found_in(column: pa.Array, index: SeedIndex, bits: np.ndarray, min_words: in
                 tried.add((p, t, o))
                 a, b = int(index.starts[t]), int(index.starts[t + 1])
                 low, high = max(p, int(bounds[o])), min(p + b - a, int(bounds[o + 1]))
-                start, end, n = best_run(s.hashes[low:high] == index.words[a + low - p : a + high - p])
-                if n >= min(min_words, b - a) and n >= min_identity * (end - start):
+                equal = s.hashes[low:high] == index.words[a + low - p : a + high - p]
+                if b - a > SHORT:
+                    start, end, n = best_run(equal)
+                    enough = n >= min_words and n >= min_identity * (end - start)
+                else:
+                    same = np.flatnonzero(equal)
+                    start, end, n = int(same[0]), int(same[-1]) + 1, len(same)
+                    enough = n >= (b - a if b - a < TOLERANT else min_identity * (b - a))
+                if enough:
                     row = (n, end - start, b - a, low + start - int(bounds[o]))
                     best = found.get((o, t))
                     if best is None or (-row[0], row[3], row[1]) < (-best[0], best[3], best[1]):
