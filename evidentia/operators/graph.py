@@ -7,7 +7,9 @@ a small table of relations; whatever is read from it is one row for each relatio
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,25 +80,6 @@ def subgraph(edges: DataFrame, roots: DataFrame, relations: Sequence[str], direc
     return seen.select("node_id", "depth", "edge_id")
 
 
-def simple_paths(edges: DataFrame, root: str, target: str, relations: Sequence[str], ceiling: int = DERIVED, depth: int = 16, most: int = 64, after: Sequence[str] | None = None) -> DataFrame:
-    """Paths without a repeated node in edge-id order, at most ``most`` of those after the cursor, with the weakest confidence."""
-    hops = edges.where(F.col("relation").isin(*relations) & (F.col("confidence") <= ceiling)).select("src", "dst", "edge_id", "confidence")
-    spark = edges.sparkSession
-    front = spark.createDataFrame([(root, [root], [], 0)], "node string, visited array<string>, path array<string>, weakest int")
-    done = None
-    for _ in range(depth):
-        step = front.join(hops, front.node == hops.src).where(~F.array_contains("visited", F.col("dst")))
-        front = keep(step.select(F.col("dst").alias("node"), F.concat("visited", F.array("dst")).alias("visited"), F.concat("path", F.array("edge_id")).alias("path"), F.greatest("weakest", "confidence").alias("weakest")))
-        found = front.where(F.col("node") == target)
-        done = found if done is None else done.unionByName(found)
-        front = front.where(F.col("node") != target)
-        if front.isEmpty():
-            break
-    if after is not None:
-        done = done.where(F.col("path") > F.array(*map(F.lit, after)))
-    return done.orderBy("path").limit(most).select("path", F.size("path").alias("length"), "weakest")
-
-
 def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """Nodes that (src, dst) edges reach from the roots, roots included, with the shortest depth."""
     seen = level = keep(roots.select("node_id").distinct().withColumn("depth", F.lit(0)))
@@ -111,23 +94,92 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> D
     return seen
 
 
+SMALL = 100_000  # edges of a graph that one task walks
+
+
+def walk_components(pairs: pa.Table) -> pa.Table:
+    """Components of a small graph by one depth-first walk, without recursion."""
+    after: dict = {}
+    for u, v in zip(pairs.column("src").to_pylist(), pairs.column("dst").to_pylist(), strict=True):
+        after.setdefault(u, []).append(v)
+        after.setdefault(v, [])
+    number: dict = {}
+    low: dict = {}
+    open_nodes, component = [], {}
+    for start in after:
+        if start in number:
+            continue
+        trail = [(start, iter(after[start]))]
+        number[start] = low[start] = len(number)
+        open_nodes.append(start)
+        while trail:
+            node, rest = trail[-1]
+            for child in rest:
+                if child not in number:
+                    number[child] = low[child] = len(number)
+                    open_nodes.append(child)
+                    trail.append((child, iter(after[child])))
+                    break
+                if child not in component:
+                    low[node] = min(low[node], number[child])
+            else:
+                trail.pop()
+                if trail:
+                    low[trail[-1][0]] = min(low[trail[-1][0]], low[node])
+                if low[node] == number[node]:
+                    own = [open_nodes.pop()]
+                    while own[-1] != node:
+                        own.append(open_nodes.pop())
+                    component |= dict.fromkeys(own, min(own))
+    return pa.table({"node_id": list(component), "component": list(component.values())})
+
+
+def spread_least(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Give each node the least label among its own and those of nodes that reach it, by rounds over the nodes that changed."""
+    labels = moved = keep(labels)
+    while not moved.isEmpty():
+        told = moved.select(F.col("node_id").alias("src"), "label").join(pairs, "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("label").alias("new"))
+        both = labels.join(told, "node_id", "left")
+        after = keep(both.select("node_id", F.least("label", "new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
+        moved, labels = after.where("moved").select("node_id", "label"), after.select("node_id", "label")
+    return labels
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node_id, component): the smallest node that reaches it and is reached by it.
 
-    By transitive closure of (src, dst) pairs: meant for dependency graphs, whose
-    reachable pairs fit a table; the closure doubles path lengths each round.
+    By colours, in tables no larger than the edges: nodes without an edge in or out of
+    what is left are components of their own and go; each other node takes the least
+    node that reaches it as its colour; what reaches a colour's own node within the
+    colour is its component and goes as well.  That takes rounds, so up to SMALL edges
+    are walked in one task instead.
     """
-    closure = keep(edges.select("src", "dst").distinct())
-    n = closure.count()
+    pairs = keep(edges.where("src <> dst").select("src", "dst").distinct())
+    if pairs.count() <= SMALL:
+        key = pairs.schema["src"].dataType.simpleString()
+        found = pairs.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(walk_components, f"node_id {key}, component {key}")
+        return nodes.select("node_id").distinct().join(found, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
+    ends = lambda p: (p.select(F.col(c).alias("node_id")) for c in ("src", "dst"))
+    live, done = nodes.select("node_id").unionByName(reduce(DataFrame.unionByName, ends(pairs))).distinct(), []
+
+    def among(some: DataFrame) -> DataFrame:
+        return keep(pairs.join(some.select(F.col("node_id").alias("src")), "src", "left_semi").join(some.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("src", "dst"))
+
     while True:
-        longer = closure.alias("x").join(closure.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"))
-        closure = keep(closure.unionByName(longer).distinct())
-        if (now := closure.count()) == n:
+        core = keep(reduce(DataFrame.intersect, ends(pairs)))
+        done.append(keep(live.join(core, "node_id", "left_anti").withColumn("component", F.col("node_id"))))
+        if core.isEmpty():
             break
-        n = now
-    mutual = closure.alias("x").join(closure.alias("y"), (F.col("x.src") == F.col("y.dst")) & (F.col("x.dst") == F.col("y.src"))).select(F.col("x.src").alias("node_id"), F.col("x.dst").alias("other"))
-    own = nodes.select("node_id", F.col("node_id").alias("other"))
-    return mutual.unionByName(own).groupBy("node_id").agg(F.min("other").alias("component"))
+        pairs = among(core)
+        colour = spread_least(pairs, core.withColumn("label", F.col("node_id")))
+        by = lambda c, name: colour.select(F.col("node_id").alias(c), F.col("label").alias(name))  # noqa: B023, E731
+        same = pairs.join(by("src", "a"), "src").join(by("dst", "b"), "dst").where("a = b")
+        found = reachable(same.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node_id = label"))
+        found = keep(found.select("node_id").join(colour, "node_id").select("node_id", F.col("label").alias("component")))
+        done.append(found)
+        live = keep(core.join(found.select("node_id"), "node_id", "left_anti"))
+        pairs = among(live)
+    return nodes.select("node_id").distinct().join(reduce(DataFrame.unionByName, done), "node_id")
 
 
 def evidence_union(rows: DataFrame, key: str, attributes: Sequence[str], evidence: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.operators.graph import reachable
+from evidentia.operators.graph import reachable, strong_components
 from evidentia.shared import keep
 
 
@@ -106,6 +107,25 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def excerpts(documents: DataFrame, start: int, end: int) -> DataFrame:
-    """Bytes [start, end) of each text, as text."""
-    part = F.substring(F.encode("text", "utf-8"), start + 1, end - start)
-    return documents.select("doc_id", F.decode(part, "utf-8").alias("excerpt"))
+    """(doc_id, excerpt, state) of bytes [start, end) of each (doc_id, text, digest), shrunk to whole characters.
+
+    digest_mismatch: the text is not the one that the digest was taken of, so nothing
+    is read; out_of_range: it ends before ``end``, what there is is read.
+    """
+    raw = F.encode("text", "utf-8")
+    # the first byte of a character is not of the form 10xxxxxx
+    follows = lambda at: F.conv(F.hex(F.substring(raw, at + 1, 1)), 16, 10).cast("int").bitwiseAND(192) == 128
+    low = F.lit(start) + sum((F.when(reduce(Column.__and__, [follows(start + k) for k in range(j + 1)]), 1).otherwise(0) for j in range(3)), F.lit(0))
+    high = F.lit(end) - sum((F.when(reduce(Column.__and__, [follows(end - k) for k in range(j + 1)]), 1).otherwise(0) for j in range(3)), F.lit(0))
+    part = F.decode(raw.substr(low + 1, F.greatest(high - low, F.lit(0))), "utf-8")
+    fits, same = F.octet_length("text") >= end, F.sha2("text", 256) == F.col("digest")
+    state = F.when(F.col("text").isNull() | ~same, "digest_mismatch").when(~fits, "out_of_range").otherwise("read")
+    return documents.select("doc_id", F.when(F.col("text").isNotNull() & same, part).alias("excerpt"), state.alias("state"))
+
+
+def inheritance_cycles(edges: DataFrame) -> DataFrame:
+    """(cycle, members): the smallest element of each cycle of parents or inherits, and how many are on it; one that inherits itself is a cycle of one."""
+    nodes = edges.select(F.col("src").alias("node_id")).unionByName(edges.select(F.col("dst").alias("node_id"))).distinct()
+    size = strong_components(edges, nodes).groupBy(F.col("component").alias("cycle")).agg(F.count(F.lit(1)).alias("members"))
+    own = edges.where("src = dst").select(F.col("src").alias("cycle")).distinct().withColumn("self", F.lit(True))
+    return size.join(own, "cycle", "left").where("members > 1 or self").select("cycle", "members")

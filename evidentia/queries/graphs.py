@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import scalars as S
 from evidentia.operators import graph as G
 from evidentia.operators import load_model as D
+from evidentia.operators import traversal as T
 from evidentia.registry import Source, query
 
 ALL = ("contains", "owned_by", "owns", "uses", "supplied_by")
@@ -45,34 +46,149 @@ def _(s: Source):
     return G.subgraph(e.where("relation <> 'owned_by'").unionByName(turned), s.spark.createDataFrame([("nation:3",)], "node_id string"), ("owns", "uses", "supplied_by", "owned_by"), "out", 3).select("node_id", "depth")
 
 
-PATHS = """WITH RECURSIVE d AS (SELECT DISTINCT package AS src, dependency AS dst FROM dependencies),
-    walk(node, visited, path) AS (SELECT 'pkg1', ['pkg1'], '' UNION ALL SELECT d.dst, list_append(w.visited, d.dst), concat(w.path, '>', d.src, ':', d.dst) FROM walk w JOIN d ON d.src = w.node WHERE w.node <> 'pkg7' AND NOT list_contains(w.visited, d.dst) AND len(w.visited) < 8)"""
+PATHS = """WITH RECURSIVE d AS (SELECT package AS src, dependency AS dst, min(CASE kind WHEN 'required' THEN 0 ELSE 1 END) AS c FROM dependencies GROUP BY package, dependency),
+    walk(node, visited, path, weakest) AS (SELECT 'pkg1', ['pkg1'], CAST([] AS VARCHAR[]), 0 UNION ALL SELECT d.dst, list_append(w.visited, d.dst), list_append(w.path, concat(d.src, ':', d.dst)), greatest(w.weakest, d.c) FROM walk w JOIN d ON d.src = w.node WHERE w.node <> 'pkg7' AND NOT list_contains(w.visited, d.dst) AND len(w.visited) <= 7)"""
 
 
 def package_edges(s: Source):
     return s.dependencies.select(F.concat_ws(":", "package", "dependency").alias("edge_id"), F.col("package").alias("src"), F.col("dependency").alias("dst"), F.lit("depends").alias("relation"), F.when(F.col("kind") == "required", 0).otherwise(1).alias("confidence"))
 
 
-@query("g6_simple_paths", PATHS + " SELECT path FROM walk WHERE node = 'pkg7'", "dependencies")
+def package_paths(s: Source, **budget):
+    e = package_edges(s).groupBy("edge_id", "src", "dst", "relation").agg(F.min("confidence").alias("confidence"))
+    return T.paths(e, "pkg1", "pkg7", {"depends": T.OUT}, G.CANDIDATE, depth=7, **budget)
+
+
+@query("g6_simple_paths", PATHS + " SELECT array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS length, weakest FROM walk WHERE node = 'pkg7' ORDER BY walk.path LIMIT 256", "dependencies")
+def _(s: Source):
+    return package_paths(s, most=256).paths.select(F.array_join("path", ">").alias("path"), "length", "weakest")
+
+
+@query("g6_truncated_paths", PATHS + ", f AS (SELECT path FROM walk WHERE node = 'pkg7') SELECT array_to_string(path, '>') AS path, (SELECT count(*) > 3 FROM f) AS more FROM f ORDER BY f.path LIMIT 3", "dependencies")
+def _(s: Source):
+    p = package_paths(s, most=3)
+    return p.paths.select(F.array_join("path", ">").alias("path"), F.lit("paths" in p.truncations).alias("more"))
+
+
+@query("k7_path_cursor", PATHS + " SELECT array_to_string(path, '>') AS path FROM walk WHERE node = 'pkg7' AND path > ['pkg1:pkg10'] ORDER BY walk.path LIMIT 5", "dependencies")
+def _(s: Source):
+    return package_paths(s, most=5, after=["pkg1:pkg10"]).paths.select(F.array_join("path", ">").alias("path"))
+
+
+# budgets of a subgraph: what nation 3 owns, its edges in the order of their ids
+OWNED = "first AS (SELECT src AS node_id, edge_id, row_number() OVER (ORDER BY edge_id) AS r, sum(strlen(edge_id) + strlen(src) + strlen(dst) + strlen(relation) + strlen(src)) OVER (ORDER BY edge_id) AS bytes FROM edges WHERE relation = 'owned_by' AND dst = 'nation:3')"
+
+
+def truncated_sql(admitted: str, reason: str) -> str:
+    return f"WITH {OWNED} SELECT 'nation:3' AS node_id, 0 AS depth, CAST(NULL AS VARCHAR) AS discovery_edge, '{reason}' AS truncations UNION ALL SELECT node_id, 1, edge_id, '{reason}' FROM first WHERE {admitted}"
+
+
+def owned_by_nation(s: Source, **limits):
+    return T.subgraph(s.nodes, s.edges, ["nation:3"], {"owned_by": T.IN, "owns": T.OUT}, T.Limits(**limits)).with_reasons()
+
+
+@query("g5_truncated_depth", truncated_sql("true", "depth"), "edges")
+def _(s: Source):
+    return owned_by_nation(s, depth=1, nodes=16_384, edges=100_000)
+
+
+@query("g5_truncated_nodes", truncated_sql("r < 10", "nodes"), "edges")
+def _(s: Source):
+    return owned_by_nation(s, nodes=10)
+
+
+@query("g5_truncated_edges", truncated_sql("r <= 7", "edges"), "edges")
 def _(s: Source):
-    e = package_edges(s).dropDuplicates(["src", "dst"])
-    p = G.simple_paths(e, "pkg1", "pkg7", ("depends",), G.CANDIDATE, depth=7, most=100_000)
-    return p.select(F.concat(F.lit(">"), F.array_join("path", ">")).alias("path"))
+    return owned_by_nation(s, edges=7)
 
 
-@query("k7_path_cursor", PATHS + " SELECT path FROM walk WHERE node = 'pkg7' AND path > '>pkg1:pkg10' ORDER BY path LIMIT 5", "dependencies")
+@query("g5_truncated_expansions", truncated_sql("r <= 5", "expansions"), "edges")
 def _(s: Source):
-    e = package_edges(s).dropDuplicates(["src", "dst"])
-    p = G.simple_paths(e, "pkg1", "pkg7", ("depends",), G.CANDIDATE, depth=7, most=5, after=["pkg1:pkg10"])
-    return p.select(F.concat(F.lit(">"), F.array_join("path", ">")).alias("path"))
+    return owned_by_nation(s, expansions=5)
+
+
+@query("g5_truncated_output_bytes", truncated_sql("bytes <= 600 - 8", "output_bytes"), "edges")
+def _(s: Source):
+    return owned_by_nation(s, output_bytes=600)
+
 
+VISITED = """WITH RECURSIVE d AS (SELECT DISTINCT package AS src, dependency AS dst FROM dependencies WHERE dependency IN (SELECT package FROM packages)),
+    walk(node, depth) AS (SELECT 'pkg1', 0 UNION SELECT d.dst, walk.depth + 1 FROM walk JOIN d ON d.src = walk.node WHERE walk.depth < 2), v AS (SELECT DISTINCT node FROM walk)"""
 
-@query("g7_ownership_axis", """SELECT c.node_id, p.node_id AS ancestor, 1 AS depth FROM nodes c JOIN nodes p ON c.owner_key = p.node_id WHERE c.kind = 'supplier' UNION ALL SELECT c.node_id, r.node_id, 2 FROM nodes c JOIN nodes p ON c.owner_key = p.node_id JOIN nodes r ON p.owner_key = r.node_id WHERE c.kind = 'supplier'""", "nodes")
+
+@query("g5_edges_among_visited", VISITED + " SELECT concat(src, ':', dst) AS edge_id, src, dst FROM d WHERE src IN (SELECT node FROM v) AND dst IN (SELECT node FROM v)", "packages dependencies")
 def _(s: Source):
-    up = s.nodes.where("kind in ('supplier', 'nation')").select("node_id", F.col("owner_key").alias("ancestor"))
-    first = up.where("node_id like 'supplier:%'").withColumn("depth", F.lit(1))
-    second = first.select("node_id", F.col("ancestor").alias("mid")).join(up.select(F.col("node_id").alias("mid"), "ancestor"), "mid").select("node_id", "ancestor", F.lit(2).alias("depth"))
-    return first.unionByName(second)
+    e = package_edges(s).groupBy("edge_id", "src", "dst", "relation").agg(F.min("confidence").alias("confidence"))
+    e = e.join(s.packages.select(F.col("package").alias("dst")), "dst").select("edge_id", "src", "dst", "relation", "confidence")
+    return T.subgraph(s.packages.select(F.col("package").alias("node_id")), e, ["pkg1"], {"depends": T.OUT}, T.Limits(depth=2)).edges.select("edge_id", "src", "dst")
+
+
+REGISTRY = {f"definition/{r}": r for recipe in T.AXES.values() for r in recipe}
+#: the test graph's relations as the axes know them
+STORED = {"contains": "parent_of", "owns": "owns", "uses": "calls", "supplied_by": "inherits", "owned_by": "mixes_in"}
+
+
+def along(s: Source, axis: str, traversal: str, roots: list[str], **limits):
+    stored = F.create_map(*[F.lit(x) for pair in STORED.items() for x in pair])
+    edges = s.edges.withColumn("relation", stored[F.col("relation")])
+    budget = T.Limits(**({"nodes": 16_384, "edges": 100_000, "depth": 1} | limits))
+    return T.along(T.Axis.bind(REGISTRY, axis), s.nodes, edges, roots, traversal, budget, G.CANDIDATE)
+
+
+def axis_sql(root: str, *steps: str) -> str:
+    return f"SELECT '{root}' AS node_id, 0 AS depth, CAST(NULL AS VARCHAR) AS discovery_edge" + "".join(f" UNION ALL {step}" for step in steps)
+
+
+AXIS = ("node_id", "depth", "discovery_edge")
+
+
+@query("g7_forward", axis_sql("order:5", "SELECT dst, 1, edge_id FROM edges WHERE relation = 'uses' AND src = 'order:5'"), "edges")
+def _(s: Source):
+    return along(s, "call", "forward", ["order:5"]).nodes.select(*AXIS)
+
+
+@query("g7_reverse", axis_sql("part:7", "SELECT src, 1, edge_id FROM edges WHERE relation = 'uses' AND dst = 'part:7'"), "edges")
+def _(s: Source):
+    return along(s, "call", "reverse", ["part:7"]).nodes.select(*AXIS)
+
+
+@query("g7_both", axis_sql("nation:3", "SELECT dst, 1, edge_id FROM edges WHERE relation = 'contains' AND src = 'nation:3'", "SELECT e.src, 2, e.edge_id FROM edges e JOIN edges r ON r.dst = e.dst AND r.relation = 'contains' AND r.src = 'nation:3' WHERE e.relation = 'contains' AND e.src <> 'nation:3'"), "edges")
+def _(s: Source):
+    return along(s, "object", "both", ["nation:3"], depth=2).nodes.select(*AXIS)
+
+
+@query("g7_parents", axis_sql("part:7", "SELECT dst, 1, edge_id FROM edges WHERE relation = 'supplied_by' AND src = 'part:7'"), "edges")
+def _(s: Source):
+    return along(s, "inheritance", "parents", ["part:7"]).nodes.select(*AXIS)
+
+
+@query("g7_children", axis_sql("supplier:2", "SELECT src, 1, edge_id FROM edges WHERE relation = 'supplied_by' AND dst = 'supplier:2'"), "edges")
+def _(s: Source):
+    return along(s, "inheritance", "children", ["supplier:2"]).nodes.select(*AXIS)
+
+
+def refusal(work) -> str:
+    try:
+        work()
+    except T.Refused as e:
+        return e.code
+    return "accepted"
+
+
+@query("g7_axis_states", """SELECT * FROM (VALUES ('call', 'accepted', 'query_invalid'), ('inheritance', 'accepted', 'accepted'), ('lexical', 'axis_unsupported', 'axis_unsupported'), ('lifecycle', 'accepted', 'query_invalid'), ('load', 'accepted', 'query_invalid'),
+    ('load_with_order', 'axis_unsupported', 'axis_unsupported'), ('object', 'accepted', 'accepted'), ('ownership', 'accepted', 'accepted'), ('registration', 'accepted', 'query_invalid'), ('state', 'accepted', 'query_invalid'), ('twice', 'axis_profile_invalid', 'axis_profile_invalid')) AS t(axis, forward, parents)""")
+def _(s: Source):
+    rows = [(axis, *(refusal(lambda: T.Axis.bind(REGISTRY, axis).directions(t)) for t in ("forward", "parents"))) for axis in ("lexical", *T.AXES)]  # noqa: B023
+    partial = REGISTRY | {"definition/loads_before": "loads_before"}  # the extended load axis lacks a family
+    twice = REGISTRY | {"definition/calls/2": "calls"}
+    for name, registry, axis in (("load_with_order", partial, "load"), ("twice", twice, "call")):
+        rows.append((name, *(refusal(lambda: T.Axis.bind(registry, axis).directions(t)) for t in ("forward", "parents"))))  # noqa: B023
+    return s.spark.createDataFrame(rows, "axis string, forward string, parents string")
+
+
+@query("g7_axis_relations", "SELECT * FROM (VALUES " + ", ".join(f"('{axis}', 'definition/{r}', '{r}', '{way}')" for axis, recipe in T.AXES.items() for r, way in recipe.items()) + ") AS t(axis, definition, relation, forward)")
+def _(s: Source):
+    return s.spark.createDataFrame([(axis, *r) for axis in T.AXES for r in T.Axis.bind(REGISTRY, axis).relations], "axis string, definition string, relation string, forward string")
 
 
 @query("g8_axis_definitions", "SELECT relation, confidence, count(*) AS n FROM edges WHERE (relation = 'uses' AND confidence = 0) OR (relation = 'supplied_by' AND confidence >= 1) GROUP BY relation, confidence", "edges")
@@ -123,13 +239,7 @@ def _(s: Source):
     return e.where("relation = 'uses'").join(worst, "dst", "left").select("edge_id", verdict.alias("verdict"))
 
 
-@query("g15_conflict_kinds", "SELECT p_name, CASE WHEN count(DISTINCT p_brand) > 1 AND count(DISTINCT p_type) > 1 THEN 'attributes' WHEN count(DISTINCT p_brand) > 1 THEN 'owner' WHEN count(DISTINCT p_type) > 1 THEN 'kind' ELSE 'none' END AS conflict FROM part WHERE p_size < 3 GROUP BY p_name")
-def _(s: Source):
-    b, t = F.count_distinct("p_brand") > 1, F.count_distinct("p_type") > 1
-    return s.part.where("p_size < 3").groupBy("p_name").agg(F.when(b & t, "attributes").when(b, "owner").when(t, "kind").otherwise("none").alias("conflict"))
-
-
-@query("g15_conflict_kinds_whole", "SELECT p_name, CASE WHEN count(DISTINCT p_brand) > 1 AND count(DISTINCT p_type) > 1 THEN 'attributes' WHEN count(DISTINCT p_brand) > 1 THEN 'owner' WHEN count(DISTINCT p_type) > 1 THEN 'kind' ELSE 'none' END AS conflict FROM part GROUP BY p_name")
+@query("g15_conflict_kinds", "SELECT p_name, CASE WHEN count(DISTINCT p_brand) > 1 AND count(DISTINCT p_type) > 1 THEN 'attributes' WHEN count(DISTINCT p_brand) > 1 THEN 'owner' WHEN count(DISTINCT p_type) > 1 THEN 'kind' ELSE 'none' END AS conflict FROM part GROUP BY p_name")
 def _(s: Source):
     b, t = F.count_distinct("p_brand") > 1, F.count_distinct("p_type") > 1
     return s.part.groupBy("p_name").agg(F.when(b & t, "attributes").when(b, "owner").when(t, "kind").otherwise("none").alias("conflict"))
@@ -208,13 +318,7 @@ def _(s: Source):
     return D.resolve(s.dependencies, s.packages).where("resolution in ('missing', 'self', 'on_demand')").select("package", "dependency", F.col("resolution").alias("issue"))
 
 
-@query("d8_load_units", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS unit FROM lineitem WHERE l_orderkey < 500")
-def _(s: Source):
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return s.lineitem.where("l_orderkey < 500").select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).alias("unit"))
-
-
-@query("d8_load_units_whole", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS unit FROM lineitem")
+@query("d8_load_units", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS unit FROM lineitem")
 def _(s: Source):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return s.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).alias("unit"))
@@ -234,9 +338,15 @@ def _(s: Source):
     return D.link(s.part.select("p_partkey", "p_name"), d)
 
 
-@query("d11_inheritance_cycles", SCC + " SELECT component, count(*) AS members FROM scc GROUP BY component HAVING count(*) > 1", "packages dependencies")
-def _(s: Source):
-    return own_components(s).groupBy("component").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+INHERITS = """WITH RECURSIVE i AS (SELECT p_partkey AS src, p_partkey * 5 % 89 + 1 AS dst FROM part),
+    up(root, node, depth) AS (SELECT src, dst, 1 FROM i WHERE src <= 89 UNION ALL SELECT up.root, i.dst, up.depth + 1 FROM up JOIN i ON i.src = up.node WHERE up.node <> up.root AND up.depth <= 89),
+    c AS (SELECT root, min(depth) AS members FROM up WHERE node = root GROUP BY root)"""
+
+
+@query("d11_inheritance_cycles", INHERITS + " SELECT CAST(min(o.node) AS BIGINT) AS cycle, c.members FROM c JOIN up o ON o.root = c.root GROUP BY c.root, c.members QUALIFY row_number() OVER (PARTITION BY min(o.node) ORDER BY c.root) = 1")
+def _(s: Source):  # every element inherits from one other
+    edges = s.part.select(F.col("p_partkey").cast("long").alias("src"), (F.col("p_partkey") * 5 % 89 + 1).cast("long").alias("dst"))
+    return D.inheritance_cycles(edges).select("cycle", "members")
 
 
 @query("d12_classes", "SELECT p_type AS element, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'frame' WHEN p_type = 'PROMO' THEN 'template' ELSE 'unclassified' END AS class, count(*) AS n FROM part GROUP BY p_type")
@@ -258,6 +368,6 @@ def _(s: Source):
     return D.changes(s.part.where("p_size < 30").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("v")), s.part.where("p_size > 10").select(F.col("p_partkey").alias("k"), new.alias("v")))
 
 
-@query("d15_excerpts", "SELECT doc_id, text[11:30] AS excerpt FROM documents WHERE lang = 'en' AND strlen(text) = length(text)")
-def _(s: Source):
-    return D.excerpts(s.documents.where("lang = 'en' and octet_length(text) = length(text)"), 10, 30)
+@query("d15_excerpts")
+def _(s: Source):  # whole texts of all languages: bytes 10 to 30, moved to the borders of characters, checked by the text's digest
+    return D.excerpts(s.documents.select("doc_id", "text", F.sha2("text", 256).alias("digest")), 10, 30)
