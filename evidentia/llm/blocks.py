@@ -2,9 +2,12 @@
 
 Corpus operators here ask, for each of very many keys (hashes of windows,
 fragments, words), something that depends on all documents.  A row for each key
-would cost far more than the key.  Instead documents are stored once, in blocks of
-about ``BLOCK_BYTES`` of text with a fixed identity, and a block sends one row of
-packed, already deduplicated keys to each range of the key space; the range's task
+would cost far more than the key.  Instead documents are written once, in blocks of
+about ``BLOCK_BYTES`` of text, each a file of its own in the shared folder.  Rows and
+shuffles only name the files, so texts neither pass through the JVM again nor travel
+with the answers.  A file's name is new in each attempt, and only the rows of attempts
+that succeeded are kept, so a lost executor leaves at most a file that nobody reads.
+A block sends one row of packed, already deduplicated keys to each range of the key space; the range's task
 answers each block with packed flags or counts in the same order.  However
 frequent a key is, a block sends it once.
 
@@ -15,25 +18,28 @@ input as for any other shuffle.
 from __future__ import annotations
 
 import ctypes
+import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.shared import keep
+from evidentia.shared import keep, new_folder
 
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 60_000  # a row's number in its block fits 16 bits
-BLOCK = "bid long, payload binary"
-_IPC, _DENSE = (pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level)) for level in (3, 9))  # keys, and texts that are stored and sent again
+BLOCK = "bid long, path string"
+_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
 
-def pack(table: pa.Table, dense: bool = False) -> bytes:
+def pack(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=_DENSE if dense else _IPC) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=_IPC) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -43,9 +49,30 @@ def unpack(payload: bytes | pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(source).read_all().combine_chunks()
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that Spark knows by this URI, and the folder's path in it."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
+def load(path: str) -> pa.Table:
+    """The documents of a block."""
+    system, path = file_system(path)
+    with system.open_input_file(path) as f:
+        return unpack(f.read())
+
+
 def to_blocks(documents: DataFrame) -> DataFrame:
-    """(bid, payload): all columns of the documents in compressed blocks, stored in the shared folder."""
+    """(bid, path): all columns of the documents in compressed blocks, each written to a file in the shared folder."""
     size = len(documents.columns) and documents.columns.index("text")
+    folder = new_folder(documents.sparkSession, "blocks")
+
+    def block(bid: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        name = f"{bid}-{uuid.uuid4().hex}.arrows"
+        system, path = file_system(folder)
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+            out.write(pack(pa.Table.from_batches(held)))
+        return pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([f"{folder}/{name}"], pa.string())], ["bid", "path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n, held, filled = TaskContext.get().partitionId() << 24, 0, [], 0
@@ -61,18 +88,14 @@ def to_blocks(documents: DataFrame) -> DataFrame:
                 rows += to - at
                 at = to
                 if filled >= BLOCK_BYTES or rows >= BLOCK_ROWS:
-                    yield _block(base + n, held)
+                    yield block(base + n, held)
                     n, held, filled = n + 1, [], 0
         if held:
-            yield _block(base + n, held)
+            yield block(base + n, held)
 
     return keep(documents.mapInArrow(run, BLOCK))
 
 
-def _block(bid: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([pack(pa.Table.from_batches(held), dense=True)], pa.binary())], ["bid", "payload"])
-
-
 @lru_cache(maxsize=1)
 def _libc() -> ctypes.CDLL | None:
     try:
@@ -120,12 +143,12 @@ def by_range(df: DataFrame, answer: Callable[[pa.Table], pa.Table], schema: str)
 def with_blocks(blocks: DataFrame, answers: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Apply ``work`` to each block's documents and the answers (bid, p, ...) that it got, in the order of p."""
     names = answers.columns
-    left = blocks.select("bid", F.lit(-1).alias("p"), "payload", *[F.lit(None).cast(t).alias(c) for c, t in answers.dtypes if c not in ("bid", "p")])
-    right = answers.select("bid", "p", F.lit(None).cast("binary").alias("payload"), *[c for c in names if c not in ("bid", "p")])
+    left = blocks.select("bid", F.lit(-1).alias("p"), "path", *[F.lit(None).cast(t).alias(c) for c, t in answers.dtypes if c not in ("bid", "p")])
+    right = answers.select("bid", "p", F.lit(None).cast("string").alias("path"), *[c for c in names if c not in ("bid", "p")])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("p")
-        return work(unpack(table.column("payload")[0]), table.slice(1))
+        return work(load(table.column("path")[0].as_py()), table.slice(1))
 
     return left.unionByName(right).groupBy("bid").applyInArrow(light(run), schema)
 

@@ -18,7 +18,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Each half round joins the links with one minimum per node, so a node with very
     many links is an ordinary skewed join key and nothing is gathered in one task.
     """
-    edges = keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    n = links.count()
+    edges = keep(links.distinct(), n)
     seen = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,11 +29,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = _least(large, "u", "v")
         paired = large.join(least, "u")
         small = paired.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = keep(small)
+        edges = keep(small, 2 * n)  # a star for each link and each smallest node
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).collect()[0]
         if seen == now:
             break
-        seen = now
+        seen, n = now, now["n"]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

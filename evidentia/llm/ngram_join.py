@@ -14,17 +14,25 @@ count could fail also sends the single shingles of its prefix (all but the
 Verifying: the order is cut into ``FRAGMENTS`` equal parts, each pair's overlap is
 counted in every part by a task of its own, and the counts are summed per pair.
 
-Groups of equal fragments are never expanded into all pairs.  First every set is
-verified against the two others of its groups that it shares the most fragments
-with, which joins most components.  At last all sets that share a group but no component are compared,
-if their sizes and the number of fragments they share allow a link.
-Sets that are equal as a whole are linked without verification.
+Of equal sets one speaks for all; the others are linked with it without
+verification.  Groups of equal fragments are never expanded into all pairs.  First
+every set names the ``CLOSEST`` sets that it shares the most fragments with, among
+its neighbours in each group (ordered by the rarest groups that its members are in),
+and those pairs are verified, which joins most components.  At last all sets that
+share a group but no component are compared, if their sizes and the number of
+fragments they share allow a link, so that no link can be missing.
+
+Pairs travel packed, to a place that both sets of a family mostly have in common
+(the smallest node of all their groups; families of over ``FAMILY`` sets have several
+places), and are verified there in tasks of bounded pairs and bounded shingles.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing (the
 component is the doc_id itself); texts of fewer than four words are one shingle;
-rows with the same doc_id get one component; a null id is a document of its own
-with component null unless linked; an empty table gives no rows; other columns are
-ignored (``distinct_documents`` carries them).
+very long texts are sets like others, whole; rows with the same doc_id get one
+component, and so do repeated rows; a null id is a document of its own with component
+null unless linked; an empty table gives no rows; other columns are ignored, whatever
+their names (``distinct_documents`` carries them and keeps the row with the smallest
+doc_id of each component, nulls last, of equal ids the first stored).
 """
 
 from __future__ import annotations
@@ -37,14 +45,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.blocks import by_range, light, pack, ranges, to_blocks, unpack, with_blocks
+from evidentia.llm.blocks import by_range, light, load, pack, ranges, to_blocks, unpack, with_blocks
 from evidentia.llm.components import components
 from evidentia.shared import keep, release
 from evidentia.llm.substrings import firsts, five_bytes, from_five, send
 from evidentia.llm.textblocks import WordSlice, mix, window_hash, word_slices
 
-N, PERCENT, FRAGMENTS, SPLIT = 4, 85, 4, 20_000
-CLOSEST, PAIRS = 2, 500_000  # partners of a set that are verified before the rest; pairs of a task
+N, PERCENT, FRAGMENTS = 4, 85, 4
+CLOSEST, NEIGHBOURS = 3, 8  # partners of a set that are verified before the rest, and those looked at in a group
+PAIRS, SHINGLES = 500_000, 4_000_000  # of a task, at most (but for one set and its partners)
+FAMILY = 20_000  # sets that meet in one place
+HELD = 1_000_000  # pairs that a task gathers before it packs them
 _SIX = 6
 
 
@@ -155,8 +166,8 @@ def describe(blocks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                table = unpack(payload)
+            for bid, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                table = load(path)
                 sets = Sets(table)
                 f1, f2 = sets.prints()
                 yield pa.RecordBatch.from_arrays([pa.array((bid << 16) + np.arange(table.num_rows)), table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(sets.sizes), pa.array(f1), pa.array(f2), pa.array(demands(sets))], ["node", "doc_id", "n", "f1", "f2", "need"])
@@ -167,8 +178,8 @@ def describe(blocks: DataFrame) -> DataFrame:
 def send_signatures(blocks: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sets = Sets(unpack(payload))
+            for bid, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sets = Sets(load(path))
                 f1, f2 = sets.prints()
                 # of equal sets within the block the first one speaks
                 _, first = np.unique(np.stack([sets.sizes, f1, f2], axis=1), axis=0, return_index=True)
@@ -249,11 +260,21 @@ def homes(groups: DataFrame) -> DataFrame:
     return groups.select("groups").mapInArrow(run, "node long, home long").groupBy("node").agg(F.min("home").alias("home"))
 
 
-FACTS = ("node", "root", "n", "need", "home")
+FACTS = ("node", "root", "n", "need", "spot")
+
+
+def spots(home: DataFrame) -> DataFrame:
+    """(node, spot): where the pairs of a set are verified; homes of more than FAMILY sets have several spots.
+
+    At most one in FAMILY sets is a home of so many, so the broadcast side is that much smaller than the sets.
+    """
+    many = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("s")).where("s > 1")
+    salt = F.pmod(F.xxhash64("node"), F.coalesce("s", F.lit(1)))
+    return home.join(F.broadcast(many), "home", "left").select("node", F.xxhash64("home", salt).alias("spot"))
 
 
 def with_facts(groups: DataFrame, known: DataFrame) -> DataFrame:
-    """The groups of each p, and a row (node, root, n, need, home) for each node in them."""
+    """The groups of each p, and a row (node, root, n, need, spot) for each known node in them."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,145 +288,226 @@ def with_facts(groups: DataFrame, known: DataFrame) -> DataFrame:
 
 @dataclass
 class Mixed:
-    """Groups that hold several components: nodes with their roots and sizes, and members as indices into them."""
+    """Groups that hold several components: known nodes with their roots and sizes, and members as indices into them, group by group."""
 
     ids: np.ndarray
     root: np.ndarray
     n: np.ndarray
     need: np.ndarray
-    home: np.ndarray
+    spot: np.ndarray
     member: np.ndarray
-    size: np.ndarray
-    weight: np.ndarray
+    group: np.ndarray  # of each member
+    weight: np.ndarray  # of each group
 
     @classmethod
     def of(cls, table: pa.Table) -> Mixed:
         mask = table.column("node").is_valid()
         here = table.filter(mask).sort_by("node")
-        ids, root, n, need, home = (here.column(c).to_numpy() for c in FACTS)
+        ids, root, n, need, spot = (here.column(c).to_numpy() for c in FACTS)
         nodes, size, weight = groups_of(table.filter(pa.compute.invert(mask)).column("groups")[0])
-        at, ends = np.searchsorted(ids, nodes), np.cumsum(size)
-        mixed = np.minimum.reduceat(root[at], ends - size) != np.maximum.reduceat(root[at], ends - size) if len(size) else np.zeros(0, bool)
-        used, member = np.unique(at[np.repeat(mixed, size)], return_inverse=True)
-        return cls(ids[used], root[used], n[used], need[used], home[used], member, size[mixed], weight[mixed])
-
-    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of each node the nodes of other components that share a group and whose sizes allow a link, with the fragments shared; a row of the co-occurrence matrix at a time."""
-        if not len(self.size):
+        group, at = np.repeat(np.arange(len(size)), size), np.searchsorted(ids, nodes)
+        known = ids[np.minimum(at, len(ids) - 1)] == nodes if len(ids) else np.zeros(len(nodes), bool)
+        group, at = group[known], at[known]
+        first = firsts(group)
+        low, high = (f.reduceat(root[at], first) if len(first) else at for f in (np.minimum, np.maximum))
+        some = np.repeat(low != high, np.diff(np.concatenate([first, [len(group)]])))
+        left, group = np.unique(group[some], return_inverse=True)
+        used, member = np.unique(at[some], return_inverse=True)
+        return cls(ids[used], root[used], n[used], need[used], spot[used], member, group, weight[left])
+
+    def fits(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs of different components whose sizes allow a link."""
+        n, m = self.n[x], self.n[y]
+        return (self.root[x] != self.root[y]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+
+    def near(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(x, y, k): with each node the ``most`` others that it shares the most fragments with, among its neighbours in each group."""
+        if not len(self.member):
+            return
+        size = np.bincount(self.group)
+        # members of a group that are also together in rare groups become neighbours
+        order = np.lexsort((self.group, size[self.group], self.member))
+        start = firsts(self.member[order])
+        owner, count = self.member[order][start], np.diff(np.concatenate([start, [len(order)]]))
+        rare = np.full((len(self.ids), 3), -1)
+        for k in range(3):
+            rare[owner[count > k], k] = self.group[order][start[count > k] + k]
+        order = np.lexsort((self.n[self.member], *rare[self.member].T[::-1], self.group))
+        member, group = self.member[order], self.group[order]
+        code, weight = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        wide = len(self.ids)
+        for step in range(1, NEIGHBOURS + 1):
+            x, y = member[:-step], member[step:]
+            ok = (group[:-step] == group[step:]) & self.fits(x, y)
+            x, y, w = x[ok], y[ok], self.weight[group[:-step][ok]]
+            code, back = np.unique(np.concatenate([code, np.minimum(x, y) * wide + np.maximum(x, y)]), return_inverse=True)
+            weight = np.bincount(back, np.concatenate([weight, w]), len(code)).astype(np.int64)
+        x, y, k = np.concatenate([code // wide, code % wide]), np.concatenate([code % wide, code // wide]), np.tile(weight, 2)
+        yield best(x, y, k, most)
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(x, y, k): all pairs, x the smaller set, with the fragments they share; those of a group's largest component wait for the others."""
+        if not len(self.member):
             return
-        ends = np.cumsum(self.size)
-        order = np.argsort(self.member, kind="stable")
-        of = np.repeat(np.arange(len(self.size)), self.size)[order]
-        who, first = np.unique(self.member[order], return_index=True)
-        for x, own in zip(who.tolist(), np.split(of, first[1:]), strict=True):
-            others = np.concatenate([self.member[ends[g] - self.size[g] : ends[g]] for g in own])
-            near, place = np.unique(others, return_inverse=True)
-            k = np.bincount(place, np.repeat(self.weight[own], self.size[own]), len(near)).astype(np.int64)
-            n, m = self.n[near], self.n[x]
-            fit = (self.root[near] != self.root[x]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-            yield x, near[fit], k[fit]
-
-
-def closest(groups: DataFrame, known: DataFrame, most: int, parts: int) -> DataFrame:
-    """(a, b, g): each node with the ``most`` nodes of other components that share the most fragments, and where they meet; ``known``: node, root, n."""
-
-    def run(table: pa.Table) -> pa.Table:
-        mixed = Mixed.of(table)
-        out = [np.zeros((0, 2), np.int64)]
-        for x, near, k in mixed.rows():
-            near = near[np.lexsort((near, -k))[:most]]
-            out.append(np.stack([np.minimum(mixed.ids[near], mixed.ids[x]), np.maximum(mixed.ids[near], mixed.ids[x])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        a, b = (np.searchsorted(mixed.ids, pairs[:, k]) for k in (0, 1))
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "home": pa.array(np.minimum(mixed.home[a], mixed.home[b]))})
-
-    # pairs of one home are verified in one task, so that a set travels about once; many pairs are split by their second sets
-    pairs = keep(by_range(with_facts(groups, known), run, "a long, b long, home long").groupBy("a", "b").agg(F.min("home").alias("home")))
-    load = pairs.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / SPLIT).alias("s"))
-    share = F.pmod(F.xxhash64("b"), F.col("s"))
-    return pairs.join(load, "home").select("a", "b", F.pmod(F.xxhash64("home", share), F.lit(parts)).alias("g"))
-
-
-def remaining(blocks: DataFrame, groups: DataFrame, known: DataFrame, parts: int) -> DataFrame:
-    """(a, b): all links between sets of different components that share a group.
+        size, starts = np.bincount(self.group), firsts(self.group)
+        _, root = np.unique(self.root, return_inverse=True)
+        code, n = np.unique(self.group * len(self.ids) + root[self.member], return_counts=True)
+        order = np.lexsort((-n, code // len(self.ids)))
+        largest = code[order][firsts(code[order] // len(self.ids))] % len(self.ids)
+        minor = root[self.member] != largest[self.group]
+        active = np.flatnonzero(minor)
+        active = active[np.argsort(self.member[active], kind="stable")]
+        cuts = firsts(self.member[active])
+        held, total = [], 0
+        for own in np.split(active, cuts[1:]) if len(active) else ():
+            x, g = int(self.member[own[0]]), self.group[own]
+            at = np.concatenate([np.arange(starts[i], starts[i] + size[i]) for i in g])
+            w = np.repeat(self.weight[g], size[g])
+            stay = ~minor[at] | (self.member[at] > x)
+            y, place = np.unique(self.member[at[stay]], return_inverse=True)
+            k = np.bincount(place, w[stay], len(y)).astype(np.int64)
+            fit = self.fits(np.full(len(y), x), y)
+            y, k = y[fit], k[fit]
+            swap = (self.n[y] < self.n[x]) | ((self.n[y] == self.n[x]) & (y < x))
+            held.append((np.where(swap, y, x), np.where(swap, x, y), k))
+            total += len(y)
+            if total >= HELD:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, total = [], 0
+        if total:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def best(x: np.ndarray, y: np.ndarray, k: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each x the ``most`` pairs with the largest k."""
+    order = np.lexsort((y, -k, x))
+    first = firsts(x[order])
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.concatenate([first, [len(order)]])))
+    order = order[rank < most]
+    return x[order], y[order], k[order]
+
+
+def cut(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> list[int]:
+    """Where tasks of at most PAIRS pairs and SHINGLES shingles end; pairs are ordered by x."""
+    _, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    x, y = place[: len(x)], place[len(x) :]
+    seen, ends, pairs, held = np.full(len(place), -1), [], 0, 0
+    bounds = [*firsts(x).tolist(), len(x)]
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        while a < b:
+            to = min(b, a + PAIRS - pairs)
+            fresh = seen[y[a:to]] != len(ends)
+            more = int(ny[a:to][fresh].sum()) + (int(nx[a]) if seen[x[a]] != len(ends) else 0)
+            if pairs and held + more > SHINGLES:
+                ends.append(a)
+                pairs = held = 0
+                continue
+            seen[y[a:to]] = seen[x[a]] = len(ends)
+            pairs, held, a = pairs + to - a, held + more, to
+            if pairs >= PAIRS:
+                ends.append(a)
+                pairs = held = 0
+    return [*ends, len(x)] if pairs else ends
+
+
+def links(blocks: DataFrame, groups: DataFrame, known: DataFrame, parts: int, most: int = 0) -> DataFrame:
+    """(a, b): links between sets of different components that share a group; of each set's ``most`` closest only, if given.
 
     Pairs never become rows.  The fragments that two sets share are counted where
-    their groups are and summed where the smaller set's home is; pairs that share
-    as many as a link demands are verified there, at most ``PAIRS`` in a task and
-    fragment of the order: the overlaps of a set with all others are counted through
-    the fragment's inverted lists and travel packed, and the sums over the
-    fragments leave only the links.
+    their groups are and summed at a spot of one of them; pairs to verify (with
+    ``most`` 0: that share as many fragments as a link demands) are verified there:
+    the overlaps of a set with all others are counted in each fragment of the order
+    and travel packed, and the sums over the fragments leave only the links.
     """
+    names = ("x", "y", "k", "nx", "ny", "need")
+    meeting = max(1, parts // 4)  # places where pairs meet: pairs are far smaller than the keys that found them
 
     def share(table: pa.Table) -> pa.Table:
-        mixed = Mixed.of(table)
-        found = [(np.full(int(m.sum()), x), near[m], k[m]) for x, near, k in mixed.rows() if (m := (mixed.n[near] > mixed.n[x]) | ((mixed.n[near] == mixed.n[x]) & (near > x))).any()]
-        if not found:
-            return pa.table({"p": pa.array([], pa.int32()), "shared": pa.array([], pa.binary())})
-        x, y, k = map(np.concatenate, zip(*found, strict=True))
-        to = (mix(mixed.home[x].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        out = []
-        for q in np.unique(to):
-            m = to == q
-            out.append((int(q), pack(pa.table({c: pa.array([v]) for c, v in (("x", mixed.ids[x[m]]), ("y", mixed.ids[y[m]]), ("k", k[m].astype(np.int32)), ("nx", mixed.n[x[m]].astype(np.int32)), ("ny", mixed.n[y[m]].astype(np.int32)), ("need", mixed.need[x[m]].astype(np.int32)))}))))
+        mixed, out = Mixed.of(table), []
+        for x, y, k in mixed.near(most) if most else mixed.rest():
+            to = (mix(mixed.spot[x].astype(np.uint64)) % np.uint64(meeting)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            x, y, k, to = x[order], y[order], k[order], to[order]
+            bounds = [*firsts(to).tolist(), len(to)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                columns = (mixed.ids[x[a:b]], mixed.ids[y[a:b]], *(v.astype(np.int32) for v in (k[a:b], mixed.n[x[a:b]], mixed.n[y[a:b]], mixed.need[x[a:b]])))
+                out.append((int(to[a]), pack(pa.table({c: pa.array([v]) for c, v in zip(names, columns, strict=True)}))))
         return pa.table({"p": pa.array([q for q, _ in out], pa.int32()), "shared": pa.array([v for _, v in out], pa.binary())})
 
     def tasks(table: pa.Table) -> pa.Table:
         p = table.column("p")[0].as_py()
-        x, y, k, nx, ny, need = (np.concatenate(c) for c in zip(*[[np.asarray(t.column(c)[0].values) for c in ("x", "y", "k", "nx", "ny", "need")] for t in map(unpack, table.column("shared"))], strict=True))
+        x, y, k, nx, ny, need = (np.concatenate(c) for c in zip(*[[np.asarray(t.column(c)[0].values) for c in names] for t in map(unpack, table.column("shared"))], strict=True))
         order = np.lexsort((y, x))
         new = np.ones(len(x), bool)
         new[1:] = (x[order[1:]] != x[order[:-1]]) | (y[order[1:]] != y[order[:-1]])
         at = np.flatnonzero(new)
-        one = order[at][np.add.reduceat(k[order], at) >= need[order[at]]]
-        tasks, nodes = [], []
-        for i in range(0, len(one), PAIRS):
-            part = one[i : i + PAIRS]
-            ids, index, place = np.unique(np.concatenate([x[part], y[part]]), return_index=True, return_inverse=True)
-            n = np.concatenate([nx[part], ny[part]])[index].astype(np.int64)
-            tasks.append((p << 20 | i // PAIRS, pack(pa.table({c: pa.array([v]) for c, v in (("ids", ids), ("n", n), ("x", place[: len(part)]), ("y", place[len(part) :]))}))))
-            nodes.append((np.full(len(ids), p << 20 | i // PAIRS), ids))
+        one, k = order[at], np.add.reduceat(k[order], at)
+        if most:
+            x, y, nx, ny = x[one], y[one], nx[one], ny[one]
+            kept = best(x, np.arange(len(x)), k, most)[1]
+            x, y, nx, ny = np.minimum(x, y)[kept], np.maximum(x, y)[kept], np.where(x < y, nx, ny)[kept], np.where(x < y, ny, nx)[kept]
+            _, one = np.unique(np.stack([x, y], axis=1), axis=0, return_index=True)  # in the order of x
+        else:
+            one = one[k >= need[one]]
+        x, y, nx, ny = x[one], y[one], nx[one], ny[one]
+        tasks, nodes, a = [], [], 0
+        for i, b in enumerate(cut(x, y, nx, ny)):
+            ids, index, place = np.unique(np.concatenate([x[a:b], y[a:b]]), return_index=True, return_inverse=True)
+            n = np.concatenate([nx[a:b], ny[a:b]])[index].astype(np.int64)
+            tasks.append((p << 24 | i, pack(pa.table({c: pa.array([v]) for c, v in (("ids", ids), ("n", n), ("x", place[: b - a]), ("y", place[b - a :]))}))))
+            nodes.append((np.full(len(ids), p << 24 | i), ids))
+            a = b
         g = np.concatenate([np.array([t[0] for t in tasks], np.int64), *[n[0] for n in nodes]])
         return pa.table({"g": pa.array(g, pa.int64()), "task": pa.array([t[1] for t in tasks] + [None] * (len(g) - len(tasks)), pa.binary()), "node": pa.array(np.concatenate([np.zeros(len(tasks), np.int64), *[n[1] for n in nodes]]), pa.int64())})
 
     shared = by_range(with_facts(groups, known), share, "p int, shared binary")
-    todo = keep(by_range(shared, tasks, "g long, task binary, node long"))
+    todo = keep(by_range(shared, tasks, "g long, task binary, node long").coalesce(meeting))
     sent = send_segments(blocks, todo.where("task is null").select("node", "g")).withColumn("task", F.lit(None).cast("binary"))
     told = todo.where("task is not null").select("g", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("p"), F.lit(None).cast("binary").alias("segments"), "task")
-
-    def count(table: pa.Table) -> pa.Table:
-        given = table.filter(table.column("task").is_valid())
-        task = unpack(given.column("task")[0])
-        ids, x, y = (np.asarray(task.column(c)[0].values) for c in ("ids", "x", "y"))
-        own = segments_of(table.filter(table.column("segments").is_valid()))
-        held = [own[node] for node in ids.tolist()]
-        sizes = np.array([len(h) for h in held])
-        _, key = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        holder = np.repeat(np.arange(len(held)), sizes)[np.argsort(key, kind="stable")]
-        lists = np.concatenate([[0], np.cumsum(np.bincount(key))]) if len(key) else np.zeros(1, np.int64)
-        overlap = np.zeros(len(x), np.uint32)
-        bounds = np.concatenate([firsts(x), [len(x)]])
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            i = int(x[a])
-            k = key[starts[i] : starts[i + 1]]
-            length = lists[k + 1] - lists[k]
-            at = np.repeat(lists[k] - np.cumsum(length) + length, length) + np.arange(length.sum())
-            overlap[a:b] = np.bincount(holder[at], minlength=len(held))[y[a:b]]
-        g, p = given.column("g")[0].as_py(), given.column("p")[0].as_py()
-        body = {"overlap": pa.array([overlap])} | ({c: task.column(c) for c in ("ids", "n", "x", "y")} if p == 0 else {})
-        return pa.table({"g": pa.array([g], pa.int64()), "p": pa.array([p], pa.int32()), "counts": pa.array([pack(pa.table(body))], pa.binary())})
-
     partial = sent.unionByName(told).groupBy("g", "p").applyInArrow(light(count), "g long, p int, counts binary")
+    return partial.groupBy("g").applyInArrow(light(total), "a long, b long")
 
-    def total(table: pa.Table) -> pa.Table:
-        found = [unpack(v) for v in table.sort_by("p").column("counts")]
-        x, y, ids, n = (np.asarray(found[0].column(c)[0].values) for c in ("x", "y", "ids", "n"))
-        overlap = sum(np.asarray(f.column("overlap")[0].values).astype(np.int64) for f in found)
-        link = 100 * overlap >= PERCENT * (n[x] + n[y] - overlap)
-        return pa.table({"a": pa.array(np.minimum(ids[x], ids[y])[link]), "b": pa.array(np.maximum(ids[x], ids[y])[link])})
 
-    return partial.groupBy("g").applyInArrow(light(total), "a long, b long")
+def count(table: pa.Table) -> pa.Table:
+    """Overlaps of a task's pairs in one fragment: of a set with few partners one by one, else through the fragment's inverted lists."""
+    given = table.filter(table.column("task").is_valid())
+    task = unpack(given.column("task")[0])
+    ids, x, y = (np.asarray(task.column(c)[0].values) for c in ("ids", "x", "y"))
+    own = segments_of(table.filter(table.column("segments").is_valid()))
+    held = [own[node] for node in ids.tolist()]
+    sizes = np.array([len(h) for h in held])
+    overlap = np.zeros(len(x), np.uint32)
+    bounds = [*firsts(x).tolist(), len(x)]
+    key = None
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        i = int(x[a])
+        if b - a <= NEIGHBOURS:
+            for j in range(a, b):
+                s, t = sorted((held[i], held[int(y[j])]), key=len)
+                if len(s):
+                    overlap[j] = (t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()
+            continue
+        if key is None:
+            _, key = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            holder = np.repeat(np.arange(len(held)), sizes)[np.argsort(key, kind="stable")]
+            lists = np.concatenate([[0], np.cumsum(np.bincount(key))]) if len(key) else np.zeros(1, np.int64)
+        k = key[starts[i] : starts[i + 1]]
+        length = lists[k + 1] - lists[k]
+        at = np.repeat(lists[k] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        overlap[a:b] = np.bincount(holder[at], minlength=len(held))[y[a:b]]
+    g, p = given.column("g")[0].as_py(), given.column("p")[0].as_py()
+    body = {"overlap": pa.array([overlap])} | ({c: task.column(c) for c in ("ids", "n", "x", "y")} if p == 0 else {})
+    return pa.table({"g": pa.array([g], pa.int64()), "p": pa.array([p], pa.int32()), "counts": pa.array([pack(pa.table(body))], pa.binary())})
+
+
+def total(table: pa.Table) -> pa.Table:
+    """The links among a task's pairs: overlaps summed over the fragments."""
+    found = [unpack(v) for v in table.sort_by("p").column("counts")]
+    x, y, ids, n = (np.asarray(found[0].column(c)[0].values) for c in ("x", "y", "ids", "n"))
+    overlap = sum(np.asarray(f.column("overlap")[0].values).astype(np.int64) for f in found)
+    link = 100 * overlap >= PERCENT * (n[x] + n[y] - overlap)
+    return pa.table({"a": pa.array(np.minimum(ids[x], ids[y])[link]), "b": pa.array(np.maximum(ids[x], ids[y])[link])})
 
 
 def send_segments(blocks: DataFrame, asked: DataFrame) -> DataFrame:
@@ -451,48 +553,16 @@ def segments_of(table: pa.Table) -> dict[int, np.ndarray]:
     return own
 
 
-def verify(blocks: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(a, b, overlap) of the pairs (a, b, g), counted fragment by fragment and summed; a set goes once to each g."""
-    asked = keyed.select(F.col("a").alias("node"), "g").unionByName(keyed.select(F.col("b").alias("node"), "g")).distinct()
-    sent = send_segments(blocks, asked).withColumn("a", F.lit(None).cast("long")).withColumn("b", F.lit(None).cast("long"))
-    told = keyed.select("g", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("p"), "a", "b", F.lit(None).cast("binary").alias("segments"))
-
-    def count(table: pa.Table) -> pa.Table:
-        is_pair = table.column("a").is_valid()
-        own = segments_of(table.filter(pa.compute.invert(is_pair)))
-        asked = table.filter(is_pair).sort_by("a")
-        a, b = asked.column("a").to_pylist(), asked.column("b").to_pylist()
-        found = []
-        for x, y in zip(a, b, strict=True):
-            s, t = own[x], own[y]
-            if len(s) > len(t):
-                s, t = t, s
-            at = np.searchsorted(t, s)
-            found.append(int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(t) else 0)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "overlap": pa.array(found, pa.int64())})
-
-    partial = sent.unionByName(told).groupBy("g", "p").applyInArrow(light(count), "a long, b long, overlap long")
-    return partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-
-
-def linked(blocks: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the pairs that link: equal sets at once, the rest if sizes allow it and the overlap is enough."""
-    left, right = (facts.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "f1", "f2")]) for s in "ab")
-    sized = keep(pairs.join(left, "a").join(right, "b").withColumn("same", F.expr("n_a = n_b and f1_a = f1_b and f2_a = f2_b")).where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"))
-    counted = verify(blocks, sized.where("not same").select("a", "b", "g"))
-    enough = sized.join(counted, ["a", "b"]).where(f"100 * overlap >= {PERCENT} * (n_a + n_b - overlap)")
-    return keep(sized.where("same").select("a", "b").unionByName(enough.select("a", "b")))
-
-
 def nodes_with_components(blocks: DataFrame) -> DataFrame:
     """(node, doc_id, n, root) of every document row; root is the smallest node of the component."""
     parts, spark = ranges(blocks), blocks.sparkSession
     facts = keep(describe(blocks))
+    n = facts.count()
     first = facts.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    copies = keep(facts.where("n > 0").join(first, ["n", "f1", "f2"]).select(F.col("first").alias("a"), F.col("node").alias("b")))
+    copies = keep(facts.where("n > 0").join(first, ["n", "f1", "f2"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")), n)
     # rows with one doc_id are one document
     once = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    rows = facts.join(once, "doc_id").select("a", F.col("node").alias("b"))
+    rows = facts.join(once, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
     groups = by_range(send_signatures(blocks, parts), lambda t: gather(t, parts), "p int, groups binary")
     groups = keep(by_range(groups, meet, "p int, groups binary"))
     release(spark)
@@ -500,21 +570,23 @@ def nodes_with_components(blocks: DataFrame) -> DataFrame:
     def rooted(roots: DataFrame) -> DataFrame:
         return facts.join(roots, "node", "left").select("node", "doc_id", "n", "need", F.coalesce("root", "node").alias("root"))
 
-    home = keep(homes(groups))
-    near = keep(closest(groups, rooted(copies.select(F.col("b").alias("node"), F.col("a").alias("root"))).join(home, "node"), CLOSEST, parts))
-    links = keep(copies.unionByName(rows).unionByName(linked(blocks, facts, near)))
+    # of equal sets the first one speaks; the others have no part in what follows
+    speak = keep(spots(homes(groups)).join(copies.select(F.col("b").alias("node")), "node", "left_anti"), n)
+    found = keep(copies.unionByName(rows), 2 * n)
+    near = keep(links(blocks, groups, rooted(keep(components(found), n)).join(speak, "node"), parts, CLOSEST), CLOSEST * n)
+    found = found.unionByName(near)
     release(spark)
     # what is left between different components is compared as a whole, so no link can be missing after it
-    left = remaining(blocks, groups, rooted(keep(components(links))).join(home, "node"), parts)
-    return rooted(keep(components(keep(links.unionByName(left)))))
+    left = keep(links(blocks, groups, rooted(keep(components(found), n)).join(speak, "node"), parts))
+    return rooted(keep(components(found.unionByName(left)), n))
 
 
 def rows_with_components(blocks: DataFrame) -> DataFrame:
-    """(node, doc_id, n, component_id) of every document row."""
+    """(node, doc_id, n, component_id, keeper) of every document row; the keeper is the component's row with the smallest doc_id."""
     nodes = keep(nodes_with_components(blocks))
     release(blocks.sparkSession)
-    smallest = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return nodes.join(smallest, "root").select("node", "doc_id", "n", "component_id")
+    smallest = nodes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")).alias("k"))
+    return nodes.join(smallest, "root").select("node", "doc_id", "n", F.col("k.doc_id").alias("component_id"), F.col("k.node").alias("keeper"))
 
 
 def join(documents: DataFrame) -> DataFrame:
@@ -526,7 +598,7 @@ def join(documents: DataFrame) -> DataFrame:
 def distinct_documents(documents: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all its columns."""
     blocks = to_blocks(documents)
-    gone = rows_with_components(blocks).where("doc_id <> component_id").select(F.shiftright("node", 16).alias("bid"), F.lit(0).alias("p"), F.col("node").bitwiseAND(F.lit(65535)).cast("int").alias("row"))
+    gone = rows_with_components(blocks).where("node <> keeper").select(F.shiftright("node", 16).alias("bid"), F.lit(0).alias("p"), F.col("node").bitwiseAND(F.lit(65535)).cast("int").alias("row"))
 
     def stay(table: pa.Table, answers: pa.Table) -> pa.Table:
         mask = np.ones(table.num_rows, bool)

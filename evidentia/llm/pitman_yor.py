@@ -20,23 +20,25 @@ table counts after each round (within a round a range sees its own changes only)
 Rounds go on until the number of all tables changes by no more than TOLERANCE of it
 (or its square root, the noise of few tables), ROUNDS at most.  The probabilities
 of SAMPLES further rounds are averaged, and a text's score is
-the sum of the logarithms of those averages.
+the sum of the logarithms of those averages; its perplexity is 10 to the power of
+minus the score a token.
 
 Data: a block of documents sends its distinct pairs, with their training counts,
 to the range of the word's hash, once.  A range keeps which of its pairs each block
 sent, and at the end answers with a logarithm (single precision) for each, in the
 order sent; the block adds them up over its tokens.  A range of words needs the
 table counts of the contexts it has: it asks the range of each context's hash, which
-sums what all word ranges have and answers in the order asked.  No task or driver
-holds all contexts.  Words that make up a thousandth of a small sample
+sums what all word ranges have and answers in the order asked.  There are a quarter as
+many ranges of contexts as of words, as counts of contexts are far fewer than pairs.
+No task or driver holds all contexts.  Words that make up a thousandth of a small random sample
 of blocks or more are few; their pairs are spread by word and context, and their
 counts are exchanged through the driver.  Counts cover all training texts;
 the sample only decides where a pair is counted.
 
 Cases: a null or empty text is its end token; a null id counts as text ``null``
 for the held-out rule; repeated rows are scored alike and each count as training;
-without training texts every token is new; an empty table gives no rows; other
-columns are ignored.
+very long texts are scored whole; without training texts every token is new; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,17 +50,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.blocks import light, pack, range_bounds, ranges, to_blocks, unpack, with_blocks
+from evidentia.llm.blocks import light, load, pack, range_bounds, ranges, to_blocks, unpack, with_blocks
 from evidentia.shared import keep, release
 from evidentia.llm.textblocks import crc_mod, mix, word_slices
 
-ROUNDS, SAMPLES, STEPS, TOLERANCE = 20, 2, 16, 2e-3
+ROUNDS, SAMPLES, STEPS, TOLERANCE = 20, 2, 16, 5e-3
 CONTEXTS = 1 << 15  # restaurants of the seating test only: the model has one for each context
 STRENGTH0 = STRENGTH1 = 1.0
 HEAVY_SHARE, SAMPLE_BLOCKS = 1e-3, 4
 END, START = np.uint64(0xE4D), np.uint64(0x57A47)
 MODULUS, HELD = 7, 2
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
 class Tokens:
@@ -105,8 +107,8 @@ def send_pairs(blocks: DataFrame, parts: int, heavy: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = Tokens(unpack(payload))
+            for bid, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                t = Tokens(load(path))
                 order, new, keys, hot = t.pairs(heavy)
                 context = t.context[order][new]
                 count = np.add.reduceat(t.train[order].astype(np.uint32), new) if len(new) else np.zeros(0, np.uint32)
@@ -211,13 +213,13 @@ def totals(state: DataFrame) -> dict[str, np.ndarray]:
 
 
 def heavy_words(blocks: DataFrame) -> np.ndarray:
-    """Hashes of the words with at least HEAVY_SHARE of the tokens of the first blocks: no more than 1 / HEAVY_SHARE."""
-    first = [r["bid"] for r in blocks.select("bid").orderBy("bid").limit(SAMPLE_BLOCKS).collect()]
+    """Hashes of the words with at least HEAVY_SHARE of the tokens of some blocks, taken by a hash: no more than 1 / HEAVY_SHARE."""
+    first = [r["bid"] for r in blocks.select("bid").orderBy(F.xxhash64("bid"), "bid").limit(SAMPLE_BLOCKS).collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload in batch.column(1):
-                word, n = np.unique(Tokens(unpack(payload)).word, return_counts=True)
+            for path in batch.column(1).to_pylist():
+                word, n = np.unique(Tokens(load(path)).word, return_counts=True)
                 some = n >= HEAVY_SHARE / SAMPLE_BLOCKS * n.sum()
                 yield pa.RecordBatch.from_pydict({"w": pa.array(word[some].view(np.int64)), "n": pa.array(n[some]), "total": pa.array(np.full(some.sum(), n.sum()))})
 
@@ -262,7 +264,7 @@ def gather(table: pa.Table, n_heavy: int, parts: int) -> pa.Table:
     customers, tables = bins(context, len(contexts), count), bins(context[known], len(contexts))
     moves = np.zeros(len(contexts), bool)
     moves[moving] = True
-    cut = range_bounds(contexts, parts)
+    cut = range_bounds(contexts, max(1, parts // 4))
     for q, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
         if b > a:
             rows.append(state_row(q, ASK, p, keys=contexts[a:b], customers=customers[a:b], tables=tables[a:b], moves=moves[a:b]))
@@ -477,14 +479,15 @@ def score(documents: DataFrame) -> DataFrame:
 
     first = keep(by_range(send_pairs(blocks, parts, heavy), lambda t: gather(t, n_heavy, parts)))
     total = totals(first)
-    books = keep(by_range(kind(first, ASK), book))
+    contexts = max(1, parts // 4)  # ranges of contexts
+    books = keep(by_range(kind(first, ASK), book).coalesce(contexts))
     free()
     state, register, models, seats, registers = first, books, [], [], []
     number, settled = 0, False
     while len(models) < SAMPLES:
         now = dict(total)
         state = keep(by_range(kind(state, SEATS).unionByName(kind(register, TELL)), lambda t, now=now, number=number: reseat(t, now, n_heavy, number)))
-        register = keep(by_range(kind(register, BOOK).unionByName(kind(state, ASK)), change))
+        register = keep(by_range(kind(register, BOOK).unionByName(kind(state, ASK)), change).coalesce(contexts))
         moved = totals(state)
         for k, v in moved.items():
             total[k] = total[k] + v
@@ -511,6 +514,8 @@ def score(documents: DataFrame) -> DataFrame:
         log, doc, n = log[number].astype(np.float64), t.doc[order], len(t.held)
         tokens = np.bincount(doc, minlength=n)
         base = np.bincount(doc, np.log10(total + 1), n) - tokens * np.log10(train_tokens + types + 1)
-        return pa.table({"doc_id": t.doc_ids, "held_out": pa.array(t.held), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(np.bincount(doc, total > 0, n).astype(np.int64)), "train_tokens": pa.array(np.full(n, train_tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(np.bincount(doc, log, n))})
+        score = np.bincount(doc, log, n)
+        perplexity = 10 ** np.minimum(-score / np.maximum(tokens, 1), 300)
+        return pa.table({"doc_id": t.doc_ids, "held_out": pa.array(t.held), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(np.bincount(doc, total > 0, n).astype(np.int64)), "train_tokens": pa.array(np.full(n, train_tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score), "perplexity": pa.array(perplexity)})
 
     return with_blocks(blocks, answers, finish, SCHEMA)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evidentia.llm.blocks import by_range, flags, pack, range_bounds, ranges, to_blocks, unpack, with_blocks
+from evidentia.llm.blocks import by_range, flags, load, pack, range_bounds, ranges, to_blocks, unpack, with_blocks
 from evidentia.shared import keep
 from evidentia.llm.textblocks import WordSlice, window_hash, word_slices
 
@@ -114,8 +114,8 @@ def distinct_anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def send_anchors(blocks: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bid, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = Words(unpack(payload))
+            for bid, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = Words(load(path))
                 _, _, keys, several = distinct_anchors(words)
                 yield send(bid, parts, keys, {"keys": lambda a, b: five_bytes(keys[a:b]), "several": lambda a, b: np.packbits(several[a:b]).tobytes()})
 

@@ -9,13 +9,18 @@ succeeded reach the index, so a lost executor leaves at most an unlisted file.
 
 Reading: index rows are selected first; those of one archive and stretch of
 ``STRETCH`` bytes are sorted by offset, neighbours with small gaps are read in
-one request, and every record is parsed and its digest checked.
+one request, and every record is parsed and its digest checked.  Tasks are as many
+as the bytes to read ask for, however few index rows there are.
 
-Cases: a null or empty html is an empty payload; null page ids and URLs are
+Payloads travel once, by page and digest: which pages share a payload is settled
+between rows of ids and digests, so a page that is very common is no hot key of
+payloads.
+
+Cases: a null or empty html is an empty payload, a very long one is one record; null page ids and URLs are
 written as such and read back as null; among rows with a page_id, a payload's
 smallest one is the response, also if it is repeated, and rows without page_id
 revisit it (all are responses if none has one); an empty table gives no
-archives; other columns are ignored.
+archives; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,10 +32,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.blocks import file_system
 from evidentia.shared import keep, new_folder
 
 MIN_REVISIT = 100
@@ -83,7 +88,7 @@ class Archive:
     """An open archive; closed and replaced when full."""
 
     def __init__(self, folder: str):
-        self.system, path = fs.FileSystem.from_uri(folder)
+        self.system, path = file_system(folder)
         self.system.create_dir(path, recursive=True)
         self.path, self.out, self.size = path, None, 0
 
@@ -105,12 +110,10 @@ class Archive:
 def plan(pages: DataFrame) -> DataFrame:
     """Each page with its payload, digest and the page it revisits (null for a response)."""
     keyed = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(coalesce(html, '') as binary) payload").withColumn("digest", F.sha2("payload", 256))
-    firsts = (
-        keyed.where(F.length("payload") >= MIN_REVISIT)
-        .groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and first is not null").select("digest", "first")
-    )
-    return keyed.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    large = keep(keyed.where(F.length("payload") >= MIN_REVISIT).groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n")))
+    firsts = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    again = large.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("first").alias("refers_to"))
+    return keyed.join(again, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -152,7 +155,7 @@ def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """The records of the index rows given, parsed and checked."""
 
     def run(table: pa.Table) -> pa.Table:
-        system, path = fs.FileSystem.from_uri(folder)
+        system, path = file_system(folder)
         rows = []
         places = sorted(set(zip(table.column("offset").to_pylist(), table.column("length").to_pylist(), strict=True)))
         with system.open_input_file(f"{path}/{table.column('archive')[0].as_py()}") as f:
@@ -170,7 +173,10 @@ def read(index: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in RECORDS.split(", ")])
 
     placed = index.select("archive", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
-    return placed.groupBy("archive", "stretch").applyInArrow(run, RECORDS)
+    total = placed.agg(F.sum("length").alias("n")).collect()[0]["n"] or 0
+    shuffled = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(-(-total // STRETCH), max(shuffled, total // ARCHIVE_BYTES)))
+    return placed.repartition(tasks, "archive", "stretch").groupBy("archive", "stretch").applyInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
