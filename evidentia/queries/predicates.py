@@ -43,18 +43,18 @@ def _(s: Source):
     return f.where(P.field_in(f.k, [P.typed("integer", x) for x in (3, 5, 8)])).select("fact_id", "scope_id")
 
 
-@query("p3_same_scope", "SELECT a.fact_id AS left_id, b.fact_id AS right_id FROM facts a JOIN facts b ON a.scope_id = b.scope_id WHERE a.kind = 'signup' AND b.kind = 'purchase' AND a.ordinal <= 3", "facts")
+@query("p3_same_scope", "SELECT a.fact_id AS left_id, b.fact_id AS right_id FROM facts a JOIN facts b ON a.scope_id = b.scope_id WHERE a.kind = 'signup' AND b.kind = 'purchase'", "facts")
 def _(s: Source):
     f = s.facts
-    a, b = f.where("kind = 'signup' and ordinal <= 3").alias("a"), f.where("kind = 'purchase'").alias("b")
+    a, b = f.where("kind = 'signup'").alias("a"), f.where("kind = 'purchase'").alias("b")
     user = F.lit("user")
     return a.join(b, P.same_scope(user, F.col("a.scope_id"), user, F.col("b.scope_id"), "user", ("user", "session")) & (F.col("a.scope_id") == F.col("b.scope_id"))).select(F.col("a.fact_id").alias("left_id"), F.col("b.fact_id").alias("right_id"))
 
 
-@query("p4_ordered_relation", "SELECT a.fact_id AS left_id, b.fact_id AS right_id FROM facts a JOIN facts b ON a.scope_id = b.scope_id AND a.ordinal < b.ordinal AND b.ordinal <= 6 WHERE a.kind = 'error' AND b.kind = 'purchase'", "facts")
+@query("p4_ordered_relation", "SELECT a.fact_id AS left_id, b.fact_id AS right_id FROM facts a JOIN facts b ON a.scope_id = b.scope_id AND a.ordinal < b.ordinal WHERE a.kind = 'error' AND b.kind = 'purchase'", "facts")
 def _(s: Source):
     f = s.facts.withColumn("o", F.struct(F.lit("integer").alias("t"), F.col("ordinal").cast("string").alias("v")))
-    a, b = f.where("kind = 'error'").alias("a"), f.where("kind = 'purchase' and ordinal <= 6").alias("b")
+    a, b = f.where("kind = 'error'").alias("a"), f.where("kind = 'purchase'").alias("b")
     return a.join(b, (F.col("a.scope_id") == F.col("b.scope_id")) & P.ordered(F.col("a.o"), F.col("b.o"), "before")).select(F.col("a.fact_id").alias("left_id"), F.col("b.fact_id").alias("right_id"))
 
 
@@ -192,9 +192,9 @@ def _(s: Source):
     return s.part.select("p_name").distinct().select("p_name", S.bounded_distance(F.col("p_name"), F.lit("small ring"), 4).alias("distance"))
 
 
-@query("f3_ascii_fold", "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents WHERE n_chars < 300")
+@query("f3_ascii_fold", "SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded FROM documents")
 def _(s: Source):
-    return s.documents.where("n_chars < 300").select("doc_id", S.ascii_fold(F.col("text")).alias("folded"))
+    return s.documents.select("doc_id", S.ascii_fold(F.col("text")).alias("folded"))
 
 
 @query("f4_phrase", "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents) SELECT doc_id FROM t WHERE contains(concat(' ', array_to_string(w, ' '), ' '), ' apache license ')")

@@ -16,9 +16,9 @@ def count():
     return F.count(F.lit(1))
 
 
-@query("j1_fact_scans", "SELECT a.fact_id AS a, b.fact_id AS b FROM facts a JOIN facts b ON a.scope_id = b.scope_id WHERE a.kind = 'click' AND b.kind = 'view' AND a.confidence = 2 AND b.confidence = 2", "facts")
+@query("j1_fact_scans", "SELECT a.fact_id AS a, b.fact_id AS b FROM facts a JOIN facts b ON a.scope_id = b.scope_id WHERE a.kind = 'click' AND b.kind = 'view'", "facts")
 def _(s: Source):  # the scans carry their filters and the equality joins them: never a cross product
-    f = s.facts.where("confidence = 2")
+    f = s.facts
     return f.where("kind = 'click'").alias("a").join(f.where("kind = 'view'").alias("b"), "scope_id").select(F.col("a.fact_id").alias("a"), F.col("b.fact_id").alias("b"))
 
 
@@ -36,10 +36,10 @@ def _(s: Source):
     return a.join(b, "scope_id").where("b.ordinal > a.ordinal and b.ordinal <= a.ordinal + 2").select(F.col("a.fact_id").alias("a"), F.col("b.fact_id").alias("b"))
 
 
-@query("j4_exists_expands", "SELECT DISTINCT a.scope_id, b.fact_id AS witness FROM facts a JOIN facts b ON a.scope_id = b.scope_id AND b.kind = 'purchase' AND b.confidence = 2 WHERE a.kind = 'error'", "facts")
+@query("j4_exists_expands", "SELECT DISTINCT a.scope_id, b.fact_id AS witness FROM facts a JOIN facts b ON a.scope_id = b.scope_id AND b.kind = 'purchase' WHERE a.kind = 'error'", "facts")
 def _(s: Source):
     f = s.facts
-    inner = f.where("kind = 'purchase' and confidence = 2").select("scope_id", F.col("fact_id").alias("witness"))
+    inner = f.where("kind = 'purchase'").select("scope_id", F.col("fact_id").alias("witness"))
     return f.where("kind = 'error'").select("scope_id").join(inner, "scope_id").distinct()
 
 
@@ -207,12 +207,7 @@ def _(s: Source):
     return out
 
 
-@query("a9_finding_dedup", "SELECT p_name AS finding_id, min(p_type) AS code, count(DISTINCT p_type) > 1 AS conflict FROM part WHERE p_size < 4 GROUP BY p_name")
-def _(s: Source):
-    return C.deduplicate(s.part.where("p_size < 4").select(F.col("p_name").alias("finding_id"), F.col("p_type").alias("code")), "finding_id", ["code"])
-
-
-@query("a9_finding_dedup_whole", "SELECT p_name AS finding_id, min(p_type) AS code, count(DISTINCT p_type) > 1 AS conflict FROM part GROUP BY p_name")
+@query("a9_finding_dedup", "SELECT p_name AS finding_id, min(p_type) AS code, count(DISTINCT p_type) > 1 AS conflict FROM part GROUP BY p_name")
 def _(s: Source):
     return C.deduplicate(s.part.select(F.col("p_name").alias("finding_id"), F.col("p_type").alias("code")), "finding_id", ["code"])
 
@@ -285,12 +280,7 @@ def _(s: Source):
     return s.nodes.where(F.col("kind").isin("region", "nation", "supplier")).select("kind", "node_id", F.row_number().over(w).alias("ordinal"))
 
 
-@query("w6_ordinals", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE n_chars < 400)")
-def _(s: Source):
-    return s.documents.where("n_chars < 400").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
-
-
-@query("w6_ordinals_whole", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)")
+@query("w6_ordinals", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)")
 def _(s: Source):
     return s.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
 

@@ -177,14 +177,7 @@ def _(s: Source):
     return s.documents.groupBy("lang").agg(count().alias("files"), F.sum(n).alias("bytes"), F.max(n).alias("largest"))
 
 
-@query("l2_type_resolution", "SELECT p_partkey, CASE WHEN t.n IS NULL THEN 'unresolved' WHEN t.blocked THEN 'correction_blocked' WHEN t.n > 1 THEN 'ambiguous' ELSE 'resolved' END AS resolution FROM part LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n, bool_or(c_acctbal < 0) AS blocked FROM customer WHERE c_custkey < 30 GROUP BY c_nationkey) t ON t.k = p_size")
-def _(s: Source):
-    declared = s.customer.where("c_custkey < 30").groupBy(F.col("c_nationkey").alias("p_size")).agg(count().alias("n"), F.bool_or(F.col("c_acctbal") < 0).alias("blocked"))
-    state = F.when(F.col("n").isNull(), "unresolved").when(F.col("blocked"), "correction_blocked").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
-    return s.part.join(declared, "p_size", "left").select("p_partkey", state.alias("resolution"))
-
-
-@query("l2_type_resolution_whole", "SELECT p_partkey, CASE WHEN t.n IS NULL THEN 'unresolved' WHEN t.blocked THEN 'correction_blocked' WHEN t.n > 1 THEN 'ambiguous' ELSE 'resolved' END AS resolution FROM part LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n, bool_or(c_acctbal < 0) AS blocked FROM customer GROUP BY c_nationkey) t ON t.k = p_size")
+@query("l2_type_resolution", "SELECT p_partkey, CASE WHEN t.n IS NULL THEN 'unresolved' WHEN t.blocked THEN 'correction_blocked' WHEN t.n > 1 THEN 'ambiguous' ELSE 'resolved' END AS resolution FROM part LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n, bool_or(c_acctbal < 0) AS blocked FROM customer GROUP BY c_nationkey) t ON t.k = p_size")
 def _(s: Source):
     declared = s.customer.groupBy(F.col("c_nationkey").alias("p_size")).agg(count().alias("n"), F.bool_or(F.col("c_acctbal") < 0).alias("blocked"))
     state = F.when(F.col("n").isNull(), "unresolved").when(F.col("blocked"), "correction_blocked").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
@@ -231,12 +224,7 @@ def _(s: Source):
     return s.documents.groupBy("source").agg(F.when(F.bool_and(F.col("lang") != "de"), "open").otherwise("blocked").alias("gate"))
 
 
-@query("l9_fingerprints", "SELECT p_partkey, sha256(concat('finding|', length(p_name), ':', p_name, length(p_type), ':', p_type)) AS fingerprint FROM part WHERE p_size < 10")
-def _(s: Source):
-    return s.part.where("p_size < 10").select("p_partkey", S.content_digest(F.col("p_name"), F.col("p_type"), domain="finding").alias("fingerprint"))
-
-
-@query("l9_fingerprints_whole", "SELECT p_partkey, sha256(concat('finding|', length(p_name), ':', p_name, length(p_type), ':', p_type)) AS fingerprint FROM part")
+@query("l9_fingerprints", "SELECT p_partkey, sha256(concat('finding|', length(p_name), ':', p_name, length(p_type), ':', p_type)) AS fingerprint FROM part")
 def _(s: Source):
     return s.part.select("p_partkey", S.content_digest(F.col("p_name"), F.col("p_type"), domain="finding").alias("fingerprint"))
 
@@ -292,12 +280,7 @@ def _(s: Source):
     return s.orders.select((F.col("o_custkey") % 50).alias("generation")).join(protected, "generation", "left_anti").groupBy("generation").agg(count().alias("versions"))
 
 
-@query("v9_recovery_scan", "SELECT p_partkey, 'orphan' AS state FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey < 3000)")
-def _(s: Source):
-    return V.unreferenced(s.part.select("p_partkey"), "p_partkey", s.lineitem.where("l_orderkey < 3000").select(F.col("l_partkey").alias("p_partkey"))).withColumn("state", F.lit("orphan"))
-
-
-@query("v9_recovery_scan_whole", "SELECT p_partkey, 'orphan' AS state FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("v9_recovery_scan", "SELECT p_partkey, 'orphan' AS state FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def _(s: Source):
     return V.unreferenced(s.part.select("p_partkey"), "p_partkey", s.lineitem.select(F.col("l_partkey").alias("p_partkey"))).withColumn("state", F.lit("orphan"))
 
@@ -339,18 +322,12 @@ def _(s: Source):
     return R.cumulative_bytes(s.conversations, ["conv_id"], ["turn"], F.octet_length("text")).select("conv_id", "turn", "byte_start", "byte_end")
 
 
-@query("c8_excerpt_digest", "SELECT doc_id, sha256(text[1:50]) AS digest FROM documents WHERE strlen(text) = length(text) AND length(text) >= 50")
-def _(s: Source):
-    return s.documents.where("octet_length(text) = length(text) and length(text) >= 50").select("doc_id", F.sha2(F.substring("text", 1, 50), 256).alias("digest"))
+@query("c8_excerpt_digest", "SELECT doc_id, CAST(i AS INTEGER) AS line, sha256(l) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)")
+def _(s: Source):  # every line of every text is an excerpt
+    return s.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l")).select("doc_id", (F.col("i") + 1).alias("line"), F.sha2("l", 256).alias("digest"))
 
 
 @query("s4_manifest_lines", """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, CASE WHEN trim(l) = '' THEN 'blank' WHEN starts_with(l, '##') THEN 'metadata' WHEN starts_with(l, '#') THEN 'comment' ELSE 'file' END AS kind,
-    CAST(sum(strlen(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(l) - 1 AS BIGINT) AS byte_start FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents WHERE n_chars < 1000)""")
-def _(s: Source):
-    return T.manifest_lines(s.documents.where("n_chars < 1000"), "doc_id", "text").select("doc_id", "line", "kind", "byte_start")
-
-
-@query("s4_manifest_lines_whole", """SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, CASE WHEN trim(l) = '' THEN 'blank' WHEN starts_with(l, '##') THEN 'metadata' WHEN starts_with(l, '#') THEN 'comment' ELSE 'file' END AS kind,
     CAST(sum(strlen(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(l) - 1 AS BIGINT) AS byte_start FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)""")
 def _(s: Source):
     return T.manifest_lines(s.documents, "doc_id", "text").select("doc_id", "line", "kind", "byte_start")
@@ -402,20 +379,17 @@ def _(s: Source):
     return N.source_map(s.members).select("api", "position", "byte_end")
 
 
-@query("f16_positions", "SELECT doc_id, CAST(len(string_split(text[1:40], chr(10))) - 1 AS BIGINT) AS line, CAST(length(list_last(string_split(text[1:40], chr(10)))) AS BIGINT) AS character FROM documents WHERE strlen(text) = length(text) AND length(text) > 40")
-def _(s: Source):
+@query("f16_positions", """SELECT doc_id, unit, CAST(len(string_split(text, chr(10))) - 1 AS BIGINT) AS line, CAST(CASE unit WHEN 'utf-8' THEN strlen(list_last(string_split(text, chr(10)))) ELSE length(list_last(string_split(text, chr(10)))) END AS BIGINT) AS character
+    FROM documents, (VALUES ('utf-8'), ('utf-32')) AS u(unit)""")
+def _(s: Source):  # the end of every whole text, in two units
     from evidentia.functions.positions import positions
 
-    d = s.documents.where("octet_length(text) = length(text) and length(text) > 40").select("doc_id", "text", F.lit(40).cast("long").alias("at"))
-    return positions(d, "text", "at").select("doc_id", "line", "character")
-
-
-@query("s18_token_table", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w AS token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w, unnest(generate_series(1, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')))) AS i FROM documents WHERE n_chars < 800)")
-def _(s: Source):
-    return s.documents.where("n_chars < 800").select("doc_id", F.posexplode(S.word_tokens(F.col("text"))).alias("pos", "token"))
+    d = s.documents.select("doc_id", "text", F.octet_length("text").cast("long").alias("at"))
+    units = [positions(d, "text", "at", unit).select("doc_id", F.lit(unit).alias("unit"), "line", "character") for unit in ("utf-8", "utf-32")]
+    return units[0].unionByName(units[1])
 
 
-@query("s18_token_table_whole", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w AS token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w, unnest(generate_series(1, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')))) AS i FROM documents)")
+@query("s18_token_table", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w AS token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w, unnest(generate_series(1, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')))) AS i FROM documents)")
 def _(s: Source):
     return s.documents.select("doc_id", F.posexplode(S.word_tokens(F.col("text"))).alias("pos", "token"))
 
@@ -445,16 +419,7 @@ def _(s: Source):
     return back.agg(count().alias("files"), F.sum(F.size(F.split("value", "\n"))).cast("long").alias("lines"))
 
 
-@query("k6_page_fixpoint", "SELECT CAST(page AS BIGINT) AS page, CAST(total AS BIGINT) AS bytes FROM (SELECT page, s + CASE WHEN s + 2 < 100 THEN 2 ELSE 3 END AS total FROM (SELECT r // 10 AS page, sum(length(p_name)) AS s FROM (SELECT p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part WHERE p_partkey < 200) GROUP BY r // 10))")
-def _(s: Source):
-    """A page holds the digits of its own size: the smallest size that is its content plus its digits."""
-    n = (F.row_number().over(Window.orderBy("p_partkey")) - 1).alias("r")
-    sizes = s.part.where("p_partkey < 200").select(F.octet_length("p_name").alias("b"), n).groupBy(F.floor(F.col("r") / 10).alias("page")).agg(F.sum("b").cast("long").alias("content"))
-    fix = F.element_at(F.filter(F.sequence(F.lit(1), F.lit(8)), lambda d: F.length((F.col("content") + d).cast("string")) == d), 1)
-    return sizes.select("page", (F.col("content") + fix).alias("bytes"))
-
-
-@query("k6_page_fixpoint_whole", "SELECT CAST(page AS BIGINT) AS page, CAST(total AS BIGINT) AS bytes FROM (SELECT page, s + CASE WHEN s + 2 < 100 THEN 2 ELSE 3 END AS total FROM (SELECT r // 10 AS page, sum(length(p_name)) AS s FROM (SELECT p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part) GROUP BY r // 10))")
+@query("k6_page_fixpoint", "SELECT CAST(page AS BIGINT) AS page, CAST(total AS BIGINT) AS bytes FROM (SELECT page, s + CASE WHEN s + 2 < 100 THEN 2 ELSE 3 END AS total FROM (SELECT r // 10 AS page, sum(length(p_name)) AS s FROM (SELECT p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part) GROUP BY r // 10))")
 def _(s: Source):
     sizes = R.numbered(s.part.select("p_partkey", F.octet_length("p_name").alias("b")), "p_partkey").groupBy(F.floor(F.col("r") / 10).alias("page")).agg(F.sum("b").cast("long").alias("content"))
     fix = F.element_at(F.filter(F.sequence(F.lit(1), F.lit(8)), lambda d: F.length((F.col("content") + d).cast("string")) == d), 1)

@@ -27,17 +27,17 @@ def rows(spark, folder, name):
 
 def test_long_texts(spark, folder):
     words = [(d, i, w) for d, t in TEXTS for i, w in enumerate(re.findall(r"[^\W_]+", t.lower()))]
-    assert rows(spark, folder, "s18_token_table_whole") == words
+    assert rows(spark, folder, "s18_token_table") == words
     lines = [(d, i, s) for d, t in TEXTS for i, s in enumerate(t.split("\n"))]
-    assert rows(spark, folder, "w6_ordinals_whole") == lines
+    assert rows(spark, folder, "w6_ordinals") == lines
     starts = [(d, i, len("".join(f"{s}\n" for s in t.split("\n")[:i]).encode())) for d, t in TEXTS for i in range(len(t.split("\n")))]
-    assert [(d, i, at) for d, i, _, at in rows(spark, folder, "s4_manifest_lines_whole")] == starts
+    assert [(d, i, at) for d, i, _, at in rows(spark, folder, "s4_manifest_lines")] == starts
 
 
 def test_all_ids(spark, folder):
-    assert rows(spark, folder, "v9_recovery_scan_whole") == [(p, "orphan") for p in range(1101, 1200)]
-    assert len(rows(spark, folder, "d8_load_units_whole")) == spark.read.parquet(f"{folder}/lineitem.parquet").count()
-    pages = rows(spark, folder, "k6_page_fixpoint_whole")
+    assert rows(spark, folder, "v9_recovery_scan") == [(p, "orphan") for p in range(1101, 1200)]
+    assert len(rows(spark, folder, "d8_load_units")) == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    pages = rows(spark, folder, "k6_page_fixpoint")
     assert pages == [(p, (n := sum(len(f"part {i}") for i in range(10 * p + 1, min(1200, 10 * p + 11)))) + (2 if n + 2 < 100 else 3)) for p in range(120)]
 
 
