@@ -38,7 +38,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.operators.predicates import ordered, typed
@@ -281,8 +281,12 @@ def run_rule(pack: Pack, rule: Mapping, facts: DataFrame, coverage: Mapping[str,
     own = F.array(*[F.col(f"`{a}!id`").cast("string") for a in bound])
     witness = F.array_sort(F.array_distinct(F.concat(own, F.col("`!w`")))) if "!w" in rows.columns else F.array_sort(F.array_distinct(own))
     named = rows.select(F.lit(rule["rule_id"]).alias("rule_id"), key.alias("match_key"), F.concat_ws(";", *captures).alias("captures"), F.array_join(witness, ",").alias("witnesses"), exact.alias("exact"))
-    unique = F.count(F.lit(1)).over(Window.partitionBy("match_key")) == 1
-    return named.withColumn("confidence", F.when(F.col("exact") & unique & F.lit(state == "evaluate"), "proven").otherwise("possible")).drop("exact")
+    proven = F.col("exact") & F.lit(state == "evaluate")
+    if rule.get("key"):  # a key of its own may be shared; the ids of all bound facts can't be
+        shared = named.groupBy("match_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("match_key", F.lit(True).alias("shared"))
+        named = named.join(shared, "match_key", "left")
+        proven = proven & F.col("shared").isNull()
+    return named.select("rule_id", "match_key", "captures", "witnesses", F.when(proven, "proven").otherwise("possible").alias("confidence"))
 
 
 def run_pack(pack: Pack, facts: DataFrame, coverage: Mapping[str, str]) -> DataFrame:

@@ -158,8 +158,8 @@ def _(s: Source):
 
 @query("a2_ambiguity", "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_name, p_brand) > 1 THEN 'possible' ELSE 'proven' END AS confidence FROM part")
 def _(s: Source):
-    n = F.count(F.lit(1)).over(Window.partitionBy("p_name", "p_brand"))
-    return s.part.select("p_partkey", F.when(n > 1, "possible").otherwise("proven").alias("confidence"))
+    shared = s.part.groupBy("p_name", "p_brand").agg(count().alias("n")).where("n > 1").withColumn("shared", F.lit(True))
+    return s.part.join(shared, ["p_name", "p_brand"], "left").select("p_partkey", F.when(F.col("shared"), "possible").otherwise("proven").alias("confidence"))
 
 
 @query("a3_evidence_union", "SELECT p_name, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS evidence, count(DISTINCT p_brand) > 1 AS conflict FROM part GROUP BY p_name")
@@ -276,8 +276,8 @@ def _(s: Source):
 
 @query("w5_federated_ordinal", "SELECT kind, node_id, CAST(row_number() OVER (PARTITION BY kind ORDER BY label, node_id) AS INTEGER) AS ordinal FROM nodes WHERE kind IN ('region', 'nation', 'supplier')", "nodes")
 def _(s: Source):
-    w = Window.partitionBy("kind").orderBy("label", "node_id")
-    return s.nodes.where(F.col("kind").isin("region", "nation", "supplier")).select("kind", "node_id", F.row_number().over(w).alias("ordinal"))
+    rows = s.nodes.where(F.col("kind").isin("region", "nation", "supplier")).select("kind", "node_id", F.struct("label", "node_id").alias("place"))
+    return R.ranked(rows, "kind", "place", "ordinal").select("kind", "node_id", "ordinal")
 
 
 @query("w6_ordinals", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS ordinal, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents)")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evidentia.plans import recognizers as N
 from evidentia.plans import rules as R
 from evidentia.registry import Source, query
+from evidentia.sources import text as T
 
 COVERAGE = {"events": "complete", "errors": "partial", "broken": "failed"}
 
@@ -133,54 +136,120 @@ def _(s: Source):
     return ends.join(s.nodes.where("kind = 'part'").select(F.col("node_id").alias("target")), "target").select("target", "source").distinct()
 
 
-#: recognizers as packs: (query, first kind, second kind, extra clauses, condition in SQL)
-RECOGNIZERS = [
-    ("r20_direct_calls", "click", "view", [join("a", "b")], "a.k = b.k"),
-    ("r21_event_registration", "signup", "click", [join("a", "b"), order("a", "b")], "a.k = b.k AND a.ordinal < b.ordinal"),
-    ("r24_callbacks", "signup", "error", [join("a", "b"), order("b", "a")], "a.k = b.k AND b.ordinal < a.ordinal"),
-    ("r25_script_hooks", "view", "click", [join("a", "b"), order("a", "b")], "a.k = b.k AND a.ordinal < b.ordinal"),
-    ("r26_script_handlers", "view", "signup", [join("a", "b")], "a.k = b.k"),
-    ("r27_construction", "purchase", "signup", [join("a", "b")], "a.k = b.k"),
-    ("r28_mixins", "purchase", "view", [join("a", "b"), order("a", "b")], "a.k = b.k AND a.ordinal < b.ordinal"),
-    ("r29_saved_state", "error", "signup", [join("a", "b"), order("a", "b")], "a.k = b.k AND a.ordinal < b.ordinal"),
-    ("r30_library_use", "click", "purchase", [join("a", "b"), order("a", "b")], "a.k = b.k AND a.ordinal < b.ordinal"),
-    ("r32_templates", "error", "view", [join("a", "b")], "a.k = b.k"),
-]
+# orders as calls, their lines as ordered arguments; every eleventh line is not a literal, every seventh call lacks its first line
+CALL = """n AS (SELECT ['Frame.RegisterEvent', 'Frame.RegisterUnitEvent', 'CVarCallbackRegistry.RegisterCallback', 'Frame.SetScript', 'Frame.HookScript', 'hooksecurefunc', 'CreateFrame', 'Mixin', 'CreateFromMixins', 'LibStub', 'LibStub.GetLibrary', 'LibStub.NewLibrary', 'Registry.TriggerEvent', 'Registry.RegisterCallback', 'Addon.Update', 'GetTime', 'print'] AS names),
+    calls AS (SELECT o_orderkey AS call_id, concat('function:', o_custkey) AS caller, names[CAST(o_orderkey * 7 % 17 AS INTEGER) + 1] AS callable, concat('frame:', o_custkey % 40) AS receiver FROM orders, n),
+    ranked AS (SELECT l_orderkey AS call_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS position, l_partkey, l_suppkey FROM lineitem),
+    arguments AS (SELECT call_id, position, CASE WHEN (l_partkey + l_suppkey) % 11 = 0 THEN NULL WHEN position = 1 AND l_partkey % 3 = 0 THEN CAST(l_suppkey AS VARCHAR) ELSE concat('NAME_', l_partkey % 60) END AS value FROM ranked WHERE NOT (call_id % 7 = 0 AND position = 0)),
+    listed AS (SELECT c.call_id, c.caller, c.callable, c.receiver, coalesce(list(a.value ORDER BY a.position) FILTER (a.position IS NOT NULL), []) AS args, coalesce(min(a.position), 0) = 0 AS whole FROM calls c LEFT JOIN arguments a USING (call_id) GROUP BY ALL)"""
+NAMES = ("Frame.RegisterEvent", "Frame.RegisterUnitEvent", "CVarCallbackRegistry.RegisterCallback", "Frame.SetScript", "Frame.HookScript", "hooksecurefunc", "CreateFrame", "Mixin", "CreateFromMixins", "LibStub", "LibStub.GetLibrary", "LibStub.NewLibrary", "Registry.TriggerEvent", "Registry.RegisterCallback", "Addon.Update", "GetTime", "print")
 
 
-def recognizer(name: str, a: str, b: str, extra: list, sql: str) -> None:
-    @query(name, pair_sql(name, a, b, f"a.scope_id = b.scope_id AND {sql}", captures="concat('k=', a.k, ';user=', b.scope_id)"), "facts")
+def calls(s: Source):
+    names = F.array(*map(F.lit, NAMES))
+    rows = s.orders.select(F.col("o_orderkey").alias("call_id"), F.concat(F.lit("function:"), "o_custkey").alias("caller"), names[(F.col("o_orderkey") * 7 % 17).cast("int")].alias("callable"), F.concat(F.lit("frame:"), F.col("o_custkey") % 40).alias("receiver"))
+    ranked = s.lineitem.select(F.col("l_orderkey").alias("call_id"), (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1).cast("long").alias("position"), "l_partkey", "l_suppkey")
+    value = F.when((F.col("l_partkey") + F.col("l_suppkey")) % 11 == 0, None).when((F.col("position") == 1) & (F.col("l_partkey") % 3 == 0), F.col("l_suppkey").cast("string")).otherwise(F.concat(F.lit("NAME_"), F.col("l_partkey") % 60))
+    return N.call_facts(rows, ranked.where("not (call_id % 7 = 0 and position = 0)").select("call_id", "position", value.alias("value")))
+
+
+def recipe_sql(r: N.Recipe) -> str:
+    """The recipe in SQL, over listed."""
+    key = f"CASE WHEN len(args) > {r.least} THEN args[{r.key + 2}] ELSE args[{r.key + 1}] END" if r.shifted else f"args[{r.key + 1}]"
+    targets = f"args[{r.each + 1}:]" if r.each is not None else f"[{key}]"
+    rest = f"CASE WHEN len(args) > {r.rest} THEN args[{r.rest + 1}:] END" if r.rest is not None else "CAST(NULL AS VARCHAR[])"
+    number = f"TRY_CAST(args[{r.number + 1}] AS INTEGER)" if r.number is not None else "CAST(NULL AS INTEGER)"
+    given = f"len(args) > {r.number}" if r.number is not None else "false"
+    return f"SELECT call_id, caller, receiver, '{r.relation}' AS relation, unnest(CASE WHEN len(args) >= {r.least} AND len({targets}) > 0 THEN {targets} ELSE [NULL] END) AS target, {rest} AS rest, {number} AS number, {given} AS given, len(args) >= {r.least} AS enough, whole FROM listed WHERE callable = '{r.callable}'"
+
+
+def recognized_sql(recipes) -> str:
+    return f"""WITH {CALL}, raw AS ({" UNION ALL ".join(map(recipe_sql, recipes))}),
+    found AS (SELECT *, CASE WHEN NOT whole THEN 'incomplete_call' WHEN NOT enough THEN 'missing_argument' WHEN target IS NULL THEN 'inexact_name' WHEN given AND number IS NULL THEN 'inexact_number' WHEN len(list_filter(rest, lambda x: x IS NULL)) > 0 THEN 'possible' ELSE 'derived' END AS state FROM raw),
+    rec AS (SELECT call_id, caller, receiver, relation, CASE WHEN state IN ('derived', 'possible') THEN target END AS target, CASE WHEN state IN ('derived', 'possible') THEN coalesce(array_to_string(list_transform(rest, lambda x: coalesce(x, '?')), ','), '') END AS detail, CASE WHEN state IN ('derived', 'possible') THEN number END AS number, state FROM found)"""
+
+
+def recognizer(name: str, recipes) -> None:
+    @query(name, recognized_sql(recipes) + " SELECT call_id, caller, relation, target, detail, number, state FROM rec")
     def _(s: Source):
-        return run(s, pack(name, [fact("a", a), fact("b", b), scope("a", "b"), *extra], {"k": "a.k", "user": "b.user"}))
+        return N.recognize(calls(s), recipes).drop("receiver")
+
+
+for _name, _recipes in {"r21_event_registration": N.NATIVE_EVENTS, "r24_callbacks": N.CALLBACKS, "r25_script_hooks": N.SCRIPTS, "r27_construction": N.CONSTRUCTION, "r28_mixins": N.MIXINS, "r30_library_use": N.LIBRARIES}.items():
+    recognizer(_name, _recipes)
+
+
+@query("r11_call_facts", f"WITH {CALL} SELECT call_id, caller, callable, len(args) AS n, array_to_string(list_transform(args, lambda x: coalesce(x, '?')), ',') AS arguments, whole FROM listed")
+def _(s: Source):
+    return calls(s).select("call_id", "caller", "callable", F.size("args").cast("long").alias("n"), F.array_join(F.transform("args", lambda x: F.coalesce(x, F.lit("?"))), ",").alias("arguments"), "whole")
+
+
+@query("r20_direct_calls", f"""WITH {CALL} SELECT call_id, caller, CASE callable WHEN 'Addon.Update' THEN 'calls' WHEN 'GetTime' THEN 'uses_api' END AS relation, CASE WHEN callable IN ('Addon.Update', 'GetTime') THEN callable END AS target,
+    CASE WHEN callable IN ('Addon.Update', 'GetTime') THEN 'derived' WHEN callable = 'print' THEN 'ambiguous' ELSE 'unresolved' END AS state FROM calls""")
+def _(s: Source):
+    names = lambda *n: s.spark.createDataFrame([(x,) for x in n], "name string")
+    return N.direct_calls(calls(s), names("Addon.Update", "print"), names("GetTime", "print"))
+
+
+@query("r22_event_bridge", recognized_sql(N.NATIVE_EVENTS + N.SCRIPTS[:2]) + """, r AS (SELECT receiver, target, count(*) AS registrations FROM rec WHERE relation = 'registers_native_event' AND target IS NOT NULL GROUP BY ALL), h AS (SELECT receiver, count(*) AS handlers FROM rec WHERE relation <> 'registers_native_event' AND target IS NOT NULL GROUP BY ALL)
+    SELECT r.receiver, r.target, r.registrations, coalesce(h.handlers, 0) AS handlers, CASE WHEN h.handlers > 0 THEN 'bridged' ELSE 'no_handler' END AS state FROM r LEFT JOIN h USING (receiver)""")
+def _(s: Source):
+    c = calls(s)
+    return N.bridges(N.recognize(c, N.NATIVE_EVENTS), N.recognize(c, N.SCRIPTS[:2]))
+
+
+@query("r23_signal_confirmation", recognized_sql(N.SIGNALS) + """, p AS (SELECT receiver, target, count(DISTINCT call_id) AS n FROM rec WHERE relation = 'emits_custom_signal' AND target IS NOT NULL GROUP BY ALL)
+    SELECT q.call_id, q.target, CASE WHEN p.n IS NOT NULL THEN 'confirmed' WHEN q.target IN (SELECT target FROM p) THEN 'receiver_mismatch' WHEN q.receiver IN (SELECT receiver FROM p) THEN 'key_mismatch' ELSE 'no_producer' END AS state, CAST(coalesce(p.n, 0) AS INTEGER) AS producers
+    FROM rec q LEFT JOIN p USING (receiver, target) WHERE q.relation = 'handles_custom_signal' AND q.target IS NOT NULL""")
+def _(s: Source):
+    found = N.recognize(calls(s), N.SIGNALS)
+    return N.confirmations(found.where("relation = 'handles_custom_signal'"), found.where("relation = 'emits_custom_signal'"))
 
 
-for _row in RECOGNIZERS:
-    recognizer(*_row)
+@query("r26_script_handlers", """SELECT page_id AS doc, CAST(count(*) AS BIGINT) AS n, count(DISTINCT t) AS targets FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'gs'), '<a href="([^"]*)"', 1)) AS h FROM pages), LATERAL (SELECT unnest(regexp_split_to_array(h, '\\s*,\\s*')) AS t) WHERE t <> '' GROUP BY page_id""")
+def _(s: Source):  # links of pages stand for the script attributes of an interface file
+    found = N.element_relations(T.elements(s.pages, "page_id", "html").withColumnRenamed("page_id", "doc"), {"href": "sets_script"})
+    return found.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("targets"))
 
 
-@query("r23_signal_confirmation", f"""WITH {F_}, p AS (SELECT scope_id, k, count(*) AS n FROM f WHERE kind = 'view' GROUP BY scope_id, k)
-    SELECT s.fact_id, CASE WHEN s.value < 2 THEN 'lookup_incomplete' WHEN exists (SELECT 1 FROM p WHERE p.scope_id = s.scope_id AND p.k = s.k) THEN 'confirmed' WHEN exists (SELECT 1 FROM p WHERE p.k = s.k) THEN 'receiver_mismatch'
-        WHEN exists (SELECT 1 FROM p WHERE p.scope_id = s.scope_id) THEN 'key_mismatch' ELSE 'no_producer' END AS state, coalesce((SELECT n FROM p WHERE p.scope_id = s.scope_id AND p.k = s.k), 0) AS producers FROM f s WHERE kind = 'signup'""", "facts")
+@query("r29_saved_state", """WITH d AS (SELECT c_mktsegment AS name, count(DISTINCT c_nationkey % 3) AS owners FROM customer WHERE c_mktsegment <> 'MACHINERY' GROUP BY ALL UNION ALL SELECT concat('k', n_nationkey % 6), 1 FROM nation GROUP BY ALL),
+    a AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 5 = 0 THEN 'BUILDING' ELSE concat('k', CAST(json_extract_string(props, '$.k') AS BIGINT) % 9) END AS name FROM events WHERE event_type IN ('view', 'purchase'))
+    SELECT a.event_id AS access_id, CASE WHEN d.owners = 1 THEN CASE event_type WHEN 'purchase' THEN 'writes_state' ELSE 'reads_state' END END AS relation, CASE WHEN d.owners = 1 THEN a.name END AS target, CASE WHEN d.owners IS NULL THEN 'undeclared' WHEN d.owners > 1 THEN 'ambiguous' ELSE 'derived' END AS state FROM a LEFT JOIN d USING (name)""")
 def _(s: Source):
-    f = s.facts.withColumn("k", F.get_json_object("props", "$.k"))
-    p = f.where("kind = 'view'")
-    both = p.groupBy("scope_id", "k").agg(F.count(F.lit(1)).alias("n"))
-    keys, receivers = p.select("k").distinct().withColumn("has_key", F.lit(True)), p.select("scope_id").distinct().withColumn("has_receiver", F.lit(True))
-    joined = f.where("kind = 'signup'").join(both, ["scope_id", "k"], "left").join(keys, "k", "left").join(receivers, "scope_id", "left")
-    state = F.when(F.col("value") < 2, "lookup_incomplete").when(F.col("n").isNotNull(), "confirmed").when(F.col("has_key"), "receiver_mismatch").when(F.col("has_receiver"), "key_mismatch").otherwise("no_producer")
-    return joined.select("fact_id", state.alias("state"), F.coalesce("n", F.lit(0)).alias("producers"))
+    declared = s.customer.where("c_mktsegment <> 'MACHINERY'").select(F.col("c_mktsegment").alias("name"), (F.col("c_nationkey") % 3).cast("string").alias("owner"))
+    declared = declared.unionByName(s.nation.select(F.concat(F.lit("k"), F.col("n_nationkey") % 6).alias("name"), F.lit("own").alias("owner")))
+    name = F.when(F.col("event_id") % 5 == 0, "BUILDING").otherwise(F.concat(F.lit("k"), F.get_json_object("props", "$.k").cast("long") % 9))
+    accesses = s.events.where("event_type in ('view', 'purchase')").select(F.col("event_id").alias("access_id"), F.col("user_id").alias("caller"), name.alias("name"), F.when(F.col("event_type") == "purchase", "write").otherwise("read").alias("access"))
+    return N.state_accesses(accesses, declared).select("access_id", "relation", "target", "state")
 
 
-@query("r22_event_bridge", f"WITH {F_} SELECT a.scope_id AS registrar, b.scope_id AS handler, a.k AS event_key, count(*) AS bridges FROM f a JOIN f b ON a.k = b.k AND a.scope_id < b.scope_id WHERE a.kind = 'signup' AND b.kind = 'purchase' AND a.confidence = 2 AND b.confidence = 2 GROUP BY a.scope_id, b.scope_id, a.k", "facts")
+@query("r31_manifest_facts", """SELECT package, 'package' AS fact, package AS value FROM packages UNION ALL SELECT concat('pkg', s_nationkey), 'file', concat(s_suppkey, ':', s_name) FROM supplier UNION ALL SELECT package, 'dependency', concat(kind, ':', dependency) FROM dependencies
+    UNION ALL SELECT package, 'load_on_demand', 'true' FROM packages WHERE on_demand UNION ALL SELECT DISTINCT concat('pkg', c_nationkey), 'saved_variable', concat('Db.', c_mktsegment) FROM customer UNION ALL SELECT DISTINCT concat('pkg', c_nationkey), 'saved_root', 'Db' FROM customer""", "packages dependencies")
 def _(s: Source):
-    f = s.facts.where("confidence = 2").withColumn("event_key", F.get_json_object("props", "$.k"))
-    side = lambda kind, name: f.where(F.col("kind") == kind).groupBy("event_key", F.col("scope_id").alias(name)).agg(F.count(F.lit(1)).alias(f"n_{name}"))
-    return side("signup", "registrar").join(side("purchase", "handler"), "event_key").where("registrar < handler").select("registrar", "handler", "event_key", F.expr("n_registrar * n_handler").alias("bridges"))
+    files = s.supplier.select(F.concat(F.lit("pkg"), "s_nationkey").alias("package"), F.col("s_suppkey").alias("position"), F.col("s_name").alias("file"))
+    saved = s.customer.select(F.concat(F.lit("pkg"), "c_nationkey").alias("package"), F.concat(F.lit("Db."), "c_mktsegment").alias("name"))
+    return N.manifest_facts(s.packages, files, s.dependencies, saved)
 
 
-@query("r31_manifest_facts", "SELECT package, 'dependency' AS fact, dependency AS value FROM dependencies UNION ALL SELECT package, 'load_on_demand', CAST(on_demand AS VARCHAR) FROM packages", "packages dependencies")
+@query("r32_templates", "SELECT CAST(p_partkey AS BIGINT) AS doc, 'inherits' AS relation, unnest(string_split(CASE WHEN p_size % 2 = 0 THEN concat(p_brand, ',', p_type) ELSE p_type END, ',')) AS target FROM part UNION ALL SELECT p_partkey, 'parent_of', p_brand FROM part WHERE p_size > 10 UNION ALL SELECT p_partkey, 'sets_script', concat('on', p_size) FROM part")
 def _(s: Source):
-    return s.dependencies.select("package", F.lit("dependency").alias("fact"), F.col("dependency").alias("value")).unionByName(s.packages.select("package", F.lit("load_on_demand").alias("fact"), F.col("on_demand").cast("string").alias("value")))
+    inherits = F.when(F.col("p_size") % 2 == 0, F.concat_ws(", ", "p_brand", "p_type")).otherwise(F.col("p_type"))
+    element = F.concat(F.lit('<frame inherits="'), inherits, F.lit('" parent="'), F.when(F.col("p_size") > 10, F.col("p_brand")).otherwise(""), F.lit('" onload="on'), F.col("p_size"), F.lit('"/>'))
+    found = T.elements(s.part.select(F.col("p_partkey").cast("long").alias("doc"), element.alias("html")), "doc", "html")
+    return N.element_relations(found, {"inherits": "inherits", "parent": "parent_of", "onload": "sets_script"}).select("doc", "relation", "target")
+
+
+@query("p5_control_flow_rule", f"""WITH {F_}, g AS (SELECT fact_id, scope_id, ordinal, lead(fact_id) OVER (PARTITION BY scope_id ORDER BY ordinal) AS next FROM facts)
+    SELECT 'flows' AS rule_id, concat(a.fact_id, '/', b.fact_id) AS match_key, '' AS captures, array_to_string(list_sort([CAST(a.fact_id AS VARCHAR), CAST(b.fact_id AS VARCHAR)]), ',') AS witnesses, CASE WHEN a.confidence < 2 AND b.confidence < 2 THEN 'proven' ELSE 'possible' END AS confidence
+    FROM f a JOIN f b ON a.scope_id = b.scope_id JOIN g ON g.fact_id = a.fact_id AND g.next = b.fact_id WHERE a.kind = 'click' AND b.kind = 'purchase'""", "facts")
+def _(s: Source):  # an event dominates the next one of its user
+    f = s.facts
+    flow = f.select("fact_id", F.lead("fact_id").over(Window.partitionBy("scope_id").orderBy("ordinal")).alias("next")).where("next is not null")
+    field = lambda t, v: F.struct(F.lit(t).alias("t"), v.cast("string").alias("v"))
+    fields = F.create_map(F.lit("left"), field("reference", F.col("fact_id")), F.lit("right"), field("reference", F.col("next")), F.lit("relation"), field("string", F.lit("dominates")))
+    relations = flow.select((-F.col("fact_id")).alias("fact_id"), F.lit("control_flow").alias("kind"), F.lit("user").alias("scope_kind"), F.lit(None).cast(f.schema["scope_id"].dataType).alias("scope_id"), F.lit(0).alias("confidence"), fields.alias("fields"))
+    p = pack("flows", [fact("a", "click"), fact("b", "purchase"), scope("a", "b"), {"control_flow": {"left": "a", "right": "b", "relation": "dominates"}}])
+    return R.run_pack(p, facts(s).unionByName(relations), COVERAGE)
 
 
 @query("r8_witness_digest", f"WITH {F_} SELECT a.scope_id, count(*) AS matches, count(DISTINCT b.fact_id) AS witnesses FROM f a JOIN f b ON a.scope_id = b.scope_id AND a.k = b.k WHERE a.kind = 'signup' AND b.kind = 'purchase' GROUP BY a.scope_id", "facts")
