@@ -467,7 +467,8 @@ def score(documents: DataFrame) -> DataFrame:
     n_heavy = len(heavy)
 
     def by_range(rows: DataFrame, work) -> DataFrame:
-        return rows.groupBy("p").applyInArrow(light(work), STATE)
+        # by number: packed rows are far smaller than the work they ask for
+        return rows.repartition(parts, "p").groupBy("p").applyInArrow(light(work), STATE)
 
     def kind(rows: DataFrame, *kinds: int, tag: int | None = None) -> DataFrame:
         some = rows.where(F.col("kind").isin(*kinds))
