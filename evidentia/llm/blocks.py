@@ -150,7 +150,8 @@ def with_blocks(blocks: DataFrame, answers: DataFrame, work: Callable[[pa.Table,
         table = table.sort_by("p")
         return work(load(table.column("path")[0].as_py()), table.slice(1))
 
-    return left.unionByName(right).groupBy("bid").applyInArrow(light(run), schema)
+    # by number: rows only name the blocks, so their bytes don't say how many tasks the work needs
+    return left.unionByName(right).repartition(ranges(blocks), "bid").groupBy("bid").applyInArrow(light(run), schema)
 
 
 def flags(column: pa.ChunkedArray, counts: np.ndarray) -> np.ndarray:
