@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import scalars as S
 from evidentia.operators import graph as G
 from evidentia.operators import load_model as D
+from evidentia.operators import proposals as P
 from evidentia.operators import traversal as T
 from evidentia.registry import Source, query
 
+SCC_HEAD = """WITH RECURSIVE d AS (SELECT DISTINCT x.package AS src, x.dependency AS dst FROM dependencies x JOIN packages p ON p.package = x.dependency),
+    c(src, dst) AS (SELECT src, dst FROM d UNION SELECT c.src, d.dst FROM c JOIN d ON d.src = c.dst)"""
 ALL = ("contains", "owned_by", "owns", "uses", "supplied_by")
 
 
@@ -211,11 +216,39 @@ def _(s: Source):
     return c.join(s.packages.select(F.col("package").alias("node_id"), "selected"), "node_id", "left").select(F.col("node_id").alias("id"), "depth", F.when(F.col("selected").isNull(), "not_retained").otherwise("resolved").alias("state"))
 
 
-@query("g11_proposals", """SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_quantity < 5 THEN 'unregistered_kind' WHEN s_suppkey IS NULL THEN 'missing_endpoint' WHEN l_discount > 0.08 THEN 'confidence_not_allowed' ELSE 'accepted' END AS outcome FROM lineitem LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) ON s_suppkey = l_suppkey""")
+# parts as entity proposals, events as relation proposals
+ENTITIES = """p AS (SELECT CAST(p_partkey AS BIGINT) AS proposal_id, CASE WHEN p_size % 10 = 0 THEN 'unheard' WHEN p_size % 10 = 1 THEN 'beta_part' ELSE 'part' END AS kind, CASE WHEN p_partkey % 29 = 0 THEN '' ELSE p_name END AS name, p_brand, p_partkey % 23 = 0 AS short, p_size % 5 AS confidence, CASE WHEN p_partkey % 97 = 0 THEN 'r1' ELSE 'r2' END AS digest, p_partkey % 31 = 0 AS bare FROM part),
+    c AS (SELECT proposal_id, kind, concat(kind, ':brand=', p_brand, ';name=', name) AS node, CASE WHEN digest <> 'r2' THEN 'registry_mismatch' WHEN kind = 'unheard' THEN 'unknown_entity_kind' WHEN kind = 'beta_part' THEN 'universe_not_allowed' WHEN confidence > 3 THEN 'confidence_not_allowed' WHEN short THEN 'identity_fields_mismatch' WHEN name = '' OR bare THEN 'invalid_graph_record' END AS code FROM p),
+    ent AS (SELECT proposal_id, kind, CASE WHEN code IS NULL THEN node END AS node_id, CASE WHEN code IS NOT NULL THEN code WHEN row_number() OVER (PARTITION BY code IS NULL, node ORDER BY proposal_id) > 1 THEN 'duplicate_semantic_entity' ELSE 'accepted' END AS outcome FROM c)"""
+
+
+def entity_outcomes(s: Source):
+    key = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("name"), F.when(F.col("p_partkey") % 29 == 0, "").otherwise(F.col("p_name")))
+    kind = F.when(F.col("p_size") % 10 == 0, "unheard").when(F.col("p_size") % 10 == 1, "beta_part").otherwise("part")
+    rows = s.part.select(F.col("p_partkey").cast("long").alias("proposal_id"), kind.alias("kind"), F.when(F.col("p_partkey") % 23 == 0, F.map_filter(key, lambda k, v: k == "name")).otherwise(key).alias("key"), (F.col("p_size") % 5).alias("confidence"),
+                         F.when(F.col("p_partkey") % 97 == 0, "r1").otherwise("r2").alias("registry_digest"), F.when(F.col("p_partkey") % 31 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("p_type"))).alias("evidence"))
+    kinds = s.spark.createDataFrame([("part", ["brand", "name"], ["live"], 3), ("beta_part", ["brand", "name"], ["beta"], 3)], "kind string, identity_fields array<string>, universes array<string>, worst_confidence int")
+    return P.validate_entities(rows, kinds, "live", "r2")
+
+
+@query("g11_entity_proposals", f"WITH {ENTITIES} SELECT * FROM ent")
 def _(s: Source):
-    known = s.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("known"))
-    first = F.when(F.col("l_quantity") < 5, "unregistered_kind").when(F.col("known").isNull(), "missing_endpoint").when(F.col("l_discount") > 0.08, "confidence_not_allowed").otherwise("accepted")
-    return s.lineitem.join(known, "l_suppkey", "left").select("l_orderkey", "l_linenumber", "l_suppkey", first.alias("outcome"))
+    return entity_outcomes(s)
+
+
+@query("g11_relation_proposals", f"""{{head}}, {ENTITIES}, known AS (SELECT CAST(proposal_id AS VARCHAR) AS e, node_id, kind FROM ent WHERE outcome = 'accepted' UNION ALL SELECT node_id, node_id, kind FROM nodes WHERE kind IN ('customer', 'supplier')),
+    r AS (SELECT event_id AS proposal_id, CASE event_type WHEN 'error' THEN 'unheard' WHEN 'view' THEN 'views' ELSE 'buys' END AS relation, CASE WHEN event_id % 9 = 0 THEN concat('supplier:', user_id) ELSE concat('customer:', user_id) END AS source, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) * 7 + 1 AS VARCHAR) AS target, CAST(event_id % 4 AS INTEGER) AS confidence, CASE WHEN event_id % 89 = 0 THEN 'r1' ELSE 'r2' END AS digest, event_id % 37 = 0 AS bare FROM events)
+    SELECT r.proposal_id, r.relation, a.node_id AS src, b.node_id AS dst, CASE WHEN digest <> 'r2' THEN 'registry_mismatch' WHEN relation = 'unheard' THEN 'unknown_relation_kind' WHEN relation = 'views' AND confidence > 2 THEN 'confidence_not_allowed' WHEN a.node_id IS NULL OR b.node_id IS NULL THEN 'endpoint_missing' WHEN a.kind <> 'customer' THEN 'endpoint_kind_mismatch' WHEN bare THEN 'invalid_graph_record' ELSE 'accepted' END AS outcome
+    FROM r LEFT JOIN known a ON a.e = r.source LEFT JOIN known b ON b.e = r.target""".replace("{head}, ", "WITH "), "nodes")
+def _(s: Source):
+    relation = F.when(F.col("event_type") == "error", "unheard").when(F.col("event_type") == "view", "views").otherwise("buys")
+    source = F.concat(F.when(F.col("event_id") % 9 == 0, "supplier:").otherwise("customer:"), "user_id")
+    target = (F.get_json_object("props", "$.k").cast("long") * 7 + 1).cast("string")
+    rows = s.events.select(F.col("event_id").alias("proposal_id"), relation.alias("relation"), source.alias("source"), target.alias("target"), (F.col("event_id") % 4).cast("int").alias("confidence"),
+                           F.when(F.col("event_id") % 89 == 0, "r1").otherwise("r2").alias("registry_digest"), F.when(F.col("event_id") % 37 == 0, F.array().cast("array<string>")).otherwise(F.array("event_type")).alias("evidence"))
+    relations = s.spark.createDataFrame([("views", ["customer"], ["part"], 2), ("buys", ["customer"], ["part"], 3)], "relation string, source_kinds array<string>, target_kinds array<string>, worst_confidence int")
+    entities = entity_outcomes(s).withColumn("proposal_id", F.col("proposal_id").cast("string"))
+    return P.validate_relations(rows, relations, entities, s.nodes.where("kind in ('customer', 'supplier')").select("node_id", "kind"), "r2")
 
 
 @query("g12_materialized_edges", "SELECT e.edge_id, n.node_id IS NULL AS dangling FROM edges e LEFT JOIN (SELECT node_id FROM nodes WHERE kind <> 'supplier') n ON n.node_id = e.dst WHERE e.relation IN ('supplied_by', 'contains')", "nodes edges")
@@ -230,13 +263,44 @@ def _(s: Source):  # the replaced partition p1 reports nothing any more: not eva
     return s.coverage.groupBy("relation").agg(F.max(F.when(replaced, 1).otherwise(F.col("state"))).alias("state"), F.bool_and(F.col("authority") & ~replaced).alias("authority"))
 
 
-@query("g14_derivations", "SELECT a.edge_id, CASE WHEN a.confidence = 0 THEN 'derived_proven' WHEN b.worst IS NULL AND a.confidence < 2 THEN 'missing_input' WHEN a.confidence < b.worst THEN 'promoted' ELSE 'valid' END AS verdict FROM edges a LEFT JOIN (SELECT src, max(confidence) AS worst FROM edges WHERE relation = 'supplied_by' GROUP BY src) b ON a.dst = b.src WHERE a.relation = 'uses'", "edges")
+@query("g14_derivations", "SELECT a.edge_id AS output, CASE WHEN a.confidence = 0 THEN 'derived_proven' WHEN b.worst IS NULL THEN 'missing_input' WHEN a.confidence < b.worst THEN 'promoted' WHEN a.confidence < 2 AND strlen(a.edge_id) % 3 = 0 THEN 'incomplete_confirmed' ELSE 'valid' END AS verdict FROM edges a LEFT JOIN (SELECT src, max(confidence) AS worst FROM edges WHERE relation = 'supplied_by' GROUP BY src) b ON a.dst = b.src WHERE a.relation = 'uses'", "edges")
+def _(s: Source):  # each use of a part is derived from what supplies the part
+    e = s.edges
+    uses = e.where("relation = 'uses'")
+    inputs = uses.select(F.col("edge_id").alias("output"), "dst").join(e.where("relation = 'supplied_by'").select(F.col("src").alias("dst"), F.col("edge_id").alias("input")), "dst", "left").select("output", F.coalesce("input", F.lit("nothing")).alias("input"), F.lit(False).alias("rebuttal"))
+    derivations = uses.select(F.col("edge_id").alias("output"), F.when(F.octet_length("edge_id") % 3 == 0, 1).otherwise(0).alias("missing"))
+    return P.validate_derivations(derivations, inputs, e.select(F.col("edge_id").alias("assertion"), "confidence"))
+
+
+@query("g14_cyclic_derivations", SCC_HEAD + """, own AS (SELECT package, CAST(1 + length(package) % 3 AS INTEGER) AS confidence FROM packages), told AS (SELECT x.package, bool_or(o.package IS NULL) AS unknown, max(CASE WHEN x.kind = 'required' THEN o.confidence END) AS worst FROM dependencies x LEFT JOIN own o ON o.package = x.dependency GROUP BY x.package)
+    SELECT own.package AS output, CASE WHEN coalesce(told.unknown, false) THEN 'missing_input' WHEN own.confidence < told.worst THEN 'promoted' WHEN own.package = 'pkg2' AND own.confidence < 2 THEN 'incomplete_confirmed' WHEN own.package IN (SELECT src FROM c WHERE src = dst) THEN 'cycle' ELSE 'valid' END AS verdict FROM own LEFT JOIN told USING (package)""", "packages dependencies")
+def _(s: Source):  # packages derived from their dependencies; optional ones rebut
+    own = s.packages.select(F.col("package").alias("assertion"), (1 + F.length("package") % 3).cast("int").alias("confidence"))
+    inputs = s.dependencies.select(F.col("package").alias("output"), F.col("dependency").alias("input"), (F.col("kind") == "optional").alias("rebuttal"))
+    return P.validate_derivations(own.select(F.col("assertion").alias("output"), F.when(F.col("assertion") == "pkg2", 1).otherwise(0).alias("missing")), inputs, own)
+
+
+@query("g15_conflicts", SCC_HEAD + """ SELECT 'exclusive_attribute_disagreement' AS kind, p_name AS subject, count(DISTINCT p_brand) AS participants FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1
+    UNION ALL SELECT 'relation_multiplicity_violation', src, count(DISTINCT dst) FROM edges WHERE relation = 'supplied_by' GROUP BY src HAVING count(DISTINCT dst) > 1
+    UNION ALL SELECT 'forbidden_cycle', component, count(*) FROM (SELECT package, least(package, coalesce((SELECT min(x.dst) FROM c x JOIN c y ON x.src = y.dst AND x.dst = y.src WHERE x.src = package), package)) AS component FROM packages) GROUP BY component HAVING count(*) > 1 OR component IN (SELECT src FROM d WHERE src = dst)
+    UNION ALL SELECT 'endpoint_kind_disagreement', dst, count(DISTINCT split_part(src, ':', 1)) FROM edges WHERE relation = 'owned_by' GROUP BY dst HAVING count(DISTINCT split_part(src, ':', 1)) > 1
+    UNION ALL SELECT 'cross_scope_generation_conflict', CAST(o_custkey AS VARCHAR), count(DISTINCT o_orderstatus) FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1
+    UNION ALL SELECT 'producer_identity_or_schema_conflict', part_id, count(DISTINCT state) FROM coverage GROUP BY part_id HAVING count(DISTINCT state) > 1
+    UNION ALL SELECT 'evidence_or_source_handle_conflict', CAST(l_partkey AS VARCHAR), count(DISTINCT l_returnflag) FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_returnflag) > 1
+    UNION ALL SELECT 'coverage_versus_assertion_conflict', relation, count(*) FROM (SELECT DISTINCT relation, part_id FROM coverage WHERE authority AND state = 0 AND part_id = 'p1') WHERE relation IN (SELECT relation FROM edges) GROUP BY relation""", "packages dependencies edges coverage")
 def _(s: Source):
     e = s.edges
-    worst = e.where("relation = 'supplied_by'").groupBy(F.col("src").alias("dst")).agg(F.max("confidence").alias("worst"))
-    c, w = F.col("confidence"), F.col("worst")
-    verdict = F.when(c == 0, "derived_proven").when(w.isNull() & (c < 2), "missing_input").when(c < w, "promoted").otherwise("valid")
-    return e.where("relation = 'uses'").join(worst, "dst", "left").select("edge_id", verdict.alias("verdict"))
+    found = [
+        P.disagreements(s.part, "p_name", ["p_brand"], P.CONFLICTS[0]),
+        P.disagreements(e.where("relation = 'supplied_by'"), "src", ["dst"], P.CONFLICTS[1]),
+        P.forbidden_cycles(inner_edges(s)),
+        P.disagreements(e.where("relation = 'owned_by'").withColumn("kind", F.split("src", ":")[0]), "dst", ["kind"], P.CONFLICTS[3]),
+        P.disagreements(s.orders, "o_custkey", ["o_orderstatus"], P.CONFLICTS[4]),
+        P.disagreements(s.coverage, "part_id", ["state"], P.CONFLICTS[5]),
+        P.disagreements(s.lineitem, "l_partkey", ["l_returnflag"], P.CONFLICTS[6]),
+        P.coverage_conflicts(s.coverage.withColumn("asserted", F.when(F.col("part_id") == "p1", 0).otherwise(1)), e),
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("g15_conflict_kinds", "SELECT p_name, CASE WHEN count(DISTINCT p_brand) > 1 AND count(DISTINCT p_type) > 1 THEN 'attributes' WHEN count(DISTINCT p_brand) > 1 THEN 'owner' WHEN count(DISTINCT p_type) > 1 THEN 'kind' ELSE 'none' END AS conflict FROM part GROUP BY p_name")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import scalars as S
+from evidentia.operators import lint as Lint
 from evidentia.operators import lookup as L
 from evidentia.operators import ranking as R
 from evidentia.operators import retrieval as X
@@ -201,22 +202,60 @@ def _(s: Source):
     return s.part.join(patches, "p_partkey", "left").select("p_partkey", F.when(F.col("guard").isNull(), "original").when(F.col("guard") == F.col("p_brand"), "corrected").otherwise("guard_failed").alias("state"))
 
 
-@query("l5_api_exists", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'not_evaluated' WHEN c_custkey IS NULL THEN 'finding' ELSE 'clean' END AS result FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 11 <> 0) ON c_custkey = o_custkey")
-def _(s: Source):
-    known = s.customer.where("c_custkey % 11 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("known"))
-    return s.orders.join(known, "o_custkey", "left").select("o_orderkey", L.verdict(F.col("o_orderstatus") != "P", F.col("known").isNotNull()).alias("result"))
+# orders as references to apis that are named after customers
+LOOKUPS = """f AS (SELECT DISTINCT o_custkey % 50 AS file_id FROM orders), need AS (SELECT f.file_id, q.capability, CASE WHEN f.file_id % 8 = 0 AND q.capability = 'refs' THEN NULL WHEN f.file_id % 10 = 1 THEN 'failed' WHEN f.file_id % 9 = 2 AND q.capability = 'calls' THEN 'partial' ELSE 'complete' END AS state FROM f, (VALUES ('calls'), ('refs')) AS q(capability)),
+    g AS (SELECT file_id, bool_or(state IS NULL) AS missing, bool_or(state = 'failed') AS failed, bool_or(state = 'partial') AS partial FROM need GROUP BY file_id),
+    pt AS (SELECT * FROM (VALUES ('p0', true, true), ('p1', true, true), ('p2', true, true), ('p3', false, true), ('p4', true, false)) AS t(part, complete, authority)),
+    cat AS (SELECT c_custkey, CASE WHEN c_custkey % 19 = 0 THEN 2 ELSE 1 END AS kinds FROM customer WHERE c_custkey % 11 <> 0),
+    x AS (SELECT o.o_orderkey, g.*, pt.complete, pt.authority, cat.kinds, o.o_orderstatus = 'P' AS possible, o.o_orderkey % 13 = 0 AS dynamic, o.o_orderkey % 17 = 0 AS stale FROM orders o LEFT JOIN g ON g.file_id = o.o_custkey % 50 LEFT JOIN pt ON pt.part = concat('p', o.o_custkey % 6) LEFT JOIN cat ON cat.c_custkey = o.o_custkey),
+    v AS (SELECT o_orderkey AS fact_id, kinds IS NULL AS absent, list_filter([CASE WHEN missing THEN 'missing_capability' END, CASE WHEN failed THEN 'failed_capability' END, CASE WHEN partial OR (kinds IS NULL AND complete IS NOT NULL AND NOT (complete AND authority)) THEN 'partial_coverage' END, CASE WHEN complete IS NULL THEN 'reference_partition_missing' END,
+      CASE WHEN kinds > 1 THEN 'reference_conflict' END, CASE WHEN possible AND NOT dynamic THEN 'ambiguous_reference' END, CASE WHEN dynamic THEN 'unsupported_fact_shape' END, CASE WHEN stale THEN 'stale_input' END, CASE WHEN {over} THEN 'budget_incomplete' END], lambda b: b IS NOT NULL) AS blockers FROM x)"""
+VERDICT = "CASE WHEN len(blockers) > 0 THEN 'not_evaluated' WHEN absent THEN 'finding' ELSE 'clean' END AS outcome"
+
 
+def api_verdicts(s: Source, most: int | None = None):
+    file_id = (F.col("o_custkey") % 50).alias("file_id")
+    kind = F.when(F.col("o_orderkey") % 13 == 0, "dynamic").when(F.col("o_orderstatus") == "P", "possible").otherwise("resolved")
+    references = s.orders.select(F.col("o_orderkey").alias("fact_id"), file_id, F.concat(F.lit("p"), F.col("o_custkey") % 6).alias("partition"), F.col("o_custkey").alias("name"), kind.alias("resolution"), F.when(F.col("o_orderkey") % 17 == 0, 1).otherwise(2).alias("generation"))
+    files = s.orders.select(file_id).distinct()
+    state = F.when((F.col("file_id") % 8 == 0) & (F.col("capability") == "refs"), None).when(F.col("file_id") % 10 == 1, "failed").when((F.col("file_id") % 9 == 2) & (F.col("capability") == "calls"), "partial").otherwise("complete")
+    capabilities = files.select("file_id", F.explode(F.array(F.lit("calls"), F.lit("refs"))).alias("capability")).withColumn("state", state).where("state is not null")
+    catalogue = s.customer.where("c_custkey % 11 <> 0").select(F.concat(F.lit("p"), F.col("c_custkey") % 6).alias("partition"), F.col("c_custkey").alias("name"), F.explode(F.when(F.col("c_custkey") % 19 == 0, F.array(F.lit("function"), F.lit("table"))).otherwise(F.array(F.lit("function")))).alias("kind"))
+    partitions = s.spark.createDataFrame([("p0", True, True), ("p1", True, True), ("p2", True, True), ("p3", False, True), ("p4", True, False)], "partition string, complete boolean, authority boolean")
+    return Lint.api_exists(references, Lint.capability_gate(files, capabilities, ["calls", "refs"]), catalogue, partitions, 2, most)
 
-@query("l6_embedded_api_exists", "SELECT page_id, CASE WHEN contains(html, 'track(') THEN 'mapped' ELSE 'unmapped' END AS mapping FROM pages")
+
+@query("l5_api_exists", "WITH " + LOOKUPS.replace("{over}", "false") + f" SELECT fact_id, {VERDICT}, array_to_string(blockers, ',') AS blockers FROM v")
 def _(s: Source):
-    return s.pages.select("page_id", F.when(F.contains("html", F.lit("track(")), "mapped").otherwise("unmapped").alias("mapping"))
+    return api_verdicts(s)
+
+
+@query("l5_budget", "WITH " + LOOKUPS.replace("{over}", "o_orderkey > (SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 499 LIMIT 1)") + f" SELECT outcome, blockers, count(*) AS n FROM (SELECT {VERDICT}, array_to_string(blockers, ',') AS blockers FROM v) GROUP BY ALL")
+def _(s: Source):  # 500 references are evaluated, the others say so
+    return api_verdicts(s, 500).groupBy("outcome", "blockers").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("l6_embedded_api_exists", """WITH b AS (SELECT page_id, strlen(split_part(html, '<script>', 1)) + 8 AS shift, split_part(split_part(html, '<script>', 2), '</script>', 1) AS body FROM pages WHERE contains(html, '<script>')),
+    r AS (SELECT page_id, strlen(split_part(body, 'track(', 1)) AS s, strlen(split_part(body, 'track(', 1)) + CASE WHEN page_id % 10 = 0 THEN 5000 ELSE 5 END AS e, shift, strlen(body) AS n FROM b)
+    SELECT page_id AS fact_id, CASE WHEN page_id % 7 = 3 THEN 'missing_fact_relation' WHEN e > n THEN 'outside_body' ELSE 'mapped' END AS relation, CAST(CASE WHEN page_id % 7 <> 3 AND e <= n THEN shift + s END AS BIGINT) AS file_start, CAST(CASE WHEN page_id % 7 <> 3 AND e <= n THEN shift + e END AS BIGINT) AS file_end FROM r""")
+def _(s: Source):  # the scripts of pages are the bodies
+    body = F.substring_index(F.split("html", "<script>", -1)[1], "</script>", 1)
+    cut = s.pages.where(F.contains("html", F.lit("<script>"))).select("page_id", F.octet_length(F.substring_index("html", "<script>", 1)).cast("long").alias("before"), body.alias("body"))
+    bodies = cut.where("page_id % 7 <> 3").select(F.col("page_id").alias("body_id"), F.col("page_id").alias("file_id"), (F.col("before") + 8).alias("shift"), F.octet_length("body").cast("long").alias("length"))
+    start = F.octet_length(F.substring_index("body", "track(", 1)).cast("long")
+    references = cut.select(F.col("page_id").alias("fact_id"), F.col("page_id").alias("body_id"), start.alias("start"), (start + F.when(F.col("page_id") % 10 == 0, 5000).otherwise(5)).alias("end"))
+    return Lint.embedded(references, bodies).select("fact_id", "relation", "file_start", "file_end")
 
 
-@query("l7_unguarded_use", "SELECT u.fact_id FROM facts u WHERE u.kind = 'purchase' AND u.confidence < 2 AND NOT EXISTS (SELECT 1 FROM facts g WHERE g.scope_id = u.scope_id AND g.kind = 'signup' AND g.ordinal < u.ordinal AND g.ordinal >= u.ordinal - 3 AND g.value < u.value)", "facts")
+@query("l7_unguarded_use", """WITH f AS (SELECT fact_id, scope_id, kind, json_extract_string(props, '$.k') AS name, CAST(floor(value) AS BIGINT) % 3 AS v, ordinal, confidence FROM facts), u AS (SELECT * FROM f WHERE kind = 'purchase'), g AS (SELECT * FROM f WHERE kind IN ('signup', 'view')),
+    j AS (SELECT u.fact_id, CAST(u.name AS INTEGER) AS k, (SELECT CASE WHEN min(CASE WHEN g.v = u.v AND g.confidence < 2 THEN g.ordinal END) < u.ordinal THEN 'dominating_exact_value' WHEN min(CASE WHEN g.v = u.v THEN g.ordinal END) >= u.ordinal THEN 'after_use' WHEN count(*) FILTER (g.v = u.v) = 0 AND count(*) > 0 THEN 'different_value' WHEN count(*) FILTER (g.v = u.v) > 0 THEN 'non_dominating' ELSE 'absent' END FROM g WHERE g.scope_id = u.scope_id AND g.name = u.name) AS guard FROM u)
+    SELECT fact_id AS use_id, guard, CASE WHEN k % 4 = 3 THEN 'not_evaluated' WHEN k % 4 = 2 THEN 'clean' WHEN guard = 'dominating_exact_value' THEN 'clean' ELSE 'finding' END AS outcome, CASE WHEN k % 4 = 3 THEN 'missing_restriction_facet' END AS blocker FROM j""", "facts")
 def _(s: Source):
-    u = s.facts.where("kind = 'purchase' and confidence < 2")
-    g = s.facts.where("kind = 'signup'").select("scope_id", F.col("ordinal").alias("go"), F.col("value").alias("gv"))
-    return u.join(g, (u.scope_id == g.scope_id) & (F.col("go") < u.ordinal) & (F.col("go") >= u.ordinal - 3) & (F.col("gv") < u.value), "left_anti").select("fact_id")
+    f = s.facts.select("fact_id", "scope_id", "kind", F.get_json_object("props", "$.k").alias("name"), (F.floor("value").cast("long") % 3).alias("value"), F.col("ordinal").alias("place"), (F.col("confidence") < 2).alias("dominates"))
+    uses = f.where("kind = 'purchase'").withColumnRenamed("fact_id", "use_id")
+    k = F.col("name").cast("int") % 4
+    facets = f.select("name").distinct().where(k != 3).select("name", (k != 2).alias("restricted"))
+    return Lint.unguarded_use(uses.drop("kind", "dominates"), f.where("kind in ('signup', 'view')").drop("kind", "fact_id"), facets)
 
 
 @query("l8_file_gate", "SELECT source, CASE WHEN bool_and(lang <> 'de') THEN 'open' ELSE 'blocked' END AS gate FROM documents GROUP BY source")
