@@ -36,3 +36,29 @@ def constants(table: DataFrame, depth: int) -> DataFrame:
 
 def verdict(evaluable: Column, exists: Column) -> Column:
     return F.when(~evaluable, "not_evaluated").when(exists, "clean").otherwise("finding")
+
+
+def resolve_types(fields: DataFrame, declared: DataFrame) -> DataFrame:
+    """(field_id, resolution) of fields (field_id, type_name, shape) among declarations (type_name, blocked).
+
+    unsupported where the shape is none that names a type, unresolved where nobody
+    declares it, correction_blocked where a correction of any declaration failed,
+    ambiguous where several declare it, else resolved.  Declarations are counted before
+    the fields meet them.
+    """
+    known = declared.groupBy("type_name").agg(F.count(F.lit(1)).alias("n"), F.bool_or("blocked").alias("blocked"))
+    state = F.when(~F.col("shape").isin("named", "optional", "list"), "unsupported").when(F.col("n").isNull(), "unresolved").when(F.col("blocked"), "correction_blocked").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
+    return fields.join(known, "type_name", "left").select("field_id", state.alias("resolution"))
+
+
+def corrected(records: DataFrame, patches: DataFrame) -> DataFrame:
+    """(name, source, value, state) of records (name, source, value, parents) under patches (name, guard, value, parent).
+
+    A patch applies where the record's source is the one it was reviewed for; it may
+    name a parent only for a record without one.  guard_failed and several_parents keep
+    the original value; a name with several patches is a conflict and keeps it too.
+    """
+    p = patches.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("guard").alias("guard"), F.min("value").alias("patched"), F.min("parent").alias("parent"))
+    rows = records.join(p, "name", "left")
+    state = F.when(F.col("n").isNull(), "original").when(F.col("n") > 1, "conflict").when(F.col("guard") != F.col("source"), "guard_failed").when(F.col("parent").isNotNull() & (F.col("parents") > 0), "several_parents").otherwise("corrected")
+    return rows.withColumn("state", state).select("name", "source", F.when(F.col("state") == "corrected", F.col("patched")).otherwise(F.col("value")).alias("value"), "state")

@@ -352,7 +352,9 @@ def _(s: Source):
     return D.levels(inner_edges(s), own_components(s))
 
 
-@query("d3_load_order")
+@query("d3_load_order", SCC + """, e AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM d JOIN scc a ON a.package = d.src JOIN scc b ON b.package = d.dst WHERE a.component <> b.component), k AS (SELECT DISTINCT component FROM scc),
+    o(placed, component, place) AS (SELECT CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), -1 UNION ALL (SELECT list_append(o.placed, k.component), k.component, o.place + 1 FROM o, k WHERE NOT list_contains(o.placed, k.component) AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = k.component AND NOT list_contains(o.placed, e.dst)) ORDER BY k.component LIMIT 1))
+    SELECT component, CAST(place AS INTEGER) AS place FROM o WHERE place >= 0""", "packages dependencies")
 def _(s: Source):
     return D.load_order(inner_edges(s), own_components(s))
 

@@ -12,6 +12,7 @@ from evidentia.operators import ranking as R
 from evidentia.operators import retrieval as X
 from evidentia.operators import storage as V
 from evidentia.registry import Source, query
+from evidentia.shared import new_folder
 from evidentia.sources import annotations as N
 from evidentia.sources import text as T
 
@@ -178,11 +179,10 @@ def _(s: Source):
     return s.documents.groupBy("lang").agg(count().alias("files"), F.sum(n).alias("bytes"), F.max(n).alias("largest"))
 
 
-@query("l2_type_resolution", "SELECT p_partkey, CASE WHEN t.n IS NULL THEN 'unresolved' WHEN t.blocked THEN 'correction_blocked' WHEN t.n > 1 THEN 'ambiguous' ELSE 'resolved' END AS resolution FROM part LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n, bool_or(c_acctbal < 0) AS blocked FROM customer GROUP BY c_nationkey) t ON t.k = p_size")
+@query("l2_type_resolution", "SELECT p_partkey AS field_id, CASE WHEN p_brand = 'Brand#1' THEN 'unsupported' WHEN t.n IS NULL THEN 'unresolved' WHEN t.blocked THEN 'correction_blocked' WHEN t.n > 1 THEN 'ambiguous' ELSE 'resolved' END AS resolution FROM part LEFT JOIN (SELECT c_custkey % 1500 AS k, count(*) AS n, bool_or(c_acctbal < 0) AS blocked FROM customer GROUP BY ALL) t ON t.k = p_partkey")
 def _(s: Source):
-    declared = s.customer.groupBy(F.col("c_nationkey").alias("p_size")).agg(count().alias("n"), F.bool_or(F.col("c_acctbal") < 0).alias("blocked"))
-    state = F.when(F.col("n").isNull(), "unresolved").when(F.col("blocked"), "correction_blocked").when(F.col("n") > 1, "ambiguous").otherwise("resolved")
-    return s.part.join(declared, "p_size", "left").select("p_partkey", state.alias("resolution"))
+    fields = s.part.select(F.col("p_partkey").alias("field_id"), F.col("p_partkey").alias("type_name"), F.when(F.col("p_brand") == "Brand#1", "function").otherwise("named").alias("shape"))
+    return L.resolve_types(fields, s.customer.select((F.col("c_custkey") % 1500).alias("type_name"), (F.col("c_acctbal") < 0).alias("blocked")))
 
 
 CONSTANTS = """WITH RECURSIVE c AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE (n_nationkey * 5 + 3) % 28 END AS ref, n_nationkey * 10 AS own FROM nation),
@@ -196,10 +196,12 @@ def _(s: Source):
     return L.constants(c, 48)
 
 
-@query("l4_corrections", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 3 AND p_brand = 'Brand#7' THEN 'corrected' WHEN p_partkey % 10 = 3 THEN 'guard_failed' ELSE 'original' END AS state FROM part")
+@query("l4_corrections", """SELECT p_partkey AS name, p_brand AS source, CASE WHEN state = 'corrected' THEN 'patched' ELSE p_name END AS value, state FROM (SELECT *, CASE WHEN p_partkey % 10 = 3 AND p_partkey % 3 = 0 THEN 'conflict' WHEN p_partkey % 10 = 3 AND p_brand <> 'Brand#7' THEN 'guard_failed' WHEN p_partkey % 10 = 3 AND p_size > 25 AND p_size % 3 > 0 THEN 'several_parents' WHEN p_partkey % 10 = 3 THEN 'corrected' ELSE 'original' END AS state FROM part)""")
 def _(s: Source):
-    patches = s.part.where("p_partkey % 10 = 3").select("p_partkey", F.lit("Brand#7").alias("guard"))
-    return s.part.join(patches, "p_partkey", "left").select("p_partkey", F.when(F.col("guard").isNull(), "original").when(F.col("guard") == F.col("p_brand"), "corrected").otherwise("guard_failed").alias("state"))
+    patch = lambda rows: rows.select(F.col("p_partkey").alias("name"), F.lit("Brand#7").alias("guard"), F.lit("patched").alias("value"), F.when(F.col("p_size") > 25, "Base").alias("parent"))
+    reviewed = s.part.where("p_partkey % 10 = 3")
+    records = s.part.select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("source"), F.col("p_name").alias("value"), (F.col("p_size") % 3).alias("parents"))
+    return L.corrected(records, patch(reviewed).unionByName(patch(reviewed.where("p_partkey % 3 = 0"))))
 
 
 # orders as references to apis that are named after customers
@@ -378,9 +380,20 @@ def _(s: Source):
     return T.pinned(s.documents, pins, "doc_id", "text")
 
 
-@query("s3_strict_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("s1_inventory", "SELECT CAST(strlen(n_name) + 1 AS BIGINT) AS length, sha256(concat(n_name, chr(10))) AS digest FROM nation")
+def _(s: Source):  # a file for each nation
+    folder = new_folder(s.spark, "inventory")
+    s.nation.select("n_name", "n_nationkey").write.partitionBy("n_nationkey").mode("append").text(folder)
+    return T.inventory(s.spark, folder, "*.txt").select("length", "digest")
+
+
+@query("s3_strict_json", """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'repeated_key' WHEN event_id % 11 = 0 THEN 'float' WHEN event_id % 13 = 0 THEN 'null' WHEN event_id % 17 = 0 THEN 'invalid' ELSE 'ok' END AS state,
+    CASE WHEN event_id % 7 > 0 AND event_id % 11 > 0 AND event_id % 13 > 0 AND event_id % 17 > 0 THEN concat('{"k":', json_extract_string(props, '$.k'), ',"type":"', event_type, '"}') END AS json FROM events""")
 def _(s: Source):
-    return s.events.select("event_id", F.from_json("props", "k bigint", {"mode": "FAILFAST"}).alias("j")).select("event_id", "j.k")
+    k = F.get_json_object("props", "$.k")
+    head, e = F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", "k": '), k), F.col("event_id")
+    text = F.when(e % 7 == 0, F.concat(head, F.lit(', "k": 1}'))).when(e % 11 == 0, F.concat(head, F.lit(".5}"))).when(e % 13 == 0, F.concat(head, F.lit(', "n": null}'))).when(e % 17 == 0, head).otherwise(F.concat(head, F.lit("}")))
+    return T.strict_documents(s.events.select("event_id", text.alias("text")), "event_id", "text")
 
 
 @query("s5_xml_elements", "SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs FROM pages WHERE contains(html, '<p>')")
@@ -435,8 +448,6 @@ def _(s: Source):
 
 @query("s14_s15_v5_published_version", "SELECT p_partkey, p_name FROM part WHERE p_size > 25")
 def _(s: Source):
-    from evidentia.shared import new_folder
-
     store = V.VersionStore(s.spark, new_folder(s.spark, "versions"))
     first = store.prepare(s.part.where("p_size <= 25").select("p_partkey", "p_name"))
     store.validate(first)
@@ -450,8 +461,6 @@ def _(s: Source):
 
 @query("s17_stub_sink", "SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT l_orderkey, count(*) + 1 AS n FROM lineitem GROUP BY l_orderkey)")
 def _(s: Source):
-    from evidentia.shared import new_folder
-
     folder = new_folder(s.spark, "stubs")
     N.stubs(s.members).select("stub").write.text(folder, lineSep="\n\n")
     back = s.spark.read.text(folder, lineSep="\n\n").where("value <> ''")

@@ -45,6 +45,29 @@ def strict_json(text: str, most_bytes: int = 1 << 20) -> object:
     return json.loads(text, object_pairs_hook=once, parse_float=no_float, parse_constant=no_float)
 
 
+def json_state(text: str, most_bytes: int = 1 << 20) -> tuple[str, str | None]:
+    """(state, canonical text): ok, or too_large, repeated_key, null, float or invalid without a text."""
+    try:
+        return "ok", json.dumps(strict_json(text, most_bytes), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except json.JSONDecodeError:
+        return "invalid", None
+    except RecursionError:
+        return "too_deep", None
+    except ValueError as e:
+        return str(e).split(" ")[0].replace("too", "too_large").replace("repeated", "repeated_key"), None
+
+
+def strict_documents(documents: DataFrame, key: str, text: str, most_bytes: int = 1 << 20) -> DataFrame:
+    """(key, state, json) of each text: strictly parsed and written canonically, or why it was refused."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [json_state(t or "", most_bytes) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], [key, "state", "json"])
+
+    return documents.select(key, text).mapInArrow(run, f"{key} {dict(documents.dtypes)[key]}, state string, json string")
+
+
 def manifest_lines(documents: DataFrame, key: str, text: str) -> DataFrame:
     """Each line with its place, kind (blank, metadata, comment, file) and byte range."""
     lines = documents.select(key, F.posexplode(F.split(text, "\n")).alias("line", "content"))
