@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COMPLETE, NOT_APPLICABLE = 0, -1
@@ -45,3 +45,101 @@ def fingerprint(*digests: Column) -> Column:
     for d in digests:
         out = F.when(d.isNotNull(), out)
     return out
+
+
+# fixed values: why a miss is no proof of absence
+DENIALS = (
+    "profile_unavailable", "reference_generation_unavailable", "generation_mismatch", "partition_partial", "partition_unknown", "partition_failed",
+    "unresolved_conflict", "capability_not_evaluated", "candidate_only_evidence", "scope_unknown", "result_truncated",
+)
+
+
+def negative_authority(lookups: DataFrame, records: DataFrame) -> DataFrame:
+    """(lookup_id, outcome, reasons) of misses (lookup_id, scope_known, completed, truncated, profile, reference, generation, expected, candidate_only).
+
+    ``records``: coverage (lookup_id, state, conflicts) by partition.  All reasons that
+    hold are kept in their order; without any, absence is authoritative unless nothing
+    applied at all.
+    """
+    state = F.col("state")
+    told = records.groupBy("lookup_id").agg(
+        F.bool_or(state.isin("partial", "truncated")).alias("partial"), F.bool_or(state == "unknown").alias("unknown"), F.bool_or(state == "failed").alias("failed"),
+        F.bool_or(state == "not_evaluated").alias("unevaluated"), F.bool_or(state == "truncated").alias("cut"), (F.sum("conflicts") > 0).alias("conflict"), F.bool_and(state == "not_applicable").alias("nothing"),
+    )
+    rows = lookups.join(told, "lookup_id", "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    holds = {
+        "profile_unavailable": F.col("profile").isNull(),
+        "reference_generation_unavailable": F.col("reference").isNull(),
+        "generation_mismatch": no(F.col("generation") != F.col("expected")),
+        "partition_partial": no(F.col("partial")),
+        "partition_unknown": no(F.col("unknown")) | F.col("nothing").isNull(),
+        "partition_failed": no(F.col("failed")),
+        "unresolved_conflict": no(F.col("conflict")),
+        "capability_not_evaluated": ~F.col("completed") | no(F.col("unevaluated")),
+        "candidate_only_evidence": F.col("candidate_only"),
+        "scope_unknown": ~F.col("scope_known"),
+        "result_truncated": F.col("truncated") | no(F.col("cut")),
+    }
+    reasons = F.array_compact(F.array(*[F.when(holds[name], name) for name in DENIALS]))
+    outcome = F.when(F.size("reasons") > 0, "not_authoritative").when(F.col("nothing"), "not_applicable").otherwise("authoritative_absent")
+    return rows.withColumn("reasons", reasons).select("lookup_id", outcome.alias("outcome"), F.array_join("reasons", ",").alias("reasons"))
+
+
+MERGE_MODES = ("strict", "extend_missing_optional", "external_union")
+
+
+def merge_generations(left: DataFrame, right: DataFrame, mode: str) -> DataFrame:
+    """(context, outcome, generation, externals) of two contexts' generations (context, generation, externals map<string,string>).
+
+    strict: both must be equal.  extend_missing_optional: a missing generation is taken
+    from the other side, externals must be equal.  external_union: generations must be
+    equal or missing on both sides, externals are united, and one scope with two values
+    is an error.
+    """
+    if mode not in MERGE_MODES:
+        raise ValueError(f"not a mode: {mode}")
+    side = lambda df, s: df.select("context", F.col("generation").alias(f"g{s}"), F.col("externals").alias(f"x{s}"))
+    rows = side(left, 1).join(side(right, 2), "context")
+    one, two = F.col("g1"), F.col("g2")
+    entries = lambda c: F.array_sort(F.map_entries(c))
+    same_x = entries("x1") == entries("x2")
+    clash = F.exists(F.map_keys("x1"), lambda k: F.array_contains(F.map_keys("x2"), k) & (F.col("x1")[k] != F.col("x2")[k]))
+    wrong = F.when(one.isNotNull() & two.isNotNull() & (one != two), "generation_mismatch")
+    if mode == "extend_missing_optional":
+        wrong = wrong.when(~same_x, "merge_mode_violation")
+    else:
+        wrong = wrong.when(~one.eqNullSafe(two), "merge_mode_violation")
+        wrong = wrong.when(clash, "duplicate_external_scope") if mode == "external_union" else wrong.when(~same_x, "merge_mode_violation")
+    missing = F.map_filter("x2", lambda k, v: ~F.array_contains(F.map_keys("x1"), k))
+    united = F.array_join(F.transform(F.array_sort(F.concat(F.map_entries("x1"), F.map_entries(missing))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    outcome = F.coalesce(wrong, F.lit("merged"))
+    ok = outcome == "merged"
+    return rows.select("context", outcome.alias("outcome"), F.when(ok, F.coalesce(one, two)).alias("generation"), F.when(ok, united).alias("externals"))
+
+
+# fixed values: observation families in their order, and the relation each asserts
+FAMILIES = {
+    "direct_call": "calls", "state_read": "reads_state", "state_write": "writes_state", "native_event_registration": "registers_native_event", "native_event_handler": "handles_native_event",
+    "native_event_bridge": "bridges_native_event", "custom_signal_emit": "emits_custom_signal", "custom_signal_handle": "handles_custom_signal", "cvar_callback_registration": "registers_cvar_callback",
+    "script_assignment": "sets_script", "script_hook": "hooks_script", "secure_function_hook": "secure_hooks_function", "dependency": "depends_on", "ownership": "owns", "load": "loads",
+    "inheritance": "inherits", "mixin": "mixes_in", "factory_creation": "factory_creates", "api_use": "uses_api",
+}
+
+
+def recognized(observations: DataFrame, reported: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Assertions (family, assertion_id, relation), at most ``most`` a family in id order, and coverage (relation, state, blocker) of all families.
+
+    A family of which something is left out, or which reports truncation, is partial
+    with that blocker; a family that nobody reported is not evaluated.  Recognizers
+    never grant authority over absence.
+    """
+    spark = observations.sparkSession
+    table = F.broadcast(spark.createDataFrame(list(FAMILIES.items()), "family string, relation string"))
+    rank = F.row_number().over(Window.partitionBy("family").orderBy("assertion_id"))
+    kept = observations.withColumn("r", rank).where(F.col("r") <= most).join(table, "family").select("family", "assertion_id", "relation")
+    over = observations.groupBy("family").agg((F.count(F.lit(1)) > most).alias("cut"))
+    rows = spark.createDataFrame(list(FAMILIES.items()), "family string, relation string").join(reported, "family", "left").join(over, "family", "left")
+    cut = F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("state") == "truncated", F.lit(False))
+    state = F.when(F.col("state").isNull(), "not_evaluated").when(F.col("state") == "failed", "failed").when(cut, "partial").otherwise(F.col("state"))
+    return kept, rows.select("relation", state.alias("state"), F.when(cut & F.col("state").isNotNull() & (F.col("state") != "failed"), "truncated_output").otherwise("").alias("blocker"))

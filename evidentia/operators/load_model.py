@@ -129,3 +129,58 @@ def inheritance_cycles(edges: DataFrame) -> DataFrame:
     size = strong_components(edges, nodes).groupBy(F.col("component").alias("cycle")).agg(F.count(F.lit(1)).alias("members"))
     own = edges.where("src = dst").select(F.col("src").alias("cycle")).distinct().withColumn("self", F.lit(True))
     return size.join(own, "cycle", "left").where("members > 1 or self").select("cycle", "members")
+
+
+# fixed values: kinds of issues of package loading; the first two and the fourth block a complete load
+ISSUES = (
+    "missing_required_dependency", "missing_optional_dependency", "dependency_condition_unresolved", "invalid_dependency_name", "duplicate_dependency", "self_dependency",
+    "required_dependency_cycle", "optional_dependency_cycle", "mixed_dependency_cycle", "conflicting_load_on_demand", "package_file_closure_partial",
+)
+
+
+def issues(declared: DataFrame, packages: DataFrame, components: DataFrame) -> DataFrame:
+    """(issue, package, dependency) of declarations (package, dependency, kind, condition) among packages (package, on_demand, on_demand_again, closure_complete).
+
+    ``condition``: true, false or null (unresolved).  ``components``: (node_id, component) of the resolved graph.
+    """
+    row = lambda df, issue, dependency="dependency": df.select(F.lit(issue).alias("issue"), "package", (F.col(dependency) if dependency else F.lit(None).cast("string")).alias("dependency"))
+    known = packages.select(F.col("package").alias("dependency"), F.lit(True).alias("known"))
+    valid = F.col("dependency").rlike("^[A-Za-z][A-Za-z0-9_-]*$")
+    d = declared.withColumn("valid", valid).join(known, "dependency", "left")
+    absent = d.where("valid and known is null")
+    own = components.select("node_id", "component")
+    inside = declared.join(own.select(F.col("node_id").alias("package"), "component"), "package").join(own.select(F.col("node_id").alias("dependency"), F.col("component").alias("other")), "dependency").where("component = other and package <> dependency")
+    kinds = inside.groupBy("component").agg(F.bool_and(F.col("kind") == "required").alias("r"), F.bool_and(F.col("kind") == "optional").alias("o")).withColumnRenamed("component", "package")
+    twice = declared.groupBy("package", "dependency").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = [
+        row(absent.where("kind = 'required'"), ISSUES[0]),
+        row(absent.where("kind = 'optional'"), ISSUES[1]),
+        row(d.where("valid and known and condition is null"), ISSUES[2]),
+        row(d.where("not valid"), ISSUES[3]),
+        row(twice, ISSUES[4]),
+        row(d.where("package = dependency"), ISSUES[5]),
+        row(kinds.where("r"), ISSUES[6], None),
+        row(kinds.where("o"), ISSUES[7], None),
+        row(kinds.where("not r and not o"), ISSUES[8], None),
+        row(packages.where("on_demand <> on_demand_again"), ISSUES[9], None),
+        row(packages.where("not closure_complete"), ISSUES[10], None),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+COMPONENTS = ("source", "signature", "shape", "neighborhood", "load_role")
+
+
+def fingerprints(entities: DataFrame, members: DataFrame, edges: DataFrame, roles: DataFrame) -> DataFrame:
+    """(entity, source, signature, shape, neighborhood, load_role, composite): digests of an entity's text, its members' types in order, their optionality, its edges, its role, and of all five if none is missing.
+
+    ``members``: entity, position, type, optional; ``edges``: entity, relation, other; ``roles``: entity, role.
+    """
+    digest = lambda c: F.sha2(c, 256)
+    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", c.alias("x")))), lambda m: m["x"]), ",")
+    m = members.groupBy("entity").agg(digest(in_order(F.col("type"))).alias("signature"), digest(in_order(F.when(F.col("optional"), "?").otherwise("!"))).alias("shape"))
+    e = edges.groupBy("entity").agg(digest(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "relation", "other"))), ",")).alias("neighborhood"))
+    r = roles.where(F.col("role").isNotNull()).groupBy("entity").agg(digest(F.array_join(F.array_sort(F.collect_set("role")), ",")).alias("load_role"))
+    rows = entities.select("entity", digest(F.col("text")).alias("source")).join(m, "entity", "left").join(e, "entity", "left").join(r, "entity", "left")
+    composite = F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in COMPONENTS]), digest(F.concat_ws("|", *COMPONENTS)))
+    return rows.select("entity", *COMPONENTS, composite.alias("composite"))

@@ -106,3 +106,74 @@ def stabbing(spans: DataFrame, points: DataFrame, width: int) -> DataFrame:
     wide = spans.where("span_start < span_end").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("span_start") / width), F.floor((F.col("span_end") - 1) / width))))
     at = points.withColumn("bucket", F.floor(F.col("at") / width))
     return at.join(wide, "bucket").where("span_start <= at and at < span_end").drop("bucket")
+
+
+DECLARATIONS = {"structure": {"fields"}, "callback": {"arguments", "returns"}, "enumeration": {"members", "member"}, "constants": {"members", "member"}, "script_object": set()}
+
+
+def declaration_shape(kind: str, **wanted: int | str) -> Column:
+    """Declarations (kind, fields, arguments, returns, members arrays) of a kind with these counts, or with a ``member`` of that name; a selector that the kind doesn't have is an error."""
+    if kind not in DECLARATIONS or set(wanted) - DECLARATIONS[kind]:
+        raise ValueError(f"no such shape of {kind}: {sorted(wanted)}")
+    out = F.col("kind") == kind
+    for name, value in wanted.items():
+        out = out & (F.array_contains("members", value) if name == "member" else F.size(F.coalesce(name, F.array())) == value)
+    return out
+
+
+BINDINGS = ("exact", "unresolved", "conflicted")
+
+
+def restriction_shape(kind: str | None = None, scope: str | None = None, facet: str | None = None, state: str | None = None, subject: str | None = None, binding: str | None = None) -> Column:
+    """Restrictions (kind, scope, facets array<struct<id,state>>, subject, digest, conflicted) with all that is given; facet and state may be those of different facets; nothing given is an error."""
+    checks = []
+    for column, value in (("kind", kind), ("scope", scope), ("subject", subject)):
+        if value is not None:
+            checks.append(F.col(column).eqNullSafe(F.lit(value)))
+    for member, value in (("id", facet), ("state", state)):
+        if value is not None:
+            checks.append(F.coalesce(F.exists("facets", lambda f: f[member] == value), F.lit(False)))  # noqa: B023
+    if binding is not None:
+        known = F.col("digest").isNotNull()
+        checks.append({"exact": known & ~F.col("conflicted"), "unresolved": ~known & ~F.col("conflicted"), "conflicted": F.col("conflicted")}[binding])
+    if not checks:
+        raise ValueError("a restriction shape names at least one facet of it")
+    out = checks[0]
+    for c in checks[1:]:
+        out = out & c
+    return out
+
+
+def slot_path(root: str, keys: Sequence[tuple[str, object]], access: str, aliases: str) -> Column:
+    """Accesses (root, keys array<struct<t,v>>, complete, access, alias) of exactly this path; an incomplete path never matches, an aliased one only if ``aliases`` allows it."""
+    if access not in ("read", "write", "any") or aliases not in ("allow", "block"):
+        raise ValueError("access is read, write or any; aliases allow or block")
+    wanted = F.array(*[typed(t, v) for t, v in keys]) if keys else F.array().cast("array<struct<t:string,v:string>>")
+    out = (F.col("root") == root) & F.col("complete") & (F.col("keys") == wanted)
+    if access != "any":
+        out = out & (F.col("access") == access)
+    return out & (F.lit(aliases == "allow") | ~F.col("alias"))
+
+
+def in_scope(files: DataFrame, scope: str, names: Sequence[str] = ()) -> DataFrame:
+    """Files (file_id, kind) of a rule's scope: all, files (these ids, each known and named once), or xml_documents."""
+    if scope == "all":
+        return files
+    if scope == "xml_documents":
+        return files.where(F.col("kind") == "xml")
+    if scope != "files" or not names or len(set(names)) < len(names):
+        raise ValueError("a scope of files names them once each")
+    asked = files.sparkSession.createDataFrame([(n,) for n in names], "file_id string")
+    if not asked.join(files.select("file_id"), "file_id", "left_anti").isEmpty():
+        raise ValueError("the scope names a file that is not there")
+    return files.join(F.broadcast(asked), "file_id", "left_semi")
+
+
+def record_filter(records: DataFrame, kinds: Sequence[str], supported: Sequence[str], lanes: Sequence[str], namespace: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """Records (kind, namespace) of these kinds and, if given, exactly this namespace ("" is the global one), and each lane's state: one kind that the records don't support makes every lane miss the capability, and no record passes."""
+    if set(kinds) - set(supported):
+        return records.where(F.lit(False)), dict.fromkeys(lanes, "missing_filter_capability")
+    out = records.where(F.col("kind").isin(*kinds))
+    if namespace is not None:
+        out = out.where(F.coalesce("namespace", F.lit("")) == namespace)
+    return out, dict.fromkeys(lanes, "evaluated")

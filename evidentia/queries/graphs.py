@@ -80,41 +80,41 @@ def _(s: Source):
     return package_paths(s, most=5, after=["pkg1:pkg10"]).paths.select(F.array_join("path", ">").alias("path"))
 
 
-# budgets of a subgraph: what nation 3 owns, its edges in the order of their ids
-OWNED = "first AS (SELECT src AS node_id, edge_id, row_number() OVER (ORDER BY edge_id) AS r, sum(strlen(edge_id) + strlen(src) + strlen(dst) + strlen(relation) + strlen(src)) OVER (ORDER BY edge_id) AS bytes FROM edges WHERE relation = 'owned_by' AND dst = 'nation:3')"
+# budgets of a subgraph: what supplier 1 supplies, its edges in the order of their ids
+OWNED = "first AS (SELECT src AS node_id, edge_id, row_number() OVER (ORDER BY edge_id) AS r, sum(strlen(edge_id) + strlen(src) + strlen(dst) + strlen(relation) + strlen(src)) OVER (ORDER BY edge_id) AS bytes FROM edges WHERE relation = 'supplied_by' AND dst = 'supplier:1')"
 
 
 def truncated_sql(admitted: str, reason: str) -> str:
-    return f"WITH {OWNED} SELECT 'nation:3' AS node_id, 0 AS depth, CAST(NULL AS VARCHAR) AS discovery_edge, '{reason}' AS truncations UNION ALL SELECT node_id, 1, edge_id, '{reason}' FROM first WHERE {admitted}"
+    return f"WITH {OWNED} SELECT 'supplier:1' AS node_id, 0 AS depth, CAST(NULL AS VARCHAR) AS discovery_edge, '{reason}' AS truncations UNION ALL SELECT node_id, 1, edge_id, '{reason}' FROM first WHERE {admitted}"
 
 
-def owned_by_nation(s: Source, **limits):
-    return T.subgraph(s.nodes, s.edges, ["nation:3"], {"owned_by": T.IN, "owns": T.OUT}, T.Limits(**limits)).with_reasons()
+def supplied(s: Source, **limits):
+    return T.subgraph(s.nodes, s.edges, ["supplier:1"], {"supplied_by": T.IN, "uses": T.IN}, T.Limits(**limits)).with_reasons()
 
 
 @query("g5_truncated_depth", truncated_sql("true", "depth"), "edges")
 def _(s: Source):
-    return owned_by_nation(s, depth=1, nodes=16_384, edges=100_000)
+    return supplied(s, depth=1, nodes=16_384, edges=100_000)
 
 
 @query("g5_truncated_nodes", truncated_sql("r < 10", "nodes"), "edges")
 def _(s: Source):
-    return owned_by_nation(s, nodes=10)
+    return supplied(s, nodes=10)
 
 
 @query("g5_truncated_edges", truncated_sql("r <= 7", "edges"), "edges")
 def _(s: Source):
-    return owned_by_nation(s, edges=7)
+    return supplied(s, edges=7)
 
 
 @query("g5_truncated_expansions", truncated_sql("r <= 5", "expansions"), "edges")
 def _(s: Source):
-    return owned_by_nation(s, expansions=5)
+    return supplied(s, expansions=5)
 
 
-@query("g5_truncated_output_bytes", truncated_sql("bytes <= 600 - 8", "output_bytes"), "edges")
+@query("g5_truncated_output_bytes", truncated_sql("bytes <= 600 - 10", "output_bytes"), "edges")
 def _(s: Source):
-    return owned_by_nation(s, output_bytes=600)
+    return supplied(s, output_bytes=600)
 
 
 VISITED = """WITH RECURSIVE d AS (SELECT DISTINCT package AS src, dependency AS dst FROM dependencies WHERE dependency IN (SELECT package FROM packages)),
@@ -202,12 +202,6 @@ def _(s: Source):
     return s.edges.join(F.broadcast(definitions), ["relation", "confidence"]).groupBy("relation", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g9_explain", "SELECT 'edge' AS section, edge_id AS id, relation AS detail FROM edges WHERE src = 'part:3' UNION ALL SELECT 'node', node_id, kind FROM nodes WHERE node_id = 'part:3' UNION ALL SELECT 'coverage', part_id, relation FROM coverage WHERE relation = 'supplied_by'", "nodes edges coverage")
-def _(s: Source):
-    row = lambda df, section, i, detail: df.select(F.lit(section).alias("section"), F.col(i).alias("id"), F.col(detail).alias("detail"))
-    return row(s.edges.where("src = 'part:3'"), "edge", "edge_id", "relation").unionByName(row(s.nodes.where("node_id = 'part:3'"), "node", "node_id", "kind")).unionByName(row(s.coverage.where("relation = 'supplied_by'"), "coverage", "part_id", "relation"))
-
-
 @query("g10_evidence_closure", """WITH RECURSIVE d AS (SELECT DISTINCT package AS src, dependency AS dst FROM dependencies WHERE kind = 'required'), walk(id, depth) AS (SELECT 'pkg4', 0 UNION SELECT d.dst, walk.depth + 1 FROM walk JOIN d ON d.src = walk.id WHERE walk.depth < 30),
     m AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id) SELECT m.id, m.depth, CASE WHEN p.package IS NULL THEN 'not_retained' ELSE 'resolved' END AS state FROM m LEFT JOIN packages p ON p.package = m.id""", "packages dependencies")
 def _(s: Source):
@@ -379,11 +373,6 @@ def _(s: Source):
     return s.packages.select("package", D.load_phase(F.col("selected"), F.col("on_demand")).alias("phase"))
 
 
-@query("d7_dependency_issues", f"SELECT package, dependency, resolution AS issue FROM (SELECT d.package, d.dependency, {RESOLUTION} AS resolution FROM dependencies d LEFT JOIN packages p ON p.package = d.dependency) WHERE resolution IN ('missing', 'self', 'on_demand')", "packages dependencies")
-def _(s: Source):
-    return D.resolve(s.dependencies, s.packages).where("resolution in ('missing', 'self', 'on_demand')").select("package", "dependency", F.col("resolution").alias("issue"))
-
-
 @query("d8_load_units", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS unit FROM lineitem")
 def _(s: Source):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -406,7 +395,7 @@ def _(s: Source):
 
 INHERITS = """WITH RECURSIVE i AS (SELECT p_partkey AS src, p_partkey * 5 % 89 + 1 AS dst FROM part),
     up(root, node, depth) AS (SELECT src, dst, 1 FROM i WHERE src <= 89 UNION ALL SELECT up.root, i.dst, up.depth + 1 FROM up JOIN i ON i.src = up.node WHERE up.node <> up.root AND up.depth <= 89),
-    c AS (SELECT root, min(depth) AS members FROM up WHERE node = root GROUP BY root)"""
+    c AS (SELECT root, CAST(min(depth) AS BIGINT) AS members FROM up WHERE node = root GROUP BY root)"""
 
 
 @query("d11_inheritance_cycles", INHERITS + " SELECT CAST(min(o.node) AS BIGINT) AS cycle, c.members FROM c JOIN up o ON o.root = c.root GROUP BY c.root, c.members QUALIFY row_number() OVER (PARTITION BY min(o.node) ORDER BY c.root) = 1")
@@ -421,12 +410,6 @@ def _(s: Source):
     return s.part.groupBy(F.col("p_type").alias("element")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(classes), "element", "left").select("element", F.coalesce("class", F.lit("unclassified")).alias("class"), "n")
 
 
-@query("d13_fingerprints", "SELECT src, sha256(string_agg(concat(relation, ':', dst), ',' ORDER BY concat(relation, ':', dst))) AS neighborhood FROM edges WHERE relation IN ('owns', 'owned_by') GROUP BY src", "edges")
-def _(s: Source):
-    e = s.edges.where("relation in ('owns', 'owned_by')").select("src", F.concat_ws(":", "relation", "dst").alias("x"))
-    return e.groupBy("src").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), ","), 256).alias("neighborhood"))
-
-
 @query("d14_snapshot_update", """SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN o.v = n.v THEN 'unchanged' ELSE 'updated' END AS change
     FROM (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_size < 30) o FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, '!') ELSE p_name END AS v FROM part WHERE p_size > 10) n ON o.k = n.k""")
 def _(s: Source):

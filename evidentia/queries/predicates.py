@@ -114,12 +114,6 @@ def _(s: Source):
     return s.nodes.where(F.col("kind").isin(wanted)).select("node_id", "kind")
 
 
-@query("p13_record_filters", "SELECT record_key, part_id FROM records WHERE part_id = 'Brand#3' UNION ALL SELECT record_key, part_id FROM records WHERE variants > 2", "records")
-def _(s: Source):
-    r = s.records
-    return r.where("part_id = 'Brand#3'").unionByName(r.where("variants > 2")).select("record_key", "part_id")
-
-
 def apis(s: Source):
     """One row an order, its lines as ordered fields."""
     return s.members.groupBy("api").agg(F.array_sort(F.collect_list(F.struct("position", "original_type", "nilable"))).alias("fields"))
@@ -131,40 +125,17 @@ def _(s: Source):
     return apis(s).where(P.all_fields(F.col("fields"), shapes)).select("api")
 
 
-@query("p15_declaration_shape", "SELECT api, count(*) AS n FROM members GROUP BY api HAVING count(*) = 4 AND bool_or(original_type = 'R')", "members")
-def _(s: Source):
-    return apis(s).where((F.size("fields") == 4) & F.exists("fields", lambda f: f["original_type"] == "R")).select("api", F.size("fields").cast("long").alias("n"))
-
-
-@query("p16_restriction_shape", "SELECT api FROM members GROUP BY api HAVING bool_or(original_type = 'A') AND bool_or(nilable)", "members")
-def _(s: Source):  # id and state may be met by different facets
-    return apis(s).where(F.exists("fields", lambda f: f["original_type"] == "A") & F.exists("fields", lambda f: f["nilable"])).select("api")
-
-
 @query("p17_event_payload", f"SELECT kind, count(*) AS n FROM facts WHERE {K} BETWEEN 10 AND 19 GROUP BY kind", "facts")
 def _(s: Source):
     return s.facts.withColumn("p", F.from_json("props", "k bigint")).where("p.k between 10 and 19").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p18_slot_path", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey % 3 <> 0")
-def _(s: Source):
-    slot = F.array(F.struct(F.lit("key").alias("kind"), F.col("o_orderstatus").alias("value")), F.struct(F.lit("key").alias("kind"), F.col("o_orderpriority").alias("value")))
-    wanted = F.array(*[F.struct(F.lit("key").alias("kind"), F.lit(v).alias("value")) for v in ("F", "1-URGENT")])
-    return s.orders.where((slot == wanted) & (F.col("o_custkey") % 3 != 0)).select("o_orderkey")
-
-
 @query("p19_enabled_codes", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup')")
 def _(s: Source):
     enabled, off = ["error", "signup"], False
     return s.events.where(F.col("event_type").isin(enabled) & F.lit(not off)).select("event_id", "event_type")
 
 
-@query("p20_rule_scope", "SELECT doc_id FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) > 40)")
-def _(s: Source):
-    scope = s.documents.groupBy("source").count().where("count > 40")
-    return s.documents.join(scope, "source", "left_semi").select("doc_id")
-
-
 @query("p21_namespace_relevance", "SELECT DISTINCT p_name FROM part WHERE split_part(p_name, ' ', 1) IN (SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE p_size = 50)")
 def _(s: Source):
     space = lambda c: F.split_part(c, F.lit(" "), F.lit(1))

@@ -191,13 +191,6 @@ def _(s: Source):
     return g.select("user_id", C.availability(F.col("status"), F.col("conflicts"), F.col("truncated")).alias("availability"))
 
 
-@query("a7_negative_authority", "SELECT relation, array_to_string(list_sort(list_filter([CASE WHEN max(state) = 2 THEN 'partial_coverage' END, CASE WHEN max(state) = 4 THEN 'truncated' END, CASE WHEN bool_or(NOT authority) THEN 'no_authority' END, CASE WHEN count(*) < 2 THEN 'missing_partition' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM coverage GROUP BY relation", "coverage")
-def _(s: Source):
-    g = s.coverage.groupBy("relation").agg(F.max("state").alias("worst"), F.bool_or(~F.col("authority")).alias("weak"), count().alias("n"))
-    reasons = C.denial_reasons({"partial_coverage": F.col("worst") == 2, "truncated": F.col("worst") == 4, "no_authority": F.col("weak"), "missing_partition": F.col("n") < 2})
-    return g.select("relation", F.array_join(reasons, ",").alias("reasons"))
-
-
 @query("a8_query_state", "SELECT 'owns,uses' AS relations, 'partial' AS state, false AS absence_authoritative UNION ALL SELECT 'contains', 'complete', true UNION ALL SELECT 'uses,supplied_by', 'truncated', false UNION ALL SELECT 'owns,missing', 'not_evaluated', false")
 def _(s: Source):
     out = None
@@ -224,12 +217,6 @@ def _(s: Source):
     return s.coverage.agg(F.when(F.bool_or(F.col("state") == 3), "failed").when(F.bool_or(F.col("state") != 0), "degraded").otherwise("healthy").alias("health"), count().alias("records"))
 
 
-@query("a13_family_coverage", "SELECT event_type AS family, least(count(*), 2000) AS kept, CASE WHEN count(*) > 2000 THEN 'partial' ELSE 'complete' END AS coverage FROM events GROUP BY event_type")
-def _(s: Source):
-    g = s.events.groupBy(F.col("event_type").alias("family")).agg(count().alias("n"))
-    return g.select("family", F.least("n", F.lit(2000).cast("long")).alias("kept"), F.when(F.col("n") > 2000, "partial").otherwise("complete").alias("coverage"))
-
-
 @query("a14_budget_usage", "SELECT event_type AS rule, count(*) AS checked, count(*) FILTER (value > 50) AS charged FROM events GROUP BY event_type")
 def _(s: Source):
     return s.events.groupBy(F.col("event_type").alias("rule")).agg(count().alias("checked"), F.count_if(F.col("value") > 50).alias("charged"))
@@ -348,13 +335,6 @@ def _(s: Source):
     return u("live", s.part.where("p_size < 3").withColumnRenamed("p_name", "name")).unionByName(u("beta", s.part.where("p_size > 48").withColumnRenamed("p_name", "name"))).unionByName(u("wiki", s.nation.withColumnRenamed("n_name", "name")))
 
 
-@query("u4_u5_generation_merge", "SELECT coalesce(a.p_name, b.p_name) AS scope, coalesce(a.v, b.v) AS value, CASE WHEN a.v IS NULL THEN 'extended' WHEN b.v IS NULL THEN 'kept' WHEN a.v = b.v THEN 'equal' ELSE 'conflict' END AS merge FROM (SELECT p_name, min(p_brand) AS v FROM part WHERE p_size < 6 GROUP BY p_name) a FULL JOIN (SELECT p_name, min(p_brand) AS v FROM part WHERE p_size > 46 GROUP BY p_name) b ON a.p_name = b.p_name")
-def _(s: Source):
-    side = lambda cond, v: s.part.where(cond).groupBy(F.col("p_name").alias("scope")).agg(F.min("p_brand").alias(v))
-    both = side("p_size < 6", "x").join(side("p_size > 46", "y"), "scope", "full")
-    return both.select("scope", F.coalesce("x", "y").alias("value"), F.when(F.col("x").isNull(), "extended").when(F.col("y").isNull(), "kept").when(F.col("x") == F.col("y"), "equal").otherwise("conflict").alias("merge"))
-
-
 @query("u6_missing_coverage", "SELECT r.relation FROM (VALUES ('owns'), ('calls'), ('inherits')) AS r(relation) WHERE r.relation NOT IN (SELECT relation FROM coverage)", "coverage")
 def _(s: Source):
     asked = s.spark.createDataFrame([("owns",), ("calls",), ("inherits",)], "relation string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import scalars as S
@@ -303,11 +302,6 @@ def _(s: Source):
     return V.replay(asked, journal).select(F.col("operation").alias("p_partkey"), "outcome")
 
 
-@query("v3_leases", "SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1997-01-01 00:00:00' THEN 'expired' ELSE 'held' END AS state FROM orders WHERE o_orderstatus = 'O'")
-def _(s: Source):
-    return s.orders.where("o_orderstatus = 'O'").select("o_orderkey", V.lease_state(F.unix_timestamp("o_orderdate"), F.unix_timestamp(F.lit("1997-01-01 00:00:00").cast("timestamp"))).alias("state"))
-
-
 @query("v4_object_gc", "SELECT p_partkey, more FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS r, count(*) OVER () > 50 AS more FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AND p_partkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01 00:00:00')) WHERE r <= 50")
 def _(s: Source):
     catalog = s.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
@@ -315,49 +309,11 @@ def _(s: Source):
     return R.top(V.unreferenced(s.part.select("p_partkey"), "p_partkey", catalog, leases), ["p_partkey"], 50).select("p_partkey", "more")
 
 
-@query("v6_generation_gc", "SELECT generation, count(*) AS versions FROM (SELECT o_custkey % 50 AS generation FROM orders) WHERE generation NOT IN (SELECT c_custkey % 50 FROM customer WHERE c_custkey < 20) GROUP BY generation")
-def _(s: Source):
-    protected = s.customer.where("c_custkey < 20").select((F.col("c_custkey") % 50).alias("generation"))
-    return s.orders.select((F.col("o_custkey") % 50).alias("generation")).join(protected, "generation", "left_anti").groupBy("generation").agg(count().alias("versions"))
-
-
 @query("v9_recovery_scan", "SELECT p_partkey, 'orphan' AS state FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
 def _(s: Source):
     return V.unreferenced(s.part.select("p_partkey"), "p_partkey", s.lineitem.select(F.col("l_partkey").alias("p_partkey"))).withColumn("state", F.lit("orphan"))
 
 
-@query("c1_map", "SELECT at AS root, edge_id, n.kind AS adjacent_kind FROM (SELECT src AS \"at\", dst AS \"to\", edge_id FROM edges UNION ALL SELECT dst, src, edge_id FROM edges WHERE src <> dst) e JOIN nodes n ON n.node_id = e.\"to\" WHERE \"at\" = 'part:3'".replace("SELECT at AS root", "SELECT \"at\" AS root"), "nodes edges")
-def _(s: Source):
-    from evidentia.operators import graph as G
-
-    near = G.incident(s.edges, "both").where("at = 'part:3'")
-    return near.join(s.nodes.select(F.col("node_id").alias("to"), F.col("kind").alias("adjacent_kind")), "to").select(F.col("at").alias("root"), "edge_id", "adjacent_kind")
-
-
-@query("c2_skeleton", "SELECT c.c_nationkey, count(*) AS declarations, count(*) FILTER (c_acctbal > 0) AS shown FROM customer c GROUP BY c.c_nationkey")
-def _(s: Source):
-    return s.customer.groupBy("c_nationkey").agg(count().alias("declarations"), F.count_if(F.col("c_acctbal") > 0).alias("shown"))
-
-
-@query("c3_frontier", "SELECT DISTINCT dst AS node_id FROM edges WHERE relation = 'uses' AND src IN (SELECT dst FROM edges WHERE src = 'customer:5' AND relation = 'owns') AND dst NOT IN ('part:1', 'part:2')", "edges")
-def _(s: Source):
-    frontier = s.edges.where("src = 'customer:5' and relation = 'owns'").select(F.col("dst").alias("src"))
-    queried = s.spark.createDataFrame([("part:1",), ("part:2",)], "node_id string")
-    return s.edges.where("relation = 'uses'").join(frontier, "src", "left_semi").select(F.col("dst").alias("node_id")).distinct().join(queried, "node_id", "left_anti")
-
-
-@query("c4_pack", "SELECT source, CASE WHEN sum(strlen(text)) > 120000 THEN 'refused' ELSE 'packed' END AS outcome, CASE WHEN sum(strlen(text)) > 120000 THEN 0 ELSE count(*) END AS items FROM documents GROUP BY source")
-def _(s: Source):
-    g = s.documents.groupBy("source").agg(F.sum(F.octet_length("text").cast("long")).alias("b"), count().alias("n"))
-    over = F.col("b") > 120_000
-    return g.select("source", F.when(over, "refused").otherwise("packed").alias("outcome"), F.when(over, 0).otherwise(F.col("n")).cast("long").alias("items"))
-
-
-@query("c5_combined_pack", "SELECT 'live' AS universe, count(*) AS items FROM part WHERE p_size = 1 UNION ALL SELECT 'wiki', count(*) FROM nation")
-def _(s: Source):
-    return s.part.where("p_size = 1").agg(count().alias("items")).select(F.lit("live").alias("universe"), "items").unionByName(s.nation.agg(count().alias("items")).select(F.lit("wiki").alias("universe"), "items"))
-
-
 @query("c6_render_trace", "SELECT conv_id, turn, CAST(sum(strlen(text)) OVER w - strlen(text) AS BIGINT) AS byte_start, CAST(sum(strlen(text)) OVER w AS BIGINT) AS byte_end FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def _(s: Source):
     return R.cumulative_bytes(s.conversations, ["conv_id"], ["turn"], F.octet_length("text")).select("conv_id", "turn", "byte_start", "byte_end")
@@ -461,7 +417,7 @@ def _(s: Source):
 
 @query("s17_stub_sink", "SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS lines FROM (SELECT l_orderkey, count(*) + 1 AS n FROM lineitem GROUP BY l_orderkey)")
 def _(s: Source):
-    folder = new_folder(s.spark, "stubs")
+    folder = f"{new_folder(s.spark, 'stubs')}/all"
     N.stubs(s.members).select("stub").write.text(folder, lineSep="\n\n")
     back = s.spark.read.text(folder, lineSep="\n\n").where("value <> ''")
     return back.agg(count().alias("files"), F.sum(F.size(F.split("value", "\n"))).cast("long").alias("lines"))

@@ -119,15 +119,6 @@ def _(s: Source):
 FAMILIES = {"click": "calls", "view": "reads", "purchase": "writes", "signup": "registers"}
 
 
-@query("r10_observations", "SELECT CASE event_type WHEN 'click' THEN 'calls' WHEN 'view' THEN 'reads' WHEN 'purchase' THEN 'writes' ELSE 'registers' END AS edge_kind, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events WHERE event_type <> 'error') WHERE r <= 100")
-def _(s: Source):
-    from pyspark.sql import Window
-
-    kinds = s.spark.createDataFrame(list(FAMILIES.items()), "event_type string, edge_kind string")
-    r = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    return s.events.join(F.broadcast(kinds), "event_type").withColumn("r", r).where("r <= 100").select("edge_kind", "event_id")
-
-
 @query("r7_r9_proposals", f"WITH {F_} SELECT DISTINCT concat('part:', p_partkey) AS target, concat('user:', scope_id) AS source FROM f JOIN part ON p_partkey = CAST(k AS BIGINT) WHERE kind = 'purchase'", "facts")
 def _(s: Source):
     p = pack("buys", [fact("a", "purchase")], {"part": "a.k", "user": "a.user"})
