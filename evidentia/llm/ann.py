@@ -45,7 +45,7 @@ from evidentia.llm.textblocks import mix
 from evidentia.shared import keep
 
 K, SAMPLE, BLOCK, EPSILON, SEED = 5, 20_000, 16, 2.1, 7
-CELL, CELLS, QUERIES = 8_000, 20_000, 4_000  # vectors of a cell; cells, above which they grow; queries of a block
+CELL, CELLS, QUERIES = 2_000, 20_000, 4_000  # vectors of a cell; cells, above which they grow; queries of a block
 TARGET, TRIED = 0.97, 400  # recall that the probes are chosen for, and sampled queries that it is measured with
 FOUND = "query_id long, vec_id long, vector long, copies int, score double"
 RESULT = "query_id long, rank int, vec_id long, score double"
