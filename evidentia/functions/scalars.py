@@ -119,3 +119,34 @@ def union_members(c: Column) -> Column:
 def version_parts(c: Column) -> Column:
     """major, minor, patch of a version; null unless all three are integers."""
     return F.when(c.rlike(r"^(0|[1-9][0-9]{0,8})\.(0|[1-9][0-9]{0,8})\.(0|[1-9][0-9]{0,8})$"), F.transform(F.split(c, r"\."), lambda s: s.cast("int")))
+
+
+def unaccented(c: Column) -> Column:
+    """Latin letters without their accents (U+00C0 to U+024F that decompose to one letter), everything else as it is."""
+    import unicodedata
+
+    pairs = [(chr(i), d[0]) for i in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(i))) > 1 and d[0].isascii()]
+    return F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+
+
+def has_folded_phrase(c: Column, phrase: str) -> Column:
+    """has_phrase() where accents of Latin letters don't count, on either side."""
+    import unicodedata
+
+    plain = "".join(ch for ch in unicodedata.normalize("NFD", phrase) if not unicodedata.combining(ch))
+    return has_phrase(unaccented(c), plain)
+
+
+def nested_json(members: dict[str, Column | dict]) -> Column:
+    """A JSON object of columns and further objects, keys sorted at every depth; null members are absent, an object without members is not."""
+
+    def build(level: dict) -> Column:
+        return F.struct(*[(build(v) if isinstance(v, dict) else v).alias(k) for k, v in sorted(level.items())])
+
+    return F.to_json(build(members))
+
+
+def compare_versions(a: Column, b: Column) -> Column:
+    """older, equal or newer of a against b by major, minor and patch as numbers; incomparable if either is no version."""
+    x, y = version_parts(a), version_parts(b)
+    return F.when(x.isNull() | y.isNull(), "incomparable").when(x < y, "older").when(x > y, "newer").otherwise("equal")

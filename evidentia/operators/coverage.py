@@ -143,3 +143,49 @@ def recognized(observations: DataFrame, reported: DataFrame, most: int) -> tuple
     cut = F.coalesce("cut", F.lit(False)) | F.coalesce(F.col("state") == "truncated", F.lit(False))
     state = F.when(F.col("state").isNull(), "not_evaluated").when(F.col("state") == "failed", "failed").when(cut, "partial").otherwise(F.col("state"))
     return kept, rows.select("relation", state.alias("state"), F.when(cut & F.col("state").isNotNull() & (F.col("state") != "failed"), "truncated_output").otherwise("").alias("blocker"))
+
+
+# fixed values: classes of truncation, the worst last
+TRUNCATIONS = ("none", "page_end", "result_cap", "byte_cap", "time_limit", "cancelled")
+
+
+def merged_truncation(rows: DataFrame, key: str) -> DataFrame:
+    """(key, class, kept, omitted, all): the worst class of parts (key, class, kept, omitted) of one result, what is kept and omitted in sum (null where any part doesn't know), and every class that occurs, in their order."""
+    rank = F.array_position(F.array(*map(F.lit, TRUNCATIONS)), F.col("class")).cast("int")
+    unknown = F.bool_or(F.col("omitted").isNull())
+    seen = F.array_sort(F.collect_set(rank))
+    names = F.transform(seen, lambda r: F.element_at(F.array(*map(F.lit, TRUNCATIONS)), r))
+    return rows.groupBy(key).agg(F.element_at(F.array(*map(F.lit, TRUNCATIONS)), F.max(rank)).alias("class"), F.sum("kept").alias("kept"), F.when(~unknown, F.sum("omitted")).alias("omitted"), F.array_join(F.filter(names, lambda n: n != "none"), ",").alias("all"))
+
+
+def evidence_rules(evidence: DataFrame, inputs: DataFrame, components: DataFrame) -> DataFrame:
+    """(evidence_id, violation) of evidence (evidence_id, provenance, confidence, scope) and what it is derived from (evidence_id, input_id).
+
+    candidate_only: a provenance that may only give candidates claims more;
+    derived_needs_inputs, proven_forbids_inputs, probe_scope: a runtime probe outside a
+    runtime scope; unknown_input; cycle: by strong components of the derivations
+    (node_id, component) or by deriving from itself.
+    """
+    known = evidence.select(F.col("evidence_id").alias("input_id"), F.lit(True).alias("known"))
+    told = inputs.join(known, "input_id", "left").groupBy("evidence_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("known").isNull()).alias("lost"), F.bool_or(F.col("input_id") == F.col("evidence_id")).alias("own"))
+    ring = components.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    inside = components.join(ring, "component").select(F.col("node_id").alias("evidence_id"), F.lit(True).alias("ring"))
+    rows = evidence.join(told, "evidence_id", "left").join(inside, "evidence_id", "left")
+    n, conf, source = F.coalesce("n", F.lit(0)), F.col("confidence"), F.col("provenance")
+    found = F.array_compact(F.array(
+        F.when(source.isin("heuristic", "model") & (conf != "candidate"), "candidate_only"),
+        F.when((conf == "derived") & (n == 0), "derived_needs_inputs"),
+        F.when((conf == "proven") & (n > 0), "proven_forbids_inputs"),
+        F.when((source == "runtime_probe") & (F.col("scope") != "runtime"), "probe_scope"),
+        F.when(F.col("lost"), "unknown_input"),
+        F.when(F.col("ring") | F.col("own"), "cycle"),
+    ))
+    return rows.select("evidence_id", F.explode(found).alias("violation"))
+
+
+def budget_usage(charges: DataFrame, limits: DataFrame) -> DataFrame:
+    """(rule, counter, used, limit, state) of charges (rule, counter, amount) against limits (counter, limit): within, reached or exceeded; a counter without charges is used 0 times by every rule."""
+    used = charges.groupBy("rule", "counter").agg(F.sum("amount").alias("used"))
+    grid = charges.select("rule").distinct().join(F.broadcast(limits))  # limits are a handful of counters
+    rows = grid.join(used, ["rule", "counter"], "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
+    return rows.select("rule", "counter", "used", "limit", F.when(F.col("used") > F.col("limit"), "exceeded").when(F.col("used") == F.col("limit"), "reached").otherwise("within").alias("state"))

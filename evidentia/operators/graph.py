@@ -186,3 +186,82 @@ def evidence_union(rows: DataFrame, key: str, attributes: Sequence[str], evidenc
     """Merge rows of one key: evidence united; ``conflict`` where attributes differ."""
     same = F.count_distinct(F.struct(*attributes))
     return rows.groupBy(key).agg(F.array_sort(F.flatten(F.collect_set(evidence))).alias("all"), *[F.min(a).alias(a) for a in attributes], (same > 1).alias("conflict")).withColumn(evidence, F.array_distinct("all")).drop("all")
+
+
+def rebind(addresses: DataFrame, partitions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(address, node_id, state) of producer addresses (address, producer, generation, kind, local_key) among published nodes (producer, kind, local_key, node_id) of partitions (producer, generation).
+
+    bound, stale (the producer has another generation now), unknown_producer,
+    unpublished (nothing under that key) or ambiguous (several nodes).
+    """
+    own = nodes.groupBy("producer", "kind", "local_key").agg(F.min("node_id").alias("node"), F.count_distinct("node_id").alias("n"))
+    rows = addresses.join(partitions.select("producer", F.col("generation").alias("now")), "producer", "left").join(own, ["producer", "kind", "local_key"], "left")
+    state = F.when(F.col("now").isNull(), "unknown_producer").when(F.col("now") != F.col("generation"), "stale").when(F.col("n").isNull(), "unpublished").when(F.col("n") > 1, "ambiguous").otherwise("bound")
+    return rows.withColumn("state", state).select("address", F.when(F.col("state") == "bound", F.col("node")).alias("node_id"), "state")
+
+
+def same_descriptor(left: DataFrame, right: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(descriptor, left_count, right_count): sources that both sides describe by exactly the same fields; overlap is not identity.
+
+    One row for each descriptor and not for each pair, so a common one costs no product;
+    who has it is a join with either side on ``descriptor``.
+    """
+    digest = F.sha2(F.concat_ws("|", *[F.concat(F.coalesce(F.length(F.col(f).cast("string")).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]), 256)
+    count = lambda df, name: df.groupBy(digest.alias("descriptor")).agg(F.count(F.lit(1)).alias(name))
+    return count(left, "left_count").join(count(right, "right_count"), "descriptor")
+
+
+def materialize(accepted_nodes: DataFrame, accepted_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges of a snapshot from what producers gave, and what is wrong.
+
+    nodes: node_id, kind, producers, conflict (kinds differ); edges: edge_id, src, dst,
+    relation, the best confidence, producers, dangling (an end is no node); problems:
+    subject and what: kind_conflict or dangling_source, dangling_target.
+    """
+    nodes = accepted_nodes.groupBy("node_id").agg(F.min("kind").alias("kind"), F.count_distinct("producer").alias("producers"), (F.count_distinct("kind") > 1).alias("conflict"))
+    edges = accepted_edges.groupBy("edge_id", "src", "dst", "relation").agg(F.min("confidence").alias("confidence"), F.count_distinct("producer").alias("producers"))
+    end = lambda name: nodes.select(F.col("node_id").alias(name), F.lit(True).alias(f"has_{name}"))
+    edges = edges.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    bad = F.array_compact(F.array(F.when(F.col("has_src").isNull(), "dangling_source"), F.when(F.col("has_dst").isNull(), "dangling_target")))
+    problems = edges.select(F.col("edge_id").alias("subject"), F.explode(bad).alias("what")).unionByName(nodes.where("conflict").select(F.col("node_id").alias("subject"), F.lit("kind_conflict").alias("what")))
+    return nodes, edges.withColumn("dangling", F.col("has_src").isNull() | F.col("has_dst").isNull()).drop("has_src", "has_dst"), problems
+
+
+def replace_partition(old: DataFrame, new: DataFrame, snapshot: str, partition: str, expected: dict[str, str], current: dict[str, str]) -> tuple[DataFrame | None, str]:
+    """Coverage (relation, part_id, state, authority) after a producer's partition is replaced, or none and why: stale_snapshot or stale_partition.
+
+    What the partition reported before and no longer reports is not evaluated, and a
+    producer's own word never grants authority over absence.
+    """
+    if expected.get("snapshot") != current.get("snapshot") or snapshot != current.get("snapshot"):
+        return None, "stale_snapshot"
+    if expected.get("partition") != current.get("partition"):
+        return None, "stale_partition"
+    mine = F.col("part_id") == partition
+    fresh = new.select("relation", F.lit(partition).alias("part_id"), "state", F.lit(False).alias("authority"))
+    gone = old.where(mine).join(new.select("relation"), "relation", "left_anti").select("relation", "part_id", F.lit(NOT_EVALUATED).alias("state"), F.lit(False).alias("authority"))
+    return old.where(~mine).select("relation", "part_id", "state", "authority").unionByName(fresh).unionByName(gone), "replaced"
+
+
+def discovery_paths(found: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+    """(node_id, path, weakest) of a subgraph's nodes (node_id, depth, discovery_edge): the edge ids from the root, and the weakest confidence on the way, by walking back one edge a round."""
+    e = edges.select(F.col("edge_id").alias("discovery_edge"), "src", "dst", "confidence")
+    step = keep(found.where("discovery_edge is not null").join(e, "discovery_edge").select("node_id", "depth", "discovery_edge", "confidence", F.when(F.col("dst") == F.col("node_id"), F.col("src")).otherwise(F.col("dst")).alias("parent")))
+    level = found.where("depth = 0").select("node_id", F.array().cast("array<string>").alias("path"), F.lit(0).alias("weakest"))
+    out = level
+    for d in range(1, most + 1):
+        level = keep(step.where(F.col("depth") == d).join(level.withColumnRenamed("node_id", "parent"), "parent").select("node_id", F.concat("path", F.array("discovery_edge")).alias("path"), F.greatest("weakest", "confidence").alias("weakest")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
+
+
+def presentation_roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node_id, state): nodes that are no one's child (root), and those on a cycle of links (parent, child), which can't be presented (cycle)."""
+    pairs = links.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    size = strong_components(pairs, nodes.select("node_id"))
+    ring = size.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cyclic = size.join(ring, "component").select("node_id").unionByName(links.where("parent = child").select(F.col("parent").alias("node_id"))).distinct()
+    roots = nodes.select("node_id").join(links.where("parent <> child").select(F.col("child").alias("node_id")), "node_id", "left_anti").join(cyclic, "node_id", "left_anti")
+    return roots.withColumn("state", F.lit("root")).unionByName(cyclic.withColumn("state", F.lit("cycle")))

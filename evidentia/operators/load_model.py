@@ -184,3 +184,51 @@ def fingerprints(entities: DataFrame, members: DataFrame, edges: DataFrame, role
     rows = entities.select("entity", digest(F.col("text")).alias("source")).join(m, "entity", "left").join(e, "entity", "left").join(r, "entity", "left")
     composite = F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in COMPONENTS]), digest(F.concat_ws("|", *COMPONENTS)))
     return rows.select("entity", *COMPONENTS, composite.alias("composite"))
+
+
+RESOLUTIONS = ("dynamic_name", "unsupported_name", "invalid_source", "ambiguous_name", "not_in_captured_scope", "invalid_target", "unique_local_declaration")
+
+
+def link_references(references: DataFrame, declarations: DataFrame) -> DataFrame:
+    """(reference_id, resolution, place, issues) of references (reference_id, name, place, source_valid) to declarations (declaration_id, name, place, valid).
+
+    place: target_before_source, target_after_source, self_reference, repeated_load (the
+    target's file is loaded several times, ``loads`` > 1) or unrecorded (no place known);
+    only a unique target has one.  Not in the captured scope is no proof of absence.
+    issues: what about it deserves a note, in a fixed order.
+    """
+    d = declarations.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("at"), F.min("loads").alias("loads"), F.bool_and("valid").alias("target_valid"))
+    name = F.col("name")
+    rows = references.join(d, "name", "left")
+    resolution = (
+        F.when(name.contains("$"), "dynamic_name").when(~name.rlike("^[A-Za-z_][A-Za-z0-9_ ]*$"), "unsupported_name").when(~F.col("source_valid"), "invalid_source")
+        .when(F.col("n").isNull(), "not_in_captured_scope").when(F.col("n") > 1, "ambiguous_name").when(~F.col("target_valid"), "invalid_target").otherwise("unique_local_declaration")
+    )
+    rows = rows.withColumn("resolution", resolution)
+    own = F.col("at")
+    place = F.when(own.isNull() | F.col("place").isNull(), "unrecorded").when(F.col("loads") > 1, "repeated_load").when(own == F.col("place"), "self_reference").when(own < F.col("place"), "target_before_source").otherwise("target_after_source")
+    rows = rows.withColumn("order", F.when(F.col("resolution") == "unique_local_declaration", place))
+    note = F.array_compact(F.array(
+        F.when(F.col("resolution") == "ambiguous_name", "ambiguous_reference"), F.when(F.col("resolution") == "not_in_captured_scope", "not_in_captured_scope"),
+        F.when(F.col("resolution") == "dynamic_name", "dynamic_reference"), F.when(F.col("resolution") == "unsupported_name", "unsupported_reference"),
+        F.when(F.col("resolution") == "invalid_source", "invalid_source"), F.when(F.col("resolution") == "invalid_target", "invalid_target"),
+        F.when(F.col("order") == "target_after_source", "target_after_source"), F.when(F.col("order") == "repeated_load", "repeated_load"), F.when(F.col("order") == "unrecorded", "unrecorded_load"),
+    ))
+    return rows.select("reference_id", "resolution", F.col("order").alias("place"), F.array_join(note, ",").alias("issues"))
+
+
+def update_snapshot(old: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a set of changes (key, action, expected, digest) makes of a snapshot (key, digest): the outcome of each, and the snapshot after it.
+
+    add needs an absent key, update and remove one that holds ``expected``; an update to
+    the digest that is there is a no-op.  One failed change and the previous snapshot
+    stays as it is.
+    """
+    rows = changes.join(old.select("key", F.col("digest").alias("held")), "key", "left")
+    fits = F.when(F.col("action") == "add", F.col("held").isNull()).otherwise(F.coalesce(F.col("held") == F.col("expected"), F.lit(False)))
+    outcome = F.when(~fits, "failed").when((F.col("action") == "update") & (F.col("held") == F.col("digest")), "no_op").otherwise(F.col("action"))
+    told = rows.withColumn("outcome", outcome)
+    failed = told.agg(F.count_if(F.col("outcome") == "failed").alias("any"))  # one row
+    after = old.join(told.select("key", "outcome", F.col("digest").alias("new")), "key", "full").join(F.broadcast(failed))
+    kept = after.select("key", F.when(F.col("any") > 0, F.col("digest")).when(F.col("outcome").isin("add", "update"), F.col("new")).when(F.col("outcome") == "remove", None).otherwise(F.col("digest")).alias("digest"))
+    return told.select("key", "outcome"), kept.where(F.col("digest").isNotNull())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,3 +109,56 @@ def numbered(df: DataFrame, key: str) -> DataFrame:
     offsets = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     own = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
     return rows.withColumn("own", own).join(F.broadcast(offsets), "range").withColumn("r", F.col("own") + F.col("offset")).drop("range", "own", "offset")
+
+
+class Budget(ValueError):
+    """A page that a cumulative budget or a foreign cursor refuses; ``code`` says which."""
+
+    def __init__(self, code: str):
+        super().__init__(code)
+        self.code = code
+
+
+BUDGETS = ("pages", "candidates", "candidate_bytes", "page_bytes", "manifest_bytes")
+
+
+class Paging:
+    """Pages of one ordered result under budgets that add up over all pages.
+
+    A cursor names the result, the query, the universe, the policy, the next candidate
+    and what was delivered so far, and carries a digest of itself; one that was made for
+    anything else, or changed, is refused.  Each page after the first replays the
+    result's manifest and is charged for it.
+    """
+
+    def __init__(self, rows: DataFrame, order: Sequence[str], weight: Column, size: int, limits: dict[str, int], identity: dict[str, str], manifest_bytes: int):
+        self.rows, self.order, self.weight, self.size, self.limits, self.identity, self.manifest = rows, order, weight, size, limits, identity, manifest_bytes
+
+    def seal(self, state: dict) -> dict:
+        body = {**self.identity, **state}
+        return body | {"digest": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()}
+
+    def page(self, cursor: dict | None = None) -> tuple[DataFrame, dict | None]:
+        """The next page and the cursor for the one after it, None at the end."""
+        spent = dict.fromkeys(BUDGETS, 0) | {"next": 0}
+        if cursor is not None:
+            body = {k: v for k, v in cursor.items() if k != "digest"}
+            if cursor != self.seal({k: body.get(k, 0) for k in spent}):
+                raise Budget("cursor_mismatch")
+            spent = {k: body[k] for k in spent}
+            spent["manifest_bytes"] += self.manifest
+        spent["pages"] += 1
+        head = self.rows.withColumn("__w", self.weight.cast("long")).orderBy(*self.order).limit(spent["next"] + self.size + 1)
+        place = F.row_number().over(Window.orderBy(*self.order)) - 1  # over what the limits let through
+        found = keep(head.withColumn("place", place.cast("long")).where(F.col("place") >= spent["next"]))
+        told = found.where(F.col("place") < spent["next"] + self.size).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__w"), F.lit(0)).alias("w")).collect()[0]
+        more = found.count() > told["n"]
+        spent["candidates"] += told["n"]
+        spent["candidate_bytes"] += told["w"]
+        spent["page_bytes"] += told["w"] + 2
+        for name in BUDGETS:
+            if spent[name] > self.limits.get(name, 1 << 62):
+                raise Budget(name)
+        page = found.where(F.col("place") < spent["next"] + self.size).drop("__w")
+        spent["next"] += told["n"]
+        return page, self.seal(spent) if more else None

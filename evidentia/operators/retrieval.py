@@ -118,3 +118,63 @@ def similar(documents: DataFrame, fields: Sequence[str], text: str, k: int) -> D
     near = [F.struct(S.bounded_distance(S.ascii_fold(F.col(f)), S.ascii_fold(F.lit(text)), k).alias("distance"), F.col(f).alias("value"), F.lit(i).alias("field")) for i, f in enumerate(fields)]
     best = F.array_min(F.filter(F.array(*near), lambda x: x["distance"].isNotNull()))
     return documents.select("entity_id", best.alias("b")).where("b is not null").select("entity_id", "b.distance", F.col("b.value").alias("value"), F.col("b.field").alias("field"))
+
+
+def band(matches: dict[str, Column], subject_missing: Column | None = None) -> Column:
+    """The strongest band among the kinds of match that hold (names of BANDS); null if none does.  A restriction whose subject is missing is never stronger than MISSING_SUBJECT_BAND unless its identity was asked for."""
+    out = F.least(*[F.when(holds, BANDS[kind]) for kind, holds in matches.items()], F.lit(None).cast("int"))
+    if subject_missing is not None:
+        out = F.when(subject_missing & (out != BANDS["identity"]), F.greatest(out, F.lit(MISSING_SUBJECT_BAND))).otherwise(out)
+    return out
+
+
+#: relations that an entity's relatives are found by, for each profile
+PROFILES = {"ownership": ("owns", "owned_by"), "structure": ("contains",), "use": ("uses", "supplied_by"), "all": ("owns", "owned_by", "contains", "uses", "supplied_by")}
+
+
+def entities(nodes: DataFrame, edges: DataFrame, ids: Sequence[str] = (), owner: str | None = None, literal: str | None = None, profile: str | None = None, most: int = 10_000) -> DataFrame:
+    """(node_id, band) of entities by id (band 0), owner key (1), label tokens (7), and those one relation of the profile away from these (9), the strongest band of each, at most ``most`` by (band, node_id)."""
+    checks = {}
+    if ids:
+        checks["identity"] = F.col("node_id").isin(*ids)
+    if owner is not None:
+        checks["qualified_name"] = F.col("owner_key") == owner
+    if literal is not None:
+        checks["text"] = S.has_phrase(F.col("label"), literal)
+    if not checks:
+        raise ValueError("nothing to look for")
+    direct = nodes.select("node_id", band(checks).alias("band")).where(F.col("band").isNotNull())
+    if profile is not None:
+        own = edges.where(F.col("relation").isin(*PROFILES[profile]))
+        step = own.select("src", "dst").unionByName(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        related = step.join(direct.select(F.col("node_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("node_id"), F.lit(BANDS["graph"]).alias("band")).distinct()
+        direct = direct.unionByName(related).groupBy("node_id").agg(F.min("band").alias("band"))
+    return direct.orderBy("band", "node_id").limit(most)
+
+
+def observations(facts: DataFrame, kinds: Sequence[str], fact_id: int | None = None, name: str | None = None, member: tuple[str, str] | None = None, slot: Column | None = None, prefix: str | None = None, literal: str | None = None, similar: tuple[str, int] | None = None, most: int = 100) -> DataFrame:
+    """(fact_id, kind, lane, band): the best ``most`` observations (fact_id, kind, name, receiver, member, text) of these kinds, each by its strongest lane.
+
+    Lanes: exact fact, name, receiver.member, slot path, name prefix, literal phrase,
+    name within an edit distance.
+    """
+    lanes = {}
+    if fact_id is not None:
+        lanes["fact"] = (F.col("fact_id") == fact_id, 0)
+    if name is not None:
+        lanes["name"] = (F.col("name") == name, 1)
+    if member is not None:
+        lanes["member"] = ((F.col("receiver") == member[0]) & (F.col("member") == member[1]), 1)
+    if slot is not None:
+        lanes["slot"] = (slot, 2)
+    if prefix is not None:
+        lanes["prefix"] = (S.prefix_match(F.col("name"), prefix), 5)
+    if literal is not None:
+        lanes["literal"] = (S.has_phrase(F.col("text"), literal), 7)
+    if similar is not None:
+        lanes["similar"] = (F.coalesce(S.bounded_distance(F.col("name"), F.lit(similar[0]), similar[1]).isNotNull(), F.lit(False)), 8)
+    if not lanes:
+        raise ValueError("nothing to look for")
+    hit = F.coalesce(*[F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(lane).alias("lane"), F.lit(b).alias("band"))) for lane, (holds, b) in lanes.items()])
+    found = facts.where(F.col("kind").isin(*kinds)).select("fact_id", "kind", hit.alias("hit")).where(F.col("hit").isNotNull())
+    return found.select("fact_id", "kind", "hit.lane", "hit.band").orderBy("band", "fact_id").limit(most)

@@ -121,6 +121,16 @@ class VersionStore:
             raise ValueError("nothing is published")
         return self.spark.read.parquet(f"{self.folder}/v-{version}")
 
+    def select(self, selector: str, version: str | None = None, key: dict | None = None) -> DataFrame:
+        """One consistent version by selector: current, an exact one, or the records of the current one that hold these values; a version that was never validated can't be read."""
+        chosen = self.current() if selector != "exact" else version
+        if selector not in ("current", "exact", "record") or chosen is None or self._read(f"ok-{chosen}.json") is None:
+            raise ValueError(f"no {selector} version {chosen}")
+        rows = self.read(chosen)
+        for name, value in (key or {}).items():
+            rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+        return rows
+
     def versions(self) -> list[str]:
         return sorted(s.getPath().getName()[2:] for s in self._fs.listStatus(self._path(self.folder)) if s.getPath().getName().startswith("v-"))
 

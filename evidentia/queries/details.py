@@ -7,13 +7,19 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions import scalars as S
 from evidentia.operators import context as X
 from evidentia.operators import coverage as C
 from evidentia.operators import graph as G
+from evidentia.operators import lint as Lint
 from evidentia.operators import load_model as D
 from evidentia.operators import predicates as P
+from evidentia.operators import ranking as R
+from evidentia.operators import retrieval as X_
 from evidentia.operators import storage as V
+from evidentia.operators import traversal as T
 from evidentia.registry import Source, query
+from evidentia.shared import new_folder
 
 
 def named(parts: dict[str, DataFrame], column: str = "case") -> DataFrame:
@@ -262,3 +268,210 @@ def _(s: Source):
 def _(s: Source):  # the same ids in two universes are different items
     item = lambda df, k, label: df.select(F.concat(F.lit("item:"), k).alias("item_id"), F.col(label).alias("label"))
     return X.combined({"wiki": item(s.nation, F.col("n_nationkey"), "n_name"), "live": item(s.part.where("p_partkey <= 300"), F.col("p_partkey") % 40, "p_name")})
+
+
+# --- functions --------------------------------------------------------------------------
+
+@query("f4_phrase", """WITH t AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS w FROM documents), q AS (SELECT * FROM (VALUES ('apache license'), ('la de'), ('de la')) AS q(phrase)) SELECT doc_id, phrase FROM t, q WHERE contains(concat(' ', array_to_string(w, ' '), ' '), concat(' ', phrase, ' '))""")
+def _(s: Source):
+    phrases = {"apache license": "Apache Licénse", "la de": "là Dé", "de la": "dé la"}
+    return named({p: s.documents.where(S.has_folded_phrase(F.col("text"), asked)) for p, asked in phrases.items()}, "phrase").select("doc_id", "phrase")
+
+
+@query("f7_canonical_json", """SELECT p_partkey, concat('{"brand":{"id":"', p_brand, '"', CASE WHEN p_size > 25 THEN concat(',"size":', p_size) ELSE '' END, '},"name":"', p_name, '","z":{"a":{"k":', p_partkey, '}}}') AS json FROM part""")
+def _(s: Source):
+    json = S.nested_json({"z": {"a": {"k": F.col("p_partkey")}}, "name": F.col("p_name"), "brand": {"size": F.when(F.col("p_size") > 25, F.col("p_size")), "id": F.col("p_brand")}})
+    return s.part.select("p_partkey", json.alias("json"))
+
+
+@query("f21_versions", """WITH v AS (SELECT p_partkey, p_size AS m, CASE WHEN p_size % 4 = 0 THEN 'x' ELSE '' END AS bad, p_partkey % 13 AS other FROM part) SELECT p_partkey, CASE WHEN bad = '' THEN CAST(m AS INTEGER) END AS minor, CASE WHEN bad = 'x' THEN 'incomparable' WHEN m < other * 4 THEN 'older' WHEN m > other * 4 THEN 'newer' ELSE 'equal' END AS against FROM v""")
+def _(s: Source):
+    mine = F.concat(F.lit("1."), F.when(F.col("p_size") % 4 == 0, "x").otherwise(F.col("p_size").cast("string")), F.lit(".0"))
+    other = F.concat(F.lit("1."), (F.col("p_partkey") % 13 * 4).cast("string"), F.lit(".0"))
+    return s.part.select("p_partkey", F.get(S.version_parts(mine), F.lit(1)).alias("minor"), S.compare_versions(mine, other).alias("against"))
+
+
+# --- joins, budgets, pages --------------------------------------------------------------
+
+@query("j14_reverse_navigation", """WITH l AS (SELECT sha256(concat(length(source), ':', source, '|', length(CAST(n_chars % 40 AS VARCHAR)), ':', n_chars % 40)) AS descriptor, count(*) AS left_count FROM documents WHERE lang = 'en' GROUP BY ALL), r AS (SELECT sha256(concat(length(source), ':', source, '|', length(CAST(n_chars % 40 AS VARCHAR)), ':', n_chars % 40)) AS descriptor, count(*) AS right_count FROM documents WHERE lang <> 'en' GROUP BY ALL) SELECT * FROM l JOIN r USING (descriptor)""")
+def _(s: Source):
+    d = s.documents.select("lang", "source", (F.col("n_chars") % 40).alias("size"))
+    return G.same_descriptor(d.where("lang = 'en'"), d.where("lang <> 'en'"), ("source", "size"))
+
+
+@query("j15_rebinding", """WITH pt AS (SELECT n_nationkey AS producer, n_nationkey % 3 AS generation FROM nation WHERE n_nationkey <> 7), n AS (SELECT c_nationkey AS producer, c_mktsegment AS kind, c_custkey % 20 AS local_key, min(concat('customer:', c_custkey)) AS node, count(*) AS n FROM customer WHERE c_custkey % 2 = 0 GROUP BY ALL),
+    a AS (SELECT c_custkey AS address, c_nationkey AS producer, c_mktsegment AS kind, c_custkey % 20 AS local_key, CASE WHEN c_custkey % 9 = 0 THEN 5 ELSE c_nationkey % 3 END AS generation FROM customer), s AS (SELECT a.address, n.node, CASE WHEN pt.producer IS NULL THEN 'unknown_producer' WHEN pt.generation <> a.generation THEN 'stale' WHEN n.n IS NULL THEN 'unpublished' WHEN n.n > 1 THEN 'ambiguous' ELSE 'bound' END AS state FROM a LEFT JOIN pt USING (producer) LEFT JOIN n USING (producer, kind, local_key))
+    SELECT address, CASE WHEN state = 'bound' THEN node END AS node_id, state FROM s""")
+def _(s: Source):
+    own = (F.col("c_nationkey").alias("producer"), F.col("c_mktsegment").alias("kind"), (F.col("c_custkey") % 20).alias("local_key"))
+    addresses = s.customer.select(F.col("c_custkey").alias("address"), *own, F.when(F.col("c_custkey") % 9 == 0, 5).otherwise(F.col("c_nationkey") % 3).alias("generation"))
+    partitions = s.nation.where("n_nationkey <> 7").select(F.col("n_nationkey").alias("producer"), (F.col("n_nationkey") % 3).alias("generation"))
+    return G.rebind(addresses, partitions, s.customer.where("c_custkey % 2 = 0").select(*own, F.concat(F.lit("customer:"), "c_custkey").alias("node_id")))
+
+
+@query("a14_budget_usage", """WITH c AS (SELECT o_orderpriority AS rule, 'facts' AS counter, count(*) AS used FROM orders GROUP BY ALL UNION ALL SELECT o_orderpriority, 'matches', count(*) FILTER (o_orderstatus = 'P') FROM orders GROUP BY ALL), l AS (SELECT * FROM (VALUES ('facts', 3000), ('matches', 100000), ('bytes', 10)) AS t(counter, lim)), r AS (SELECT DISTINCT o_orderpriority AS rule FROM orders)
+    SELECT rule, counter, coalesce(used, 0) AS used, CAST(lim AS BIGINT) AS "limit", CASE WHEN coalesce(used, 0) > lim THEN 'exceeded' WHEN coalesce(used, 0) = lim THEN 'reached' ELSE 'within' END AS state FROM r CROSS JOIN l LEFT JOIN c USING (rule, counter)""")
+def _(s: Source):
+    rule = F.col("o_orderpriority").alias("rule")
+    charges = s.orders.select(rule, F.lit("facts").alias("counter"), F.lit(1).cast("long").alias("amount")).unionByName(s.orders.where("o_orderstatus = 'P'").select(rule, F.lit("matches").alias("counter"), F.lit(1).cast("long").alias("amount")))
+    return C.budget_usage(charges, s.spark.createDataFrame([("facts", 3000), ("matches", 100_000), ("bytes", 10)], "counter string, limit long"))
+
+
+@query("b7_merged_truncation", """WITH c AS (SELECT o_custkey AS src, CASE o_orderkey % 6 WHEN 0 THEN 'result_cap' WHEN 1 THEN 'byte_cap' WHEN 2 THEN 'page_end' ELSE 'none' END AS class, CASE o_orderkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 0 END AS r, 5 AS kept, CASE WHEN o_orderkey % 31 <> 0 THEN 2 END AS omitted FROM orders)
+    SELECT src, CASE max(r) WHEN 0 THEN 'none' WHEN 1 THEN 'page_end' WHEN 2 THEN 'result_cap' ELSE 'byte_cap' END AS class, CAST(sum(kept) AS BIGINT) AS kept, CASE WHEN count(*) = count(omitted) THEN CAST(sum(omitted) AS BIGINT) END AS omitted, coalesce(array_to_string(list_transform(list_sort(list(DISTINCT r) FILTER (r > 0)), lambda x: ['page_end', 'result_cap', 'byte_cap'][x]), ','), '') AS "all" FROM c GROUP BY src""")
+def _(s: Source):
+    k = F.col("o_orderkey")
+    name = F.when(k % 6 == 0, "result_cap").when(k % 6 == 1, "byte_cap").when(k % 6 == 2, "page_end").otherwise("none")
+    return C.merged_truncation(s.orders.select(F.col("o_custkey").alias("src"), name.alias("class"), F.lit(5).cast("long").alias("kept"), F.when(k % 31 != 0, 2).cast("long").alias("omitted")), "src")
+
+
+PAGED = "n AS (SELECT n_nationkey, n_name, strlen(n_name) AS w, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation), p AS (SELECT i // 4 AS page, count(*) AS c, sum(w) AS w FROM n GROUP BY ALL), q AS (SELECT page, page + 1 AS pages, sum(c) OVER (ORDER BY page) AS candidates, sum(w) OVER (ORDER BY page) AS candidate_bytes, sum(w + 2) OVER (ORDER BY page) AS page_bytes, page * 70 AS manifest_bytes FROM p)"
+
+
+@query("k5_page_budgets", f"WITH {PAGED}, l AS (SELECT * FROM (VALUES ('pages', 2), ('candidates', 9), ('candidate_bytes', 100), ('page_bytes', 100), ('manifest_bytes', 150), ('cursor_mismatch', 1000000)) AS t(budget, lim)) SELECT budget, CASE WHEN budget = 'cursor_mismatch' THEN 1 ELSE (SELECT count(*) FROM q WHERE CASE l.budget WHEN 'pages' THEN q.pages WHEN 'candidates' THEN q.candidates WHEN 'candidate_bytes' THEN q.candidate_bytes WHEN 'page_bytes' THEN q.page_bytes ELSE q.manifest_bytes END <= l.lim) END AS delivered FROM l")
+def _(s: Source):
+    rows = []
+    for budget, most in (("pages", 2), ("candidates", 9), ("candidate_bytes", 100), ("page_bytes", 100), ("manifest_bytes", 150), ("cursor_mismatch", None)):
+        paging = R.Paging(s.nation, ["n_name"], F.octet_length("n_name"), 4, {budget: most} if most else {}, {"result": "r", "query": "q", "universe": "live", "policy": "p"}, 70)
+        delivered, cursor = 0, None
+        try:
+            while True:
+                _, cursor = paging.page(cursor)
+                delivered += 1
+                if most is None:
+                    cursor = cursor | {"next": 0}  # a caller that turns back the pages
+                if cursor is None:
+                    break
+        except R.Budget as e:
+            assert e.code == budget
+        rows.append((budget, delivered))
+    return s.spark.createDataFrame(rows, "budget string, delivered long")
+
+
+# --- graph and load model ---------------------------------------------------------------
+
+@query("g12_materialized_edges", """WITH n AS (SELECT concat('part:', p_partkey) AS node_id, CASE WHEN p_size % 5 = 0 THEN 'part' ELSE kind END AS kind, q AS producer FROM part, (VALUES ('a', 'part'), ('b', 'item')) AS t(q, kind) WHERE p_partkey % 7 > 0), m AS (SELECT node_id, count(DISTINCT kind) > 1 AS conflict FROM n GROUP BY ALL), e AS (SELECT edge_id, src, dst FROM edges WHERE relation = 'supplied_by')
+    SELECT node_id AS subject, 'kind_conflict' AS what FROM m WHERE conflict UNION ALL SELECT edge_id, 'dangling_source' FROM e WHERE src NOT IN (SELECT node_id FROM m) UNION ALL SELECT edge_id, 'dangling_target' FROM e""", "edges")
+def _(s: Source):  # suppliers are no nodes here, every seventh part is missing
+    part = s.part.where("p_partkey % 7 > 0")
+    side = lambda producer, kind: part.select(F.concat(F.lit("part:"), "p_partkey").alias("node_id"), F.when(F.col("p_size") % 5 == 0, "part").otherwise(kind).alias("kind"), F.lit(producer).alias("producer"))
+    return G.materialize(side("a", "part").unionByName(side("b", "item")), s.edges.where("relation = 'supplied_by'").withColumn("producer", F.lit("a")))[2]
+
+
+@query("g13_replacement_coverage", """SELECT relation, part_id, state, authority, 'replaced' AS outcome FROM coverage WHERE part_id <> 'p1' UNION ALL SELECT relation, 'p1', CASE relation WHEN 'owns' THEN 0 WHEN 'uses' THEN 3 ELSE 1 END, false, 'replaced' FROM coverage WHERE part_id = 'p1' UNION ALL SELECT NULL, NULL, NULL, NULL, o FROM (VALUES ('stale_snapshot'), ('stale_partition')) AS t(o)""", "coverage")
+def _(s: Source):
+    new = s.spark.createDataFrame([("owns", 0), ("uses", 3)], "relation string, state int")
+    now = {"snapshot": "s1", "partition": "d1"}
+    out, outcome = G.replace_partition(s.coverage, new, "s1", "p1", now, now)
+    refused = [G.replace_partition(s.coverage, new, "s0", "p1", now, now)[1], G.replace_partition(s.coverage, new, "s1", "p1", now | {"partition": "d0"}, now)[1]]
+    rows = s.spark.createDataFrame([(None, None, None, None, o) for o in refused], "relation string, part_id string, state int, authority boolean, outcome string")
+    return out.withColumn("outcome", F.lit(outcome)).unionByName(rows)
+
+
+@query("g16_discovery_paths", """WITH o AS (SELECT edge_id AS e, dst AS n, confidence AS c FROM edges WHERE relation = 'owns' AND src = 'customer:5'), u AS (SELECT edges.dst AS n, min(struct_pack(a := o.e, b := edges.edge_id, c := greatest(o.c, edges.confidence))) AS m FROM o JOIN edges ON edges.src = o.n AND relation = 'uses' GROUP BY edges.dst)
+    SELECT 'customer:5' AS node_id, '' AS path, 0 AS weakest UNION ALL SELECT n, e, c FROM o UNION ALL SELECT n, concat(m.a, '>', m.b), m.c FROM u""", "edges")
+def _(s: Source):
+    found = T.subgraph(s.nodes, s.edges, ["customer:5"], {"owns": T.OUT, "uses": T.OUT}, T.Limits(depth=2, nodes=16_384, edges=100_000)).nodes
+    return G.discovery_paths(found, s.edges).select("node_id", F.array_join("path", ">").alias("path"), "weakest")
+
+
+@query("l10_presentation_roots", """WITH RECURSIVE e AS (SELECT DISTINCT package AS src, dependency AS dst FROM dependencies WHERE dependency IN (SELECT package FROM packages)), c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst), y AS (SELECT DISTINCT src AS node_id FROM c WHERE src = dst)
+    SELECT node_id, 'cycle' AS state FROM y UNION ALL SELECT package, 'root' FROM packages WHERE package NOT IN (SELECT dst FROM e WHERE src <> dst) AND package NOT IN (SELECT node_id FROM y)""", "packages dependencies")
+def _(s: Source):
+    nodes = s.packages.select(F.col("package").alias("node_id"))
+    return G.presentation_roots(nodes, s.dependencies.join(nodes.withColumnRenamed("node_id", "dependency"), "dependency").select(F.col("package").alias("parent"), F.col("dependency").alias("child")).distinct())
+
+
+@query("d10_reference_linking", """WITH d AS (SELECT p_name AS name, count(*) AS n, min(p_partkey) AS pos, bool_and(p_size <> 7) AS ok, min(p_size % 3) AS loads FROM part WHERE p_size < 8 OR p_partkey % 50 = 0 GROUP BY ALL), r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN concat('$', p_name) WHEN p_partkey % 19 = 0 THEN concat('1', p_name) WHEN p_partkey % 23 = 0 THEN 'Unknown' ELSE p_name END AS name, p_partkey AS place, p_partkey % 29 <> 0 AS ok FROM part),
+    x AS (SELECT r.id, r.place, d.pos, d.loads, CASE WHEN contains(r.name, '$') THEN 'dynamic_name' WHEN NOT regexp_matches(r.name, '^[A-Za-z_][A-Za-z0-9_ ]*$') THEN 'unsupported_name' WHEN NOT r.ok THEN 'invalid_source' WHEN d.n IS NULL THEN 'not_in_captured_scope' WHEN d.n > 1 THEN 'ambiguous_name' WHEN NOT d.ok THEN 'invalid_target' ELSE 'unique_local_declaration' END AS resolution FROM r LEFT JOIN d USING (name)),
+    y AS (SELECT *, CASE WHEN resolution = 'unique_local_declaration' THEN CASE WHEN loads > 1 THEN 'repeated_load' WHEN pos = place THEN 'self_reference' WHEN pos < place THEN 'target_before_source' ELSE 'target_after_source' END END AS o FROM x)
+    SELECT id AS reference_id, resolution, o AS place, CASE resolution WHEN 'ambiguous_name' THEN 'ambiguous_reference' WHEN 'dynamic_name' THEN 'dynamic_reference' WHEN 'unsupported_name' THEN 'unsupported_reference' WHEN 'unique_local_declaration' THEN CASE WHEN o IN ('target_after_source', 'repeated_load') THEN o ELSE '' END ELSE resolution END AS issues FROM y""")
+def _(s: Source):
+    k = F.col("p_partkey")
+    name = F.when(k % 17 == 0, F.concat(F.lit("$"), "p_name")).when(k % 19 == 0, F.concat(F.lit("1"), "p_name")).when(k % 23 == 0, "Unknown").otherwise(F.col("p_name"))
+    references = s.part.select(k.alias("reference_id"), name.alias("name"), k.alias("place"), (k % 29 != 0).alias("source_valid"))
+    declared = s.part.where("p_size < 8 or p_partkey % 50 = 0").select(k.alias("declaration_id"), F.col("p_name").alias("name"), k.alias("place"), (F.col("p_size") != 7).alias("valid"), (F.col("p_size") % 3).alias("loads"))
+    return D.link_references(references, declared)
+
+
+SNAPSHOT = "o AS (SELECT p_partkey AS k, p_brand AS d FROM part WHERE p_size < 30), c AS (SELECT p_partkey AS k, CASE WHEN p_size >= 30 THEN 'add' WHEN p_size % 2 = 0 THEN 'update' ELSE 'remove' END AS a, p_brand AS e, CASE WHEN p_partkey % 3 = 0 THEN concat(p_brand, '!') ELSE p_brand END AS d FROM part WHERE p_size > 10)"
+
+
+@query("d14_snapshot_update", f"""WITH {SNAPSHOT} SELECT 'good' AS "case", k AS key, CASE WHEN c.k IS NULL THEN o.d WHEN c.a = 'remove' THEN NULL ELSE c.d END AS digest FROM o FULL JOIN c USING (k) WHERE c.a IS DISTINCT FROM 'remove' UNION ALL SELECT 'bad', k, d FROM o UNION ALL SELECT concat('outcome:', CASE WHEN a = 'update' AND c.d = e THEN 'no_op' ELSE a END), count(*), NULL FROM c GROUP BY ALL""")
+def _(s: Source):
+    size, k = F.col("p_size"), F.col("p_partkey").alias("key")
+    old = s.part.where("p_size < 30").select(k, F.col("p_brand").alias("digest"))
+    action = F.when(size >= 30, "add").when(size % 2 == 0, "update").otherwise("remove")
+    changes = s.part.where("p_size > 10").select(k, action.alias("action"), F.when(size < 30, F.col("p_brand")).alias("expected"), F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("!"))).otherwise(F.col("p_brand")).alias("digest"))
+    told, good = D.update_snapshot(old, changes)
+    broken = changes.withColumn("expected", F.when(F.col("key") == 1, "other").otherwise(F.col("expected"))).unionByName(s.spark.createDataFrame([(-1, "remove", "x", "x")], changes.schema))
+    _, same = D.update_snapshot(old, broken)
+    counts = told.groupBy(F.concat(F.lit("outcome:"), "outcome").alias("case")).agg(F.count(F.lit(1)).alias("key")).withColumn("digest", F.lit(None).cast("string"))
+    return named({"good": good, "bad": same}).select("case", F.col("key").cast("long").alias("key"), "digest").unionByName(counts)
+
+
+# --- findings and retrieval -------------------------------------------------------------
+
+@query("l8_file_gate", """WITH f AS (SELECT DISTINCT source AS file_id FROM documents), need AS (SELECT file_id, q.capability, s.state FROM f CROSS JOIN (VALUES ('de'), ('en'), ('fr')) AS q(capability) LEFT JOIN (SELECT source AS file_id, lang AS capability, CASE WHEN count(*) % 5 = 0 THEN 'failed' WHEN count(*) % 7 = 0 THEN 'truncated' WHEN count(*) % 11 = 0 THEN 'not_evaluated' ELSE 'complete' END AS state FROM documents GROUP BY ALL) s USING (file_id, capability))
+    SELECT file_id, concat_ws(',', CASE WHEN bool_or(state IS NULL OR state = 'not_evaluated') THEN 'missing_capability' END, CASE WHEN bool_or(state = 'failed') THEN 'failed_capability' END, CASE WHEN bool_or(state = 'truncated') THEN 'partial_coverage' END) AS gate FROM need GROUP BY file_id""")
+def _(s: Source):
+    n = F.count(F.lit(1))
+    state = F.when(n % 5 == 0, "failed").when(n % 7 == 0, "truncated").when(n % 11 == 0, "not_evaluated").otherwise("complete")
+    capabilities = s.documents.groupBy(F.col("source").alias("file_id"), F.col("lang").alias("capability")).agg(state.alias("state"))
+    return Lint.capability_gate(s.documents.select(F.col("source").alias("file_id")).distinct(), capabilities, ["de", "en", "fr"]).select("file_id", F.array_join("gate", ",").alias("gate"))
+
+
+EVIDENCE = "e AS (SELECT event_id AS id, ['heuristic', 'model', 'runtime_probe', 'source', 'review'][CAST(event_id % 5 AS INTEGER) + 1] AS p, ['candidate', 'derived', 'proven'][CAST(event_id % 3 AS INTEGER) + 1] AS c, CASE WHEN event_id % 2 = 0 THEN 'runtime' ELSE 'static' END AS s FROM events), i AS (SELECT event_id AS id, CASE WHEN event_id % 10 = 1 THEN event_id + 1 WHEN event_id % 10 = 2 THEN event_id - 1 WHEN event_id % 10 = 4 THEN -1 ELSE event_id - 3 END AS src FROM events WHERE event_id % 10 IN (1, 2, 4, 8) AND event_id > 10 AND event_id < (SELECT max(event_id) - 10 FROM events))"
+
+
+@query("l12_evidence_rules", f"""WITH {EVIDENCE}, n AS (SELECT id, src FROM i) SELECT e.id AS evidence_id, 'candidate_only' AS violation FROM e WHERE p IN ('heuristic', 'model') AND c <> 'candidate' UNION ALL SELECT e.id, 'derived_needs_inputs' FROM e WHERE c = 'derived' AND id NOT IN (SELECT id FROM n) UNION ALL SELECT e.id, 'proven_forbids_inputs' FROM e WHERE c = 'proven' AND id IN (SELECT id FROM n)
+    UNION ALL SELECT e.id, 'probe_scope' FROM e WHERE p = 'runtime_probe' AND s <> 'runtime' UNION ALL SELECT id, 'unknown_input' FROM n WHERE src = -1 UNION ALL SELECT id, 'cycle' FROM n WHERE id % 10 IN (1, 2)""")
+def _(s: Source):
+    k = F.col("event_id")
+    pick = lambda names, m: F.element_at(F.array(*map(F.lit, names)), (k % m + 1).cast("int"))
+    evidence = s.events.select(k.alias("evidence_id"), pick(("heuristic", "model", "runtime_probe", "source", "review"), 5).alias("provenance"), pick(("candidate", "derived", "proven"), 3).alias("confidence"), F.when(k % 2 == 0, "runtime").otherwise("static").alias("scope"))
+    last = s.events.agg(F.max("event_id").alias("m")).collect()[0]["m"]
+    inputs = s.events.where((k % 10).isin(1, 2, 4, 8) & (k > 10) & (k < last - 10)).select(k.alias("evidence_id"), F.when(k % 10 == 1, k + 1).when(k % 10 == 2, k - 1).when(k % 10 == 4, -1).otherwise(k - 3).cast("long").alias("input_id"))
+    edges = inputs.select(F.col("evidence_id").alias("src"), F.col("input_id").alias("dst"))
+    return C.evidence_rules(evidence, inputs, G.strong_components(edges, evidence.select(F.col("evidence_id").alias("node_id"))))
+
+
+@query("x6_bands", """SELECT p_partkey AS entity_id, band FROM (SELECT p_partkey, CASE WHEN p_size < 5 AND b <> 0 THEN greatest(b, 10) ELSE b END AS band FROM (SELECT *, CASE WHEN p_partkey = 17 THEN 0 WHEN p_name = 'small ring' THEN 1 WHEN p_type = 'PROMO' AND starts_with(p_name, 'small') THEN 2 WHEN p_brand = 'Brand#3' AND p_size > 40 THEN 3 WHEN p_brand = 'Brand#3' THEN 4 WHEN starts_with(p_name, 'small') THEN 5 WHEN contains(concat(' ', p_name, ' '), ' ring ') OR p_size = 9 THEN 7
+    WHEN abs(length(p_name) - 10) <= 4 AND levenshtein(p_name, 'small ring') <= 4 THEN 8 WHEN p_partkey % 10 = 7 THEN 9 END AS b FROM part)) WHERE band IS NOT NULL""")
+def _(s: Source):
+    name, size, brand = F.col("p_name"), F.col("p_size"), F.col("p_brand") == "Brand#3"
+    kinds = {
+        "identity": F.col("p_partkey") == 17, "qualified_name": name == "small ring", "short_name": (F.col("p_type") == "PROMO") & S.prefix_match(name, "small"), "alias": brand & (size > 40), "namespace": brand, "prefix": S.prefix_match(name, "small"),
+        "text": S.has_phrase(name, "ring"), "shape": size == 9, "similarity": F.coalesce(S.bounded_distance(name, F.lit("small ring"), 4).isNotNull(), F.lit(False)), "graph": F.col("p_partkey") % 10 == 7,
+    }
+    return s.part.select(F.col("p_partkey").alias("entity_id"), X_.band(kinds, size < 5).alias("band")).where("band is not null")
+
+
+@query("x12_entity_retrieval", """WITH d AS (SELECT node_id, min(b) AS band FROM (SELECT node_id, 0 AS b FROM nodes WHERE node_id = 'part:5' UNION ALL SELECT node_id, 1 FROM nodes WHERE owner_key = 'nation:3' UNION ALL SELECT node_id, 7 FROM nodes WHERE contains(concat(' ', array_to_string(regexp_extract_all(lower(label), '[\\p{L}\\p{N}]+'), ' '), ' '), ' ring ')) GROUP BY ALL),
+    e AS (SELECT profile, src, dst FROM edges JOIN (VALUES ('ownership', 'owns'), ('ownership', 'owned_by'), ('structure', 'contains'), ('use', 'uses'), ('use', 'supplied_by'), ('all', 'owns'), ('all', 'owned_by'), ('all', 'contains'), ('all', 'uses'), ('all', 'supplied_by')) AS p(profile, relation) USING (relation)), b AS (SELECT profile, src, dst FROM e UNION ALL SELECT profile, dst, src FROM e),
+    r AS (SELECT profile, node_id, band FROM d, (SELECT DISTINCT profile FROM e) UNION ALL SELECT profile, dst, 9 FROM b WHERE src IN (SELECT node_id FROM d)), m AS (SELECT profile, node_id, min(band) AS band FROM r GROUP BY ALL) SELECT profile, node_id, band FROM m QUALIFY row_number() OVER (PARTITION BY profile ORDER BY band, node_id) <= 1000""", "nodes edges")
+def _(s: Source):
+    return named({p: X_.entities(s.nodes, s.edges, ["part:5"], "nation:3", "ring", p, 1000) for p in X_.PROFILES}, "profile").select("profile", "node_id", "band")
+
+
+@query("x13_observation_retrieval", """WITH f AS (SELECT fact_id, kind, concat(kind, '_', json_extract_string(props, '$.k')) AS name, scope_id AS r, json_extract_string(props, '$.k') AS m, value FROM facts), h AS (SELECT fact_id, kind, CASE WHEN fact_id = 12 THEN 'fact' WHEN name = 'click_3' THEN 'name' WHEN r = 5 AND m = '2' THEN 'member' WHEN value > 95 THEN 'slot' WHEN starts_with(name, 'view_1') THEN 'prefix' WHEN kind = 'view' AND m = '4' THEN 'literal' WHEN abs(length(name) - 7) <= 1 AND levenshtein(name, 'click_9') <= 1 THEN 'similar' END AS lane FROM f WHERE kind IN ('click', 'view'))
+    SELECT fact_id, kind, lane, CASE lane WHEN 'fact' THEN 0 WHEN 'name' THEN 1 WHEN 'member' THEN 1 WHEN 'slot' THEN 2 WHEN 'prefix' THEN 5 WHEN 'literal' THEN 7 ELSE 8 END AS band FROM h WHERE lane IS NOT NULL ORDER BY band, fact_id LIMIT 400""", "facts")
+def _(s: Source):
+    k = F.get_json_object("props", "$.k")
+    rows = s.facts.select("fact_id", "kind", F.concat_ws("_", "kind", k).alias("name"), F.col("scope_id").cast("string").alias("receiver"), k.alias("member"), F.concat_ws(" ", "kind", k).alias("text"), "value")
+    return X_.observations(rows, ("click", "view"), 12, "click_3", ("5", "2"), F.col("value") > 95, "view_1", "view 4", ("click_9", 1), 400)
+
+
+@query("s14_version_selectors", "SELECT 'current' AS selector, count(*) AS n FROM part WHERE p_size > 25 UNION ALL SELECT 'exact', count(*) FROM part WHERE p_size <= 25 UNION ALL SELECT 'record', count(*) FROM part WHERE p_size > 25 AND p_brand = 'Brand#3' UNION ALL SELECT 'missing', -1")
+def _(s: Source):
+    store = V.VersionStore(s.spark, new_folder(s.spark, "selectors"))
+    first, second = (store.prepare(s.part.where(w)) for w in ("p_size <= 25", "p_size > 25"))
+    for version, before in ((first, None), (second, first)):
+        store.validate(version)
+        store.activate(version, before)
+    try:
+        missing = store.select("exact", "0" * 32).count()
+    except ValueError:
+        missing = -1
+    rows = [("current", store.select("current").count()), ("exact", store.select("exact", first).count()), ("record", store.select("record", key={"p_brand": "Brand#3"}).count()), ("missing", missing)]
+    return s.spark.createDataFrame(rows, "selector string, n long")

@@ -245,18 +245,6 @@ def _(s: Source):
     return P.validate_relations(rows, relations, entities, s.nodes.where("kind in ('customer', 'supplier')").select("node_id", "kind"), "r2")
 
 
-@query("g12_materialized_edges", "SELECT e.edge_id, n.node_id IS NULL AS dangling FROM edges e LEFT JOIN (SELECT node_id FROM nodes WHERE kind <> 'supplier') n ON n.node_id = e.dst WHERE e.relation IN ('supplied_by', 'contains')", "nodes edges")
-def _(s: Source):
-    n = s.nodes.where("kind <> 'supplier'").select(F.col("node_id").alias("dst"), F.lit(False).alias("dangling"))
-    return s.edges.where("relation in ('supplied_by', 'contains')").join(n, "dst", "left").select("edge_id", F.coalesce("dangling", F.lit(True)).alias("dangling"))
-
-
-@query("g13_replacement_coverage", "SELECT relation, max(CASE WHEN part_id = 'p1' THEN 1 ELSE state END) AS state, bool_and(authority AND part_id <> 'p1') AS authority FROM coverage GROUP BY relation", "coverage")
-def _(s: Source):  # the replaced partition p1 reports nothing any more: not evaluated, without authority
-    replaced = F.col("part_id") == "p1"
-    return s.coverage.groupBy("relation").agg(F.max(F.when(replaced, 1).otherwise(F.col("state"))).alias("state"), F.bool_and(F.col("authority") & ~replaced).alias("authority"))
-
-
 @query("g14_derivations", "SELECT a.edge_id AS output, CASE WHEN a.confidence = 0 THEN 'derived_proven' WHEN b.worst IS NULL THEN 'missing_input' WHEN a.confidence < b.worst THEN 'promoted' WHEN a.confidence < 2 AND strlen(a.edge_id) % 3 = 0 THEN 'incomplete_confirmed' ELSE 'valid' END AS verdict FROM edges a LEFT JOIN (SELECT src, max(confidence) AS worst FROM edges WHERE relation = 'supplied_by' GROUP BY src) b ON a.dst = b.src WHERE a.relation = 'uses'", "edges")
 def _(s: Source):  # each use of a part is derived from what supplies the part
     e = s.edges
@@ -386,13 +374,6 @@ def _(s: Source):
     return rows.where("v.state = 'valid'").select("c_custkey", "v.name", "scope")
 
 
-@query("d10_reference_linking", """WITH d AS (SELECT p_name, count(*) AS n, min(p_partkey) AS first, max(p_partkey) AS last FROM part WHERE p_size < 8 GROUP BY p_name)
-    SELECT r.p_partkey, CASE WHEN d.n IS NULL THEN 'missing' WHEN d.n > 1 THEN 'ambiguous' ELSE 'unique' END AS resolution, CASE WHEN d.n IS NULL THEN 'unknown' WHEN d.last < r.p_partkey THEN 'before' WHEN d.first > r.p_partkey THEN 'after' WHEN d.first = r.p_partkey AND d.last = r.p_partkey THEN 'self' ELSE 'mixed' END AS place FROM part r LEFT JOIN d USING (p_name)""")
-def _(s: Source):
-    d = s.part.where("p_size < 8").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"), F.max("p_partkey").alias("last"))
-    return D.link(s.part.select("p_partkey", "p_name"), d)
-
-
 INHERITS = """WITH RECURSIVE i AS (SELECT p_partkey AS src, p_partkey * 5 % 89 + 1 AS dst FROM part),
     up(root, node, depth) AS (SELECT src, dst, 1 FROM i WHERE src <= 89 UNION ALL SELECT up.root, i.dst, up.depth + 1 FROM up JOIN i ON i.src = up.node WHERE up.node <> up.root AND up.depth <= 89),
     c AS (SELECT root, CAST(min(depth) AS BIGINT) AS members FROM up WHERE node = root GROUP BY root)"""
@@ -410,13 +391,6 @@ def _(s: Source):
     return s.part.groupBy(F.col("p_type").alias("element")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(classes), "element", "left").select("element", F.coalesce("class", F.lit("unclassified")).alias("class"), "n")
 
 
-@query("d14_snapshot_update", """SELECT coalesce(o.k, n.k) AS k, CASE WHEN o.k IS NULL THEN 'added' WHEN n.k IS NULL THEN 'removed' WHEN o.v = n.v THEN 'unchanged' ELSE 'updated' END AS change
-    FROM (SELECT p_partkey AS k, p_name AS v FROM part WHERE p_size < 30) o FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, '!') ELSE p_name END AS v FROM part WHERE p_size > 10) n ON o.k = n.k""")
-def _(s: Source):
-    new = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))
-    return D.changes(s.part.where("p_size < 30").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("v")), s.part.where("p_size > 10").select(F.col("p_partkey").alias("k"), new.alias("v")))
-
-
 @query("d15_excerpts")
 def _(s: Source):  # whole texts of all languages: bytes 10 to 30, moved to the borders of characters, checked by the text's digest
     return D.excerpts(s.documents.select("doc_id", "text", F.sha2("text", 256).alias("digest")), 10, 30)

@@ -168,11 +168,6 @@ def _(s: Source):
     return s.documents.select("doc_id", S.ascii_fold(F.col("text")).alias("folded"))
 
 
-@query("f4_phrase", "WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents) SELECT doc_id FROM t WHERE contains(concat(' ', array_to_string(w, ' '), ' '), ' apache license ')")
-def _(s: Source):
-    return s.documents.where(S.has_phrase(F.col("text"), "Apache License")).select("doc_id")
-
-
 @query("f5_binary_equality", "SELECT p_partkey FROM part WHERE p_name = 'small ring'")
 def _(s: Source):
     return s.part.where(F.col("p_name") == "small ring").select("p_partkey")
@@ -183,11 +178,6 @@ def _(s: Source):
     return s.part.select("p_partkey", S.content_digest(F.col("p_name"), F.col("p_brand"), domain="part").alias("digest"))
 
 
-@query("f7_canonical_json", """SELECT p_partkey, CASE WHEN p_size > 25 THEN concat('{"brand":"', p_brand, '","size":', p_size, '}') ELSE concat('{"brand":"', p_brand, '"}') END AS json FROM part""")
-def _(s: Source):
-    return s.part.select("p_partkey", S.canonical_json(size=F.when(F.col("p_size") > 25, F.col("p_size")), brand=F.col("p_brand")).alias("json"))
-
-
 @query("f8_normal_path", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE concat('a/', p_name) END AS path FROM part")
 def _(s: Source):
     raw = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("../"), "p_name")).otherwise(F.concat(F.lit("a\\.//"), "p_name"))
@@ -240,12 +230,6 @@ def _(s: Source):
     return s.part.select("p_name").distinct().select("p_name", S.is_identifier(F.replace("p_name", F.lit(" "), F.lit("."))).alias("ok"))
 
 
-@query("f21_versions", "SELECT p_partkey, CAST(CASE WHEN p_size % 4 <> 0 THEN p_size END AS INTEGER) AS minor FROM part")
-def _(s: Source):
-    text = F.concat(F.lit("1."), F.when(F.col("p_size") % 4 == 0, "x").otherwise(F.col("p_size").cast("string")), F.lit(".0"))
-    return s.part.select("p_partkey", F.get(S.version_parts(text), F.lit(1)).alias("minor"))
-
-
 @query("j13_interval_stabbing", "SELECT p.conv_id, p.at, s.span_id FROM (SELECT conv_id, CAST(conv_id * 137 % 40000 AS BIGINT) AS at FROM conversations WHERE turn = 0) p JOIN spans s ON s.span_start <= p.at AND p.at < s.span_end", "spans")
 def _(s: Source):
     points = s.conversations.where("turn = 0").select("conv_id", (F.col("conv_id") * 137 % 40000).alias("at"))

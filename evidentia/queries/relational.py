@@ -109,19 +109,6 @@ def _(s: Source):
     return best.select("use_id", F.element_at(F.array(*map(F.lit, ("dominating", "different_value", "after_use", "absent"))), F.col("rank")).alias("guard"))
 
 
-@query("j14_reverse_navigation", "SELECT a.doc_id AS a, b.doc_id AS b FROM documents a JOIN documents b ON a.source = b.source AND a.n_chars = b.n_chars AND a.doc_id < b.doc_id")
-def _(s: Source):
-    d = s.documents.select("doc_id", "source", "n_chars")
-    return d.alias("a").join(d.alias("b"), ["source", "n_chars"]).where("a.doc_id < b.doc_id").select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
-
-
-@query("j15_rebinding", "SELECT concat('p0/', n.owner_key, '/', n.node_id) AS address, n.node_id FROM nodes n WHERE n.kind = 'supplier'", "nodes")
-def _(s: Source):
-    n = s.nodes.where("kind = 'supplier'").select("node_id", F.concat_ws("/", F.lit("p0"), "owner_key", "node_id").alias("address"))
-    asked = s.supplier.select(F.concat_ws("/", F.lit("p0"), F.concat(F.lit("nation:"), "s_nationkey"), F.concat(F.lit("supplier:"), "s_suppkey")).alias("address"))
-    return asked.join(n, "address").select("address", "node_id")
-
-
 @query("j16_owner_members", "SELECT n.n_name AS owner, c.c_name AS member FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey WHERE starts_with(concat(n.n_name, '/', c.c_name), 'NATION_1/')")
 def _(s: Source):
     return s.nation.join(s.customer, F.col("n_nationkey") == F.col("c_nationkey")).where(F.concat_ws("/", "n_name", "c_name").startswith("NATION_1/")).select(F.col("n_name").alias("owner"), F.col("c_name").alias("member"))
@@ -217,11 +204,6 @@ def _(s: Source):
     return s.coverage.agg(F.when(F.bool_or(F.col("state") == 3), "failed").when(F.bool_or(F.col("state") != 0), "degraded").otherwise("healthy").alias("health"), count().alias("records"))
 
 
-@query("a14_budget_usage", "SELECT event_type AS rule, count(*) AS checked, count(*) FILTER (value > 50) AS charged FROM events GROUP BY event_type")
-def _(s: Source):
-    return s.events.groupBy(F.col("event_type").alias("rule")).agg(count().alias("checked"), F.count_if(F.col("value") > 50).alias("charged"))
-
-
 @query("a15_duplicate_names", "SELECT p_name, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
 def _(s: Source):
     return s.part.groupBy("p_name").agg(count().alias("n")).where("n > 1")

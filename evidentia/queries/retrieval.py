@@ -72,13 +72,6 @@ def _(s: Source):
     return out
 
 
-@query("x6_bands", "SELECT p_partkey AS entity_id, CASE WHEN p_size < 5 AND p_partkey <> 17 THEN greatest(10, CASE WHEN p_name = 'small ring' THEN 1 ELSE 5 END) WHEN p_partkey = 17 THEN 0 WHEN p_name = 'small ring' THEN 1 ELSE 5 END AS band FROM part WHERE starts_with(p_name, 'small') OR p_partkey = 17")
-def _(s: Source):
-    band = F.when(F.col("p_partkey") == 17, X.BANDS["identity"]).when(F.col("p_name") == "small ring", X.BANDS["qualified_name"]).otherwise(X.BANDS["prefix"])
-    hit = s.part.where(S.prefix_match(F.col("p_name"), "small") | (F.col("p_partkey") == 17))
-    return hit.select(F.col("p_partkey").alias("entity_id"), F.when((F.col("p_size") < 5) & (band != 0), F.greatest(band, F.lit(X.MISSING_SUBJECT_BAND))).otherwise(band).alias("band"))
-
-
 LOOKUPS = "(SELECT DISTINCT p_brand AS part_id, 'small ring' AS record_key FROM part UNION SELECT DISTINCT p_brand, 'no such' FROM part UNION SELECT 'Brand#none', 'small ring')"
 LOOKUP = f"""SELECT k.part_id, k.record_key, CASE WHEN r.variants > 2 THEN 'conflict' WHEN p.part_id IS NULL THEN 'unknown_partition' WHEN r.payload IS NOT NULL THEN 'found' WHEN p.complete THEN 'authoritative_absence' ELSE 'unknown' END AS outcome
     FROM {LOOKUPS} k LEFT JOIN records r ON r.part_id = k.part_id AND r.record_key = k.record_key LEFT JOIN (SELECT p_brand AS part_id, count(*) > 80 AS complete FROM part GROUP BY p_brand) p ON p.part_id = k.part_id"""
@@ -128,18 +121,6 @@ def _(s: Source):
     return s.documents.where(S.has_phrase(F.col("text"), "under the")).select(F.col("doc_id").alias("entity_id"))
 
 
-@query("x12_entity_retrieval", "SELECT node_id, min(band) AS band FROM (SELECT node_id, 1 AS band FROM nodes WHERE owner_key = 'nation:3' UNION ALL SELECT dst, 9 FROM edges WHERE relation = 'owns' AND src IN (SELECT node_id FROM nodes WHERE owner_key = 'nation:3')) GROUP BY node_id", "nodes edges")
-def _(s: Source):
-    owned = s.nodes.where("owner_key = 'nation:3'").select("node_id", F.lit(1).alias("band"))
-    related = s.edges.where("relation = 'owns'").join(owned.select(F.col("node_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("node_id"), F.lit(9).alias("band"))
-    return owned.unionByName(related).groupBy("node_id").agg(F.min("band").alias("band"))
-
-
-@query("x13_observation_retrieval", "SELECT fact_id, kind FROM facts WHERE kind IN ('click', 'view') AND json_extract_string(props, '$.k') = '12' ORDER BY fact_id LIMIT 20", "facts")
-def _(s: Source):
-    return s.facts.where(F.col("kind").isin("click", "view") & (F.get_json_object("props", "$.k") == "12")).select("fact_id", "kind").orderBy("fact_id").limit(20)
-
-
 FEDERATION = f"""SELECT 'live' AS universe, 0 AS priority, CAST(entity_id AS VARCHAR) AS entity_id, band, place AS ordinal FROM ({ORDERED}) WHERE place <= 40
     UNION ALL SELECT 'wiki', 1, CAST(n_nationkey AS VARCHAR), 8, CAST(n_nationkey + 1 AS INTEGER) FROM nation"""
 
@@ -259,34 +240,17 @@ def _(s: Source):
     return Lint.unguarded_use(uses.drop("kind", "dominates"), f.where("kind in ('signup', 'view')").drop("kind", "fact_id"), facets)
 
 
-@query("l8_file_gate", "SELECT source, CASE WHEN bool_and(lang <> 'de') THEN 'open' ELSE 'blocked' END AS gate FROM documents GROUP BY source")
-def _(s: Source):
-    return s.documents.groupBy("source").agg(F.when(F.bool_and(F.col("lang") != "de"), "open").otherwise("blocked").alias("gate"))
-
-
 @query("l9_fingerprints", "SELECT p_partkey, sha256(concat('finding|', length(p_name), ':', p_name, length(p_type), ':', p_type)) AS fingerprint FROM part")
 def _(s: Source):
     return s.part.select("p_partkey", S.content_digest(F.col("p_name"), F.col("p_type"), domain="finding").alias("fingerprint"))
 
 
-@query("l10_presentation_roots", "SELECT node_id FROM nodes WHERE kind IN ('customer', 'order') AND node_id NOT IN (SELECT dst FROM edges WHERE relation = 'owns')", "nodes edges")
-def _(s: Source):
-    children = s.edges.where("relation = 'owns'").select(F.col("dst").alias("node_id"))
-    return s.nodes.where("kind in ('customer', 'order')").join(children, "node_id", "left_anti").select("node_id")
-
-
 @query("l11_v8_integrity", "SELECT relation, side, count(*) AS dangling FROM (SELECT relation, 'dst' AS side, dst AS id FROM edges UNION ALL SELECT relation, 'src', src FROM edges) WHERE id NOT IN (SELECT node_id FROM nodes WHERE kind <> 'region') GROUP BY relation, side", "nodes edges")
 def _(s: Source):
     ends = s.edges.select("relation", F.explode(F.array(F.struct(F.lit("dst").alias("side"), F.col("dst").alias("id")), F.struct(F.lit("src").alias("side"), F.col("src").alias("id")))).alias("e")).select("relation", "e.side", F.col("e.id").alias("node_id"))
     return ends.join(s.nodes.where("kind <> 'region'"), "node_id", "left_anti").groupBy("relation", "side").agg(count().alias("dangling"))
 
 
-@query("l12_evidence_rules", "SELECT event_id, CASE WHEN event_type = 'error' AND value < 40 THEN 'candidate_only_provenance' WHEN event_type = 'view' AND value < 3 THEN 'derived_needs_inputs' WHEN event_type = 'click' AND value > 80 THEN 'proven_forbids_inputs' END AS violation FROM events WHERE (event_type = 'error' AND value < 40) OR (event_type = 'view' AND value < 3) OR (event_type = 'click' AND value > 80)")
-def _(s: Source):
-    v = F.when((F.col("event_type") == "error") & (F.col("value") < 40), "candidate_only_provenance").when((F.col("event_type") == "view") & (F.col("value") < 3), "derived_needs_inputs").when((F.col("event_type") == "click") & (F.col("value") > 80), "proven_forbids_inputs")
-    return s.events.select("event_id", v.alias("violation")).where("violation is not null")
-
-
 OBJECTS = "SELECT sha256(concat(p_partkey, ':', p_name)) AS object_id, p_partkey FROM part"
 
 
