@@ -17,8 +17,14 @@ Decoding feeds ids through a state machine: token -> bytes -> text, holding back
 an incomplete UTF-8 sequence.  A tokenizer file without a decoder section is
 decoded as the tokenizers library does it: token strings joined by spaces.
 
-Cases: a null or empty text gives no ids, and their digest is that of no bytes;
-repeated rows give repeated results; other columns are ignored.
+Characters are classed and lower-cased by the Unicode versions of the tokenizers
+library, which differ from those that Python and its regex module know (``NO_CLASS``,
+``CASES``).
+
+Cases: a null or empty text gives no ids, and their digest is that of no bytes; a null
+id is carried; very long texts are encoded whole, in pieces that end before white space
+where there is some; repeated rows give repeated results; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +47,20 @@ from evidentia.llm.blocks import tidy
 
 PIECE_CHARS = 1 << 16
 CACHED = 250_000
+# fixed values: letters and digits of later Unicode versions that are neither to the library's pattern engine
+NO_CLASS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4),
+    (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+# fixed values: capital letters (first, last, distance to the small ones) that the library lower-cases and Python does not know
+CASES = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
+_LATER = "".join(f"{chr(a)}-{chr(b)}" for a, b in NO_CLASS)
+_NEWER = re.compile("[" + _LATER + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in CASES) + "]")
+_LOWER = {c: c + step for a, b, step in CASES for c in range(a, b + 1)}
 _NO_END = (-1, -2)  # no encoding ends here: a merge always goes across
 
 
@@ -203,6 +223,8 @@ class Tokenizer:
             surface[i] = text
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.split = regex.compile(split).findall
+        own = split.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|[{_LATER}])+").replace(r"[\p{L}]+", rf"(?:(?![{_LATER}])\p{{L}})+").replace(r"[\p{N}]", rf"(?![{_LATER}])\p{{N}}")
+        self.split_newer = regex.compile(own).findall
         # the same pattern for ASCII text in lower case, by the faster engine
         self.split_ascii = re.compile(split.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"), re.ASCII).findall
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -247,6 +269,8 @@ class Tokenizer:
             for piece in self.pieces(part):
                 if piece.isascii():
                     words = self.split_ascii(piece.lower())
+                elif _NEWER.search(piece):
+                    words = self.split_newer(lowered(unicodedata.normalize("NFC", piece)).translate(_LOWER))
                 else:
                     words = self.split(lowered(unicodedata.normalize("NFC", piece)))
                 known, word = self.known, self.word
