@@ -189,3 +189,15 @@ def budget_usage(charges: DataFrame, limits: DataFrame) -> DataFrame:
     grid = charges.select("rule").distinct().join(F.broadcast(limits))  # limits are a handful of counters
     rows = grid.join(used, ["rule", "counter"], "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
     return rows.select("rule", "counter", "used", "limit", F.when(F.col("used") > F.col("limit"), "exceeded").when(F.col("used") == F.col("limit"), "reached").otherwise("within").alias("state"))
+
+
+def findings(rows: DataFrame) -> DataFrame:
+    """(finding_id, rule, code, subject, place, severity, copies, conflict) of findings (rule, code, subject, place, severity), each once, to be read in the order of (severity, subject, place, rule, finding_id).
+
+    The id is a digest of what makes a finding the same: rule, code, subject and place.
+    Copies are counted; where they differ in severity the worst (smallest) stays and the
+    finding is marked.
+    """
+    parts = ("rule", "code", "subject", "place")
+    framed = F.concat_ws("|", *[F.concat(F.length(F.col(p).cast("string")).cast("string"), F.lit(":"), F.col(p).cast("string")) for p in parts])
+    return rows.withColumn("finding_id", F.sha2(framed, 256)).groupBy("finding_id", *parts).agg(F.min("severity").alias("severity"), F.count(F.lit(1)).alias("copies"), (F.count_distinct("severity") > 1).alias("conflict"))

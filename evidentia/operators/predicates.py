@@ -177,3 +177,11 @@ def record_filter(records: DataFrame, kinds: Sequence[str], supported: Sequence[
     if namespace is not None:
         out = out.where(F.coalesce("namespace", F.lit("")) == namespace)
     return out, dict.fromkeys(lanes, "evaluated")
+
+
+def payload_shape(fields: Column, count: int | None = None, shapes: Sequence[dict] = ()) -> Column:
+    """An event's payload has so many fields and all of these shapes; asking for nothing is an error."""
+    if count is None and not shapes:
+        raise ValueError("a payload shape asks for a count or a field")
+    out = all_fields(fields, shapes) if shapes else F.lit(True)
+    return out if count is None else out & (F.size(F.coalesce(fields, F.array())) == count)

@@ -162,3 +162,12 @@ class Paging:
         page = found.where(F.col("place") < spent["next"] + self.size).drop("__w")
         spent["next"] += told["n"]
         return page, self.seal(spent) if more else None
+
+
+def witness_budget(counts: Sequence[Column]) -> Column:
+    """The second counter of a cross product: each copied row is charged the aliases it binds, its witnesses and its exact proof, three for each bound fact."""
+    total, product = F.lit(0).cast("decimal(38,0)"), F.lit(1).cast("decimal(38,0)")
+    for k, c in enumerate(counts, 1):
+        product = (product * c.cast("decimal(12,0)")).cast("decimal(38,0)")
+        total = (total + product * F.lit(3 * k).cast("decimal(6,0)")).cast("decimal(38,0)")
+    return total

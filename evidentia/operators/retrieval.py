@@ -178,3 +178,17 @@ def observations(facts: DataFrame, kinds: Sequence[str], fact_id: int | None = N
     hit = F.coalesce(*[F.when(F.coalesce(holds, F.lit(False)), F.struct(F.lit(lane).alias("lane"), F.lit(b).alias("band"))) for lane, (holds, b) in lanes.items()])
     found = facts.where(F.col("kind").isin(*kinds)).select("fact_id", "kind", hit.alias("hit")).where(F.col("hit").isNotNull())
     return found.select("fact_id", "kind", "hit.lane", "hit.band").orderBy("band", "fact_id").limit(most)
+
+
+def shards(files: DataFrame, entities: DataFrame, reference: DataFrame, observations: DataFrame) -> DataFrame:
+    """(shard, entity_id, label, digest) of a snapshot's five shards: files by their text, file sets by the digests of their members (``member_of``), entities, reference records and observations by kind and label.
+
+    A shard holds what its lanes read and nothing else; it is stale as soon as a digest
+    differs from that of the snapshot.
+    """
+    digest = F.sha2("text", 256)
+    own = lambda df, shard: df.select(F.lit(shard).alias("shard"), F.col("entity_id").cast("string").alias("entity_id"), "label", F.sha2(F.concat_ws("|", "kind", "label"), 256).alias("digest"))
+    by_file = files.select(F.lit("files").alias("shard"), F.col("entity_id").cast("string").alias("entity_id"), "label", digest.alias("digest"))
+    sets = files.groupBy("member_of").agg(F.count(F.lit(1)).cast("string").alias("label"), F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ","), 256).alias("digest"))
+    out = by_file.unionByName(sets.select(F.lit("file_set").alias("shard"), F.col("member_of").cast("string").alias("entity_id"), "label", "digest"))
+    return out.unionByName(own(entities, "entities")).unionByName(own(reference, "reference")).unionByName(own(observations, "observations"))

@@ -192,3 +192,19 @@ def collection_plan(generations: DataFrame, protected: DataFrame, most: int, mos
     dead = generations.join(protected.select("generation"), "generation", "left_anti").orderBy("generation").limit(most)
     total = F.sum("bytes").over(Window.orderBy("generation").rowsBetween(Window.unboundedPreceding, 0))  # over at most ``most`` rows
     return dead.withColumn("total", total).where(F.col("total") <= most_bytes)
+
+
+def recovery_scan(catalogue: DataFrame, found: DataFrame, now: int, grace: int) -> DataFrame:
+    """(name, state) of what a crash may have left: entries (name, digest) against files (name, digest, written, temporary).
+
+    missing: catalogued, not there; digest_mismatch; orphan: there, not catalogued, older
+    than the grace period; recent: the same, but a writer may still be at work;
+    stale_temporary; else intact.
+    """
+    rows = catalogue.select("name", F.col("digest").alias("expected"), F.lit(True).alias("listed")).join(found, "name", "full")
+    old = F.col("written") < now - grace
+    state = (
+        F.when(F.col("temporary") & old, "stale_temporary").when(F.col("temporary"), "recent").when(F.col("digest").isNull(), "missing")
+        .when(F.col("listed").isNull() & old, "orphan").when(F.col("listed").isNull(), "recent").when(F.col("digest") != F.col("expected"), "digest_mismatch").otherwise("intact")
+    )
+    return rows.select("name", state.alias("state"))

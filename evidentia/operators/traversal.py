@@ -258,3 +258,9 @@ def paths(edges: DataFrame, root: str, target: str, directions: Mapping[str, str
         truncations.discard("expansions")  # all that was asked for is there
     chosen = best.orderBy("path").limit(most).select("path", F.col("visited").alias("nodes"), F.size("path").alias("length"), "weakest")
     return Paths(chosen, sorted(truncations))
+
+
+def by_definition(edges: DataFrame, accepted: DataFrame, definitions: Sequence[str]) -> DataFrame:
+    """Edges that some accepted assertion (edge_id, definition) gives under one of these definitions, with those that do: definitions may share a stored relation, which alone does not tell them apart."""
+    named = accepted.where(F.col("definition").isin(*definitions)).groupBy("edge_id").agg(F.array_sort(F.collect_set("definition")).alias("definitions"))
+    return edges.join(named, "edge_id")

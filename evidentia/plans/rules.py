@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -295,10 +295,14 @@ def run_pack(pack: Pack, facts: DataFrame, coverage: Mapping[str, str]) -> DataF
     return reduce(DataFrame.unionByName, done) if done else facts.sparkSession.createDataFrame([], MATCH)
 
 
-def outcomes(pack: Pack, facts: DataFrame, coverage: Mapping[str, str]) -> DataFrame:
-    """(rule_id, outcome, matches) of every rule."""
-    rows = []
+def outcomes(pack: Pack, facts: DataFrame, coverage: Mapping[str, str], cancelled: Callable[[], bool] = lambda: False) -> DataFrame:
+    """(rule_id, outcome, matches) of every rule; ``cancelled`` is asked before each, and from then on rules are cancelled."""
+    rows, stopped = [], False
     for r in pack.rules:
+        stopped = stopped or cancelled()
+        if stopped:
+            rows.append(facts.sparkSession.createDataFrame([(r["rule_id"], "cancelled", 0)], "rule_id string, outcome string, matches long"))
+            continue
         matches = run_rule(pack, r, facts, coverage)
         if matches is None:
             rows.append(facts.sparkSession.createDataFrame([(r["rule_id"], "not_evaluated", 0)], "rule_id string, outcome string, matches long"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import scalars as S
@@ -20,6 +20,8 @@ from evidentia.operators import storage as V
 from evidentia.operators import traversal as T
 from evidentia.registry import Source, query
 from evidentia.shared import new_folder
+from evidentia.sources import annotations as N
+from evidentia.sources import text as Text
 
 
 def named(parts: dict[str, DataFrame], column: str = "case") -> DataFrame:
@@ -475,3 +477,96 @@ def _(s: Source):
         missing = -1
     rows = [("current", store.select("current").count()), ("exact", store.select("exact", first).count()), ("record", store.select("record", key={"p_brand": "Brand#3"}).count()), ("missing", missing)]
     return s.spark.createDataFrame(rows, "selector string, n long")
+
+
+# --- sources, findings, shards and what else has several cases ---------------------------
+
+@query("p17_event_payload", "WITH m AS (SELECT api, count(*) AS n, max(CASE WHEN position = 0 THEN original_type END) AS a, bool_or(position = 1 AND nilable) AS b FROM members GROUP BY api) SELECT 'count' AS \"case\", api FROM m WHERE n = 4 UNION ALL SELECT 'fields', api FROM m WHERE n = 3 AND a = 'R' AND b", "members")
+def _(s: Source):
+    rows = s.members.groupBy("api").agg(F.array_sort(F.collect_list(F.struct("position", "original_type", "nilable"))).alias("payload"))
+    return named({"count": rows.where(P.payload_shape(F.col("payload"), 4)), "fields": rows.where(P.payload_shape(F.col("payload"), 3, [{"position": 0, "original_type": "R"}, {"position": 1, "nilable": True}]))}).select("case", "api")
+
+
+@query("g8_axis_definitions", "WITH a AS (SELECT DISTINCT concat('uses:order:', l_orderkey, ':part:', l_partkey) AS edge_id, CASE WHEN l_suppkey % 3 = 0 THEN 'exact_call' WHEN l_suppkey % 3 = 1 THEN 'possible_call' ELSE 'api_use' END AS d FROM lineitem) SELECT edge_id, string_agg(d, ',' ORDER BY d) AS definitions FROM a WHERE d IN ('exact_call', 'possible_call') GROUP BY edge_id")
+def _(s: Source):  # three definitions share the relation of an order's uses
+    k = F.col("l_suppkey") % 3
+    accepted = s.lineitem.select(F.concat(F.lit("uses:order:"), "l_orderkey", F.lit(":part:"), "l_partkey").alias("edge_id"), F.when(k == 0, "exact_call").when(k == 1, "possible_call").otherwise("api_use").alias("definition"))
+    return T.by_definition(s.edges, accepted, ("exact_call", "possible_call")).select("edge_id", F.array_join("definitions", ",").alias("definitions"))
+
+
+@query("l9_fingerprints", """WITH r AS (SELECT 'api' AS rule, l_returnflag AS code, l_partkey AS subject, l_linenumber AS place, CASE l_linestatus WHEN 'O' THEN 1 ELSE 2 END AS severity FROM lineitem) SELECT sha256(concat_ws('|', concat(length(rule), ':', rule), concat(length(code), ':', code), concat(length(CAST(subject AS VARCHAR)), ':', subject), concat(length(CAST(place AS VARCHAR)), ':', place))) AS finding_id, rule, code, subject, place, min(severity) AS severity, count(*) AS copies, count(DISTINCT severity) > 1 AS conflict FROM r GROUP BY rule, code, subject, place""")
+def _(s: Source):
+    return C.findings(s.lineitem.select(F.lit("api").alias("rule"), F.col("l_returnflag").alias("code"), F.col("l_partkey").alias("subject"), F.col("l_linenumber").alias("place"), F.when(F.col("l_linestatus") == "O", 1).otherwise(2).alias("severity")))
+
+
+@query("v9_recovery_scan", """WITH c AS (SELECT p_partkey AS name, p_brand AS d FROM part WHERE p_size > 5), f AS (SELECT p_partkey AS name, CASE WHEN p_partkey % 11 = 0 THEN 'other' ELSE p_brand END AS digest, p_partkey % 100 AS written, p_partkey % 13 = 0 AS temporary FROM part WHERE p_size < 45)
+    SELECT coalesce(c.name, f.name) AS name, CASE WHEN temporary AND written < 50 THEN 'stale_temporary' WHEN temporary THEN 'recent' WHEN digest IS NULL THEN 'missing' WHEN c.name IS NULL AND written < 50 THEN 'orphan' WHEN c.name IS NULL THEN 'recent' WHEN digest <> d THEN 'digest_mismatch' ELSE 'intact' END AS state FROM c FULL JOIN f ON c.name = f.name""")
+def _(s: Source):
+    k = F.col("p_partkey")
+    catalogue = s.part.where("p_size > 5").select(k.alias("name"), F.col("p_brand").alias("digest"))
+    found = s.part.where("p_size < 45").select(k.alias("name"), F.when(k % 11 == 0, "other").otherwise(F.col("p_brand")).alias("digest"), (k % 100).alias("written"), (k % 13 == 0).alias("temporary"))
+    return V.recovery_scan(catalogue, found, 60, 10)
+
+
+@query("b3_witness_budget", "SELECT o_orderpriority, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) * 3 + sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) * sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) * 6 AS BIGINT) AS charged FROM orders GROUP BY o_orderpriority")
+def _(s: Source):
+    n = s.orders.groupBy("o_orderpriority").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o"))
+    return n.select("o_orderpriority", R.witness_budget([F.col("f"), F.col("o")]).cast("long").alias("charged"))
+
+
+RENDER = """d AS (SELECT ['event', 'cvar', 'enum', 'constant', 'widget'][CAST(p_partkey % 5 AS INTEGER) + 1] AS kind, concat('N', p_partkey) AS name, ['string', 'number', 'boolean', 'table'][CAST(p_size % 4 AS INTEGER) + 1] AS vk, CASE p_size % 4 WHEN 0 THEN concat(p_name, '"') WHEN 1 THEN CAST(p_size AS VARCHAR) ELSE 'true' END AS v FROM part),
+    l AS (SELECT kind, name, CASE vk WHEN 'string' THEN concat('"', replace(v, '"', '\\"'), '"') WHEN 'table' THEN NULL ELSE v END AS x FROM d), r AS (SELECT kind, name, CASE kind WHEN 'event' THEN concat('---| "', name, '"') WHEN 'cvar' THEN '---| "' || name || '" # ' || x WHEN 'enum' THEN '    ' || name || ' = ' || x || ',' WHEN 'constant' THEN name || ' = ' || x END AS line FROM l)"""
+
+
+def declarations(s: Source) -> DataFrame:
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    size = F.col("p_size") % 4
+    return s.part.select(pick(("event", "cvar", "enum", "constant", "widget"), F.col("p_partkey") % 5).alias("kind"), F.concat(F.lit("N"), "p_partkey").alias("name"), pick(("string", "number", "boolean", "table"), size).alias("value_kind"), F.when(size == 0, F.concat("p_name", F.lit('"'))).when(size == 1, F.col("p_size").cast("string")).otherwise("true").alias("value"))
+
+
+@query("n3_renderers", f"WITH {RENDER} SELECT kind, name, line, CASE WHEN kind = 'widget' THEN 'unsupported_kind' WHEN line IS NULL THEN 'no_literal' END AS lost FROM r")
+def _(s: Source):
+    return N.rendered(declarations(s))
+
+
+@query("n4_emission", f"WITH {RENDER} SELECT kind, name, CAST(sum(strlen(line) + 1) OVER (PARTITION BY kind ORDER BY name) - strlen(line) - 1 AS BIGINT) AS byte_start, CAST(sum(strlen(line) + 1) OVER (PARTITION BY kind ORDER BY name) AS BIGINT) AS byte_end FROM r WHERE line IS NOT NULL UNION ALL SELECT kind, CASE WHEN kind = 'widget' THEN 'unsupported_kind' ELSE 'no_literal' END, -1, count(*) FROM r WHERE line IS NULL GROUP BY ALL")
+def _(s: Source):
+    kept, lost = N.emission(declarations(s))
+    return kept.unionByName(lost.select("kind", F.col("lost").alias("name"), F.lit(-1).cast("long").alias("byte_start"), F.col("n").alias("byte_end")))
+
+
+@query("s5_element_spans", """WITH p AS (SELECT page_id, string_split(html, '<a href="') AS parts FROM pages), u AS (SELECT page_id, unnest(generate_series(2, len(parts))) AS i, parts FROM p)
+    SELECT page_id, split_part(parts[i], '"', 1) AS href, CAST(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))) + (i - 2) * 9 AS BIGINT) AS byte_start, CAST(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))) + (i - 1) * 9 + strlen(split_part(parts[i], '"', 1)) + 2 AS BIGINT) AS byte_end FROM u""")
+def _(s: Source):
+    links = Text.elements(s.pages, "page_id", "html").where("tag = 'a'")
+    return links.select("page_id", F.get_json_object("attributes", "$.href").alias("href"), "byte_start", "byte_end")
+
+
+@query("s9_normalized", """WITH r AS (SELECT l_orderkey AS api, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, l_returnflag, l_linestatus FROM lineitem), k AS (SELECT api, i, CASE i % 3 WHEN 1 THEN 'function' WHEN 2 THEN 'event' ELSE 'table' END AS section, (i - 1) // 3 + 1 AS ordinal, l_returnflag AS t, l_linestatus FROM r)
+    SELECT api, section, CAST(ordinal AS INTEGER) AS ordinal, concat('N', i) AS name, CAST(NULL AS VARCHAR) AS member, CAST(NULL AS INTEGER) AS position, 'Name' AS field, concat('N', i) AS value FROM k UNION ALL SELECT api, section, CAST(ordinal AS INTEGER), concat('N', i), CASE section WHEN 'function' THEN 'Arguments' WHEN 'event' THEN 'Payload' ELSE 'Fields' END, 1, 'Type', t FROM k""")
+def _(s: Source):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = s.lineitem.select(F.col("l_orderkey").alias("api"), F.row_number().over(w).alias("i"), F.col("l_returnflag").alias("t"))
+    one = lambda member: F.concat(F.lit('{ Name = "N'), F.col("i").cast("string"), F.lit(f'", {member} = {{ {{ Type = "'), "t", F.lit('" } } }'))
+    part = lambda m, member: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("i") % 3 == m, F.struct("i", one(member).alias("x"))))), lambda e: e["x"]), ", ")
+    text = F.concat(F.lit("{ Functions = { "), part(1, "Arguments"), F.lit(" }, Events = { "), part(2, "Payload"), F.lit(" }, Tables = { "), part(0, "Fields"), F.lit(" } }"))
+    return Text.normalized(Text.data_literals(rows.groupBy("api").agg(text.alias("text")), "api", "text"), "api")
+
+
+@query("s11_topology", """WITH f AS (SELECT o_custkey AS doc, o_orderkey AS k, CASE WHEN o_orderkey % 41 <> 0 THEN concat('f', o_orderkey % 1000) END AS file, [concat('f', o_orderkey % 1000), concat('g', o_orderkey % 7)][CAST(o_orderkey % 2 AS INTEGER) + 1] AS loads, o_orderstatus AS name FROM orders), k AS (SELECT DISTINCT doc, file FROM f WHERE file IS NOT NULL), x AS (SELECT doc, file, loads FROM f WHERE file IS NOT NULL)
+    SELECT DISTINCT * FROM (SELECT 'problem' AS "case", doc, file, 'missing_file' AS what FROM f WHERE file IS NULL UNION ALL SELECT 'problem', doc, file, 'repeated_file' FROM f WHERE file IS NOT NULL GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT 'problem', doc, file, 'self_load' FROM x WHERE file = loads UNION ALL SELECT 'problem', doc, file, 'unknown_load' FROM x WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc = x.doc AND k.file = x.loads))
+    UNION ALL SELECT 'problem', -1, NULL, 'invalid_document' UNION ALL SELECT 'load', doc, file, loads FROM x UNION ALL SELECT 'reference', doc, file, concat(name, ':api') FROM f WHERE file IS NOT NULL""")
+def _(s: Source):
+    k = F.col("o_orderkey")
+    entry = F.struct(F.when(k % 41 != 0, F.concat(F.lit("f"), k % 1000)).alias("file"), F.array(F.when(k % 2 == 0, F.concat(F.lit("f"), k % 1000)).otherwise(F.concat(F.lit("g"), k % 7))).alias("loads"), F.array(F.struct(F.col("o_orderstatus").alias("name"), F.lit("api").alias("kind"))).alias("references"))
+    documents = s.orders.groupBy(F.col("o_custkey").cast("long").alias("doc")).agg(F.to_json(F.collect_list(entry)).alias("text"))
+    edges, references, problems = Text.topology(documents.unionByName(s.spark.createDataFrame([(-1, "no json")], "doc long, text string")), "doc", "text")
+    parts = {"load": edges.select("doc", "file", F.col("loads").alias("what")), "reference": references.select("doc", "file", F.concat_ws(":", "name", "kind").alias("what")), "problem": problems.select("doc", "file", F.col("problem").alias("what"))}
+    return named(parts).select("case", "doc", "file", "what")
+
+
+@query("x17_shards", """SELECT 'files' AS shard, CAST(doc_id AS VARCHAR) AS entity_id, lang AS label, sha256(text) AS digest FROM documents UNION ALL SELECT 'file_set', source, CAST(count(*) AS VARCHAR), sha256(string_agg(sha256(text), ',' ORDER BY sha256(text))) FROM documents GROUP BY source UNION ALL SELECT 'entities', node_id, label, sha256(concat(kind, '|', label)) FROM nodes
+    UNION ALL SELECT 'reference', CAST(p_partkey AS VARCHAR), p_name, sha256(concat(p_type, '|', p_name)) FROM part UNION ALL SELECT 'observations', CAST(event_id AS VARCHAR), event_type, sha256(concat(event_type, '|', event_type)) FROM events""", "nodes")
+def _(s: Source):
+    return X_.shards(files=s.documents.select(F.col("doc_id").alias("entity_id"), F.col("lang").alias("label"), "text", F.col("source").alias("member_of")), entities=s.nodes.select(F.col("node_id").alias("entity_id"), "kind", "label"), reference=s.part.select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("kind"), F.col("p_name").alias("label")), observations=s.events.select(F.col("event_id").alias("entity_id"), F.col("event_type").alias("kind"), F.col("event_type").alias("label")))
+

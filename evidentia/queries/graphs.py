@@ -196,12 +196,6 @@ def _(s: Source):
     return s.spark.createDataFrame([(axis, *r) for axis in T.AXES for r in T.Axis.bind(REGISTRY, axis).relations], "axis string, definition string, relation string, forward string")
 
 
-@query("g8_axis_definitions", "SELECT relation, confidence, count(*) AS n FROM edges WHERE (relation = 'uses' AND confidence = 0) OR (relation = 'supplied_by' AND confidence >= 1) GROUP BY relation, confidence", "edges")
-def _(s: Source):
-    definitions = s.spark.createDataFrame([("uses", 0), ("supplied_by", 1), ("supplied_by", 2)], "relation string, confidence int")
-    return s.edges.join(F.broadcast(definitions), ["relation", "confidence"]).groupBy("relation", "confidence").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("g10_evidence_closure", """WITH RECURSIVE d AS (SELECT DISTINCT package AS src, dependency AS dst FROM dependencies WHERE kind = 'required'), walk(id, depth) AS (SELECT 'pkg4', 0 UNION SELECT d.dst, walk.depth + 1 FROM walk JOIN d ON d.src = walk.id WHERE walk.depth < 30),
     m AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id) SELECT m.id, m.depth, CASE WHEN p.package IS NULL THEN 'not_retained' ELSE 'resolved' END AS state FROM m LEFT JOIN packages p ON p.package = m.id""", "packages dependencies")
 def _(s: Source):

@@ -125,11 +125,6 @@ def _(s: Source):
     return apis(s).where(P.all_fields(F.col("fields"), shapes)).select("api")
 
 
-@query("p17_event_payload", f"SELECT kind, count(*) AS n FROM facts WHERE {K} BETWEEN 10 AND 19 GROUP BY kind", "facts")
-def _(s: Source):
-    return s.facts.withColumn("p", F.from_json("props", "k bigint")).where("p.k between 10 and 19").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("p19_enabled_codes", "SELECT event_id, event_type FROM events WHERE event_type IN ('error', 'signup')")
 def _(s: Source):
     enabled, off = ["error", "signup"], False

@@ -240,11 +240,6 @@ def _(s: Source):
     return Lint.unguarded_use(uses.drop("kind", "dominates"), f.where("kind in ('signup', 'view')").drop("kind", "fact_id"), facets)
 
 
-@query("l9_fingerprints", "SELECT p_partkey, sha256(concat('finding|', length(p_name), ':', p_name, length(p_type), ':', p_type)) AS fingerprint FROM part")
-def _(s: Source):
-    return s.part.select("p_partkey", S.content_digest(F.col("p_name"), F.col("p_type"), domain="finding").alias("fingerprint"))
-
-
 @query("l11_v8_integrity", "SELECT relation, side, count(*) AS dangling FROM (SELECT relation, 'dst' AS side, dst AS id FROM edges UNION ALL SELECT relation, 'src', src FROM edges) WHERE id NOT IN (SELECT node_id FROM nodes WHERE kind <> 'region') GROUP BY relation, side", "nodes edges")
 def _(s: Source):
     ends = s.edges.select("relation", F.explode(F.array(F.struct(F.lit("dst").alias("side"), F.col("dst").alias("id")), F.struct(F.lit("src").alias("side"), F.col("src").alias("id")))).alias("e")).select("relation", "e.side", F.col("e.id").alias("node_id"))
@@ -273,11 +268,6 @@ def _(s: Source):
     return R.top(V.unreferenced(s.part.select("p_partkey"), "p_partkey", catalog, leases), ["p_partkey"], 50).select("p_partkey", "more")
 
 
-@query("v9_recovery_scan", "SELECT p_partkey, 'orphan' AS state FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
-def _(s: Source):
-    return V.unreferenced(s.part.select("p_partkey"), "p_partkey", s.lineitem.select(F.col("l_partkey").alias("p_partkey"))).withColumn("state", F.lit("orphan"))
-
-
 @query("c6_render_trace", "SELECT conv_id, turn, CAST(sum(strlen(text)) OVER w - strlen(text) AS BIGINT) AS byte_start, CAST(sum(strlen(text)) OVER w AS BIGINT) AS byte_end FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def _(s: Source):
     return R.cumulative_bytes(s.conversations, ["conv_id"], ["turn"], F.octet_length("text")).select("conv_id", "turn", "byte_start", "byte_end")

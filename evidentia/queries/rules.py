@@ -110,6 +110,13 @@ def _(s: Source):
     return R.outcomes(R.compile_pack({"pack_id": "gates", "rules": rules}), facts(s), COVERAGE)
 
 
+@query("r3_cancelled", "SELECT * FROM (VALUES ('second', 'cancelled', CAST(0 AS BIGINT)), ('third', 'cancelled', 0)) AS t(rule_id, outcome, matches) UNION ALL SELECT 'first', 'matched', count(*) FROM events WHERE event_type = 'click'")
+def _(s: Source):  # cancelled after the first rule
+    asked = iter([False, True, False])
+    rules = [{"rule_id": name, "clauses": [fact("a", "click")]} for name in ("first", "second", "third")]
+    return R.outcomes(R.compile_pack({"pack_id": "stopped", "rules": rules}), facts(s), COVERAGE, lambda: next(asked))
+
+
 @query("r6_r2_ambiguous_keys", f"WITH {F_} SELECT 'keyed' AS rule_id, k AS match_key, '' AS captures, CAST(fact_id AS VARCHAR) AS witnesses, CASE WHEN confidence < 2 AND count(*) OVER (PARTITION BY k) = 1 THEN 'proven' ELSE 'possible' END AS confidence FROM f WHERE kind = 'purchase' AND scope_id = 3", "facts")
 def _(s: Source):
     only = [["reference", 3]]

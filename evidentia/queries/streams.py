@@ -28,11 +28,18 @@ def log(events):
     )
 
 
-@query("t2_edit_log")
+# a snapshot opens a segment of its document; within it the first fitting change is accepted, further ones repeat it, and an unfit one loses it
+EDITS = """WITH l AS (SELECT user_id, event_id AS seq, event_type = 'signup' AS snap, event_type = 'error' AS unfit FROM events), s AS (SELECT *, count(*) FILTER (snap) OVER w AS segment FROM l WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+    t AS (SELECT *, count(*) FILTER (unfit) OVER w AS lost, count(*) FILTER (NOT snap AND NOT unfit) OVER w AS fits, min(CASE WHEN unfit THEN seq END) OVER (PARTITION BY user_id, segment) AS broken FROM s WINDOW w AS (PARTITION BY user_id, segment ORDER BY seq))
+    SELECT CAST(user_id AS VARCHAR) AS document, seq, CASE WHEN snap THEN 'snapshot' WHEN segment = 0 OR lost > 0 THEN 'resync' WHEN fits = 1 THEN 'accepted' ELSE 'repeated' END AS outcome,
+      CAST(CASE WHEN segment = 0 THEN -1 WHEN snap THEN 1 WHEN lost = 0 THEN 2 WHEN EXISTS (SELECT 1 FROM t x WHERE x.user_id = t.user_id AND x.segment = t.segment AND x.seq < t.broken AND NOT x.snap) THEN 2 ELSE 1 END AS BIGINT) AS version FROM t"""
+
+
+@query("t2_edit_log", EDITS)
 def _(s: Source):
     return C.drain(C.fold_stream(log(stream(s))), "edits")
 
 
-@query("t3_edit_log_batch")
+@query("t3_edit_log_batch", EDITS)
 def _(s: Source):
     return C.fold_batch(log(s.events))

@@ -113,6 +113,45 @@ def elements(documents: DataFrame, key: str, text: str) -> DataFrame:
     return documents.select(key, text).mapInArrow(run, f"{key} {kind}, ordinal int, tag string, depth int, attributes string, byte_start long, byte_end long")
 
 
+SECTIONS = {"Functions": "function", "Events": "event", "Tables": "table"}
+
+
+def normalized(literals: DataFrame, key: str) -> DataFrame:
+    """(key, section, ordinal, name, member, position, field, value) of flattened registrations (key, path, kind, value): functions, events and tables apart, their arguments, returns, payload or fields by position.
+
+    A path outside the three sections, or deeper than a member's field, is kept with
+    section other, so nothing that was registered is lost.
+    """
+    parts = F.split("path", "[.]")
+    at = lambda i: F.get(parts, F.lit(i))
+    section = F.coalesce(*[F.when(at(0) == word, name) for word, name in SECTIONS.items()], F.lit("other"))
+    names = literals.where(F.size(parts) == 3).where(at(2) == "Name").select(F.col(key), at(0).alias("s"), at(1).alias("o"), F.col("value").alias("name"))
+    rows = literals.select(F.col(key), section.alias("section"), at(0).alias("s"), at(1).alias("o"), F.when(F.size(parts) == 5, at(2)).alias("member"), F.when(F.size(parts) == 5, at(3)).cast("int").alias("position"), F.when(F.size(parts) == 5, at(4)).otherwise(at(2)).alias("field"), "value")
+    return rows.join(names, [key, "s", "o"], "left").select(key, "section", F.col("o").try_cast("int").alias("ordinal"), "name", "member", "position", "field", "value")
+
+
+TOPOLOGY = "file string, loads array<string>, references array<struct<name:string,kind:string>>"
+
+
+def topology(documents: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Load edges (key, file, position, loads), references (key, file, position, name, kind) and problems (key, file, problem) of topology documents: a JSON array of files with what each loads, in order, and what it refers to.
+
+    invalid_document: no such array; missing_file, repeated_file, self_load and
+    unknown_load (a file that the document does not describe) are told apart.
+    """
+    parsed = documents.select(key, F.from_json(text, f"array<struct<{TOPOLOGY.replace(' ', ':', 1).replace(', loads ', ',loads:').replace(', references ', ',references:')}>>", {"mode": "PERMISSIVE"}).alias("files"))
+    bad = parsed.where("files is null").select(key, F.lit(None).cast("string").alias("file"), F.lit("invalid_document").alias("problem"))
+    files = parsed.select(key, F.posexplode("files").alias("ordinal", "f")).select(key, "ordinal", "f.file", "f.loads", "f.references")
+    edges = files.where("file is not null").select(key, "file", F.posexplode("loads").alias("position", "loads"))
+    references = files.where("file is not null").select(key, "file", F.posexplode("references").alias("position", "r")).select(key, "file", "position", "r.name", "r.kind")
+    known = files.select(key, F.col("file").alias("loads"), F.lit(True).alias("known")).distinct()
+    problem = lambda df, what: df.select(key, "file", F.lit(what).alias("problem"))
+    problems = bad.unionByName(problem(files.where("file is null"), "missing_file"))
+    problems = problems.unionByName(problem(files.where("file is not null").groupBy(key, "file").count().where("count > 1"), "repeated_file"))
+    problems = problems.unionByName(problem(edges.where("file = loads"), "self_load")).unionByName(problem(edges.join(known, [key, "loads"], "left").where("known is null"), "unknown_load"))
+    return edges, references, problems.distinct()
+
+
 _TOKEN = re.compile(r"\s*(?:--[^\n]*\n\s*)*(?:(?P<punct>[{}=,;\[\]])|(?P<string>\"(?:[^\"\\]|\\.)*\")|(?P<number>-?\d+(?:\.\d+)?|0x[0-9a-fA-F]+)|(?P<name>[A-Za-z_][\w.]*))")
 
 

@@ -2,11 +2,13 @@
 
 import json
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import context, coverage, graph, lint, load_model, predicates, proposals, storage
+from evidentia.operators import cancellation, context, coverage, graph, lint, load_model, predicates, proposals, storage
 from evidentia.plans import recognizers
 from evidentia.sources import text
 
@@ -108,3 +110,40 @@ def test_unknown_requests_are_errors(spark):
     with pytest.raises(ValueError):
         coverage.merge_generations(None, None, "unheard")
     assert set(load_model.ISSUES) and len(coverage.DENIALS) == len(lint.BLOCKERS) == len(load_model.ISSUES) == 11 and len(coverage.FAMILIES) == 19
+
+
+def test_a_running_step_is_cancelled_and_others_go_on(spark):
+    work = cancellation.Cancellation(spark)
+    assert work.step(lambda: spark.range(5).count()) == 5
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(60)
+            yield b
+
+    timer = threading.Timer(3, work.cancel)
+    timer.start()
+    start = time.time()
+    with pytest.raises(cancellation.Cancelled):
+        work.step(lambda: spark.range(4).mapInPandas(slow, "id long").count())
+    assert time.time() - start < 40
+    with pytest.raises(cancellation.Cancelled):
+        work.step(lambda: spark.range(5).count())
+    assert cancellation.Cancellation(spark).step(lambda: spark.range(6).count()) == 6  # its own tag
+
+
+def test_a_failing_step_is_no_cancelled_one(spark):
+    def broken(batches):
+        raise ValueError("broken")
+        yield
+
+    with pytest.raises(Exception, match="broken") as e:
+        cancellation.Cancellation(spark).step(lambda: spark.range(1).mapInPandas(broken, "id long").count())
+    assert not isinstance(e.value, cancellation.Cancelled)
+
+
+def test_topology_problems(spark):
+    docs = [(1, '[{"file": "a", "loads": ["a", "z"], "references": [{"name": "n", "kind": "k"}]}, {"file": "a"}, {"loads": ["a"]}]'), (2, "nonsense"), (3, "[]"), (4, None)]
+    edges, references, problems = text.topology(spark.createDataFrame(docs, "doc long, text string"), "doc", "text")
+    assert {tuple(r) for r in problems.collect()} == {(1, "a", "repeated_file"), (1, None, "missing_file"), (1, "a", "self_load"), (1, "a", "unknown_load"), (2, None, "invalid_document"), (4, None, "invalid_document")}
+    assert edges.count() == 2 and references.count() == 1
