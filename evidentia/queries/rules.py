@@ -117,10 +117,9 @@ def _(s: Source):  # cancelled after the first rule
     return R.outcomes(R.compile_pack({"pack_id": "stopped", "rules": rules}), facts(s), COVERAGE, lambda: next(asked))
 
 
-@query("r6_r2_ambiguous_keys", f"WITH {F_} SELECT 'keyed' AS rule_id, k AS match_key, '' AS captures, CAST(fact_id AS VARCHAR) AS witnesses, CASE WHEN confidence < 2 AND count(*) OVER (PARTITION BY k) = 1 THEN 'proven' ELSE 'possible' END AS confidence FROM f WHERE kind = 'purchase' AND scope_id = 3", "facts")
+@query("r6_r2_ambiguous_keys", f"WITH {F_} SELECT 'keyed' AS rule_id, concat(k, '/', scope_id) AS match_key, '' AS captures, CAST(fact_id AS VARCHAR) AS witnesses, CASE WHEN confidence < 2 AND count(*) OVER (PARTITION BY k, scope_id) = 1 THEN 'proven' ELSE 'possible' END AS confidence FROM f WHERE kind = 'purchase'", "facts")
 def _(s: Source):
-    only = [["reference", 3]]
-    return run(s, pack("keyed", [fact("a", "purchase"), {"field_in": {"field": "a.user", "literals": only}}], key=["a.k"]))
+    return run(s, pack("keyed", [fact("a", "purchase")], key=["a.k", "a"]))
 
 
 FAMILIES = {"click": "calls", "view": "reads", "purchase": "writes", "signup": "registers"}
