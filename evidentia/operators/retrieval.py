@@ -192,3 +192,58 @@ def shards(files: DataFrame, entities: DataFrame, reference: DataFrame, observat
     sets = files.groupBy("member_of").agg(F.count(F.lit(1)).cast("string").alias("label"), F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), ","), 256).alias("digest"))
     out = by_file.unionByName(sets.select(F.lit("file_set").alias("shard"), F.col("member_of").cast("string").alias("entity_id"), "label", "digest"))
     return out.unionByName(own(entities, "entities")).unionByName(own(reference, "reference")).unionByName(own(observations, "observations"))
+
+
+#: lanes of a reference lookup in their order, the selector each needs, and its band
+REFERENCE_LANES = {
+    "exact_identity": ("entity_key", 0), "exact_canonical_name": ("name", 1), "namespace_member": ("namespace", 4), "identifier_prefix": ("prefix", 5),
+    "literal_text": ("literal", 7), "structured_shape": ("shape", 7), "exact_explicit_alias": ("alias", 3), "identifier_similarity": ("similar", 8),
+}
+
+
+def reference(records: DataFrame, selectors: dict, enabled: Sequence[str], aliases: DataFrame | None = None, kinds: Sequence[str] = (), supported: Sequence[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """Hits (lane, record_key, band) among records (record_key, name, namespace, kind, text, conflict), and the state of each lane.
+
+    States: excluded_by_request, missing_filter_capability (a kind is asked for that the
+    records don't support: then of every enabled lane), no_selector, unavailable (aliases
+    of which there is no table), evaluated.  A hit on a record whose sources conflict is
+    none: it is reported under lane conflict, band 10, so that it can't pass for an
+    answer, nor its absence for one.
+    """
+    from evidentia.operators.predicates import record_filter
+
+    kept, gate = record_filter(records, kinds, supported or kinds, enabled) if kinds else (records, {})
+    states, hits = {}, []
+    s, name = selectors, F.col("name")
+    for lane, (selector, strength) in REFERENCE_LANES.items():
+        if lane not in enabled:
+            states[lane] = "excluded_by_request"
+        elif gate.get(lane) == "missing_filter_capability":
+            states[lane] = "missing_filter_capability"
+        elif s.get(selector) is None:
+            states[lane] = "no_selector"
+        elif lane == "exact_explicit_alias" and aliases is None:
+            states[lane] = "unavailable"
+        else:
+            states[lane] = "evaluated"
+            rows = kept
+            if lane == "exact_explicit_alias":
+                rows = kept.join(aliases.where(F.col("alias") == s["alias"]).select("record_key").distinct(), "record_key", "left_semi")
+                holds = F.lit(True)
+            else:
+                holds = {
+                    "exact_identity": lambda: F.col("record_key") == s["entity_key"],
+                    "exact_canonical_name": lambda: name == s["name"],
+                    "namespace_member": lambda: F.col("namespace") == s["namespace"],
+                    "identifier_prefix": lambda: S.prefix_match(name, s["prefix"]),
+                    "literal_text": lambda: S.has_phrase(F.col("text"), s["literal"]),
+                    "structured_shape": lambda: s["shape"],
+                    "identifier_similarity": lambda: F.coalesce(S.bounded_distance(name, F.lit(s["similar"]), 4).isNotNull(), F.lit(False)),
+                }[lane]()
+            hits.append(rows.where(F.coalesce(holds, F.lit(False))).select(F.when(F.col("conflict"), "conflict").otherwise(lane).alias("lane"), "record_key", F.when(F.col("conflict"), MISSING_SUBJECT_BAND).otherwise(strength).alias("band")))
+    if not hits:
+        return records.select(F.lit("").alias("lane"), "record_key", F.lit(0).alias("band")).where(F.lit(False)), states
+    out = hits[0]
+    for h in hits[1:]:
+        out = out.unionByName(h)
+    return out.distinct(), states

@@ -261,8 +261,18 @@ def gate(rule: Mapping, coverage: Mapping[str, str]) -> str:
     return "partial" if any(s in ("partial", "truncated") for s in states) else "evaluate"
 
 
-def run_rule(pack: Pack, rule: Mapping, facts: DataFrame, coverage: Mapping[str, str]) -> DataFrame | None:
-    """Matches of a rule; None if it can't be evaluated."""
+def captured(c: Mapping, rows: DataFrame) -> Column:
+    """Text of a capture: of cardinality one, an error where there is no value; bounded_many, a list of it; else empty where there is none."""
+    value = F.col(f"`{c['value']}`")["v"] if c["value"] in rows.columns else F.lit(None).cast("string")
+    if c.get("cardinality") == "one":
+        return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"required capture {c['name']} is unavailable")).cast("string"))
+    if c.get("cardinality") == "bounded_many":
+        return F.concat(F.lit("["), F.coalesce(value, F.lit("")), F.lit("]"))
+    return F.coalesce(value, F.lit(""))
+
+
+def matches(pack: Pack, rule: Mapping, facts: DataFrame, coverage: Mapping[str, str]) -> DataFrame | None:
+    """Matches of a rule, with captured map<string,string>; None if it can't be evaluated."""
     state = gate(rule, coverage)
     if state == "not_evaluated":
         return None
@@ -271,22 +281,69 @@ def run_rule(pack: Pack, rule: Mapping, facts: DataFrame, coverage: Mapping[str,
         rows, bound = ev.conjunction(rule["clauses"], None, ())
     except (Unconnected, Incomplete):
         return None
-    captures = []
-    for c in rule.get("captures", []):
-        value = F.col(f"`{c['value']}`")["v"] if c["value"] in rows.columns else F.lit(None).cast("string")
-        captures.append(F.concat(F.lit(c["name"] + "="), F.coalesce(value, F.lit(""))))
+    pairs = [x for c in rule.get("captures", []) for x in (F.lit(c["name"]), captured(c, rows))]
+    values = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     key = F.concat_ws("/", *[F.coalesce(F.col(f"`{k}`")["v"] if "." in k else F.col(f"`{k}!s`").cast("string"), F.lit("")) for k in rule["key"]]) if rule.get("key") else F.concat_ws("/", *[F.col(f"`{a}!id`").cast("string") for a in bound])
     exact = reduce(Column.__and__, [F.col(f"`{a}!x`") for a in bound])
     exact = exact & F.col("`!x`") if "!x" in rows.columns else exact
     own = F.array(*[F.col(f"`{a}!id`").cast("string") for a in bound])
     witness = F.array_sort(F.array_distinct(F.concat(own, F.col("`!w`")))) if "!w" in rows.columns else F.array_sort(F.array_distinct(own))
-    named = rows.select(F.lit(rule["rule_id"]).alias("rule_id"), key.alias("match_key"), F.concat_ws(";", *captures).alias("captures"), F.array_join(witness, ",").alias("witnesses"), exact.alias("exact"))
+    named = rows.select(F.lit(rule["rule_id"]).alias("rule_id"), key.alias("match_key"), values.alias("captured"), F.array_join(witness, ",").alias("witnesses"), exact.alias("exact"))
     proven = F.col("exact") & F.lit(state == "evaluate")
     if rule.get("key"):  # a key of its own may be shared; the ids of all bound facts can't be
         shared = named.groupBy("match_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("match_key", F.lit(True).alias("shared"))
         named = named.join(shared, "match_key", "left")
         proven = proven & F.col("shared").isNull()
-    return named.select("rule_id", "match_key", "captures", "witnesses", F.when(proven, "proven").otherwise("possible").alias("confidence"))
+    return named.select("rule_id", "match_key", "captured", "witnesses", F.when(proven, "proven").otherwise("possible").alias("confidence"))
+
+
+def run_rule(pack: Pack, rule: Mapping, facts: DataFrame, coverage: Mapping[str, str]) -> DataFrame | None:
+    """Matches of a rule with their captures as text; None if it can't be evaluated."""
+    found = matches(pack, rule, facts, coverage)
+    if found is None:
+        return None
+    text = [F.concat(F.lit(c["name"] + "="), F.col("captured")[c["name"]]) for c in rule.get("captures", [])]
+    return found.select("rule_id", "match_key", F.concat_ws(";", *text).alias("captures"), "witnesses", "confidence")
+
+
+def assertions(pack: Pack, rule_id: str, facts: DataFrame, coverage: Mapping[str, str], outputs: Sequence[Mapping]) -> tuple[DataFrame, DataFrame]:
+    """What a rule's matches assert: entities (output_id, match_key, kind, key, confidence) and relations (output_id, match_key, relation, source, target, confidence).
+
+    An entity output names its kind and which captures its key is made of; a relation
+    output names its kind and the captures of its ends.  An assertion claims no more
+    than its match: derived becomes possible where the match is.
+    """
+    rule = next(r for r in pack.rules if r["rule_id"] == rule_id)
+    names = {c["name"] for c in rule.get("captures", [])}
+    found = matches(pack, rule, facts, coverage)
+    spark = facts.sparkSession
+    entities = spark.createDataFrame([], "output_id string, match_key string, kind string, key map<string,string>, confidence string")
+    relations = spark.createDataFrame([], "output_id string, match_key string, relation string, source string, target string, confidence string")
+    for o in outputs:
+        used = set(o["key"].values()) if "key" in o else {o["source"], o["target"]}
+        if used - names:
+            raise ValueError(f"output {o['output_id']} uses what is not captured: {sorted(used - names)}")
+        if found is None:
+            continue
+        value = lambda name: F.col("captured")[name]
+        claim = F.when((F.col("confidence") == "proven") & F.lit(o.get("confidence", "derived") == "derived"), "derived").otherwise("possible")
+        head = (F.lit(o["output_id"]).alias("output_id"), "match_key")
+        if "key" in o:
+            key = F.create_map(*[x for f, c in sorted(o["key"].items()) for x in (F.lit(f), value(c))])
+            entities = entities.unionByName(found.select(*head, F.lit(o["entity"]).alias("kind"), key.alias("key"), claim.alias("confidence")))
+        else:
+            relations = relations.unionByName(found.select(*head, F.lit(o["relation"]).alias("relation"), value(o["source"]).alias("source"), value(o["target"]).alias("target"), claim.alias("confidence")))
+    return entities, relations
+
+
+def bind_endpoints(relations: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Relations with the nodes that their ends are bound to by (relation, side, value, node_id): columns src, dst and state, which is bound, source_unbound, target_unbound, or ambiguous where a value is bound to several nodes.  Nothing is looked up by name."""
+    told = bindings.groupBy("relation", "side", "value").agg(F.min("node_id").alias("node"), F.count_distinct("node_id").alias("n"))
+    end = lambda side, name: told.where(F.col("side") == side).select("relation", F.col("value").alias(side), F.col("node").alias(name), F.col("n").alias(f"n_{side}"))
+    rows = relations.join(end("source", "src"), ["relation", "source"], "left").join(end("target", "dst"), ["relation", "target"], "left")
+    state = F.when(F.col("src").isNull(), "source_unbound").when(F.col("dst").isNull(), "target_unbound").when((F.col("n_source") > 1) | (F.col("n_target") > 1), "ambiguous").otherwise("bound")
+    ok = state == "bound"
+    return rows.withColumn("state", state).withColumn("src", F.when(ok, F.col("src"))).withColumn("dst", F.when(ok, F.col("dst"))).drop("n_source", "n_target")
 
 
 def run_pack(pack: Pack, facts: DataFrame, coverage: Mapping[str, str]) -> DataFrame:

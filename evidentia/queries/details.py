@@ -570,3 +570,20 @@ def _(s: Source):
 def _(s: Source):
     return X_.shards(files=s.documents.select(F.col("doc_id").alias("entity_id"), F.col("lang").alias("label"), "text", F.col("source").alias("member_of")), entities=s.nodes.select(F.col("node_id").alias("entity_id"), "kind", "label"), reference=s.part.select(F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("kind"), F.col("p_name").alias("label")), observations=s.events.select(F.col("event_id").alias("entity_id"), F.col("event_type").alias("kind"), F.col("event_type").alias("label")))
 
+
+@query("x7_reference_retrieval", """WITH r AS (SELECT p_partkey AS k, p_name AS name, p_brand AS ns, p_type AS kind, p_size % 13 = 0 AS c FROM part), h AS (SELECT 'exact_identity' AS lane, k, c, 0 AS band FROM r WHERE k = 17 UNION ALL SELECT 'exact_canonical_name', k, c, 1 FROM r WHERE name = 'small ring' UNION ALL SELECT 'namespace_member', k, c, 4 FROM r WHERE ns = 'Brand#3' UNION ALL SELECT 'identifier_prefix', k, c, 5 FROM r WHERE starts_with(name, 'small')
+      UNION ALL SELECT 'literal_text', k, c, 7 FROM r WHERE contains(concat(' ', name, ' '), ' ring ') UNION ALL SELECT 'structured_shape', k, c, 7 FROM r WHERE kind = 'PROMO' UNION ALL SELECT 'exact_explicit_alias', k, c, 3 FROM r WHERE k % 40 = 5 UNION ALL SELECT 'identifier_similarity', k, c, 8 FROM r WHERE abs(length(name) - 10) <= 4 AND levenshtein(name, 'small ring') <= 4)
+    SELECT DISTINCT 'hit' AS "case", CASE WHEN c THEN 'conflict' ELSE lane END AS lane, k AS record_key, CASE WHEN c THEN 10 ELSE band END AS band FROM h UNION ALL SELECT 'all:evaluated', lane, NULL, NULL FROM (SELECT DISTINCT lane FROM h) UNION ALL SELECT 'few:' || CASE lane WHEN 'exact_identity' THEN 'no_selector' WHEN 'exact_explicit_alias' THEN 'unavailable' WHEN 'literal_text' THEN 'evaluated' ELSE 'excluded_by_request' END, lane, NULL, NULL FROM (SELECT DISTINCT lane FROM h)
+    UNION ALL SELECT 'kinds:missing_filter_capability', lane, NULL, NULL FROM (SELECT DISTINCT lane FROM h)""")
+def _(s: Source):
+    records = s.part.select(F.col("p_partkey").alias("record_key"), F.col("p_name").alias("name"), F.col("p_brand").alias("namespace"), F.col("p_type").alias("kind"), F.col("p_name").alias("text"), (F.col("p_size") % 13 == 0).alias("conflict"))
+    aliases = s.part.where("p_partkey % 40 = 5").select(F.col("p_partkey").alias("record_key"), F.lit("other name").alias("alias"))
+    selectors = {"entity_key": 17, "name": "small ring", "namespace": "Brand#3", "prefix": "small", "literal": "ring", "shape": F.col("kind") == "PROMO", "alias": "other name", "similar": "small ring"}
+    lanes = tuple(X_.REFERENCE_LANES)
+    hits, every = X_.reference(records, selectors, lanes, aliases)
+    _, few = X_.reference(records, {"literal": "ring", "alias": "x"}, ("exact_identity", "exact_explicit_alias", "literal_text"))
+    _, kinds = X_.reference(records, selectors, lanes, aliases, ("PROMO", "UNHEARD"), ("PROMO", "ECONOMY"))
+    states = [(f"{case}:{state}", lane, None, None) for case, found in (("all", every), ("few", few), ("kinds", kinds)) for lane, state in found.items()]
+    rows = hits.select(F.lit("hit").alias("case"), "lane", F.col("record_key").cast("long").alias("record_key"), "band")
+    return rows.unionByName(s.spark.createDataFrame(states, "`case` string, lane string, record_key long, band int"))
+

@@ -65,12 +65,6 @@ def _(s: Source):
     return f.where("kind = 'purchase'").join(flow, (F.col("scope_id") == F.col("s2")) & (F.col("ordinal") == F.col("o2")), "left_semi").select("fact_id")
 
 
-@query("p6_captures", "SELECT scope_id, min(fact_id) AS one, max(CASE WHEN kind = 'error' THEN fact_id END) AS optional, string_agg(CASE WHEN ordinal <= 4 THEN kind END, ',' ORDER BY ordinal) AS many FROM facts GROUP BY scope_id", "facts")
-def _(s: Source):
-    first = F.array_sort(F.collect_list(F.when(F.col("ordinal") <= 4, F.struct("ordinal", "kind"))))
-    return s.facts.groupBy("scope_id").agg(F.min("fact_id").alias("one"), F.max(F.when(F.col("kind") == "error", F.col("fact_id"))).alias("optional"), F.array_join(F.transform(first, lambda x: x["kind"]), ",").alias("many"))
-
-
 CONDITION = "CASE WHEN c_mktsegment = 'BUILDING' THEN 2 WHEN c_nationkey >= 20 THEN 1 ELSE 0 END"
 
 

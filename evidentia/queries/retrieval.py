@@ -89,12 +89,6 @@ def _(s: Source):
     return L.lookup(lookups(s), s.records, coverage, F.col("variants") > 2)
 
 
-@query("x7_reference_retrieval", f"SELECT outcome, count(*) AS n FROM ({LOOKUP}) GROUP BY outcome", "records")
-def _(s: Source):
-    coverage = s.part.groupBy(F.col("p_brand").alias("part_id")).agg((count() > 80).alias("complete"))
-    return L.lookup(lookups(s), s.records, coverage, F.col("variants") > 2).groupBy("outcome").agg(count().alias("n"))
-
-
 @query("x8_alias_lane", "SELECT p_brand AS target, count(*) FILTER (p_size >= 10) AS resolved, count(*) FILTER (p_size < 10) AS blocked FROM part WHERE p_name = 'small ring' GROUP BY p_brand")
 def _(s: Source):
     aliases = s.part.select(F.col("p_name").alias("value"), F.col("p_brand").alias("target"), F.when(F.col("p_size") < 10, "target_missing").otherwise("resolved").alias("state"))

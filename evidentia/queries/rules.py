@@ -125,12 +125,35 @@ def _(s: Source):
 FAMILIES = {"click": "calls", "view": "reads", "purchase": "writes", "signup": "registers"}
 
 
-@query("r7_r9_proposals", f"WITH {F_} SELECT DISTINCT concat('part:', p_partkey) AS target, concat('user:', scope_id) AS source FROM f JOIN part ON p_partkey = CAST(k AS BIGINT) WHERE kind = 'purchase'", "facts")
+PURCHASES = f"""WITH {F_}, m AS (SELECT fact_id, k, scope_id, CASE WHEN value >= 5 THEN CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS amount, CASE WHEN confidence < 2 THEN 'derived' ELSE 'possible' END AS c FROM f WHERE kind = 'purchase')"""
+
+
+def purchases(s: Source):
+    rule = {"rule_id": "buys", "clauses": [fact("a", "purchase")], "captures": [{"name": "part", "value": "a.k", "cardinality": "one"}, {"name": "user", "value": "a.user", "cardinality": "one"}, {"name": "amount", "value": "a.amount", "cardinality": "optional"}, {"name": "amounts", "value": "a.amount", "cardinality": "bounded_many"}]}
+    return R.compile_pack({"pack_id": "own", "rules": [rule]})
+
+
+@query("p6_captures", PURCHASES + " SELECT CAST(fact_id AS VARCHAR) AS match_key, concat('part=', k, ';user=', scope_id, ';amount=', coalesce(amount, ''), ';amounts=[', coalesce(amount, ''), ']') AS captures FROM m", "facts")
+def _(s: Source):
+    return R.run_pack(purchases(s), facts(s), COVERAGE).select("match_key", "captures")
+
+
+@query("r7_outputs", PURCHASES + " SELECT 'bought' AS output_id, CAST(fact_id AS VARCHAR) AS match_key, concat('item=', k, ';who=', scope_id) AS asserted, c AS confidence FROM m UNION ALL SELECT 'buys', CAST(fact_id AS VARCHAR), concat(scope_id, '>', k), 'possible' FROM m", "facts")
+def _(s: Source):
+    outputs = [{"output_id": "bought", "entity": "purchase", "key": {"who": "user", "item": "part"}}, {"output_id": "buys", "relation": "buys", "source": "user", "target": "part", "confidence": "possible"}]
+    entities, relations = R.assertions(purchases(s), "buys", facts(s), COVERAGE, outputs)
+    key = F.concat(F.lit("item="), F.col("key")["item"], F.lit(";who="), F.col("key")["who"])
+    return entities.select("output_id", "match_key", key.alias("asserted"), "confidence").unionByName(relations.select("output_id", "match_key", F.concat_ws(">", "source", "target").alias("asserted"), "confidence"))
+
+
+@query("r7_r9_proposals", PURCHASES + """, b AS (SELECT CAST(c_custkey AS VARCHAR) AS v, concat('customer:', c_custkey) AS n FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT CAST(c_custkey AS VARCHAR), concat('twin:', c_custkey) FROM customer WHERE c_custkey % 7 = 1), src AS (SELECT v, min(n) AS n, count(*) AS k FROM b GROUP BY v)
+    SELECT CAST(fact_id AS VARCHAR) AS match_key, CASE WHEN state = 'bound' THEN s END AS src, CASE WHEN state = 'bound' THEN d END AS dst, state FROM (SELECT m.fact_id, src.n AS s, concat('part:', p_partkey) AS d, CASE WHEN src.n IS NULL THEN 'source_unbound' WHEN p_partkey IS NULL THEN 'target_unbound' WHEN src.k > 1 THEN 'ambiguous' ELSE 'bound' END AS state FROM m LEFT JOIN src ON src.v = CAST(m.scope_id AS VARCHAR) LEFT JOIN part ON p_partkey = CAST(m.k AS BIGINT))""", "facts")
 def _(s: Source):
-    p = pack("buys", [fact("a", "purchase")], {"part": "a.k", "user": "a.user"})
-    m = run(s, p).select(F.split("captures", ";").alias("c"))
-    ends = m.select(F.concat(F.lit("part:"), F.split(F.col("c")[0], "=")[1]).alias("target"), F.concat(F.lit("user:"), F.split(F.col("c")[1], "=")[1]).alias("source"))
-    return ends.join(s.nodes.where("kind = 'part'").select(F.col("node_id").alias("target")), "target").select("target", "source").distinct()
+    _, relations = R.assertions(purchases(s), "buys", facts(s), COVERAGE, [{"output_id": "buys", "relation": "buys", "source": "user", "target": "part"}])
+    end = lambda df, side, k, prefix: df.select(F.lit("buys").alias("relation"), F.lit(side).alias("side"), F.col(k).cast("string").alias("value"), F.concat(F.lit(prefix), k).alias("node_id"))
+    customers = s.customer.where("c_custkey % 3 > 0")
+    bindings = end(customers, "source", "c_custkey", "customer:").unionByName(end(s.customer.where("c_custkey % 7 = 1"), "source", "c_custkey", "twin:")).unionByName(end(s.part, "target", "p_partkey", "part:"))
+    return R.bind_endpoints(relations, bindings).select("match_key", "src", "dst", "state")
 
 
 # orders as calls, their lines as ordered arguments; every eleventh line is not a literal, every seventh call lacks its first line
