@@ -232,3 +232,22 @@ def update_snapshot(old: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
     after = old.join(told.select("key", "outcome", F.col("digest").alias("new")), "key", "full").join(F.broadcast(failed))
     kept = after.select("key", F.when(F.col("any") > 0, F.col("digest")).when(F.col("outcome").isin("add", "update"), F.col("new")).when(F.col("outcome") == "remove", None).otherwise(F.col("digest")).alias("digest"))
     return told.select("key", "outcome"), kept.where(F.col("digest").isNotNull())
+
+
+def classify(elements: DataFrame, types: DataFrame, classes: DataFrame, depth: int = 32) -> DataFrame:
+    """(element, class, via) of elements (element, type): the class of its type or of the nearest type that it extends (type, base); via is that type.
+
+    unclassified where the chain ends without one, unknown_type where it leaves the
+    schema, cyclic_type where it comes back or goes on beyond ``depth``.
+    """
+    chain = types.join(classes.select("type", "class"), "type", "left")
+    state = elements.select("element", F.col("type").alias("at"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("via"))
+    done = None
+    for _ in range(depth):
+        step = keep(state.drop("class", "via").join(chain.select(F.col("type").alias("at"), "base", "class", F.lit(True).alias("known")), "at", "left"))
+        ended = step.where("known is null or class is not null or base is null").select("element", F.when(F.col("known").isNull(), "unknown_type").otherwise(F.coalesce("class", F.lit("unclassified"))).alias("class"), F.when(F.col("class").isNotNull(), F.col("at")).alias("via"))
+        done = ended if done is None else done.unionByName(ended)
+        state = step.where("known and class is null and base is not null").select("element", F.col("base").alias("at"), "class", F.lit(None).cast("string").alias("via"))
+        if state.isEmpty():
+            return done
+    return done.unionByName(state.select("element", F.lit("cyclic_type").alias("class"), "via"))

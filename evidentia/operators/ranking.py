@@ -171,3 +171,14 @@ def witness_budget(counts: Sequence[Column]) -> Column:
         product = (product * c.cast("decimal(12,0)")).cast("decimal(38,0)")
         total = (total + product * F.lit(3 * k).cast("decimal(6,0)")).cast("decimal(38,0)")
     return total
+
+
+def next_members(rows: DataFrame, key: str, weight: Column, most: int, most_bytes: int, after: object = None) -> tuple[DataFrame, object, bool]:
+    """The next members in the order of a unique key after a cursor, at most ``most`` and no more than ``most_bytes`` (but for one that is larger on its own), the cursor behind them, and whether more follow."""
+    rest = rows if after is None else rows.where(F.col(key) > F.lit(after))
+    head = rest.withColumn("bytes", weight.cast("long")).orderBy(key).limit(most + 1)
+    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)  # over at most ``most`` + 1 rows
+    placed = keep(head.withColumn("total", F.sum("bytes").over(w)).withColumn("r", F.row_number().over(Window.orderBy(key))))
+    chosen = placed.where((F.col("r") <= most) & ((F.col("total") <= most_bytes) | (F.col("r") == 1))).drop("r")
+    last = chosen.agg(F.max(key).alias("k"), F.count(F.lit(1)).alias("n")).collect()[0]
+    return chosen, last["k"] if last["n"] else after, placed.count() > last["n"]

@@ -587,3 +587,43 @@ def _(s: Source):
     rows = hits.select(F.lit("hit").alias("case"), "lane", F.col("record_key").cast("long").alias("record_key"), "band")
     return rows.unionByName(s.spark.createDataFrame(states, "`case` string, lane string, record_key long, band int"))
 
+
+@query("s6_schema_components", """WITH p AS (SELECT p_partkey AS doc, p_brand, p_type, p_size FROM part) SELECT doc, 'element' AS component, concat('E', doc) AS name, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS VARCHAR) AS owner FROM p UNION ALL SELECT doc, 'attribute', p_brand, p_type, concat('E', doc) FROM p UNION ALL SELECT doc, 'element', concat('inner', p_size), 'xs:string', concat('E', doc) FROM p UNION ALL SELECT doc, 'type', concat('T', p_size), NULL, NULL FROM p""")
+def _(s: Source):
+    c = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    text = c('<xs:schema><xs:element name="E', F.col("p_partkey"), '"><xs:complexType><xs:sequence><xs:element name="inner', F.col("p_size"), '" type="xs:string"/></xs:sequence><xs:attribute name="', F.col("p_brand"), '" type="', F.col("p_type"), '"/></xs:complexType></xs:element><xs:simpleType name="T', F.col("p_size"), '"/></xs:schema>')
+    return Text.schema_components(s.part.select(F.col("p_partkey").alias("doc"), text.alias("text")), "doc", "text").select("doc", "component", "name", "type", "owner")
+
+
+@query("s15_member_cursor", "WITH p AS (SELECT p_partkey AS k, strlen(p_name) AS n, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part), g AS (SELECT r // 5000 AS page, count(*) AS members, sum(n) AS bytes, max(k) AS cursor FROM p GROUP BY ALL) SELECT page AS round, members, CAST(bytes AS BIGINT) AS bytes, cursor FROM g")
+def _(s: Source):  # rounds of a cursor up to the end
+    rows, cursor, more = [], None, True
+    while more:
+        page, cursor, more = R.next_members(s.part, "p_partkey", F.octet_length("p_name"), 5000, 1 << 40, cursor)
+        told = page.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).collect()[0]
+        rows.append((len(rows), told["n"], told["b"], cursor))
+    return s.spark.createDataFrame(rows, "round long, members long, bytes long, cursor long")
+
+
+@query("s16_canonical_sink", """SELECT event_id, concat('{"at":{"k":', json_extract_string(props, '$.k'), ',"user":', user_id, '},"type":"', event_type, '"}') AS json FROM events""")
+def _(s: Source):
+    json = S.nested_json({"type": F.col("event_type"), "at": {"user": F.col("user_id"), "k": F.get_json_object("props", "$.k").cast("long")}})
+    return s.events.select("event_id", json.alias("json"))
+
+
+@query("d12_classes", """WITH RECURSIVE t AS (SELECT concat('t', n_nationkey) AS type, CASE WHEN n_nationkey % 6 <> 0 THEN concat('t', (n_nationkey * 5 + 3) % 28) END AS base, CASE WHEN n_nationkey % 9 = 4 THEN 'frame' WHEN n_nationkey % 9 = 7 THEN 'template' END AS class FROM nation),
+    w(element, here, depth) AS (SELECT c_custkey, concat('t', c_custkey % 30), 0 FROM customer UNION ALL SELECT w.element, t.base, w.depth + 1 FROM w JOIN t ON t.type = w.here WHERE t.class IS NULL AND t.base IS NOT NULL AND w.depth < 32),
+    e AS (SELECT w.element, w.depth, t.type, t.class, t.base FROM w LEFT JOIN t ON t.type = w.here QUALIFY row_number() OVER (PARTITION BY w.element ORDER BY w.depth DESC) = 1)
+    SELECT element, CASE WHEN depth = 32 THEN 'cyclic_type' WHEN type IS NULL THEN 'unknown_type' ELSE coalesce(class, 'unclassified') END AS class, CASE WHEN depth < 32 AND class IS NOT NULL THEN type END AS via FROM e""")
+def _(s: Source):
+    k = F.col("n_nationkey")
+    types = s.nation.select(F.concat(F.lit("t"), k).alias("type"), F.when(k % 6 != 0, F.concat(F.lit("t"), (k * 5 + 3) % 28)).alias("base"))
+    classes = s.nation.select(F.concat(F.lit("t"), k).alias("type"), F.when(k % 9 == 4, "frame").when(k % 9 == 7, "template").alias("class")).where("class is not null")
+    return D.classify(s.customer.select(F.col("c_custkey").alias("element"), F.concat(F.lit("t"), F.col("c_custkey") % 30).alias("type")), types, classes)
+
+
+@query("d16_inline_bodies", """WITH p AS (SELECT page_id, string_split(html, '<script>') AS parts FROM pages), u AS (SELECT page_id, unnest(generate_series(2, len(parts))) AS i, parts FROM p)
+    SELECT page_id, CAST(i - 2 AS INTEGER) AS ordinal, split_part(parts[i], '</script>', 1) AS body, CAST(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))) + (i - 1) * 8 AS BIGINT) AS shift, CAST(strlen(split_part(parts[i], '</script>', 1)) AS BIGINT) AS length FROM u""")
+def _(s: Source):
+    return Text.inline_bodies(s.pages, "page_id", "html", "script")
+

@@ -379,12 +379,6 @@ def _(s: Source):  # every element inherits from one other
     return D.inheritance_cycles(edges).select("cycle", "members")
 
 
-@query("d12_classes", "SELECT p_type AS element, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 'frame' WHEN p_type = 'PROMO' THEN 'template' ELSE 'unclassified' END AS class, count(*) AS n FROM part GROUP BY p_type")
-def _(s: Source):
-    classes = s.spark.createDataFrame([("ECONOMY", "frame"), ("STANDARD", "frame"), ("PROMO", "template")], "element string, class string")
-    return s.part.groupBy(F.col("p_type").alias("element")).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(classes), "element", "left").select("element", F.coalesce("class", F.lit("unclassified")).alias("class"), "n")
-
-
 @query("d15_excerpts")
 def _(s: Source):  # whole texts of all languages: bytes 10 to 30, moved to the borders of characters, checked by the text's digest
     return D.excerpts(s.documents.select("doc_id", "text", F.sha2("text", 256).alias("digest")), 10, 30)

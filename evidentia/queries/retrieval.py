@@ -320,11 +320,6 @@ def _(s: Source):
     return doc.select("event_id", F.from_json("doc", "name string, target bigint").alias("d")).select("event_id", "d.name", "d.target")
 
 
-@query("s16_canonical_sink", """SELECT event_id, concat('{"k":', json_extract_string(props, '$.k'), ',"type":"', event_type, '"}') AS json FROM events""")
-def _(s: Source):
-    return s.events.select("event_id", S.canonical_json(type=F.col("event_type"), k=F.get_json_object("props", "$.k").cast("long")).alias("json"))
-
-
 @query("n1_stubs", "SELECT api, concat('---@class A', api, chr(10), string_agg(concat('---@field a', position, ' ', original_type, CASE WHEN nilable THEN '?' ELSE '' END), chr(10) ORDER BY position)) AS stub FROM members GROUP BY api", "members")
 def _(s: Source):
     return N.stubs(s.members)

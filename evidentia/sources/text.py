@@ -82,13 +82,13 @@ _ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
 
 
 def elements(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Start tags of each document: ordinal, tag, depth by open tags, attributes as JSON, byte range."""
+    """Start tags of each document: ordinal, tag, depth by open tags, the ordinal of the element around (parent), attributes as JSON, byte range, and role: empty for `<a/>`, else open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                value, n, open_tags = value or "", 0, []
+                value, n, open_tags, around = value or "", 0, [], []
                 at = bytes_at = 0
                 for m in _TAG.finditer(value):
                     bytes_at += len(value[at : m.start()].encode())
@@ -98,19 +98,50 @@ def elements(documents: DataFrame, key: str, text: str) -> DataFrame:
                     tag = m[2].lower()
                     if m[1]:
                         if tag in open_tags:
-                            del open_tags[len(open_tags) - 1 - open_tags[::-1].index(tag) :]
+                            last = len(open_tags) - 1 - open_tags[::-1].index(tag)
+                            del open_tags[last:], around[last:]
                         continue
                     attributes = {a: b or c for a, b, c in _ATTRIBUTE.findall(m[3])}
-                    rows.append((doc, n, tag, len(open_tags), json.dumps(attributes, sort_keys=True), bytes_at, bytes_at + len(m[0].encode())))
-                    n += 1
+                    rows.append((doc, n, tag, len(open_tags), json.dumps(attributes, sort_keys=True), bytes_at, bytes_at + len(m[0].encode()), around[-1] if around else None, "empty" if m[3].endswith("/") else "open"))
                     if not m[3].endswith("/"):
                         open_tags.append(tag)
-            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "ordinal", "tag", "depth", "attributes", "byte_start", "byte_end"])
+                        around.append(n)
+                    n += 1
+            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "ordinal", "tag", "depth", "attributes", "byte_start", "byte_end", "parent", "role"])
 
     kind = dict(documents.dtypes)[key]
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, ordinal int, tag string, depth int, attributes string, byte_start long, byte_end long")
+    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, ordinal int, tag string, depth int, attributes string, byte_start long, byte_end long, parent int, role string")
+
+
+# fixed values: components of a schema, by their tag without a prefix
+COMPONENTS = {"element": "element", "complextype": "type", "simpletype": "type", "attribute": "attribute", "group": "group", "attributegroup": "group"}
+
+
+def schema_components(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, ordinal, component, name, type, owner) of the named components of schema documents, in order; the owner is the nearest named component around, type the one that is named or extended."""
+    every = elements(documents, key, text).withColumn("local", F.element_at(F.split("tag", ":"), -1))
+    get = lambda name: F.get_json_object("attributes", f"$.{name}")
+    kinds = F.create_map(*[F.lit(x) for pair in COMPONENTS.items() for x in pair])
+    rows = every.select(key, "ordinal", "parent", kinds[F.col("local")].alias("component"), get("name").alias("name"), F.coalesce(get("type"), get("ref"), get("base")).alias("type"))
+    # the nearest named component around: anonymous elements hand their parent on, a level a round
+    named = rows.where("component is not null and name is not null")
+    link = rows.select(key, F.col("ordinal").alias("parent"), F.when(F.col("component").isNotNull(), F.col("name")).alias("up"), F.col("parent").alias("further"))
+    step = named.withColumn("owner", F.lit(None).cast("string"))
+    for _ in range(4):  # schema, content model and particles between two named components
+        step = step.join(link, [key, "parent"], "left").select(key, "ordinal", "component", "name", "type", F.coalesce("owner", "up").alias("owner"), F.when(F.coalesce("owner", "up").isNull(), F.col("further")).alias("parent"))
+    return step.drop("parent")
+
+
+def inline_bodies(documents: DataFrame, key: str, text: str, tag: str) -> DataFrame:
+    """(key, ordinal, body, shift, length) of the bodies of one kind of element, each a unit of its own: byte ``i`` of a unit is byte ``shift + i`` of its document, as long as i < length."""
+    pieces = F.posexplode(F.slice(F.split(text, f"<{tag}>", -1), 2, 1 << 30)).alias("ordinal", "piece")
+    starts = F.transform(F.split(text, f"<{tag}>", -1), F.octet_length)
+    rows = documents.select(key, starts.alias("sizes"), pieces)
+    body = F.substring_index("piece", f"</{tag}>", 1)
+    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("ordinal") + 1), F.lit(0).cast("long"), lambda a, n: a + n)
+    return rows.select(key, "ordinal", body.alias("body"), (before + (F.col("ordinal") + 1) * (len(tag) + 2)).alias("shift"), F.octet_length(body).cast("long").alias("length"))
 
 
 SECTIONS = {"Functions": "function", "Events": "event", "Tables": "table"}
