@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia import catalog
-from evidentia.operators import ranking
+from evidentia.operators import ranking, storage
 
 TEXTS = [(1, "short one\n\n## m\n# c\nfile"), (2, "\n".join(f"Long line {i} of thé text" for i in range(120))), (3, ""), (4, "x " * 900)]
 
@@ -35,7 +35,9 @@ def test_long_texts(spark, folder):
 
 
 def test_all_ids(spark, folder):
-    assert rows(spark, folder, "v9_recovery_scan") == [(p, "orphan") for p in range(1101, 1200)]
+    part, lines = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("part", "lineitem"))
+    found = storage.unreferenced(part, "p_partkey", lines.select(F.col("l_partkey").alias("p_partkey")))
+    assert sorted(r.p_partkey for r in found.collect()) == list(range(1101, 1200))
     assert len(rows(spark, folder, "d8_load_units")) == spark.read.parquet(f"{folder}/lineitem.parquet").count()
     pages = rows(spark, folder, "k6_page_fixpoint")
     assert pages == [(p, (n := sum(len(f"part {i}") for i in range(10 * p + 1, min(1200, 10 * p + 11)))) + (2 if n + 2 < 100 else 3)) for p in range(120)]
