@@ -48,11 +48,17 @@ def incident(edges: DataFrame, direction: str) -> DataFrame:
     return back if direction == "in" else out.unionByName(back.where("src <> dst"))
 
 
-def neighbors(edges: DataFrame, queries: DataFrame, relations: Sequence[str], direction: str = "out", most: int = 10_000, ceiling: int = CANDIDATE) -> DataFrame:
-    """Edges at each queried node in edge-id order, at most ``most`` a node, with how many matched: all queries in one pass over the edges."""
-    seen = incident(edges.where(F.col("relation").isin(*relations) & (F.col("confidence") <= ceiling)), direction)
+def neighbors(edges: DataFrame, queries: DataFrame | Sequence[str], relations: Sequence[str], direction: str = "out", most: int = 10_000, ceiling: int = CANDIDATE) -> DataFrame:
+    """Edges at each queried node in edge-id order, at most ``most`` a node, with how many matched: all queries in one pass over the edges.
+
+    Ids that the request itself lists become a filter, which Catalyst takes below whatever
+    makes the edges, so that only their rows are aggregated; a table of queries is joined.
+    """
+    listed = not isinstance(queries, DataFrame)
+    seen = incident(edges.where(F.col("relation").isin(*relations)), direction)
     by_query = Window.partitionBy("at").orderBy("edge_id")
-    rows = seen.join(queries.select(F.col("node_id").alias("at")).distinct(), "at")
+    rows = seen.where(F.col("at").isin(*queries)) if listed else seen.join(queries.select(F.col("node_id").alias("at")).distinct(), "at")
+    rows = rows.where(F.col("confidence") <= ceiling)
     # counts by partial aggregation, and a rank that Spark limits before the shuffle: a hub's edges don't meet in one task
     kept = rows.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= most)
     matched = rows.groupBy("at").agg(F.count(F.lit(1)).alias("matched"))

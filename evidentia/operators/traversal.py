@@ -18,6 +18,7 @@ from evidentia.operators.graph import CANDIDATE, DERIVED
 from evidentia.shared import keep
 
 OUT, IN, BOTH = "out", "in", "both"
+LISTED = 1_000  # nodes of a level that are named in a filter
 REASONS = ("depth", "nodes", "edges", "expansions", "output_bytes")
 
 
@@ -111,7 +112,9 @@ def subgraph(nodes: DataFrame, edges: DataFrame, roots: Sequence[str], direction
             if not level.join(hops, level.node_id == hops.at).isEmpty():
                 truncations.add("expansions")
             break
-        step = level.select(F.col("node_id").alias("at"), "place").join(hops, "at").orderBy("place", "edge_id").limit(left + 1)
+        front = [r["node_id"] for r in level.select("node_id").limit(LISTED + 1).collect()]
+        near = hops.where(F.col("at").isin(*front)) if len(front) <= LISTED else hops  # a filter goes below what makes the edges
+        step = level.select(F.col("node_id").alias("at"), "place").join(near, "at").orderBy("place", "edge_id").limit(left + 1)
         step = step.join(seen.select(F.col("node_id").alias("to"), F.lit(True).alias("old")), "to", "left").join(kept.select("edge_id", F.lit(True).alias("had")), "edge_id", "left")
         step = step.withColumn("r", F.row_number().over(everything))
         first_edge = F.row_number().over(Window.partitionBy("edge_id").orderBy("r")) == 1

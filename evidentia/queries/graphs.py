@@ -26,15 +26,13 @@ def _(s: Source):
 
 @query("g2_neighbors", """SELECT e.edge_id, e.dst AS adjacent, 'partial' AS state, false AS absence_authoritative FROM edges e WHERE e.relation IN ('owns', 'uses') AND e.src IN ('customer:1', 'customer:7', 'order:12')""", "edges")
 def _(s: Source):
-    asked = s.spark.createDataFrame([("customer:1",), ("customer:7",), ("order:12",)], "node_id string")
-    rows = G.neighbors(s.edges, asked, ("owns", "uses"))
+    rows = G.neighbors(s.edges, ["customer:1", "customer:7", "order:12"], ("owns", "uses"))
     return rows.join(F.broadcast(G.fold_states(s.coverage, ["owns", "uses"]))).select("edge_id", F.col("to").alias("adjacent"), "state", "absence_authoritative")
 
 
 @query("g3_neighbors_counted", """SELECT node_id, edge_id, n AS matched, n > 3 AS truncated FROM (SELECT dst AS node_id, edge_id, count(*) OVER (PARTITION BY dst) AS n, row_number() OVER (PARTITION BY dst ORDER BY edge_id) AS r FROM edges WHERE relation = 'supplied_by' AND confidence <= 1 AND dst IN ('supplier:1', 'supplier:2')) WHERE r <= 3""", "edges")
 def _(s: Source):
-    asked = s.spark.createDataFrame([("supplier:1",), ("supplier:2",)], "node_id string")
-    return G.neighbors(s.edges, asked, ("supplied_by",), "in", most=3, ceiling=G.DERIVED).select(F.col("at").alias("node_id"), "edge_id", "matched", "truncated")
+    return G.neighbors(s.edges, ["supplier:1", "supplier:2"], ("supplied_by",), "in", most=3, ceiling=G.DERIVED).select(F.col("at").alias("node_id"), "edge_id", "matched", "truncated")
 
 
 @query("g4_batched_neighbors", "SELECT node_id, edge_id FROM (SELECT src AS node_id, edge_id, row_number() OVER (PARTITION BY src ORDER BY edge_id) AS r FROM edges WHERE relation = 'owns') WHERE r <= 2", "edges")
