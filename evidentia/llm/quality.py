@@ -16,8 +16,11 @@ Learning looks at no more than ``max_labelled`` labelled documents; scoring
 covers every document and the whole of each text.
 
 Cases: a null or empty text has all measures 0 and gets the score of those; a
-null id is kept; repeated rows are scored alike; without labels every score is
-0.5, with one class only that class's smoothed share; other columns are ignored.
+very long text is measured whole; a null id is kept; repeated rows and equal texts
+are scored alike, and learnt from once; of rows with one id the smallest text is
+learnt from; without labels every score is 0.5, with one class only that class's
+smoothed share; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -17,8 +17,10 @@ Hashes are of 64 bits (anchors, which only select, 40 bits).
 
 Cases: null and empty texts, and texts below 13 words, lose nothing; rows with
 the same doc_id are one document for the question who is smaller, so they don't
-remove each other's words; a null id is larger than all others; an empty table
-gives no rows; other columns are carried by ``dedup`` and ignored by ``digests``.
+remove each other's words, and repeated rows are treated alike; a null id is larger
+than all others; very long texts are read whole, in slices; an empty table gives no
+rows; other columns, whatever their names, are carried by ``dedup`` and ignored by
+``digests``.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 
 from evidentia.llm.blocks import by_range, flags, load, pack, range_bounds, ranges, to_blocks, unpack, with_blocks
 from evidentia.shared import keep
-from evidentia.llm.textblocks import WordSlice, window_hash, word_slices
+from evidentia.llm.textblocks import window_hash, word_slices
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
