@@ -65,6 +65,27 @@ def neighbors(edges: DataFrame, queries: DataFrame | Sequence[str], relations: S
     return kept.join(matched, "at").withColumn("truncated", F.col("matched") > most)
 
 
+def counted_neighbors(edges: DataFrame, ids: Sequence[str], relations: Sequence[str], direction: str = "out", ceiling: int = CANDIDATE, most: int = 10_000, most_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """Edges (node_id, edge_id, bytes) at the listed nodes in edge-id order within both budgets, and of each node how many were scanned, matched and omitted, and why: edges, output_bytes or nothing.
+
+    The budgets hold for each node; the first edge that would break one ends its list.
+    An edge costs the bytes of its id, ends and relation.
+    """
+    asked = edges.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], "node_id string")
+    at = incident(edges, direction).where(F.col("at").isin(*ids)).select(F.col("at").alias("node_id"), "edge_id", "relation", "confidence", F.octet_length(F.concat("edge_id", "src", "dst", "relation")).cast("long").alias("cost"))
+    fits = F.col("relation").isin(*relations) & (F.col("confidence") <= ceiling)
+    ranked = at.where(fits).withColumn("rank", F.row_number().over(Window.partitionBy("node_id").orderBy("edge_id"))).where(F.col("rank") <= most + 1)
+    spent = F.sum("cost").over(Window.partitionBy("node_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))  # over at most ``most`` + 1 rows a node
+    kept = ranked.withColumn("bytes", spent).where((F.col("rank") <= most) & (F.col("bytes") <= most_bytes)).select("node_id", "edge_id", "bytes")
+    totals = at.groupBy("node_id").agg(F.count(F.lit(1)).alias("scanned"), F.count_if(fits).alias("matched"))
+    given = kept.groupBy("node_id").agg(F.count(F.lit(1)).alias("given"))
+    rows = asked.join(totals, "node_id", "left").join(given, "node_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    omitted = n("matched") - n("given")
+    reason = F.when(omitted == 0, "").when(n("given") == most, "edges").otherwise("output_bytes")
+    return kept, rows.select("node_id", n("scanned").alias("scanned"), n("matched").alias("matched"), omitted.alias("omitted"), reason.alias("reason"))
+
+
 def subgraph(edges: DataFrame, roots: DataFrame, relations: Sequence[str], direction: str = "out", depth: int = 4) -> DataFrame:
     """(node_id, depth, edge_id): shortest depth from any root, and the edge that discovers the node first.
 

@@ -35,6 +35,30 @@ def _(s: Source):
     return G.neighbors(s.edges, ["supplier:1", "supplier:2"], ("supplied_by",), "in", most=3, ceiling=G.DERIVED).select(F.col("at").alias("node_id"), "edge_id", "matched", "truncated")
 
 
+BUDGETED = "e AS (SELECT dst AS node_id, edge_id, relation = 'supplied_by' AND confidence <= 1 AS fits, strlen(edge_id) + strlen(src) + strlen(dst) + strlen(relation) AS cost FROM edges WHERE dst IN ('supplier:1', 'supplier:2', 'nation:3')), k AS (SELECT node_id, edge_id, row_number() OVER w AS r, CAST(sum(cost) OVER w AS BIGINT) AS bytes FROM e WHERE fits WINDOW w AS (PARTITION BY node_id ORDER BY edge_id)), g AS (SELECT * FROM k WHERE r <= 12 AND bytes <= {bytes})"
+
+
+def budgeted_sql(most_bytes: int) -> str:
+    return "WITH " + BUDGETED.replace("{bytes}", str(most_bytes)) + """, t AS (SELECT n.node_id, (SELECT count(*) FROM e WHERE e.node_id = n.node_id) AS scanned, (SELECT count(*) FROM e WHERE e.node_id = n.node_id AND fits) AS matched, (SELECT count(*) FROM g WHERE g.node_id = n.node_id) AS given FROM (VALUES ('supplier:1'), ('supplier:2'), ('nation:3'), ('none')) AS n(node_id))
+    SELECT node_id, edge_id, bytes, CAST(NULL AS BIGINT) AS scanned, CAST(NULL AS BIGINT) AS matched, CAST(NULL AS BIGINT) AS omitted, 'edge' AS reason FROM g UNION ALL SELECT node_id, NULL, NULL, scanned, matched, matched - given, CASE WHEN matched = given THEN '' WHEN given = 12 THEN 'edges' ELSE 'output_bytes' END FROM t"""
+
+
+def budgeted(s: Source, most_bytes: int):
+    kept, told = G.counted_neighbors(s.edges, ["supplier:1", "supplier:2", "nation:3", "none"], ("supplied_by",), "in", G.DERIVED, 12, most_bytes)
+    rows = kept.select("*", *[F.lit(None).cast("long").alias(c) for c in ("scanned", "matched", "omitted")], F.lit("edge").alias("reason"))
+    return rows.unionByName(told.select("node_id", F.lit(None).cast("string").alias("edge_id"), F.lit(None).cast("long").alias("bytes"), "scanned", "matched", "omitted", "reason"))
+
+
+@query("g3_edge_budget", budgeted_sql(1_000_000), "edges")
+def _(s: Source):
+    return budgeted(s, 1_000_000)
+
+
+@query("g3_byte_budget", budgeted_sql(300), "edges")
+def _(s: Source):
+    return budgeted(s, 300)
+
+
 @query("g4_batched_neighbors", "SELECT node_id, edge_id FROM (SELECT src AS node_id, edge_id, row_number() OVER (PARTITION BY src ORDER BY edge_id) AS r FROM edges WHERE relation = 'owns') WHERE r <= 2", "edges")
 def _(s: Source):
     asked = s.nodes.where("kind = 'customer'").select("node_id")
