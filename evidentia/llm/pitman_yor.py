@@ -54,7 +54,7 @@ from evidentia.llm.blocks import light, load, pack, range_bounds, ranges, to_blo
 from evidentia.shared import keep, release
 from evidentia.llm.textblocks import crc_mod, mix, word_slices
 
-ROUNDS, SAMPLES, STEPS, TOLERANCE = 20, 2, 16, 5e-3
+ROUNDS, SAMPLES, STEPS, TOLERANCE = 20, 3, 16, 1e-2
 CONTEXTS = 1 << 15  # restaurants of the seating test only: the model has one for each context
 STRENGTH0 = STRENGTH1 = 1.0
 HEAVY_SHARE, SAMPLE_BLOCKS = 1e-3, 4
