@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import ann, bpe, decontaminate, html_extract, ngram_join, pitman_yor, quality, substrings, toxicity, warc
+from evidentia.llm import ann, bpe, decontaminate, html_extract, ngram_join, pieces, pitman_yor, quality, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op13_merge_round_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
     "op2_additive_quality": op2_additive_quality,
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tree_scoring_extraction": op8_tree_scoring_extraction,
     "op9_difference_cover_substrings": op9_difference_cover_substrings,
     "op10_bpe_transducer": op10_bpe_transducer,
+    "op13_merge_round_pieces": op13_merge_round_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {

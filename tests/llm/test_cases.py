@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evidentia.llm import bpe, decontaminate, ngram_join, pitman_yor, quality, queries, substrings, toxicity, warc
+from evidentia.llm import bpe, decontaminate, ngram_join, pieces, pitman_yor, quality, queries, substrings, toxicity, warc
 
 OWN = "node bid p path payload score y held_out predicted n root home spot group keys marks word offset folded w docs d last x v list cell cells lists copies vector digest refers_to first again archive stretch".split()
 LONG = " ".join(f"w{i % 5003}" for i in range(120_000))
@@ -30,6 +30,7 @@ def each(documents, labels, items):
     yield "op7", toxicity.classify(documents, labels), len(ROWS)
     yield "op9", substrings.digests(documents), len(ROWS)
     yield "op10", bpe.encode_decode(documents), len(ROWS)
+    yield "op13", pieces.encode_decode(documents), len(ROWS)
 
 
 def test_every_row_is_answered(spark, documents, labels):
@@ -93,5 +94,5 @@ def test_warc_columns_and_repeats(spark, tmp_path):
     assert got == sorted([("1", "response", None, 303), ("1", "response", None, 303), ("2", "revisit", 1, 303), ("None", "revisit", 1, 303), ("3", "response", None, 0), ("4", "response", None, 2_000_000)])
 
 
-def test_queries_are_the_ten():
-    assert len(queries.QUERIES) == 10
+def test_one_query_for_each_operator():
+    assert [name.split("_")[0] for name in queries.QUERIES] == [f"op{n}" for n in range(1, len(queries.QUERIES) + 1)]
