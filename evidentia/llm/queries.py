@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import ann, bpe, decontaminate, html_extract, ngram_join, pieces, pitman_yor, quality, spelling, substrings, toxicity, warc
+from evidentia.llm import ann, bpe, conversations, decontaminate, html_extract, ngram_join, pieces, pitman_yor, quality, spelling, substrings, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op11_lazy_determinised_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op12_range_reporting_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tree_scoring_extraction": op8_tree_scoring_extraction,
     "op9_difference_cover_substrings": op9_difference_cover_substrings,
     "op10_bpe_transducer": op10_bpe_transducer,
+    "op11_lazy_determinised_repair": op11_lazy_determinised_repair,
     "op12_range_reporting_variants": op12_range_reporting_variants,
     "op13_merge_round_pieces": op13_merge_round_pieces,
 }
