@@ -129,16 +129,22 @@ def check(clauses: Sequence[Mapping], outer: set[str], needed: dict[str, set[str
 class Evaluation:
     """Evaluation of one rule over a table of facts."""
 
-    def __init__(self, facts: DataFrame, coverage: Mapping[str, str], needed: Mapping[str, set[str]]):
-        self.facts, self.coverage, self.needed = facts, coverage, needed
+    def __init__(self, facts: DataFrame, coverage: Mapping[str, str], needed: Mapping[str, set[str]], bundle: str | None = None, crossed: bool = False):
+        """``bundle``: a column of the facts within whose values alone facts are combined; ``crossed``: facts may go unconnected, as a budget bounds their product."""
+        self.facts, self.coverage, self.needed, self.bundle, self.crossed = facts, coverage, needed, bundle, crossed
+
+    def of_kind(self, kind: str) -> DataFrame:
+        return self.facts.where(F.col("kind") == kind)
 
     def scan(self, alias: str, kind: str, filters: Sequence[tuple[str, Mapping]]) -> DataFrame:
-        f = self.facts.where(F.col("kind") == kind)
+        f = self.of_kind(kind)
         for name, body in filters:
             value = F.col("fields")[split_field(body["field"])[1]]
             wanted = [body["literal"]] if name == "field_eq" else body["literals"]
             f = f.where(value.isNotNull() & reduce(Column.__or__, [value == typed(*w) for w in wanted]))
         carried = [F.col("fields")[name].alias(f"{alias}.{name}") for name in sorted(self.needed.get(alias, ()))]
+        if self.bundle:
+            carried.append(F.col(self.bundle).alias(f"{alias}!b"))
         return f.select(F.col("fact_id").alias(f"{alias}!id"), F.col("scope_kind").alias(f"{alias}!sk"), F.col("scope_id").alias(f"{alias}!s"), (F.col("confidence") < POSSIBLE).alias(f"{alias}!x"), *carried)
 
     def condition(self, kind: str, body: Mapping) -> Column:
@@ -168,8 +174,9 @@ class Evaluation:
                 pick = waiting[0]
             else:
                 pick = next((s for s in waiting if any(s["alias"] in al and al - {s["alias"]} <= set(bound) and (k == "join" or k == "same_scope") for k, _, al in links)), None)
-                if pick is None:
+                if pick is None and not self.crossed:
                     raise Unconnected(waiting[0]["alias"])
+                pick = pick or waiting[0]
             waiting.remove(pick)
             rows = self.scan(pick["alias"], pick["kind"], single[pick["alias"]])
             if not bound:
@@ -177,7 +184,10 @@ class Evaluation:
             else:
                 mine = [i for i, (_, _, al) in enumerate(links) if i not in used and pick["alias"] in al and al <= {*bound, pick["alias"]}]
                 used |= set(mine)
-                state = state.join(rows, reduce(Column.__and__, [self.condition(links[i][0], links[i][1]) for i in mine]))
+                met = [self.condition(links[i][0], links[i][1]) for i in mine]
+                if self.bundle:
+                    met.append(F.col(f"`{bound[0]}!b`").eqNullSafe(F.col(f"`{pick['alias']}!b`")))
+                state = state.join(rows, reduce(Column.__and__, met)) if met else state.crossJoin(rows)
             bound = (*bound, pick["alias"])
         for i, (k, b, al) in enumerate(links):
             if i not in used and al <= set(bound):
@@ -271,16 +281,21 @@ def captured(c: Mapping, rows: DataFrame) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
-def matches(pack: Pack, rule: Mapping, facts: DataFrame, coverage: Mapping[str, str]) -> DataFrame | None:
+def matches(pack: Pack, rule: Mapping, facts: DataFrame, coverage: Mapping[str, str], evaluation: Evaluation | None = None) -> DataFrame | None:
     """Matches of a rule, with captured map<string,string>; None if it can't be evaluated."""
     state = gate(rule, coverage)
     if state == "not_evaluated":
         return None
     try:
-        ev = Evaluation(facts, coverage, pack.needed[rule["rule_id"]])
+        ev = evaluation or Evaluation(facts, coverage, pack.needed[rule["rule_id"]])
         rows, bound = ev.conjunction(rule["clauses"], None, ())
     except (Unconnected, Incomplete):
         return None
+    return finished(rule, rows, bound, state, ev.bundle)
+
+
+def finished(rule: Mapping, rows: DataFrame, bound: Sequence[str], state: str, bundle: str | None = None) -> DataFrame:
+    """Matches of a rule from the rows of its clauses: keys, captures, witnesses and confidence."""
     pairs = [x for c in rule.get("captures", []) for x in (F.lit(c["name"]), captured(c, rows))]
     values = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
     key = F.concat_ws("/", *[F.coalesce(F.col(f"`{k}`")["v"] if "." in k else F.col(f"`{k}!s`").cast("string"), F.lit("")) for k in rule["key"]]) if rule.get("key") else F.concat_ws("/", *[F.col(f"`{a}!id`").cast("string") for a in bound])
@@ -288,22 +303,27 @@ def matches(pack: Pack, rule: Mapping, facts: DataFrame, coverage: Mapping[str,
     exact = exact & F.col("`!x`") if "!x" in rows.columns else exact
     own = F.array(*[F.col(f"`{a}!id`").cast("string") for a in bound])
     witness = F.array_sort(F.array_distinct(F.concat(own, F.col("`!w`")))) if "!w" in rows.columns else F.array_sort(F.array_distinct(own))
-    named = rows.select(F.lit(rule["rule_id"]).alias("rule_id"), key.alias("match_key"), values.alias("captured"), F.array_join(witness, ",").alias("witnesses"), exact.alias("exact"))
+    own_bundle = [F.col(f"`{bound[0]}!b`").alias(bundle)] if bundle else []
+    named = rows.select(*own_bundle, F.lit(rule["rule_id"]).alias("rule_id"), key.alias("match_key"), values.alias("captured"), F.array_join(witness, ",").alias("witnesses"), exact.alias("exact"))
     proven = F.col("exact") & F.lit(state == "evaluate")
     if rule.get("key"):  # a key of its own may be shared; the ids of all bound facts can't be
-        shared = named.groupBy("match_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("match_key", F.lit(True).alias("shared"))
-        named = named.join(shared, "match_key", "left")
+        by = [bundle, "match_key"] if bundle else ["match_key"]
+        shared = named.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by, F.lit(True).alias("shared"))
+        named = named.join(shared, by, "left")
         proven = proven & F.col("shared").isNull()
-    return named.select("rule_id", "match_key", "captured", "witnesses", F.when(proven, "proven").otherwise("possible").alias("confidence"))
+    return named.select(*([bundle] if bundle else []), "rule_id", "match_key", "captured", "witnesses", F.when(proven, "proven").otherwise("possible").alias("confidence"))
 
 
 def run_rule(pack: Pack, rule: Mapping, facts: DataFrame, coverage: Mapping[str, str]) -> DataFrame | None:
     """Matches of a rule with their captures as text; None if it can't be evaluated."""
     found = matches(pack, rule, facts, coverage)
-    if found is None:
-        return None
+    return None if found is None else as_text(rule, found)
+
+
+def as_text(rule: Mapping, found: DataFrame) -> DataFrame:
     text = [F.concat(F.lit(c["name"] + "="), F.col("captured")[c["name"]]) for c in rule.get("captures", [])]
-    return found.select("rule_id", "match_key", F.concat_ws(";", *text).alias("captures"), "witnesses", "confidence")
+    head = [c for c in found.columns if c not in ("rule_id", "match_key", "captured", "witnesses", "confidence")]  # the bundle, if there is one
+    return found.select(*head, "rule_id", "match_key", F.concat_ws(";", *text).alias("captures"), "witnesses", "confidence")
 
 
 def assertions(pack: Pack, rule_id: str, facts: DataFrame, coverage: Mapping[str, str], outputs: Sequence[Mapping]) -> tuple[DataFrame, DataFrame]:

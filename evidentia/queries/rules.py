@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from evidentia.plans import budgets as B
 from evidentia.plans import recognizers as N
 from evidentia.plans import rules as R
+from evidentia.plans import shared as P
 from evidentia.registry import Source, query
 from evidentia.sources import text as T
 
@@ -276,3 +278,43 @@ def _(s: Source):  # an event dominates the next one of its user
 def _(s: Source):
     m = run(s, pack("join", [fact("a", "signup"), fact("b", "purchase"), scope("a", "b"), join("a", "b")], {"user": "a.user"}))
     return m.select(F.split("captures", "=")[1].cast("long").alias("scope_id"), F.split("match_key", "/")[1].alias("b")).groupBy("scope_id").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("b").alias("witnesses"))
+
+
+_SIZES = "n AS (SELECT count(*) FILTER (kind = 'signup') AS a, count(*) FILTER (kind = 'signup' AND confidence < 2) AS x, count(*) FILTER (kind = 'purchase') AS b FROM f)"
+_PAIRS = "(SELECT count(*) FROM f a JOIN f b ON a.scope_id = b.scope_id AND a.k = b.k WHERE a.kind = 'signup' AND b.kind = 'purchase')"
+
+
+@query("b3_rule_budget", f"""WITH {F_}, {_SIZES}, c AS (SELECT a + a * b AS expansions, b * (2 * a + x) AS copies FROM n)
+    SELECT rule_id, CASE WHEN rule_id = 'above' THEN 'partial' WHEN {_PAIRS} > 0 THEN 'matched' ELSE 'evaluated_no_match' END AS outcome, CASE WHEN rule_id = 'above' THEN 'matcher.proof-copy.truncated' END AS blocker,
+      CAST(expansions AS BIGINT) AS expansions, CAST(copies AS BIGINT) AS copies, CASE WHEN rule_id = 'above' THEN 0 ELSE {_PAIRS} END AS matches FROM c, (VALUES ('below'), ('at'), ('above')) AS r(rule_id)""", "facts")
+def _(s: Source):
+    f, clauses = facts(s), [fact("a", "signup"), fact("b", "purchase"), scope("a", "b"), join("a", "b")]
+    p = R.compile_pack({"pack_id": "bounds", "rules": [{"rule_id": r, "clauses": clauses} for r in ("below", "at", "above")]})
+    copies = B.charges(p, f, COVERAGE, 1 << 40).agg(F.max("copies")).collect()[0][0]
+    return B.run(p, f, COVERAGE, {"below": copies + 1, "at": copies, "above": copies - 1})[1]
+
+
+@query("b3_bundle_budgets", f"""WITH {F_}, n AS (SELECT scope_id, count(*) FILTER (kind = 'click') AS a, count(*) FILTER (kind = 'click' AND confidence < 2) AS ax, count(*) FILTER (kind = 'view') AS b, count(*) FILTER (kind = 'view' AND confidence < 2) AS bx,
+      count(*) FILTER (kind = 'error') AS c FROM f WHERE kind IN ('click', 'view', 'error') GROUP BY scope_id), t AS (SELECT scope_id, a + a * b + a * b * c AS expansions, b * (2 * a + ax) + c * (4 * a * b + 2 * ax * bx) AS copies FROM n),
+      m AS (SELECT a.scope_id, count(*) AS matches FROM f a JOIN f b ON a.scope_id = b.scope_id AND a.ordinal < b.ordinal JOIN f c ON c.scope_id = b.scope_id AND b.ordinal < c.ordinal WHERE a.kind = 'click' AND b.kind = 'view' AND c.kind = 'error' GROUP BY a.scope_id)
+    SELECT 'chain' AS rule_id, scope_id AS project, CASE WHEN copies > 9000 THEN 'partial' WHEN matches > 0 THEN 'matched' ELSE 'evaluated_no_match' END AS outcome, copies > 9000 AS refused, CASE WHEN copies > 9000 THEN 0 ELSE coalesce(matches, 0) END AS matches FROM t LEFT JOIN m USING (scope_id)""", "facts")
+def _(s: Source):  # each user's facts are a bundle
+    p = pack("chain", [fact("a", "click"), fact("b", "view"), fact("c", "error"), order("a", "b"), order("b", "c")])
+    _, outcomes = B.run(p, facts(s).withColumn("project", F.col("scope_id")), COVERAGE, 9000, "project")
+    return outcomes.select("rule_id", "project", "outcome", F.col("blocker").isNotNull().alias("refused"), "matches")
+
+
+KINDS = ("click", "view", "purchase", "signup", "error")
+#: fifty rules over five kinds: kinds that differ, in one scope, with a key in common and one of ten key values
+FIFTY = [(f"rule{n:02}", KINDS[n % 5], KINDS[(n + 1) % 5], n // 5) for n in range(50)]
+
+
+@query("r2_shared_plan", f"WITH {F_} " + " UNION ALL ".join(
+    f"SELECT '{r}' AS rule_id, {IDS} AS match_key, concat('k=', a.k) AS captures, {PAIR.format(key=IDS)} FROM f a JOIN f b ON a.scope_id = b.scope_id AND a.k = b.k AND a.k = '{k}' AND a.ordinal < b.ordinal WHERE a.kind = '{x}' AND b.kind = '{y}'" for r, x, y, k in FIFTY), "facts")
+def _(s: Source):
+    rules = []
+    for n, (rule, x, y, k) in enumerate(FIFTY):
+        a, b = f"a{n}", f"b{n}"
+        within = {"all_of": [{"field_eq": {"field": f"{a}.k", "literal": ["integer", k]}}]}
+        rules.append({"rule_id": rule, "clauses": [fact(a, x), fact(b, y), scope(a, b), order(a, b), join(a, b), within], "captures": [{"name": "k", "value": f"{a}.k"}]})
+    return P.run_pack(R.compile_pack({"pack_id": "fifty", "rules": rules}), facts(s), COVERAGE)
