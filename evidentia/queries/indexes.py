@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidentia.functions import scalars as S
 from evidentia.operators import postings as P
+from evidentia.operators import similarity as M
 from evidentia.registry import Source, query
 
 PHRASES = {"one": "Under", "two": "the, and", "three": "the the the", "four": "is is is is", "none": "under under of never"}
@@ -33,3 +35,21 @@ def _(s: Source):
 @query("x11_indexed_documentation", "SELECT doc_id AS entity_id FROM documents WHERE contains(concat(' ', array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' '), ' '), ' under the ')")
 def _(s: Source):
     return P.build(s.documents, "doc_id", "text").phrases({"lane": "under the"}).select(F.col("key").alias("entity_id")).distinct()
+
+
+_MISSPELT = "CASE p_partkey % 3 WHEN 0 THEN concat(substr(p_name, 1, 3), substr(p_name, 5)) WHEN 1 THEN concat('x', p_name) ELSE concat(substr(p_name, 2, 1), substr(p_name, 1, 1), upper(substr(p_name, 3))) END"
+
+
+@query("x9_similar_for_many", f"""WITH q AS (SELECT p_partkey AS query_id, lower({_MISSPELT}) AS text FROM part), u AS (SELECT DISTINCT text FROM q), n AS (SELECT DISTINCT p_name AS name FROM part),
+    near AS (SELECT text, name, levenshtein(text, name) AS distance FROM u, n WHERE abs(length(text) - length(name)) <= 2 AND levenshtein(text, name) <= 2)
+    SELECT query_id, name, CAST(distance AS INTEGER) AS distance FROM q JOIN near USING (text)""")
+def _(s: Source):
+    asked = s.part.select(F.col("p_partkey").alias("query_id"), S.ascii_fold(F.expr(_MISSPELT)).alias("query"))
+    found, _ = M.matches(asked, M.index(s.part, "p_name", 2), 2)
+    return asked.join(found, "query").select("query_id", "name", "distance")
+
+
+@query("x9_similar_outcomes", """WITH q AS (SELECT DISTINCT concat(n_name, 'x') AS text FROM nation UNION SELECT repeat('z', 129)) SELECT text AS query, CASE WHEN length(text) > 128 THEN 'too_long' ELSE 'complete' END AS state FROM q""")
+def _(s: Source):
+    asked = s.nation.select(F.concat("n_name", F.lit("x")).alias("query")).unionByName(s.spark.range(1).select(F.repeat(F.lit("z"), F.lit(129)).alias("query")))
+    return M.matches(asked, M.index(s.part, "p_name", 4), 4, cells=1 << 40)[1]
