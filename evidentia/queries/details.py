@@ -21,6 +21,7 @@ from evidentia.operators import traversal as T
 from evidentia.registry import Source, query
 from evidentia.shared import new_folder
 from evidentia.sources import annotations as N
+from evidentia.sources import markup as Markup
 from evidentia.sources import text as Text
 
 
@@ -536,9 +537,9 @@ def _(s: Source):
 
 
 @query("s5_element_spans", """WITH p AS (SELECT page_id, string_split(html, '<a href="') AS parts FROM pages), u AS (SELECT page_id, unnest(generate_series(2, len(parts))) AS i, parts FROM p)
-    SELECT page_id, split_part(parts[i], '"', 1) AS href, CAST(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))) + (i - 2) * 9 AS BIGINT) AS byte_start, CAST(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))) + (i - 1) * 9 + strlen(split_part(parts[i], '"', 1)) + 2 AS BIGINT) AS byte_end FROM u""")
+    SELECT page_id, replace(split_part(parts[i], '"', 1), '&amp;', '&') AS href, CAST(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))) + (i - 2) * 9 AS BIGINT) AS byte_start, CAST(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))) + (i - 1) * 9 + strlen(split_part(parts[i], '"', 1)) + 2 AS BIGINT) AS byte_end FROM u""")
 def _(s: Source):
-    links = Text.elements(s.pages, "page_id", "html").where("tag = 'a'")
+    links = Markup.elements(s.pages, "page_id", "html", html=True).where("tag = 'a'")
     return links.select("page_id", F.get_json_object("attributes", "$.href").alias("href"), "byte_start", "byte_end")
 
 
@@ -592,7 +593,7 @@ def _(s: Source):
 def _(s: Source):
     c = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     text = c('<xs:schema><xs:element name="E', F.col("p_partkey"), '"><xs:complexType><xs:sequence><xs:element name="inner', F.col("p_size"), '" type="xs:string"/></xs:sequence><xs:attribute name="', F.col("p_brand"), '" type="', F.col("p_type"), '"/></xs:complexType></xs:element><xs:simpleType name="T', F.col("p_size"), '"/></xs:schema>')
-    return Text.schema_components(s.part.select(F.col("p_partkey").alias("doc"), text.alias("text")), "doc", "text").select("doc", "component", "name", "type", "owner")
+    return Markup.schema_components(s.part.select(F.col("p_partkey").alias("doc"), text.alias("text")), "doc", "text").select("doc", "component", "name", "type", "owner")
 
 
 @query("s15_member_cursor", "WITH p AS (SELECT p_partkey AS k, strlen(p_name) AS n, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part), g AS (SELECT r // 5000 AS page, count(*) AS members, sum(n) AS bytes, max(k) AS cursor FROM p GROUP BY ALL) SELECT page AS round, members, CAST(bytes AS BIGINT) AS bytes, cursor FROM g")
@@ -625,5 +626,54 @@ def _(s: Source):
 @query("d16_inline_bodies", """WITH p AS (SELECT page_id, string_split(html, '<script>') AS parts FROM pages), u AS (SELECT page_id, unnest(generate_series(2, len(parts))) AS i, parts FROM p)
     SELECT page_id, CAST(i - 2 AS INTEGER) AS ordinal, split_part(parts[i], '</script>', 1) AS body, CAST(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))) + (i - 1) * 8 AS BIGINT) AS shift, CAST(strlen(split_part(parts[i], '</script>', 1)) AS BIGINT) AS length FROM u""")
 def _(s: Source):
-    return Text.inline_bodies(s.pages, "page_id", "html", "script")
+    return Markup.inline_bodies(s.pages, "page_id", "html", "script")
 
+
+
+_SCRIPTED = "replace(html, '</head>', concat('<Script type=\"m\">a(&lt;);track(1);track(', page_id, ')</Script><script></script></head>'))"
+
+
+@query("d16_all_bodies", f"""WITH h AS (SELECT page_id, {_SCRIPTED} AS html FROM pages), p AS (SELECT page_id, html, regexp_extract_all(html, '(?i)<script[^>]*>') AS tags, string_split_regex(html, '(?i)<script[^>]*>') AS parts FROM h), u AS (SELECT page_id, tags, parts, unnest(generate_series(2, len(parts))) AS i FROM p)
+    SELECT page_id, CAST(i - 2 AS INTEGER) AS ordinal, string_split_regex(parts[i], '(?i)</script>')[1] AS body, CAST(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))) + list_sum(list_transform(tags[1 : i - 1], lambda x: strlen(x))) AS BIGINT) AS shift, CAST(strlen(string_split_regex(parts[i], '(?i)</script>')[1]) AS BIGINT) AS length FROM u""")
+def _(s: Source):  # a page's own script, one of another case with an attribute, and an empty one
+    return Markup.inline_bodies(s.pages.select("page_id", F.expr(_SCRIPTED).alias("html")), "page_id", "html", "script")
+
+
+@query("l6_all_calls", f"""WITH h AS (SELECT page_id, {_SCRIPTED} AS html FROM pages), p AS (SELECT page_id, string_split(html, 'track(') AS parts FROM h), u AS (SELECT page_id, parts, unnest(generate_series(2, len(parts))) AS i FROM p)
+    SELECT page_id, 'mapped' AS relation, CAST(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))) + (i - 2) * 6 AS BIGINT) AS file_start, CAST(list_sum(list_transform(parts[1 : i - 1], lambda x: strlen(x))) + (i - 2) * 6 + 5 AS BIGINT) AS file_end FROM u""")
+def _(s: Source):  # every call in every script of every page
+    pages = s.pages.select("page_id", F.expr(_SCRIPTED).alias("html"))
+    units = Markup.inline_units(pages, "page_id", "html", {"script"}, html=True)
+    parts = F.transform(F.split("body", r"track\("), F.octet_length)
+    calls = units.select("page_id", "unit", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("i", "n"), parts.alias("parts"))
+    start = F.aggregate(F.slice("parts", F.lit(1), F.col("i") + 1), F.lit(0).cast("long"), lambda a, n: a + n) + F.col("i") * 6
+    spans = calls.select("page_id", "unit", start.alias("start"), (start + 5).alias("end"))
+    return Markup.map_spans(spans, Markup.unit_segments(pages, "page_id", "html", {"script"}, html=True), ["page_id", "unit"]).select("page_id", "relation", "file_start", "file_end")
+
+
+@query("d16_composed_maps", """WITH t AS (SELECT page_id, html, strpos(html, '<title>') AS a, strpos(html, '</title>') AS b FROM pages), r AS (SELECT page_id, strlen(substr(html, 1, CAST(a + 6 AS INTEGER))) AS begin, substr(html, CAST(a + 7 AS INTEGER), CAST(b - a - 7 AS INTEGER)) AS raw FROM t)
+    SELECT page_id, CAST(len(regexp_extract_all(raw, '&[a-z]+;')) AS BIGINT) AS decoded, CAST(begin + page_id * 1000000 AS BIGINT) AS first_byte, CAST(begin + strlen(raw) + page_id * 1000000 AS BIGINT) AS last_byte FROM r""")
+def _(s: Source):  # titles are decoded units of pages, pages are stretches of one archive
+    pages = s.pages.select("page_id", "html")
+    titles = Markup.unit_segments(pages, "page_id", "html", {"title"}, html=True)
+    size, at = F.octet_length("html").cast("long"), F.col("page_id").cast("long") * 1_000_000
+    archive = pages.select("page_id", F.lit(0).cast("long").alias("from_start"), size.alias("from_end"), at.alias("to_start"), (at + size).alias("to_end"), F.lit(True).alias("exact"))
+    whole = Markup.compose(titles, archive, ["page_id"])
+    return whole.groupBy("page_id").agg(F.count_if(~F.col("exact")).alias("decoded"), F.min("to_start").alias("first_byte"), F.max("to_end").alias("last_byte"))
+
+
+@query("s6_deep_owners", """SELECT p_partkey AS doc, 'type' AS component, concat('T', p_size) AS name, p_brand AS type, CAST(NULL AS VARCHAR) AS owner FROM part UNION ALL SELECT p_partkey, 'element', concat('E', p_partkey), p_type, concat('T', p_size) FROM part""")
+def _(s: Source):  # an element seven levels below the type that owns it
+    c = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    deep = ["complexContent", "extension", "sequence", "choice", "sequence", "choice"]
+    opening = "".join(f"<xs:{t}>" if t != "extension" else "<xs:extension base='!'>" for t in deep).split("!")
+    text = c("<xs:schema xmlns:xs='x'><xs:complexType name='T", F.col("p_size"), f"'>{opening[0]}", F.col("p_brand"), f"{opening[1]}<xs:element name=\"E", F.col("p_partkey"), "\" type='", F.col("p_type"), "'/>" + "".join(f"</xs:{t}>" for t in reversed(deep)) + "</xs:complexType></xs:schema>")
+    return Markup.schema_components(s.part.select(F.col("p_partkey").alias("doc"), text.alias("text")), "doc", "text").select("doc", "component", "name", "type", "owner")
+
+
+@query("s5_problems", """SELECT event_id AS doc, problem, CAST(1 AS BIGINT) AS n FROM events, (VALUES (0, 'unclosed_element'), (1, 'duplicate_attribute'), (2, 'unquoted_attribute'), (3, 'unexpected_end_tag')) AS v(k, problem) WHERE event_id % 5 = k""")
+def _(s: Source):  # one malformed text among others is a row, not a failed job
+    k = F.col("event_id") % 5
+    text = F.when(k == 0, F.concat(F.lit("<a><b>"), "event_type", F.lit("</a>"))).when(k == 1, F.lit("<a x='1' x='2'/>")).when(k == 2, F.concat(F.lit("<a x="), "event_type", F.lit("/>"))).when(k == 3, F.lit("<a></a></c>"))
+    found = Markup.problems(s.events.select(F.col("event_id").alias("doc"), text.otherwise(F.lit("<a><![CDATA[<b>]]>&amp;</a>")).alias("text")), "doc", "text")
+    return found.groupBy("doc", "problem").agg(F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,7 @@ from evidentia.operators import storage as V
 from evidentia.registry import Source, query
 from evidentia.shared import new_folder
 from evidentia.sources import annotations as N
+from evidentia.sources import markup as Markup
 from evidentia.sources import text as T
 
 
@@ -302,7 +303,7 @@ def _(s: Source):
 
 @query("s5_xml_elements", "SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs FROM pages WHERE contains(html, '<p>')")
 def _(s: Source):
-    els = T.elements(s.pages, "page_id", "html")
+    els = Markup.elements(s.pages, "page_id", "html", html=True)
     return els.where("tag = 'p'").groupBy("page_id").agg(count().alias("paragraphs"))
 
 

@@ -10,7 +10,7 @@ from evidentia.plans import recognizers as N
 from evidentia.plans import rules as R
 from evidentia.plans import shared as P
 from evidentia.registry import Source, query
-from evidentia.sources import text as T
+from evidentia.sources import markup as Markup
 
 COVERAGE = {"events": "complete", "errors": "partial", "broken": "failed"}
 
@@ -230,7 +230,7 @@ def _(s: Source):
 
 @query("r26_script_handlers", """SELECT page_id AS doc, CAST(count(*) AS BIGINT) AS n, count(DISTINCT t) AS targets FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'gs'), '<a href="([^"]*)"', 1)) AS h FROM pages), LATERAL (SELECT unnest(regexp_split_to_array(h, '\\s*,\\s*')) AS t) WHERE t <> '' GROUP BY page_id""")
 def _(s: Source):  # links of pages stand for the script attributes of an interface file
-    found = N.element_relations(T.elements(s.pages, "page_id", "html").withColumnRenamed("page_id", "doc"), {"href": "sets_script"})
+    found = N.element_relations(Markup.elements(s.pages, "page_id", "html", html=True).withColumnRenamed("page_id", "doc"), {"href": "sets_script"})
     return found.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target").alias("targets"))
 
 
@@ -257,7 +257,7 @@ def _(s: Source):
 def _(s: Source):
     inherits = F.when(F.col("p_size") % 2 == 0, F.concat_ws(", ", "p_brand", "p_type")).otherwise(F.col("p_type"))
     element = F.concat(F.lit('<frame inherits="'), inherits, F.lit('" parent="'), F.when(F.col("p_size") > 10, F.col("p_brand")).otherwise(""), F.lit('" onload="on'), F.col("p_size"), F.lit('"/>'))
-    found = T.elements(s.part.select(F.col("p_partkey").cast("long").alias("doc"), element.alias("html")), "doc", "html")
+    found = Markup.elements(s.part.select(F.col("p_partkey").cast("long").alias("doc"), element.alias("html")), "doc", "html")
     return N.element_relations(found, {"inherits": "inherits", "parent": "parent_of", "onload": "sets_script"}).select("doc", "relation", "target")
 
 

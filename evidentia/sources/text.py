@@ -1,4 +1,4 @@
-"""Readers of text sources: manifests, pinned texts, markup elements, data literals, inventories."""
+"""Readers of text sources: manifests, pinned texts, data literals, inventories; markup is read by `markup`."""
 
 from __future__ import annotations
 
@@ -77,87 +77,23 @@ def manifest_lines(documents: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select(key, "line", "content", kind.alias("kind"), (end - n - 1).alias("byte_start"), (end - 1).alias("byte_end"))
 
 
-_TAG = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
-
-
-def elements(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Start tags of each document: ordinal, tag, depth by open tags, the ordinal of the element around (parent), attributes as JSON, byte range, and role: empty for `<a/>`, else open."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                value, n, open_tags, around = value or "", 0, [], []
-                at = bytes_at = 0
-                for m in _TAG.finditer(value):
-                    bytes_at += len(value[at : m.start()].encode())
-                    at = m.start()
-                    if m[2] is None:
-                        continue
-                    tag = m[2].lower()
-                    if m[1]:
-                        if tag in open_tags:
-                            last = len(open_tags) - 1 - open_tags[::-1].index(tag)
-                            del open_tags[last:], around[last:]
-                        continue
-                    attributes = {a: b or c for a, b, c in _ATTRIBUTE.findall(m[3])}
-                    rows.append((doc, n, tag, len(open_tags), json.dumps(attributes, sort_keys=True), bytes_at, bytes_at + len(m[0].encode()), around[-1] if around else None, "empty" if m[3].endswith("/") else "open"))
-                    if not m[3].endswith("/"):
-                        open_tags.append(tag)
-                        around.append(n)
-                    n += 1
-            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "ordinal", "tag", "depth", "attributes", "byte_start", "byte_end", "parent", "role"])
-
-    kind = dict(documents.dtypes)[key]
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, ordinal int, tag string, depth int, attributes string, byte_start long, byte_end long, parent int, role string")
-
-
-# fixed values: components of a schema, by their tag without a prefix
-COMPONENTS = {"element": "element", "complextype": "type", "simpletype": "type", "attribute": "attribute", "group": "group", "attributegroup": "group"}
-
-
-def schema_components(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ordinal, component, name, type, owner) of the named components of schema documents, in order; the owner is the nearest named component around, type the one that is named or extended."""
-    every = elements(documents, key, text).withColumn("local", F.element_at(F.split("tag", ":"), -1))
-    get = lambda name: F.get_json_object("attributes", f"$.{name}")
-    kinds = F.create_map(*[F.lit(x) for pair in COMPONENTS.items() for x in pair])
-    rows = every.select(key, "ordinal", "parent", kinds[F.col("local")].alias("component"), get("name").alias("name"), F.coalesce(get("type"), get("ref"), get("base")).alias("type"))
-    # the nearest named component around: anonymous elements hand their parent on, a level a round
-    named = rows.where("component is not null and name is not null")
-    link = rows.select(key, F.col("ordinal").alias("parent"), F.when(F.col("component").isNotNull(), F.col("name")).alias("up"), F.col("parent").alias("further"))
-    step = named.withColumn("owner", F.lit(None).cast("string"))
-    for _ in range(4):  # schema, content model and particles between two named components
-        step = step.join(link, [key, "parent"], "left").select(key, "ordinal", "component", "name", "type", F.coalesce("owner", "up").alias("owner"), F.when(F.coalesce("owner", "up").isNull(), F.col("further")).alias("parent"))
-    return step.drop("parent")
-
-
-def inline_bodies(documents: DataFrame, key: str, text: str, tag: str) -> DataFrame:
-    """(key, ordinal, body, shift, length) of the bodies of one kind of element, each a unit of its own: byte ``i`` of a unit is byte ``shift + i`` of its document, as long as i < length."""
-    pieces = F.posexplode(F.slice(F.split(text, f"<{tag}>", -1), 2, 1 << 30)).alias("ordinal", "piece")
-    starts = F.transform(F.split(text, f"<{tag}>", -1), F.octet_length)
-    rows = documents.select(key, starts.alias("sizes"), pieces)
-    body = F.substring_index("piece", f"</{tag}>", 1)
-    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("ordinal") + 1), F.lit(0).cast("long"), lambda a, n: a + n)
-    return rows.select(key, "ordinal", body.alias("body"), (before + (F.col("ordinal") + 1) * (len(tag) + 2)).alias("shift"), F.octet_length(body).cast("long").alias("length"))
-
-
 SECTIONS = {"Functions": "function", "Events": "event", "Tables": "table"}
 
 
 def normalized(literals: DataFrame, key: str) -> DataFrame:
     """(key, section, ordinal, name, member, position, field, value) of flattened registrations (key, path, kind, value): functions, events and tables apart, their arguments, returns, payload or fields by position.
 
-    A path outside the three sections, or deeper than a member's field, is kept with
-    section other, so nothing that was registered is lost.
+    A path outside the three sections, or one that is no field of a registration nor of a
+    member of it, is kept with section other and what is deeper in ``field``, so nothing
+    that was registered is lost.
     """
     parts = F.split("path", "[.]")
     at = lambda i: F.get(parts, F.lit(i))
-    section = F.coalesce(*[F.when(at(0) == word, name) for word, name in SECTIONS.items()], F.lit("other"))
+    deep, fits = F.size(parts) >= 5, F.size(parts).isin(3, 5)
+    section = F.coalesce(*[F.when((at(0) == word) & fits, name) for word, name in SECTIONS.items()], F.lit("other"))
     names = literals.where(F.size(parts) == 3).where(at(2) == "Name").select(F.col(key), at(0).alias("s"), at(1).alias("o"), F.col("value").alias("name"))
-    rows = literals.select(F.col(key), section.alias("section"), at(0).alias("s"), at(1).alias("o"), F.when(F.size(parts) == 5, at(2)).alias("member"), F.when(F.size(parts) == 5, at(3)).cast("int").alias("position"), F.when(F.size(parts) == 5, at(4)).otherwise(at(2)).alias("field"), "value")
+    rest = F.array_join(F.slice(parts, F.when(deep, 5).otherwise(F.least(F.lit(3), F.size(parts))), F.size(parts)), ".")
+    rows = literals.select(F.col(key), section.alias("section"), at(0).alias("s"), at(1).alias("o"), F.when(deep, at(2)).alias("member"), F.when(deep, at(3)).try_cast("int").alias("position"), rest.alias("field"), "value")
     return rows.join(names, [key, "s", "o"], "left").select(key, "section", F.col("o").try_cast("int").alias("ordinal"), "name", "member", "position", "field", "value")
 
 
@@ -187,7 +123,7 @@ _TOKEN = re.compile(r"\s*(?:--[^\n]*\n\s*)*(?:(?P<punct>[{}=,;\[\]])|(?P<string>
 
 
 def literal_rows(text: str) -> list[tuple[str, str, str]]:
-    """(path, kind, value) of a table of data literals; anything to be executed is an error."""
+    """(path, kind, value) of a table of data literals; ValueError for anything to be executed or left open."""
     tokens, at = [], 0
     text = text.rstrip()
     while at < len(text):
@@ -205,11 +141,15 @@ def literal_rows(text: str) -> list[tuple[str, str, str]]:
         name = None
         if kind == "name" and i + 1 < len(tokens) and tokens[i + 1] == ("punct", "="):
             name, i = value, i + 2
+            if i == len(tokens):
+                raise ValueError(f"{name} has no value")
             kind, value = tokens[i]
-        if (kind, value) in (("punct", ","), ("punct", ";")):
+        if (kind, value) in (("punct", ","), ("punct", ";")) and name is None:
             i += 1
             continue
-        if (kind, value) == ("punct", "}"):
+        if (kind, value) == ("punct", "}") and name is None:
+            if not counts:
+                raise ValueError("a table is closed that was not opened")
             counts.pop()
             if path:
                 path.pop()
@@ -232,16 +172,37 @@ def literal_rows(text: str) -> list[tuple[str, str, str]]:
         else:
             raise ValueError(f"unexpected {value!r}")
         i += 1
+    if counts:
+        raise ValueError("a table is left open")
     return out
 
 
+def literal_outcome(text: str | None) -> tuple[str, str | None, list[tuple[str, str, str]]]:
+    """complete or malformed, why, and the values."""
+    try:
+        return "complete", None, literal_rows(text or "")
+    except ValueError as e:
+        return "malformed", str(e), []
+
+
 def data_literals(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Flattened values of table literals: key, path, kind, value."""
+    """Flattened values of table literals: key, path, kind, value.  A malformed text has none; `literal_states` tells which those are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(doc, *r) for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in literal_rows(value or "")]
+            rows = [(doc, *r) for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in literal_outcome(value)[2]]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field(0).type, pa.string(), pa.string(), pa.string()], strict=True)], [key, "path", "kind", "value"])
 
     return documents.select(key, text).mapInArrow(run, f"{key} {dict(documents.dtypes)[key]}, path string, kind string, value string")
+
+
+def literal_states(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, state, reason, n) of each text: complete with its number of values, or malformed and why."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [literal_outcome(value) for value in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.string()), pa.array([len(t[2]) for t in told], pa.int64())], [key, "state", "reason", "n"])
+
+    return documents.select(key, text).mapInArrow(run, f"{key} {dict(documents.dtypes)[key]}, state string, reason string, n long")

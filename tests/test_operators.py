@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import positions, scalars
 from evidentia.operators import coverage, graph, load_model, predicates, ranking, storage, traversal
 from evidentia.plans import rules
-from evidentia.sources import text
+from evidentia.sources import markup, text
 from evidentia.streaming import changes
 
 SMALL = [("ab", "a", "b", 0), ("bd", "b", "d", 0), ("ac", "a", "c", 0), ("cd", "c", "d", 1), ("ba", "b", "a", 0), ("ad", "a", "d", 2), ("ax", "a", "x", 3), ("xd", "x", "d", 0)]
@@ -228,7 +228,7 @@ def test_sources(spark, tmp_path):
     assert text.literal_rows('{ Name = "A", List = { 1, { X = true }, ref.name } }') == [("Name", "string", "A"), ("List.1", "number", "1"), ("List.2.X", "boolean", "true"), ("List.3", "reference", "ref.name")]
     with pytest.raises(ValueError):
         text.literal_rows("{ f() }")
-    rows = text.elements(spark.createDataFrame([(1, '<Ui><!-- <x> --><Frame name="é"><Size x="1"/></Frame></Ui>')], "id long, t string"), "id", "t").collect()
+    rows = markup.elements(spark.createDataFrame([(1, '<Ui><!-- <x> --><Frame name="é"><Size x="1"/></Frame></Ui>')], "id long, t string"), "id", "t").collect()
     assert [(r.tag, r.depth, r.attributes) for r in rows] == [("ui", 0, "{}"), ("frame", 1, '{"name": "\\u00e9"}'), ("size", 2, '{"x": "1"}')]
 
 
