@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.operators import chains
 from evidentia.operators.graph import reachable, strong_components
 from evidentia.shared import keep
 
@@ -234,20 +235,16 @@ def update_snapshot(old: DataFrame, changes: DataFrame) -> tuple[DataFrame, Data
     return told.select("key", "outcome"), kept.where(F.col("digest").isNotNull())
 
 
-def classify(elements: DataFrame, types: DataFrame, classes: DataFrame, depth: int = 32) -> DataFrame:
+def classify(elements: DataFrame, types: DataFrame, classes: DataFrame) -> DataFrame:
     """(element, class, via) of elements (element, type): the class of its type or of the nearest type that it extends (type, base); via is that type.
 
     unclassified where the chain ends without one, unknown_type where it leaves the
-    schema, cyclic_type where it comes back or goes on beyond ``depth``.
+    schema, cyclic_type where it comes back; chains may be of any length.
     """
     chain = types.join(classes.select("type", "class"), "type", "left")
-    state = elements.select("element", F.col("type").alias("at"), F.lit(None).cast("string").alias("class"), F.lit(None).cast("string").alias("via"))
-    done = None
-    for _ in range(depth):
-        step = keep(state.drop("class", "via").join(chain.select(F.col("type").alias("at"), "base", "class", F.lit(True).alias("known")), "at", "left"))
-        ended = step.where("known is null or class is not null or base is null").select("element", F.when(F.col("known").isNull(), "unknown_type").otherwise(F.coalesce("class", F.lit("unclassified"))).alias("class"), F.when(F.col("class").isNotNull(), F.col("at")).alias("via"))
-        done = ended if done is None else done.unionByName(ended)
-        state = step.where("known and class is null and base is not null").select("element", F.col("base").alias("at"), "class", F.lit(None).cast("string").alias("via"))
-        if state.isEmpty():
-            return done
-    return done.unionByName(state.select("element", F.lit("cyclic_type").alias("class"), "via"))
+    # a type with a class ends every chain that reaches it
+    found = chains.ends(chain.select(F.col("type").alias("node"), F.when(F.col("class").isNull(), F.col("base")).alias("next"), F.lit(0).alias("weight")))
+    found = found.join(classes.select(F.col("type").alias("end"), "class"), "end", "left").select(F.col("node").alias("type"), "state", "end", "class")
+    known = F.when(F.col("state") == chains.ENDED, F.coalesce("class", F.lit("unclassified"))).when(F.col("state") == chains.CYCLE, "cyclic_type").otherwise("unknown_type")
+    via = F.when((F.col("state") == chains.ENDED) & F.col("class").isNotNull(), F.col("end"))
+    return elements.select("element", "type").join(found, "type", "left").select("element", known.alias("class"), via.alias("via"))

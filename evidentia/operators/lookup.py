@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.shared import keep
+from evidentia.operators import chains
 
 
 def lookup(keys: DataFrame, records: DataFrame, coverage: DataFrame, conflict: Column) -> DataFrame:
@@ -16,22 +16,11 @@ def lookup(keys: DataFrame, records: DataFrame, coverage: DataFrame, conflict: C
     return rows.select("part_id", "record_key", out.alias("outcome"))
 
 
-def constants(table: DataFrame, depth: int) -> DataFrame:
-    """Values of constants that refer to others (id, ref, own): the sum along the chain; cycle beyond ``depth`` steps, unresolved if the chain leaves the table."""
-    c = keep(table)
-    chain = c.select("id", F.col("id").alias("here"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("steps"))
-    done = None
-    for _ in range(depth + 1):
-        at = chain.join(c.select(F.col("id").alias("here"), F.col("ref"), F.col("own"), F.lit(True).alias("known")), "here", "left")
-        ended = at.where("known is null or ref is null").select("id", F.when(F.col("known"), "resolved").otherwise("unresolved").alias("state"), F.when(F.col("known"), F.col("total") + F.col("own")).alias("value"))
-        done = ended if done is None else done.unionByName(ended)
-        chain = keep(at.where("known and ref is not null").select("id", F.col("ref").alias("here"), (F.col("total") + F.col("own")).alias("total"), (F.col("steps") + 1).alias("steps")))
-        if chain.isEmpty():
-            break
-        done = keep(done)
-        if _ >= c.count():  # longer than the table: only cycles are left
-            break
-    return done.unionByName(chain.select("id", F.lit("cycle").alias("state"), F.lit(None).cast("long").alias("value")))
+def constants(table: DataFrame) -> DataFrame:
+    """(id, state, value) of constants that refer to others (id, ref, own): the sum along the chain, however long; cycle where it comes back, unresolved where it leaves the table."""
+    found = chains.ends(table.select(F.col("id").alias("node"), F.col("ref").alias("next"), F.col("own").alias("weight")))
+    state = F.when(F.col("state") == chains.ENDED, "resolved").when(F.col("state") == chains.OUTSIDE, "unresolved").otherwise("cycle")
+    return found.select(F.col("node").alias("id"), state.alias("state"), F.when(F.col("state") == chains.ENDED, F.col("total")).alias("value"))
 
 
 def verdict(evaluable: Column, exists: Column) -> Column:

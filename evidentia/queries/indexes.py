@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions import scalars as S
+from evidentia.operators import chains as C
+from evidentia.operators import lookup as L
 from evidentia.operators import postings as P
 from evidentia.operators import similarity as M
 from evidentia.registry import Source, query
@@ -53,3 +55,19 @@ def _(s: Source):
 def _(s: Source):
     asked = s.nation.select(F.concat("n_name", F.lit("x")).alias("query")).unionByName(s.spark.range(1).select(F.repeat(F.lit("z"), F.lit(129)).alias("query")))
     return M.matches(asked, M.index(s.part, "p_name", 4), 4, cells=1 << 40)[1]
+
+
+#: a cycle of three with a way into it, then chains of 1,000
+_CHAIN = "CASE WHEN o_orderkey < 3 THEN (o_orderkey + 1) % 3 WHEN o_orderkey = 3 THEN 0 WHEN o_orderkey % 1000 = 999 THEN NULL ELSE o_orderkey + 1 END"
+
+
+@query("l3_long_chains", f"""WITH RECURSIVE c AS (SELECT o_orderkey AS id, {_CHAIN} AS ref, o_custkey AS own FROM orders), w(id, here, total) AS (SELECT id, id, CAST(0 AS BIGINT) FROM c WHERE id > 3 UNION ALL SELECT w.id, c.ref, w.total + c.own FROM w JOIN c ON c.id = w.here WHERE c.ref IS NOT NULL)
+    SELECT id, 'cycle' AS state, CAST(NULL AS BIGINT) AS value FROM c WHERE id <= 3 UNION ALL SELECT w.id, CASE WHEN c.id IS NULL THEN 'unresolved' ELSE 'resolved' END, CAST(w.total + c.own AS BIGINT) FROM w LEFT JOIN c ON c.id = w.here WHERE c.ref IS NULL""")
+def _(s: Source):
+    return L.constants(s.orders.select(F.col("o_orderkey").alias("id"), F.expr(_CHAIN).alias("ref"), F.col("o_custkey").cast("long").alias("own")))
+
+
+@query("d11_chain_cycles", """WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey * 5 % 89 + 1 AS b FROM part), w(root, here, depth) AS (SELECT a, b, 1 FROM e UNION ALL SELECT w.root, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.here WHERE w.here <> w.root AND w.depth < 100),
+    on_cycle AS (SELECT root, max(depth) AS n, min(here) AS least FROM w WHERE root IN (SELECT x.root FROM w x WHERE x.here = x.root) GROUP BY root) SELECT least AS cycle, count(*) AS members FROM on_cycle GROUP BY least""")
+def _(s: Source):  # every element inherits from one other: cycles by doubling
+    return C.cycles(s.part.select(F.col("p_partkey").alias("node"), (F.col("p_partkey") * 5 % 89 + 1).alias("next"))).select("cycle", "members")

@@ -168,7 +168,7 @@ CONSTANTS = """WITH RECURSIVE c AS (SELECT n_nationkey AS id, CASE WHEN n_nation
     CASE WHEN w.depth < 48 AND c.id IS NOT NULL THEN CAST(w.total + c.own AS BIGINT) END AS value FROM w JOIN last USING (id, depth) LEFT JOIN c ON c.id = w.here""")
 def _(s: Source):
     c = s.nation.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 6 != 0, (F.col("n_nationkey") * 5 + 3) % 28).alias("ref"), (F.col("n_nationkey") * 10).cast("long").alias("own"))
-    return L.constants(c, 48)
+    return L.constants(c)
 
 
 @query("l4_corrections", """SELECT p_partkey AS name, p_brand AS source, CASE WHEN state = 'corrected' THEN 'patched' ELSE p_name END AS value, state FROM (SELECT *, CASE WHEN p_partkey % 10 = 3 AND p_partkey % 3 = 0 THEN 'conflict' WHEN p_partkey % 10 = 3 AND p_brand <> 'Brand#7' THEN 'guard_failed' WHEN p_partkey % 10 = 3 AND p_size > 25 AND p_size % 3 > 0 THEN 'several_parents' WHEN p_partkey % 10 = 3 THEN 'corrected' ELSE 'original' END AS state FROM part)""")
