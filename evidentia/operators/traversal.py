@@ -1,4 +1,4 @@
-"""Bounded traversals: subgraphs with budgets, named axes, and simple paths in order.
+"""Bounded traversals: subgraphs with budgets and named axes; simple paths are in `paths`.
 
 A request's budgets bound what it keeps, so a traversal's state is small however
 large the graph: each level joins its frontier with the edges and takes, in the
@@ -201,68 +201,6 @@ def along(axis: Axis, nodes: DataFrame, edges: DataFrame, roots: Sequence[str],
     return subgraph(nodes, edges, roots, axis.directions(traversal), limits, ceiling)
 
 
-@dataclass
-class Paths:
-    """paths: path (edge ids), nodes, length, weakest; in the order of their edge ids."""
-
-    paths: DataFrame
-    truncations: list[str]
-
-
-def paths(edges: DataFrame, root: str, target: str, directions: Mapping[str, str], ceiling: int = DERIVED, depth: int = 16, most: int = 64, expansions: int = 100_000, after: Sequence[str] | None = None) -> Paths:
-    """Paths without a repeated node in edge-id order, at most ``most`` after the cursor ``after``.
-
-    Only nodes from which the target can still be reached in the steps that are left are
-    entered.  A level holds at most ``expansions`` prefixes, the first in order; from the
-    first prefix that had to go on, nothing can be said, so paths behind it are left out
-    and the result says ``expansions``.  ``depth`` says that longer paths may exist,
-    ``paths`` that there are more than ``most``.
-    """
-    if root == target or not directions or not (1 <= depth <= 64 and 1 <= most <= 256 and 1 <= expansions <= 1_000_000):
-        raise Refused("query_invalid")
-    spark = edges.sparkSession
-    hops = keep(hops_of(edges, directions, ceiling).select("at", "to", "edge_id", "confidence"))
-    # steps from each node to the target, by levels from the target back
-    away = level = spark.createDataFrame([(target, 0)], "node string, steps int")
-    for d in range(1, depth + 1):
-        level = keep(level.join(hops, F.col("node") == F.col("to")).select(F.col("at").alias("node")).distinct().join(away.select("node"), "node", "left_anti").withColumn("steps", F.lit(d)))
-        if level.isEmpty():
-            break
-        away = away.unionByName(level)
-    front = spark.createDataFrame([(root, [root], [], 0)], "node string, visited array<string>, path array<string>, weakest int")
-    done, lost, truncations = None, None, set()
-    for d in range(1, depth + 1):
-        step = front.join(hops, front.node == hops.at).where(~F.array_contains("visited", F.col("to")))
-        step = step.join(away.select(F.col("node").alias("to"), "steps"), "to").where(F.col("steps") <= depth - d)
-        step = step.select(F.col("to").alias("node"), F.concat("visited", F.array("to")).alias("visited"), F.concat("path", F.array("edge_id")).alias("path"), F.greatest("weakest", "confidence").alias("weakest"))
-        if after is not None:  # prefixes whose paths all come before the cursor
-            step = step.where(F.col("path") >= F.slice(F.array(*map(F.lit, after)), 1, d))
-        first = keep(step.orderBy("path").limit(expansions + 1))
-        if first.count() > expansions:
-            over = first.orderBy(F.desc("path")).limit(1).collect()[0]["path"]
-            lost = over if lost is None else min(lost, over)
-            truncations.add("expansions")
-        if lost is not None:
-            first = first.where(F.col("path") < F.array(*map(F.lit, lost)))
-        found = first.where(F.col("node") == target)
-        done = found if done is None else done.unionByName(found)
-        front = first.where(F.col("node") != target)
-        if front.isEmpty():
-            break
-    else:
-        truncations.add("depth")
-    if after is not None:
-        done = done.where(F.col("path") > F.array(*map(F.lit, after)))
-    if lost is not None:
-        done = done.where(F.col("path") < F.array(*map(F.lit, lost)))
-    best = keep(done.orderBy("path").limit(most + 1))
-    if best.count() > most:
-        truncations.add("paths")
-        truncations.discard("expansions")  # all that was asked for is there
-    chosen = best.orderBy("path").limit(most).select("path", F.col("visited").alias("nodes"), F.size("path").alias("length"), "weakest")
-    return Paths(chosen, sorted(truncations))
-
-
 def by_definition(edges: DataFrame, accepted: DataFrame, definitions: Sequence[str]) -> DataFrame:
     """Edges that some accepted assertion (edge_id, definition) gives under one of these definitions, with those that do: definitions may share a stored relation, which alone does not tell them apart."""
     named = accepted.where(F.col("definition").isin(*definitions)).groupBy("edge_id").agg(F.array_sort(F.collect_set("definition")).alias("definitions"))

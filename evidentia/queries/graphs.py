@@ -11,6 +11,7 @@ from evidentia.functions import scalars as S
 from evidentia.operators import graph as G
 from evidentia.operators import load_model as D
 from evidentia.operators import proposals as P
+from evidentia.operators import paths as Paths
 from evidentia.operators import traversal as T
 from evidentia.registry import Source, query
 
@@ -83,7 +84,7 @@ def package_edges(s: Source):
 
 def package_paths(s: Source, **budget):
     e = package_edges(s).groupBy("edge_id", "src", "dst", "relation").agg(F.min("confidence").alias("confidence"))
-    return T.paths(e, "pkg1", "pkg7", {"depends": T.OUT}, G.CANDIDATE, depth=7, **budget)
+    return Paths.paths(e, "pkg1", "pkg7", {"depends": T.OUT}, G.CANDIDATE, depth=7, **budget)
 
 
 @query("g6_simple_paths", PATHS + " SELECT array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS length, weakest FROM walk WHERE node = 'pkg7' ORDER BY walk.path LIMIT 256", "dependencies")
@@ -97,9 +98,52 @@ def _(s: Source):
     return p.paths.select(F.array_join("path", ">").alias("path"), F.lit("paths" in p.truncations).alias("more"))
 
 
-@query("k7_path_cursor", PATHS + " SELECT array_to_string(path, '>') AS path FROM walk WHERE node = 'pkg7' AND path > ['pkg1:pkg10'] ORDER BY walk.path LIMIT 5", "dependencies")
+@query("k7_path_cursor", PATHS + ", f AS (SELECT path, row_number() OVER (ORDER BY path) AS r FROM walk WHERE node = 'pkg7') SELECT array_to_string(path, '>') AS path FROM f WHERE r > 1 AND r <= 6", "dependencies")
+def _(s: Source):  # what follows the first path, if there is one
+    first = package_paths(s, most=1)
+    after = [list(r.path) for r in first.paths.collect()]
+    return package_paths(s, most=5, after=after[0]).paths.select(F.array_join("path", ">").alias("path"))
+
+
+#: a denser graph: four dependencies of each package
+DENSE = """WITH RECURSIVE d AS (SELECT DISTINCT concat('p', n_nationkey + 10) AS src, concat('p', (n_nationkey * m + a) % 25 + 10) AS dst FROM nation, (VALUES (7, 3), (5, 1), (1, 1), (3, 2)) AS f(m, a)),
+    walk(node, visited, path) AS (SELECT 'p11', ['p11'], CAST([] AS VARCHAR[]) UNION ALL SELECT d.dst, list_append(w.visited, d.dst), list_append(w.path, concat(d.src, ':', d.dst)) FROM walk w JOIN d ON d.src = w.node WHERE w.node <> 'p17' AND NOT list_contains(w.visited, d.dst) AND len(w.visited) <= 6),
+    f AS (SELECT path, row_number() OVER (ORDER BY path) AS r, count(*) OVER () AS n FROM walk WHERE node = 'p17')"""
+
+
+def dense_paths(s: Source, **budget):
+    n = F.col("n_nationkey")
+    node = lambda c: F.concat(F.lit("p"), c + 10)
+    e = s.nation.select(node(n).alias("src"), F.explode(F.array(*[node((n * m + a) % 25) for m, a in ((7, 3), (5, 1), (1, 1), (3, 2))])).alias("dst")).distinct()
+    e = e.select(F.concat_ws(":", "src", "dst").alias("edge_id"), "src", "dst", F.lit("depends").alias("relation"), F.lit(0).alias("confidence"))
+    return Paths.paths(e, "p11", "p17", {"depends": T.OUT}, G.CANDIDATE, depth=6, **budget)
+
+
+@query("g6_more_paths", DENSE + " SELECT array_to_string(path, '>') AS path, n > 20 AS more FROM f WHERE r <= 20")
 def _(s: Source):
-    return package_paths(s, most=5, after=["pkg1:pkg10"]).paths.select(F.array_join("path", ">").alias("path"))
+    p = dense_paths(s, most=20)
+    return p.paths.select(F.array_join("path", ">").alias("path"), F.lit("paths" in p.truncations).alias("more"))
+
+
+def _spent(level: int, expansions: int) -> str:
+    rows = f"SELECT w.path FROM walk w {f'JOIN k{level - 1} ON w.path[1 : {level - 1}] = k{level - 1}.path' if level > 1 else ''} WHERE len(w.path) = {level}"
+    return f"l{level} AS (SELECT path, row_number() OVER (ORDER BY path) AS r FROM ({rows})), k{level} AS (SELECT path FROM l{level} WHERE r <= {expansions})"
+
+
+@query("g6_spent_expansions", DENSE + ", " + ", ".join(_spent(level, 20) for level in (1, 2, 3, 4)) + """, lost AS (SELECT min(path) AS path FROM (SELECT path FROM l1 WHERE r = 21 UNION ALL SELECT path FROM l2 WHERE r = 21 UNION ALL SELECT path FROM l3 WHERE r = 21 UNION ALL SELECT path FROM l4 WHERE r = 21))
+    SELECT array_to_string(path, '>') AS path, (SELECT path IS NOT NULL FROM lost) AS spent FROM f WHERE path < (SELECT path FROM lost)""")
+def _(s: Source):  # two levels of suffixes fit the budget, the third level of prefixes does not
+    p = dense_paths(s, most=256, expansions=20)
+    return p.paths.select(F.array_join("path", ">").alias("path"), F.lit("expansions" in p.truncations).alias("spent"))
+
+
+@query("k7_skipping_cursor", DENSE + " SELECT array_to_string(path, '>') AS path, true AS resumed FROM f WHERE r > 30 AND r <= 45")
+def _(s: Source):  # three pages: the cursor behind the second skips thirty paths
+    page, after = None, None
+    for _ in range(3):
+        page = dense_paths(s, most=15, after=after)
+        after = page.cursor
+    return page.paths.select(F.array_join("path", ">").alias("path"), F.lit(page.replayed > 0).alias("resumed"))
 
 
 # budgets of a subgraph: what supplier 1 supplies, its edges in the order of their ids

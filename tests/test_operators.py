@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import positions, scalars
-from evidentia.operators import coverage, graph, load_model, predicates, ranking, storage, traversal
+from evidentia.operators import coverage, graph, load_model, predicates, ranking, storage, paths, traversal
 from evidentia.plans import rules
 from evidentia.sources import markup, text
 from evidentia.streaming import changes
@@ -21,15 +21,15 @@ def edge_frame(spark, rows):
 
 @pytest.mark.parametrize(("ceiling", "expect"), [(0, {"ab>bd"}), (1, {"ab>bd", "ac>cd"}), (2, {"ab>bd", "ac>cd", "ad"}), (3, {"ab>bd", "ac>cd", "ad", "ax>xd"})])
 def test_simple_paths_by_confidence(spark, ceiling, expect):
-    got = traversal.paths(edge_frame(spark, SMALL), "a", "d", {"calls": "out"}, ceiling).paths.collect()
+    got = paths.paths(edge_frame(spark, SMALL), "a", "d", {"calls": "out"}, ceiling).paths.collect()
     assert {">".join(r.path) for r in got} == expect
     assert [r.path for r in got] == sorted(r.path for r in got)
 
 
 def test_isolated_and_cursor(spark):
     e = edge_frame(spark, SMALL)
-    assert traversal.paths(e, "a", "z", {"calls": "out"}).paths.count() == 0
-    assert [r.path for r in traversal.paths(e, "a", "d", {"calls": "out"}, 3, after=["ac", "cd"]).paths.collect()] == [["ad"], ["ax", "xd"]]
+    assert paths.paths(e, "a", "z", {"calls": "out"}).paths.count() == 0
+    assert [r.path for r in paths.paths(e, "a", "d", {"calls": "out"}, 3, after=["ac", "cd"]).paths.collect()] == [["ad"], ["ax", "xd"]]
 
 
 def naive_subgraph(edges, roots, depth):

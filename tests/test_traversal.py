@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from evidentia.operators import graph, load_model, traversal
+from evidentia.operators import graph, load_model, paths, traversal
 from evidentia.operators.traversal import BOTH, IN, OUT, Axis, Limits, Refused
 
 EDGE = "edge_id string, src string, dst string, relation string, confidence int"
@@ -101,14 +101,14 @@ def test_paths_in_order(spark, seed):
     frame = spark.createDataFrame(edges, EDGE)
     expect = simple(edges, "n0", "n3", 5)
     every = {"p": OUT, "q": OUT, "r": OUT}
-    got = traversal.paths(frame, "n0", "n3", every, 3, depth=5, most=256)
+    got = paths.paths(frame, "n0", "n3", every, 3, depth=5, most=256)
     assert [list(r.path) for r in got.paths.orderBy("path").collect()] == expect
-    some = traversal.paths(frame, "n0", "n3", every, 3, depth=5, most=2)
+    some = paths.paths(frame, "n0", "n3", every, 3, depth=5, most=2)
     assert [list(r.path) for r in some.paths.orderBy("path").collect()] == expect[:2] and ("paths" in some.truncations) == (len(expect) > 2)
     if len(expect) > 2:
-        after = traversal.paths(frame, "n0", "n3", every, 3, depth=5, most=256, after=expect[1])
+        after = paths.paths(frame, "n0", "n3", every, 3, depth=5, most=256, after=expect[1])
         assert [list(r.path) for r in after.paths.orderBy("path").collect()] == expect[2:]
-    few = traversal.paths(frame, "n0", "n3", every, 3, depth=5, most=256, expansions=2)
+    few = paths.paths(frame, "n0", "n3", every, 3, depth=5, most=256, expansions=2)
     found = [list(r.path) for r in few.paths.orderBy("path").collect()]
     assert found == expect[: len(found)] and (len(found) == len(expect) or "expansions" in few.truncations)
 
