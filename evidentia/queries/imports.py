@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidentia.operators import foreign_packs as K
+from evidentia.operators import manifest as M
 from evidentia.registry import Source, query
 from evidentia.sources import generated_api as G
 
@@ -53,3 +55,39 @@ def _(s: Source):
 def _(s: Source):
     asked = s.part.select(F.col("p_brand").alias("doc"), F.lit("function").alias("kind"), F.concat(F.lit("A."), (F.col("p_size") * 7 % 500).cast("string")).alias("qualified_name")).distinct()
     return G.look_up(asked, imported(s))
+
+
+#: what is done to a pack, by p_partkey % 9: which check fails then
+_DAMAGE = ("byte_admission", "canonical_bytes", "schema", "compiled_profile", "digest_and_identity", "internal_references", "owner_generation_closure")
+
+
+@query("c7_foreign_packs", f"""WITH c AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(K.CHECKS))}) AS c(i, name)) SELECT p_partkey AS pack, c.name AS "check", CAST(c.i + 1 AS INTEGER) AS place,
+    CASE WHEN c.i = 7 OR c.i > p_partkey % 9 THEN 'not_evaluated' WHEN c.i = p_partkey % 9 THEN 'invalid' ELSE 'valid' END AS state FROM part, c WHERE p_partkey % 9 < 7 UNION ALL SELECT p_partkey, c.name, CAST(c.i + 1 AS INTEGER), CASE WHEN c.i = 7 THEN 'not_evaluated' ELSE 'valid' END FROM part, c WHERE p_partkey % 9 >= 7""")
+def _(s: Source):  # a pack for each part, seven of nine damaged so that one check fails
+    k = F.col("p_partkey") % 9
+    made = K.produced(s.part.select(F.col("p_partkey").alias("pack"), F.when(k == 6, "nobody").otherwise(F.col("p_brand")).alias("owner"), F.lit(1).alias("generation"), F.col("p_type").alias("kind"), F.col("p_name").alias("name")), "pack")
+    k, text = F.col("pack") % 9, F.col("text")
+    link = F.regexp_replace(text, '"target":"[0-9a-f]+"', '"target":"x"')
+    damaged = F.when(k == 0, "").when(k == 1, F.concat(text, F.lit(" "))).when(k == 2, F.regexp_replace(text, "evidentia/pack/1", "other/pack/1")).when(k == 3, F.regexp_replace(text, '"budget":1', '"budget":0')).when(k == 4, F.regexp_replace(text, '"name":"', '"name":"un'))
+    # references are part of the pack's identity: the identity of a pack with a broken link is made anew
+    packs = made.select("pack", damaged.when(k == 5, K.resealed(link)).otherwise(text).alias("text"))
+    generations = s.part.select(F.col("p_brand").alias("owner"), F.lit(1).cast("long").alias("generation"), F.lit(True).alias("retained")).distinct()
+    return K.validate(packs, "pack", "text", generations).select("pack", "check", "place", "state")
+
+
+@query("v8_manifest_differences", """SELECT o_orderkey, CASE WHEN o_orderkey IN (7, 1001) THEN 'changed' ELSE 'removed' END AS change, true AS few FROM orders WHERE o_orderkey IN (7, 1001, 12, 800) UNION ALL SELECT -1, 'added', true""")
+def _(s: Source):  # two versions of orders that differ in five rows
+    k = F.col("o_orderkey")
+    old = s.orders
+    new = old.where(~k.isin(12, 800)).withColumn("o_totalprice", F.when(k.isin(7, 1001), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    new = new.unionByName(old.where(k == 12).withColumn("o_orderkey", F.lit(-1).cast(old.schema["o_orderkey"].dataType)))
+    a = M.build(old, ["o_orderkey"], depth=3)
+    b = M.build(new, ["o_orderkey"], depth=a.depth)
+    found = M.compare(a, b)
+    few = found.read <= 2 * (1 + 16 + 5 * 16 + 5 * 16)  # nodes read: of 2 * 4,369
+    return M.changes(old, new, a, found).select("o_orderkey", "change", F.lit(few).alias("few"))
+
+
+@query("v8_manifest_nodes", "SELECT substr(sha256(concat('key|', length(CAST(o_orderkey AS VARCHAR)), ':', o_orderkey)), 1, 2) AS prefix, count(*) AS n FROM orders GROUP BY ALL")
+def _(s: Source):
+    return M.build(s.orders, ["o_orderkey"], depth=3).nodes(2).select("prefix", "n")
