@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.registry import Source, query
+from evidentia.shared import new_folder
 from evidentia.streaming import changes as C
+from evidentia.streaming import packs as Packs
+from evidentia.streaming.snapshots import Snapshots
 
 
 def stream(s: Source):
@@ -43,3 +46,34 @@ def _(s: Source):
 @query("t3_edit_log_batch", EDITS)
 def _(s: Source):
     return C.fold_batch(log(s.events))
+
+
+_COSTS = """WITH c AS (SELECT CAST(scope_id AS VARCHAR) AS request, ordinal AS round, CAST(floor(value) AS BIGINT) AS work, CAST(fact_id % 100 AS BIGINT) AS bytes FROM facts),
+    t AS (SELECT *, sum(work) OVER w AS tw, sum(bytes) OVER w AS tb FROM c WINDOW w AS (PARTITION BY request ORDER BY round)), f AS (SELECT *, coalesce(min(CASE WHEN tw > 500 OR tb > 900 OR round > 16 THEN round END) OVER (PARTITION BY request), 1000000) AS first FROM t)"""
+
+
+@query("t4_progressive_packs", _COSTS + """ SELECT request, round, CASE WHEN round < first THEN 'accepted' WHEN round > first THEN 'closed' WHEN round > 16 THEN 'rounds_exhausted' ELSE 'budget_exhausted' END AS outcome,
+    CAST(sum(CASE WHEN round < first THEN work ELSE 0 END) OVER w AS BIGINT) AS work, CAST(sum(CASE WHEN round < first THEN bytes ELSE 0 END) OVER w AS BIGINT) AS bytes FROM f WINDOW w AS (PARTITION BY request ORDER BY round)""", "facts")
+def _(s: Source):  # each user's events are the rounds of a request; the stream is stopped after the sixth and started again
+    rows = s.facts.select(F.col("scope_id").cast("string").alias("request"), F.col("ordinal").alias("round"), F.col("kind").alias("digest"), F.floor("value").cast("long").alias("work"), (F.col("fact_id") % 100).cast("long").alias("bytes"))
+    folder = new_folder(s.spark, "rounds")
+    for part in (rows.where("round <= 6"), rows.where("round > 6")):
+        part.write.mode("append").parquet(f"{folder}/in")
+        receipts = Packs.rounds(s.spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), 500, 900)
+        receipts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return s.spark.read.schema(Packs.RECEIPT).parquet(f"{folder}/out").drop("replayed")
+
+
+@query("t5_snapshot_deltas", "SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS digest FROM orders WHERE o_orderkey % 10 <> 1 UNION ALL SELECT 'new', 'N'")
+def _(s: Source):  # an update of a tenth, a removal of a tenth, a batch that fails, an addition; the stream is started anew for each
+    held = Snapshots(s.spark, new_folder(s.spark, "snapshots"))
+    key, status = F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus")
+    held.begin(s.orders.select(key, status.alias("digest")))
+    row = lambda df, action, expected, digest: df.select(key, F.lit(action).alias("action"), expected.cast("string").alias("expected"), F.lit(digest).cast("string").alias("digest"))
+    one = s.orders.where("o_orderkey = 2")
+    deltas = [row(s.orders.where("o_orderkey % 10 = 0"), "update", status, "X"), row(s.orders.where("o_orderkey % 10 = 1"), "remove", status, None), row(one, "update", F.lit("?"), "Y"), row(one, "add", F.lit(None), "N").withColumn("key", F.lit("new"))]
+    source, version = f"{held.folder}/changes", 0
+    for n, delta in enumerate(deltas):
+        delta.coalesce(1).write.parquet(f"{source}/delta-{n}")
+        version = held.run(s.spark.readStream.schema("key string, action string, expected string, digest string").parquet(f"{source}/*"))
+    return held.read(version)

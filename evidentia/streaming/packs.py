@@ -8,9 +8,11 @@ Outcomes: accepted; repeated (the last round again with the same digest: charged
 replay, nothing is spent twice); out_of_order (any other round but the next);
 budget_exhausted and rounds_exhausted, which close the request; closed from then on.
 
-Cases: rounds of a request within a micro-batch are taken by round, then digest; a null
-request is one of its own; null costs are nothing; the batch form folds each request in the
-same order and bounds its state alike.
+Rows of one request within a micro-batch are in memory at once; the source's limit on a
+micro-batch (files or offsets a trigger) bounds them.
+
+Cases: rounds of a request within a micro-batch are taken by round, digest and cost; a null
+request is named ''; null costs are nothing; a table is one micro-batch.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ class Rounds(StatefulProcessor):
         state = tuple(self.spent.get()) if self.spent.exists() else FRESH
         state = (int(state[0]), state[1], int(state[2]), int(state[3]), int(state[4]), bool(state[5]))
         pdf = pd.concat(list(rows))  # a request's rounds within one micro-batch
-        pdf = pdf.sort_values(["round", "digest"])
+        pdf = pdf.sort_values(["round", "digest", "work", "bytes"])
         out = []
         for round_, digest, work, bytes_ in pdf[["round", "digest", "work", "bytes"]].itertuples(index=False, name=None):
             digest = None if pd.isna(digest) else digest
