@@ -16,8 +16,12 @@ article.
 Every remaining paragraph gives 1 point, 1 for each comma and up to 3 for its
 length to its parent, half of that to the grandparent and a falling share to
 further ancestors.  A container's points are scaled by 1 - link density.  The
-best container, or the article or main element around it, is kept with those of
-its siblings that score well themselves or are plain running text.
+best container, or the article or main element around it, is kept.  Where there is no
+such element, it is widened to the element around it as long as that isn't the page's
+body and holds less text besides; what lies beside the container there is kept however
+short it is (lists, tables, code, quotes, captions, leads), but for what is mostly links.
+In the body, siblings are kept that score well themselves, are plain running text, go on
+from the container as text elements without a break, or lie between two that are kept.
 
 Reading and scoring take time in proportion to the page: an unclosed tag or quote
 is looked for once, ends of tags that are not open are skipped, and sums over
@@ -54,10 +58,11 @@ FURNITURE = frozenset("nav header footer aside form button select dialog menu".s
 ALWAYS = frozenset("nav footer button select".split())  # furniture however much text they hold
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promotions banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar comment comments commentlist respond replies reply disqus discussion share sharing social related recommend recommended recommendation recommendations newsletter subscribe subscription signup login signin cookie cookies consent gdpr notice notices alert alerts popup modal overlay toolbar widget widgets pagination pager tags copyright legal search searchform skip".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promotions banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail footer foot header masthead topbar comment comments commentlist respond replies reply disqus discussion thread threads share sharing social related recommend recommended recommendation recommendations newsletter subscribe subscription signup login signin cookie cookies consent gdpr notice notices alert alerts popup modal overlay toolbar widget widgets pagination pager tags copyright legal search searchform skip".split()
 )
 FIRST = frozenset("ad ads advert advertisement nav navbar breadcrumb breadcrumbs sidebar footer comment comments cookie cookies newsletter related sponsored masthead disqus".split())
-COMMENTS = frozenset("comment comments commentlist respond replies reply disqus discussion".split())
+COMMENTS = frozenset("comment comments commentlist respond replies reply disqus discussion thread threads".split())
+FLOW = frozenset("p ul ol dl table pre blockquote figure details section h1 h2 h3 h4 h5 h6".split())  # text elements that may follow a container
 BOXES = frozenset("wrap wrapper container box inner outer holder area section block list row col column item items left right top bottom bar slot links link buttons button posts articles stories group panel region zone unit primary secondary global site".split())
 STATES = frozenset("has with no without is not hide show js".split())
 LIKELY = re.compile(r"article|content|entry|main|post|story|text|body", re.I)
@@ -85,6 +90,14 @@ def named(token: str) -> int:
     return 2 if found & COMMENTS else int(bool(found))
 
 
+def named_comment(token: str) -> bool:
+    """Whether an article's class or id calls it a comment: the whole name, or its last part after boxes and numbers."""
+    parts = [p.lower() for p in PARTS.findall(token)]
+    while len(parts) > 1 and (parts[-1] in BOXES or parts[-1].isdigit()):
+        parts.pop()
+    return bool(parts) and parts[0] not in STATES and parts[-1] in COMMENTS - {"discussion", "thread", "threads"}
+
+
 class Node:
     __slots__ = ("block", "branch", "chars", "holds", "likely", "link_chars", "mark", "parent", "points", "role", "sealed", "tag")
 
@@ -251,6 +264,8 @@ def describe(node: Node, attributes: str, in_article: bool) -> None:
             likely = likely or LIKELY.search(value) is not None
             if tag not in ("html", "body", "article", "main"):
                 role = max([role, *map(named, value.split())])
+            elif tag == "article" and any(map(named_comment, value.split())):
+                role = 2
         elif name == "role" and value.lower() in ROLES:
             role = max(role, 1)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and HIDDEN.search(value)):
@@ -327,23 +342,55 @@ def main_text(page: str | None) -> str:
             if up.tag == "article":
                 break
         up = up.parent
+    children: dict[int, list[Node]] = {}
+    for node in nodes:
+        if node.parent is not None and node.chars and not node.sealed:
+            children.setdefault(id(node.parent), []).append(node)
+    alone = top.tag in ("article", "main")
+    linked = lambda n: n.link_chars > n.chars / 2
+    dropped: set[int] = set()
+    while not alone and top.parent is not None and top.parent.tag not in ("body", "html"):  # widened
+        beside = [n for n in children[id(top.parent)] if n is not top]
+        if sum(n.chars for n in beside if not linked(n) and n.tag not in FLOW) >= top.chars:
+            break
+        dropped.update(id(n) for n in beside if linked(n))
+        top = top.parent
     for node in nodes:
         up = node.parent
-        node.mark = node is top or (up is not None and up.mark)
+        node.mark = node is top or (up is not None and up.mark and id(node) not in dropped)
         node.branch = node if up is not None and up is top.parent else up.branch if up is not None else None
-    floor, alone = 0.2 * final(top), top.tag in ("article", "main")
-    kept = []
+    row = children.get(id(top.parent), []) if top.parent is not None else []
+    run = beside_top(row, top, linked) if not alone else set()
+    floor = 0.2 * final(top)
+    keeps = []
     for node, text, links in blocks:
         child = node.branch
-        if node.mark:
-            kept.append(text)
-        elif child is not None and top.tag != "body":
+        keep = node.mark
+        if not keep and child is not None and child is not top and top.tag != "body":
             loose = links / len(text)
             running = child is node and child.tag == "p" and ((len(text) > 80 and loose < 0.25) or (loose == 0 and len(text) > 25 and text.endswith((".", "!", "?"))))
-            good = child.points and final(child) >= floor and child.link_chars <= child.chars / 2
-            if good or (not alone and (running or (child is node and re.match("h[1-6]$", child.tag)))):
-                kept.append(text)
-    return "\n\n".join(kept)
+            good = child.points and final(child) >= floor and not linked(child)
+            keep = bool(good or (not alone and (running or id(child) in run or (child is node and re.match("h[1-6]$", child.tag)))))
+        keeps.append(keep)
+    if not alone and any(keeps):
+        first, last = keeps.index(True), len(keeps) - 1 - keeps[::-1].index(True)
+        for i in range(first, last + 1):  # between two that are kept
+            child = blocks[i][0].branch
+            keeps[i] = keeps[i] or (child is not None and child is not top and not linked(child) and not blocks[i][2] > len(blocks[i][1]) / 2)
+    return "\n\n".join(text for (_, text, _), keep in zip(blocks, keeps, strict=True) if keep)
+
+
+def beside_top(row: list[Node], top: Node, linked) -> set[int]:
+    """Text elements that go on from the container without a break, on either side."""
+    out: set[int] = set()
+    at = next((i for i, n in enumerate(row) if n is top), None)
+    if at is not None:
+        for side in (row[at + 1 :], row[:at][::-1]):
+            for n in side:
+                if n.tag not in FLOW or linked(n):
+                    break
+                out.add(id(n))
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -15,6 +15,17 @@ TEXT = f"<p>{A}</p><p>{B}</p><p>{C}</p>"
 FULL = f"{A}\n\n{B}\n\n{C}"
 MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>News and more</a></li></ul>"
 
+BESIDE = {
+    "list": ("<ul><li>First point</li><li>Second point</li></ul>", "First point\n\nSecond point"),
+    "table": ("<table><tr><td>One</td><td>Two</td></tr></table>", "One\n\nTwo"),
+    "code": ("<pre>x = 1</pre>", "x = 1"),
+    "quote": ("<blockquote>Quoted words</blockquote>", "Quoted words"),
+    "caption": ("<figure><img src=a><figcaption>What it shows</figcaption></figure>", "What it shows"),
+    "lead": ("<div>A short lead.</div>", "A short lead."),
+    "heading and short text": ("<h2>More</h2><p>Few words</p>", "More\n\nFew words"),
+    "section": ("<section><p>Short section.</p></section>", "Short section."),
+}
+
 PAGES = {
     "has-sidebar": (f'<div class="content has-sidebar">{TEXT}</div><div class="sidebar"><p>Side text, with commas, and more of it.</p></div>', FULL),
     "header wrapper": (f'<div class="post-header-wrap"><h1>Title</h1>{TEXT}</div><div id="footer">About us, and legal text, and so on.</div>', f"Title\n\n{FULL}"),
@@ -40,6 +51,17 @@ PAGES = {
     "unclosed": (f"<body><div class=article><p>{A}<p>{B}<p>{C}", FULL),
     "list of links": ("<p><a href=x>one</a> <a href=y>two</a></p>", ""),
     "plain text": ("just words", "just words"),
+    **{f"beside the container: {name}": (f'<div class="wrap"><div>{TEXT}</div>{x}</div>', f"{FULL}\n\n{expect}") for name, (x, expect) in BESIDE.items()},
+    **{f"beside the container in the body: {name}": (f"<body><div>{TEXT}</div>{x}</body>", f"{FULL}\n\n{expect}") for name, (x, expect) in BESIDE.items() if not x.startswith("<div")},
+    **{f"beside a deeper container: {name}": (f'<div id="page"><div class="outer"><div class="col"><div>{TEXT}</div></div>{x}</div></div>', f"{FULL}\n\n{expect}") for name, (x, expect) in BESIDE.items()},
+    **{f"inside the article: {name}": (f"<article>{TEXT}{x}</article>", f"{FULL}\n\n{expect}") for name, (x, expect) in BESIDE.items()},
+    **{f"between containers: {name}": (f'<div class="wrap"><div>{TEXT}</div>{x}<div>{TEXT}</div></div>', f"{FULL}\n\n{expect}\n\n{FULL}") for name, (x, expect) in BESIDE.items()},
+    "lead beside the title": (f"<div class=wrap><h1>Title</h1><div>A short lead.</div><div>{TEXT}</div></div>", f"Title\n\nA short lead.\n\n{FULL}"),
+    "links beside the container": (f"<div class=wrap><div>{TEXT}</div>{MENU}<ul><li>Plain item</li></ul></div>", f"{FULL}\n\nPlain item"),
+    "article that is a comment": (f'<article>{TEXT}<article class="comment"><p>A reader says, at length, that this is wrong, all of it.</p></article></article>', FULL),
+    "articles that are comments": (f'<article>{TEXT}</article><article id="comment-7"><p>A reader says, at length, that this is wrong, all of it.</p></article><article class="user-comment odd"><p>Another one agrees, and more, and more, and more than that.</p></article>', FULL),
+    "article open to comments": (f'<article class="post comments-open" id="post-7">{TEXT}</article>', FULL),
+    "thread of messages": (f'<div class="post">{TEXT}</div><div class="thread"><div class="msg"><p>A reader says, at length, that this is wrong, all of it.</p></div></div>', FULL),
     "no page": (None, ""),
     "empty": ("", ""),
     "only tags": ("<div><p></p></div>", ""),
