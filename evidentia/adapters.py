@@ -32,11 +32,14 @@ SQL = {
             UNION ALL SELECT 'uses', concat('order:', l_orderkey), concat('part:', l_partkey), {_FLAG} FROM {{lineitem}} GROUP BY l_orderkey, l_partkey
             UNION ALL SELECT 'supplied_by', concat('part:', l_partkey), concat('supplier:', l_suppkey), {_FLAG} FROM {{lineitem}} GROUP BY l_partkey, l_suppkey
         ) AS e""",
-    # relation, producer partition, state (0 complete, 1 not evaluated, 2 partial, 3 failed, 4 truncated), whether absence is authoritative
+    # relation, producer partition, state (0 complete, 1 not evaluated, 2 partial, 3 failed, 4 truncated), whether absence is authoritative:
+    # what the rows of each producer say, counted
     "coverage": """
-        SELECT * FROM (VALUES ('contains', 'p0', 0, true), ('contains', 'p1', 0, true), ('owned_by', 'p0', 0, true), ('owned_by', 'p1', 0, false),
-            ('owns', 'p0', 0, true), ('owns', 'p1', 0, true), ('uses', 'p0', 0, true), ('uses', 'p1', 2, false), ('supplied_by', 'p0', 4, false))
-            AS c(relation, part_id, state, authority)""",
+        SELECT 'contains' AS relation, concat('p', n_regionkey % 2) AS part_id, CASE WHEN count(*) = count(n_name) THEN 0 ELSE 2 END AS state, true AS authority FROM {nation} GROUP BY n_regionkey % 2
+        UNION ALL SELECT 'owned_by', concat('p', c_nationkey % 2), CASE WHEN count(*) = count(c_name) THEN 0 ELSE 2 END, min(c_acctbal) > 0 FROM {customer} GROUP BY c_nationkey % 2
+        UNION ALL SELECT 'owns', concat('p', o_custkey % 2), CASE WHEN count(*) = count(o_orderstatus) THEN 0 ELSE 2 END, true FROM {orders} GROUP BY o_custkey % 2
+        UNION ALL SELECT 'uses', concat('p', l_orderkey % 2), CASE WHEN l_orderkey % 2 = 1 AND count(CASE WHEN l_linestatus = 'O' THEN 1 END) > 0 THEN 2 ELSE 0 END, l_orderkey % 2 = 0 FROM {lineitem} GROUP BY l_orderkey % 2
+        UNION ALL SELECT 'supplied_by', 'p0', CASE WHEN max(l_suppkey) > 5 THEN 4 ELSE 0 END, false FROM {lineitem}""",
     "facts": """
         SELECT event_id AS fact_id, event_type AS kind, user_id AS scope_id, value, props,
                CAST(CASE WHEN value < 10 THEN 2 WHEN value < 40 THEN 1 ELSE 0 END AS INTEGER) AS confidence,

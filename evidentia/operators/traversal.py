@@ -193,6 +193,29 @@ class Axis:
         return {r: way if traversal in ("forward", "children") else turned(way) for _, r, way in self.relations}
 
 
+def axis_definitions(definitions: DataFrame) -> DataFrame:
+    """(axis, definition, relation, forward, state) of every axis over a table of definitions (definition, relation).
+
+    An axis is unsupported where one of its relations has no definition (one row without
+    one), and its profile is invalid where one has several.  The load axis is the extended
+    one where either relation of the extension is defined.
+    """
+    spark = definitions.sparkSession
+    rows = [(axis, r, way, False) for axis, recipe in AXES.items() for r, way in recipe.items()] + [("load", r, way, True) for r, way in LOAD_EXTENDED.items()]
+    recipes = spark.createDataFrame(rows, "axis string, relation string, forward string, extended boolean")  # fixed values
+    known = definitions.groupBy("relation").agg(F.count_distinct("definition").alias("n"), F.min("definition").alias("definition"))
+    extended = known.agg(F.coalesce(F.bool_or(F.col("relation").isin(*sorted(set(LOAD_EXTENDED) - set(AXES["load"])))), F.lit(False)).alias("has"))  # one row
+    mine = recipes.join(F.broadcast(extended)).where((F.col("axis") != "load") | (F.col("extended") == F.col("has"))).join(known, "relation", "left")
+    per_axis = mine.groupBy("axis").agg(F.when(F.bool_or(F.col("n").isNull()), "axis_unsupported").when(F.bool_or(F.col("n") > 1), "axis_profile_invalid").otherwise("accepted").alias("state"))
+    return mine.join(per_axis, "axis").select("axis", F.when(F.col("state") == "accepted", F.col("definition")).alias("definition"), "relation", "forward", "state")
+
+
+def axis_states(definitions: DataFrame) -> DataFrame:
+    """(axis, forward, parents): whether each axis can be followed, and whether one level of parents can be asked for, which takes an axis on which a node may have several."""
+    told = axis_definitions(definitions).select("axis", "state").distinct()
+    return told.select("axis", F.col("state").alias("forward"), F.when((F.col("state") == "accepted") & ~F.col("axis").isin(*sorted(PARENTAL)), "query_invalid").otherwise(F.col("state")).alias("parents"))
+
+
 def along(axis: Axis, nodes: DataFrame, edges: DataFrame, roots: Sequence[str], traversal: str, limits: Limits | None = None, ceiling: int = DERIVED) -> Subgraph:
     """The subgraph along an axis; parents and children are one level of an axis on which a node may have several parents."""
     limits = limits or Limits(depth=1 if traversal in ("parents", "children") else Limits.depth)

@@ -596,11 +596,11 @@ def _(s: Source):
     return Markup.schema_components(s.part.select(F.col("p_partkey").alias("doc"), text.alias("text")), "doc", "text").select("doc", "component", "name", "type", "owner")
 
 
-@query("s15_member_cursor", "WITH p AS (SELECT p_partkey AS k, strlen(p_name) AS n, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part), g AS (SELECT r // 5000 AS page, count(*) AS members, sum(n) AS bytes, max(k) AS cursor FROM p GROUP BY ALL) SELECT page AS round, members, CAST(bytes AS BIGINT) AS bytes, cursor FROM g")
-def _(s: Source):  # rounds of a cursor up to the end
-    rows, cursor, more = [], None, True
+@query("s15_member_cursor", "WITH p AS (SELECT p_partkey AS k, strlen(p_name) AS n, row_number() OVER (ORDER BY p_partkey) - 1 AS r FROM part), g AS (SELECT r // ((SELECT count(*) FROM p) // 7 + 1) AS page, count(*) AS members, sum(n) AS bytes, max(k) AS cursor FROM p GROUP BY ALL) SELECT page AS round, members, CAST(bytes AS BIGINT) AS bytes, cursor  FROM g")
+def _(s: Source):  # seven rounds of a cursor up to the end
+    rows, cursor, more, most = [], None, True, s.part.count() // 7 + 1
     while more:
-        page, cursor, more = R.next_members(s.part, "p_partkey", F.octet_length("p_name"), 5000, 1 << 40, cursor)
+        page, cursor, more = R.next_members(s.part, "p_partkey", F.octet_length("p_name"), most, 1 << 40, cursor)
         told = page.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b")).collect()[0]
         rows.append((len(rows), told["n"], told["b"], cursor))
     return s.spark.createDataFrame(rows, "round long, members long, bytes long, cursor long")

@@ -238,28 +238,26 @@ def _(s: Source):
     return along(s, "inheritance", "children", ["supplier:2"]).nodes.select(*AXIS)
 
 
-def refusal(work) -> str:
-    try:
-        work()
-    except T.Refused as e:
-        return e.code
-    return "accepted"
+#: definitions of relations, by nation: some relations have none, calls has two
+DEFINED = ["parent_of", "owns", "loads", "depends_on", "inherits", "mixes_in", "calls", "reads_state", "writes_state", "factory_creates", "sets_script", "calls"]
+_DEFINITIONS = "d AS (SELECT concat('definition/', n_name) AS definition, [" + ", ".join(f"'{r}'" for r in DEFINED) + "][n_nationkey + 1] AS relation FROM nation WHERE n_nationkey < 12)"
+_RECIPES = "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{axis}', '{r}', '{way}')" for axis, recipe in T.AXES.items() for r, way in recipe.items()) + ") AS r(axis, relation, forward))"
+_BOUND = f"WITH {_DEFINITIONS}, {_RECIPES}, k AS (SELECT relation, count(DISTINCT definition) AS n, min(definition) AS definition FROM d GROUP BY relation), m AS (SELECT r.*, k.n, k.definition, bool_or(k.n IS NULL) OVER w AS lacks, bool_or(k.n > 1) OVER w AS several FROM r LEFT JOIN k USING (relation) WINDOW w AS (PARTITION BY axis)), x AS (SELECT *, CASE WHEN lacks THEN 'axis_unsupported' WHEN several THEN 'axis_profile_invalid' ELSE 'accepted' END AS state FROM m)"
 
 
-@query("g7_axis_states", """SELECT * FROM (VALUES ('call', 'accepted', 'query_invalid'), ('inheritance', 'accepted', 'accepted'), ('lexical', 'axis_unsupported', 'axis_unsupported'), ('lifecycle', 'accepted', 'query_invalid'), ('load', 'accepted', 'query_invalid'),
-    ('load_with_order', 'axis_unsupported', 'axis_unsupported'), ('object', 'accepted', 'accepted'), ('ownership', 'accepted', 'accepted'), ('registration', 'accepted', 'query_invalid'), ('state', 'accepted', 'query_invalid'), ('twice', 'axis_profile_invalid', 'axis_profile_invalid')) AS t(axis, forward, parents)""")
+def definitions(s: Source):
+    relation = F.element_at(F.array(*map(F.lit, DEFINED)), (F.col("n_nationkey") + 1).cast("int"))
+    return s.nation.where(F.col("n_nationkey") < len(DEFINED)).select(F.concat(F.lit("definition/"), "n_name").alias("definition"), relation.alias("relation"))
+
+
+@query("g7_axis_states", _BOUND + " SELECT DISTINCT axis, state AS forward, CASE WHEN state = 'accepted' AND axis NOT IN ('ownership', 'inheritance', 'object') THEN 'query_invalid' ELSE state END AS parents FROM x")
 def _(s: Source):
-    rows = [(axis, *(refusal(lambda: T.Axis.bind(REGISTRY, axis).directions(t)) for t in ("forward", "parents"))) for axis in ("lexical", *T.AXES)]  # noqa: B023
-    partial = REGISTRY | {"definition/loads_before": "loads_before"}  # the extended load axis lacks a family
-    twice = REGISTRY | {"definition/calls/2": "calls"}
-    for name, registry, axis in (("load_with_order", partial, "load"), ("twice", twice, "call")):
-        rows.append((name, *(refusal(lambda: T.Axis.bind(registry, axis).directions(t)) for t in ("forward", "parents"))))  # noqa: B023
-    return s.spark.createDataFrame(rows, "axis string, forward string, parents string")
+    return T.axis_states(definitions(s))
 
 
-@query("g7_axis_relations", "SELECT * FROM (VALUES " + ", ".join(f"('{axis}', 'definition/{r}', '{r}', '{way}')" for axis, recipe in T.AXES.items() for r, way in recipe.items()) + ") AS t(axis, definition, relation, forward)")
+@query("g7_axis_relations", _BOUND + " SELECT axis, CASE WHEN state = 'accepted' THEN definition END AS definition, relation, forward, state FROM x")
 def _(s: Source):
-    return s.spark.createDataFrame([(axis, *r) for axis in T.AXES for r in T.Axis.bind(REGISTRY, axis).relations], "axis string, definition string, relation string, forward string")
+    return T.axis_definitions(definitions(s))
 
 
 @query("g10_evidence_closure", """WITH RECURSIVE d AS (SELECT DISTINCT package AS src, dependency AS dst FROM dependencies WHERE kind = 'required'), walk(id, depth) AS (SELECT 'pkg4', 0 UNION SELECT d.dst, walk.depth + 1 FROM walk JOIN d ON d.src = walk.id WHERE walk.depth < 30),

@@ -189,9 +189,10 @@ def _(s: Source):
     return s.customer.select("c_custkey", S.is_atom(F.lower("c_mktsegment")).alias("atom"), S.is_locale(F.col("c_name")).alias("locale"))
 
 
-@query("f12_saved_names", "SELECT p_partkey, CAST(1 AS BIGINT) AS valid, CAST(1 AS BIGINT) AS malformed FROM part")
+@query("f12_saved_names", """WITH n AS (SELECT p_partkey, unnest(string_split_regex(concat(p_type, ', ', p_brand, ',  ', p_name), '[,\\s]+')) AS name FROM part)
+    SELECT p_partkey, count(*) FILTER (regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*')) AS valid, count(*) FILTER (NOT regexp_full_match(name, '[A-Za-z_][A-Za-z0-9_]*')) AS malformed FROM n WHERE name <> '' GROUP BY p_partkey""")
 def _(s: Source):
-    names = S.saved_names(F.concat_ws(", ", F.regexp_replace("p_type", "[^A-Z]", ""), "p_brand"))
+    names = S.saved_names(F.concat("p_type", F.lit(", "), "p_brand", F.lit(",  "), "p_name"))
     count = lambda state: F.size(F.filter(names, lambda x: x["state"] == state)).cast("long")
     return s.part.select("p_partkey", count("valid").alias("valid"), count("malformed").alias("malformed"))
 

@@ -178,10 +178,12 @@ def _(s: Source):
     return g.select("user_id", C.availability(F.col("status"), F.col("conflicts"), F.col("truncated")).alias("availability"))
 
 
-@query("a8_query_state", "SELECT 'owns,uses' AS relations, 'partial' AS state, false AS absence_authoritative UNION ALL SELECT 'contains', 'complete', true UNION ALL SELECT 'uses,supplied_by', 'truncated', false UNION ALL SELECT 'owns,missing', 'not_evaluated', false")
+@query("a8_query_state", """WITH q AS (SELECT * FROM (VALUES ('owns,uses', 'owns'), ('owns,uses', 'uses'), ('contains', 'contains'), ('uses,supplied_by', 'uses'), ('uses,supplied_by', 'supplied_by'), ('owned_by', 'owned_by'), ('owns,missing', 'owns'), ('owns,missing', 'missing')) AS q(relations, relation)),
+    f AS (SELECT q.relations, bool_or(c.state = 4) AS cut, bool_or(c.state IN (2, 3)) AS part, bool_or(c.state IS NULL OR c.state = 1) AS lacks, bool_and(coalesce(c.authority, false)) AS sure FROM q LEFT JOIN coverage c USING (relation) GROUP BY q.relations)
+    SELECT relations, CASE WHEN cut THEN 'truncated' WHEN part THEN 'partial' WHEN lacks THEN 'not_evaluated' ELSE 'complete' END AS state, coalesce(NOT coalesce(cut, false) AND NOT coalesce(part, false) AND NOT lacks AND sure, false) AS absence_authoritative FROM f""", "coverage")
 def _(s: Source):
     out = None
-    for names in (["owns", "uses"], ["contains"], ["uses", "supplied_by"], ["owns", "missing"]):
+    for names in (["owns", "uses"], ["contains"], ["uses", "supplied_by"], ["owned_by"], ["owns", "missing"]):
         row = G.fold_states(s.coverage, names).select(F.lit(",".join(names)).alias("relations"), "state", "absence_authoritative")
         out = row if out is None else out.unionByName(row)
     return out

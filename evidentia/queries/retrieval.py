@@ -331,14 +331,14 @@ def _(s: Source):
     return N.source_map(s.members).select("api", "position", "byte_end")
 
 
-@query("f16_positions", """SELECT doc_id, unit, CAST(len(string_split(text, chr(10))) - 1 AS BIGINT) AS line, CAST(CASE unit WHEN 'utf-8' THEN strlen(list_last(string_split(text, chr(10)))) ELSE length(list_last(string_split(text, chr(10)))) END AS BIGINT) AS character
-    FROM documents, (VALUES ('utf-8'), ('utf-32')) AS u(unit)""")
-def _(s: Source):  # the end of every whole text, in two units
+@query("f16_positions", """SELECT doc_id, unit, CAST(len(string_split(text, chr(10))) - 1 AS BIGINT) AS line, CAST(CASE unit WHEN 'utf-8' THEN strlen(list_last(string_split(text, chr(10)))) WHEN 'utf-32' THEN length(list_last(string_split(text, chr(10)))) ELSE length(list_last(string_split(text, chr(10)))) + len(regexp_extract_all(list_last(string_split(text, chr(10))), '[^\\x{0000}-\\x{FFFF}]')) END AS BIGINT) AS character
+    FROM documents, (VALUES ('utf-8'), ('utf-16'), ('utf-32')) AS u(unit)""")
+def _(s: Source):  # the end of every whole text, in three units
     from evidentia.functions.positions import positions
 
     d = s.documents.select("doc_id", "text", F.octet_length("text").cast("long").alias("at"))
-    units = [positions(d, "text", "at", unit).select("doc_id", F.lit(unit).alias("unit"), "line", "character") for unit in ("utf-8", "utf-32")]
-    return units[0].unionByName(units[1])
+    units = [positions(d, "text", "at", unit).select("doc_id", F.lit(unit).alias("unit"), "line", "character") for unit in ("utf-8", "utf-16", "utf-32")]
+    return units[0].unionByName(units[1]).unionByName(units[2])
 
 
 @query("s18_token_table", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, w AS token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w, unnest(generate_series(1, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')))) AS i FROM documents)")
