@@ -90,3 +90,39 @@ def test_repeated_rows_empty_sides_and_long_texts(spark):
     no_items = spark.createDataFrame([], "item_id long, text string")
     assert dc.overlaps(none, bench).count() == dc.clean(none, bench).count() == dc.overlaps(docs, no_items).count() == 0
     assert dc.clean(docs, no_items).count() == 5
+
+
+def test_items_that_share_a_template(spark):
+    import time
+
+    template = "Read the question below and choose the one best answer from the list".split()
+    items = [(i, " ".join([*template, f"q{i}", f"r{i % 977}", f"s{i % 13}", "end"])) for i in range(20_000)]
+    filler = " ".join(f"f{i}" for i in range(34))
+    text = " ".join(f"{' '.join(template)} q{k} r{k} s{k % 13} {filler}" for k in range(40))
+    near = " ".join([*template[:6], "other", *template[7:9], "q5"])
+    docs = spark.createDataFrame([(1, text, 0, 0, 0), (2, near, 0, 0, 0), (3, filler, 0, 0, 0)], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    dc.overlaps(docs, bench.limit(10)).collect()
+    began = time.time()
+    rows = dc.overlaps(docs, bench).collect()
+    assert time.time() - began < 30
+    found = {(r.doc_id, r.item_id): r for r in rows}
+    assert len(found) == len(rows) and {d for d, _ in found} == {1} and len(found) == 20_000
+    some = [items[i] for i in (0, 3, 39, 40, 999, 19_999)]
+    assert by_force([(1, text), (2, near)], some) == {(d, t) for d, t in found if t in {i for i, _ in some}}
+    assert [found[1, k].n_matched for k in (0, 39, 40)] == [16, 16, 13] and found[1, 39].word_start == 39 * 50
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    from evidentia.llm import decontaminate
+
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(20))) for i in range(30)]
+    docs = spark.createDataFrame([(i, f"x y z {t}", 0, 0, 0) for i, t in items], SCHEMA)
+    paths = tuple(decontaminate.item_files(spark.createDataFrame(items, "item_id long, text string")))
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+    parts = list(decontaminate.indexes(paths, 1))
+    assert len(parts) >= 6 and sorted(i for p in parts for i in p.ids) == list(range(30)) and max(len(p.words) for p in parts) <= 100
+    monkeypatch.setattr(decontaminate, "CELLS", 7)
+    column = docs.select("text").toArrow().column(0).combine_chunks()
+    got = {(int(a), int(p.ids[t])) for p in parts for a, t, *_ in decontaminate.found_in(column, p, 10, 0.75).tolist()}
+    assert got == {(i, i) for i in range(30)}
