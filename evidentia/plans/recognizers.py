@@ -111,23 +111,29 @@ def direct_calls(calls: DataFrame, functions: DataFrame, apis: DataFrame) -> Dat
 
 
 def bridges(registrations: DataFrame, handlers: DataFrame) -> DataFrame:
-    """(receiver, target, registrations, handlers, state): a receiver's registration of an event and its own handlers meet.
+    """(receiver, target, registrations, handlers, state, proof): a receiver's registration of an event and its own handlers meet.
 
-    Both sides are counted before they are joined, so a common event is no product of its calls.
+    proof: derived where some registration and some handler are derived themselves, else
+    possible; none without a bridge.  Both sides are counted before they are joined, so a
+    common event is no product of its calls.
     """
-    r = registrations.where(F.col("target").isNotNull()).groupBy("receiver", "target").agg(F.count(F.lit(1)).alias("registrations"))
-    h = handlers.where(F.col("target").isNotNull()).groupBy("receiver").agg(F.count(F.lit(1)).alias("handlers"))
+    sure = F.count_if(F.col("state") == DERIVED)
+    r = registrations.where(F.col("target").isNotNull()).groupBy("receiver", "target").agg(F.count(F.lit(1)).alias("registrations"), (sure > 0).alias("r_sure"))
+    h = handlers.where(F.col("target").isNotNull()).groupBy("receiver").agg(F.count(F.lit(1)).alias("handlers"), (sure > 0).alias("h_sure"))
     joined = r.join(h, "receiver", "left")
-    return joined.select("receiver", "target", "registrations", F.coalesce("handlers", F.lit(0)).alias("handlers"), F.when(F.col("handlers") > 0, "bridged").otherwise("no_handler").alias("state"))
+    bridged = F.col("handlers") > 0
+    proof = F.when(bridged, F.when(F.col("r_sure") & F.col("h_sure"), DERIVED).otherwise(POSSIBLE))
+    return joined.select("receiver", "target", "registrations", F.coalesce("handlers", F.lit(0)).alias("handlers"), F.when(bridged, "bridged").otherwise("no_handler").alias("state"), proof.alias("proof"))
 
 
-def confirmations(subscriptions: DataFrame, producers: DataFrame, complete: bool = True) -> DataFrame:
-    """(call_id, target, state, producers): confirmed by producers of the same receiver and key, else no_producer, receiver_mismatch, key_mismatch or lookup_incomplete."""
+def confirmations(subscriptions: DataFrame, producers: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
+    """(call_id, target, state, producers): confirmed by producers of the same receiver and key, else lookup_incomplete where not all producers of the receiver were looked at (``incomplete``: receiver), else receiver_mismatch, key_mismatch or no_producer."""
     p = producers.where(F.col("target").isNotNull())
     same = p.groupBy("receiver", "target").agg(F.array_sort(F.collect_set("call_id")).alias("ids"))
     keys, receivers = p.select("target").distinct().withColumn("key_known", F.lit(True)), p.select("receiver").distinct().withColumn("receiver_known", F.lit(True))
     joined = subscriptions.where(F.col("target").isNotNull()).join(same, ["receiver", "target"], "left").join(keys, "target", "left").join(receivers, "receiver", "left")
-    state = F.when(F.col("ids").isNotNull(), "confirmed").when(F.lit(not complete), "lookup_incomplete").when(F.col("key_known"), "receiver_mismatch").when(F.col("receiver_known"), "key_mismatch").otherwise("no_producer")
+    joined = joined.join(incomplete.select("receiver").distinct().withColumn("open", F.lit(True)), "receiver", "left") if incomplete is not None else joined.withColumn("open", F.lit(None).cast("boolean"))
+    state = F.when(F.col("ids").isNotNull(), "confirmed").when(F.col("open"), "lookup_incomplete").when(F.col("key_known"), "receiver_mismatch").when(F.col("receiver_known"), "key_mismatch").otherwise("no_producer")
     return joined.select("call_id", "target", state.alias("state"), F.coalesce(F.size("ids"), F.lit(0)).alias("producers"))
 
 

@@ -9,6 +9,7 @@ from evidentia.plans import budgets as B
 from evidentia.plans import recognizers as N
 from evidentia.plans import rules as R
 from evidentia.plans import shared as P
+from evidentia.plans import structure as Structure
 from evidentia.registry import Source, query
 from evidentia.sources import markup as Markup
 
@@ -217,7 +218,14 @@ def _(s: Source):
     SELECT r.receiver, r.target, r.registrations, coalesce(h.handlers, 0) AS handlers, CASE WHEN h.handlers > 0 THEN 'bridged' ELSE 'no_handler' END AS state FROM r LEFT JOIN h USING (receiver)""")
 def _(s: Source):
     c = calls(s)
-    return N.bridges(N.recognize(c, N.NATIVE_EVENTS), N.recognize(c, N.SCRIPTS[:2]))
+    return N.bridges(N.recognize(c, N.NATIVE_EVENTS), N.recognize(c, N.SCRIPTS[:2])).drop("proof")
+
+
+@query("r22_bridge_proofs", recognized_sql(N.NATIVE_EVENTS + N.SCRIPTS[:2]) + """, r AS (SELECT receiver, target, bool_or(state = 'derived') AS sure FROM rec WHERE relation = 'registers_native_event' AND target IS NOT NULL GROUP BY ALL), h AS (SELECT receiver, bool_or(state = 'derived') AS sure FROM rec WHERE relation <> 'registers_native_event' AND target IS NOT NULL GROUP BY ALL)
+    SELECT r.receiver, r.target, CASE WHEN h.sure IS NULL THEN NULL WHEN r.sure AND h.sure THEN 'derived' ELSE 'possible' END AS proof FROM r LEFT JOIN h USING (receiver)""")
+def _(s: Source):
+    c = calls(s)
+    return N.bridges(N.recognize(c, N.NATIVE_EVENTS), N.recognize(c, N.SCRIPTS[:2])).select("receiver", "target", "proof")
 
 
 @query("r23_signal_confirmation", recognized_sql(N.SIGNALS) + """, p AS (SELECT receiver, target, count(DISTINCT call_id) AS n FROM rec WHERE relation = 'emits_custom_signal' AND target IS NOT NULL GROUP BY ALL)
@@ -228,6 +236,14 @@ def _(s: Source):
     return N.confirmations(found.where("relation = 'handles_custom_signal'"), found.where("relation = 'emits_custom_signal'"))
 
 
+@query("r23_incomplete_lookups", recognized_sql(N.SIGNALS) + """, p AS (SELECT receiver, target, count(DISTINCT call_id) AS n FROM rec WHERE relation = 'emits_custom_signal' AND target IS NOT NULL AND call_id % 3 = 0 GROUP BY ALL), o AS (SELECT DISTINCT receiver FROM rec WHERE relation = 'emits_custom_signal' AND target IS NOT NULL AND call_id % 3 <> 0)
+    SELECT q.call_id, CASE WHEN p.n IS NOT NULL THEN 'confirmed' WHEN q.receiver IN (SELECT receiver FROM o) THEN 'lookup_incomplete' WHEN q.target IN (SELECT target FROM p) THEN 'receiver_mismatch' WHEN q.receiver IN (SELECT receiver FROM p) THEN 'key_mismatch' ELSE 'no_producer' END AS state FROM rec q LEFT JOIN p USING (receiver, target) WHERE q.relation = 'handles_custom_signal' AND q.target IS NOT NULL""")
+def _(s: Source):  # a third of the producers was looked at
+    found = N.recognize(calls(s), N.SIGNALS)
+    producers = found.where("relation = 'emits_custom_signal' AND target IS NOT NULL")
+    return N.confirmations(found.where("relation = 'handles_custom_signal'"), producers.where("call_id % 3 = 0"), producers.where("call_id % 3 <> 0")).select("call_id", "state")
+
+
 @query("r26_script_handlers", """SELECT page_id AS doc, CAST(count(*) AS BIGINT) AS n, count(DISTINCT t) AS targets FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<(script|style)>.*?</(script|style)>', '', 'gs'), '<a href="([^"]*)"', 1)) AS h FROM pages), LATERAL (SELECT unnest(regexp_split_to_array(h, '\\s*,\\s*')) AS t) WHERE t <> '' GROUP BY page_id""")
 def _(s: Source):  # links of pages stand for the script attributes of an interface file
     found = N.element_relations(Markup.elements(s.pages, "page_id", "html", html=True).withColumnRenamed("page_id", "doc"), {"href": "sets_script"})
@@ -318,3 +334,25 @@ def _(s: Source):
         within = {"all_of": [{"field_eq": {"field": f"{a}.k", "literal": ["integer", k]}}]}
         rules.append({"rule_id": rule, "clauses": [fact(a, x), fact(b, y), scope(a, b), order(a, b), join(a, b), within], "captures": [{"name": "k", "value": f"{a}.k"}]})
     return P.run_pack(R.compile_pack({"pack_id": "fifty", "rules": rules}), facts(s), COVERAGE)
+
+
+@query("r31_manifest_texts", """SELECT p_brand AS package, 'file' AS fact, concat('src/', p_name, p_partkey, '.lua') AS value, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS position FROM part UNION ALL SELECT DISTINCT p_brand, 'dependency', concat('Dep', CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS VARCHAR), p_type), CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS INTEGER) FROM (SELECT DISTINCT p_brand, p_type FROM part)
+    UNION ALL SELECT DISTINCT p_brand, 'load_on_demand', '1', NULL FROM part WHERE p_brand IN ('Brand#1', 'Brand#3') UNION ALL SELECT DISTINCT p_brand, 'saved_variable', 'Db.profile', 0 FROM part UNION ALL SELECT DISTINCT p_brand, 'saved_variable', 'Db.global', 1 FROM part UNION ALL SELECT DISTINCT p_brand, 'saved_root', 'Db', NULL FROM part UNION ALL SELECT DISTINCT p_brand, 'title', p_brand, NULL FROM part""")
+def _(s: Source):  # a manifest text for each brand
+    types = s.part.select("p_brand", "p_type").distinct().groupBy("p_brand").agg(F.array_sort(F.collect_list("p_type")).alias("types"))
+    files = s.part.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("files"))
+    dependencies = F.array_join(F.transform("types", lambda t, i: F.concat(F.lit("Dep"), i.cast("string"), t)), ", ")
+    paths = F.array_join(F.transform("files", lambda f: F.concat(F.lit("src\\"), f["p_name"], f["p_partkey"].cast("string"), F.lit(".lua"))), "\n")
+    on_demand = F.when(F.col("p_brand").isin("Brand#1", "Brand#3"), "1").otherwise("0")
+    text = F.concat(F.lit("## Title: "), "p_brand", F.lit("\n## Required Deps: "), dependencies, F.lit("\n## LoadOnDemand: "), on_demand, F.lit("\n# a comment\n\n## SavedVariables: Db.profile, Db.global\n"), paths)
+    return Structure.manifest_facts(types.join(files, "p_brand").select(F.col("p_brand").alias("package"), text.alias("text")), "package", "text").select("package", "fact", "value", "position")
+
+
+@query("r32_nested_objects", """SELECT p_partkey AS doc, 'parent_of' AS relation, p_brand AS source, concat('O', p_partkey) AS target, 'derived' AS state FROM part UNION ALL SELECT p_partkey, 'inherits', concat('O', p_partkey), p_type, 'derived' FROM part UNION ALL SELECT p_partkey, 'inherits', concat('O', p_partkey), 'Base', 'derived' FROM part
+    UNION ALL SELECT p_partkey, 'parent_of', concat('O', p_partkey), concat('O', p_partkey, 'Inner'), 'derived' FROM part UNION ALL SELECT p_partkey, 'parent_of', concat('O', p_partkey, 'Inner'), NULL, 'unnamed_object' FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'sets_script', concat('O', p_partkey, 'Inner'), concat('On', p_size), 'derived' FROM part
+    UNION ALL SELECT p_partkey, 'sets_script', concat('O', p_partkey), NULL, 'inline_body' FROM part UNION ALL SELECT p_partkey, 'declares_template', NULL, concat('T', p_partkey), 'derived' FROM part""")
+def _(s: Source):  # an interface file for each part: an object in another, handlers by name and inline, a template
+    c = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    key, inner = F.col("p_partkey"), F.when(F.col("p_size") % 2 == 0, "<Layers><Layer><Texture file='x'/></Layer></Layers>").otherwise("")
+    text = c('<Ui><Frame name="O', key, '" parent="', F.col("p_brand"), '" inherits="', F.col("p_type"), ', Base"><Size x="1" y="2"/><Frames><Button name="$parentInner">', inner, '<Scripts><OnClick function="On', F.col("p_size"), '"/></Scripts></Button></Frames><Scripts><OnLoad><![CDATA[ if a < b then f() end ]]></OnLoad></Scripts></Frame><Frame name="T', key, '" virtual="true"/></Ui>')
+    return Structure.interface_relations(s.part.select(key.alias("doc"), text.alias("text")), "doc", "text").select("doc", "relation", "source", "target", "state")
