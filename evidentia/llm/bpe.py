@@ -22,7 +22,8 @@ library, which differ from those that Python and its regex module know (``NO_CLA
 ``CASES``).
 
 Cases: a null or empty text gives no ids, and their digest is that of no bytes; a null
-id is carried; very long texts are encoded whole, in pieces that end before white space
+id is carried; of pairs that the merge list names twice the earlier counts, and pairs of one
+rank are merged from the left (ties); very long texts are encoded whole, in pieces that end before white space
 where there is some; repeated rows give repeated results; an empty table gives no rows;
 other columns are ignored, whatever their names.
 """

@@ -285,6 +285,32 @@ def test_quality_scores_are_sums_of_tables(spark):
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)  # an interaction only
     model = quality.fit(x, y)
     assert ((model.predict(x) >= 0.5) == y).mean() > 0.9 and model.pairs
+    for row, odds in zip(x[:200].tolist(), model.log_odds(x[:200]).tolist(), strict=True):  # one value of each table, by plain counting
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.intercept + sum(table[b] for table, b in zip(model.tables, bins, strict=True))
+        total += sum(table[bins[j] * quality.COARSE // (len(model.edges[j]) + 1)][bins[k] * quality.COARSE // (len(model.edges[k]) + 1)] for j, k, table in model.pairs)
+        assert abs(total - odds) < 1e-9
+
+
+def test_trees_are_the_best_of_all_cuts():
+    rng = np.random.default_rng(1)
+
+    def worth(g, h, cuts):  # of leaves between cuts
+        return sum(g[a:b].sum() ** 2 / (h[a:b].sum() + quality.LEAST) for a, b in zip([0, *cuts], [*cuts, len(g)], strict=True))
+
+    for _ in range(40):
+        g, h = rng.normal(size=9), rng.random(9) + 0.1
+        table = quality.step_tree(g, h, 2)
+        best = max(range(1, 9), key=lambda m: worth(g, h, [m]))
+        if worth(g, h, [best]) > worth(g, h, []) + 1e-9:
+            assert np.allclose(table[:best], g[:best].sum() / (h[:best].sum() + quality.LEAST)) and np.allclose(table[best:], g[best:].sum() / (h[best:].sum() + quality.LEAST))
+        gs, hs = rng.normal(size=(4, 4)), rng.random((4, 4)) + 0.1
+        found, gain = quality.pair_tree(gs, hs)
+        tries = [0.0]
+        for a, b in ((gs, hs), (gs.T, hs.T)):
+            for m in range(1, 4):
+                tries.append(sum(float((quality.step_tree(x.sum(0), y.sum(0), 2) * x.sum(0)).sum()) for x, y in ((a[:m], b[:m]), (a[m:], b[m:]))))
+        assert abs(gain - max(tries)) < 1e-9 and found.shape == (4, 4)
 
 
 def test_pitman_yor(spark, docs, rows):
