@@ -86,6 +86,9 @@ def counted_neighbors(edges: DataFrame, ids: Sequence[str], relations: Sequence[
     return kept, rows.select("node_id", n("scanned").alias("scanned"), n("matched").alias("matched"), omitted.alias("omitted"), reason.alias("reason"))
 
 
+NAMED = 1_000  # nodes of a level that are named in a filter
+
+
 def subgraph(edges: DataFrame, roots: DataFrame, relations: Sequence[str], direction: str = "out", depth: int = 4) -> DataFrame:
     """(node_id, depth, edge_id): shortest depth from any root, and the edge that discovers the node first.
 
@@ -94,11 +97,16 @@ def subgraph(edges: DataFrame, roots: DataFrame, relations: Sequence[str], direc
     and a level's places follow that order.  Places are dense ranks of that order
     within the level, so no level is gathered in one task.
     """
-    hops = keep(incident(edges.where(F.col("relation").isin(*relations)), direction).select("at", "to", "edge_id"))
+    hops = incident(edges.where(F.col("relation").isin(*relations)), direction).select("at", "to", "edge_id")
+    kept: DataFrame | None = None  # all of them, once a level is too large to be named
     level = keep(roots.select("node_id").distinct().select("node_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_id"), F.col("node_id").alias("place")))
     seen = level
     for d in range(1, depth + 1):
-        step = level.join(hops, level.node_id == hops.at).select(F.col("to").alias("node_id"), F.concat_ws("\x01", "place", hops.edge_id).alias("place"), hops.edge_id.alias("edge_id"))
+        front = [r["node_id"] for r in level.select("node_id").limit(NAMED + 1).collect()]
+        if len(front) > NAMED and kept is None:
+            kept = keep(hops)
+        near = kept if kept is not None else hops.where(F.col("at").isin(*front))  # a filter goes below what makes the edges
+        step = level.join(near, level.node_id == near.at).select(F.col("to").alias("node_id"), F.concat_ws("\x01", "place", near.edge_id).alias("place"), near.edge_id.alias("edge_id"))
         fresh = step.join(seen.select("node_id"), "node_id", "left_anti").groupBy("node_id").agg(F.min(F.struct("place", "edge_id")).alias("m"))
         level = keep(fresh.select("node_id", F.lit(d).alias("depth"), F.col("m.edge_id").alias("edge_id"), F.col("m.place").alias("place")))
         if level.isEmpty():
@@ -172,17 +180,17 @@ def spread_least(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return labels
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, nodes: DataFrame, small: int | None = None) -> DataFrame:
     """(node_id, component): the smallest node that reaches it and is reached by it.
 
     By colours, in tables no larger than the edges: nodes without an edge in or out of
     what is left are components of their own and go; each other node takes the least
     node that reaches it as its colour; what reaches a colour's own node within the
-    colour is its component and goes as well.  That takes rounds, so up to SMALL edges
-    are walked in one task instead.
+    colour is its component and goes as well.  That takes rounds, so up to ``small`` edges
+    (SMALL by default) are walked in one task instead.
     """
     pairs = keep(edges.where("src <> dst").select("src", "dst").distinct())
-    if pairs.count() <= SMALL:
+    if pairs.count() <= (SMALL if small is None else small):
         key = pairs.schema["src"].dataType.simpleString()
         found = pairs.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(walk_components, f"node_id {key}, component {key}")
         return nodes.select("node_id").distinct().join(found, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))

@@ -39,7 +39,7 @@ def api_exists(references: DataFrame, gates: DataFrame, catalogue: DataFrame, pa
     others are blocked by the budget.
     """
     names = catalogue.groupBy("partition", "name").agg(F.count_distinct("kind").alias("kinds"))
-    rows = references.join(gates, "file_id", "left").join(F.broadcast(partitions), "partition", "left").join(names, ["partition", "name"], "left")
+    rows = references.join(gates, "file_id", "left").join(partitions, "partition", "left").join(names, ["partition", "name"], "left")
     over = F.lit(False)
     if most is not None:
         kept = references.select("fact_id").orderBy("fact_id").limit(most).withColumn("within", F.lit(True))

@@ -166,7 +166,7 @@ def in_scope(files: DataFrame, scope: str, names: Sequence[str] = ()) -> DataFra
     asked = files.sparkSession.createDataFrame([(n,) for n in names], "file_id string")
     if not asked.join(files.select("file_id"), "file_id", "left_anti").isEmpty():
         raise ValueError("the scope names a file that is not there")
-    return files.join(F.broadcast(asked), "file_id", "left_semi")
+    return files.join(asked, "file_id", "left_semi")
 
 
 def record_filter(records: DataFrame, kinds: Sequence[str], supported: Sequence[str], lanes: Sequence[str], namespace: str | None = None) -> tuple[DataFrame, dict[str, str]]:

@@ -37,7 +37,7 @@ def validate_entities(proposals: DataFrame, kinds: DataFrame, universe: str, reg
     is its kind and key; of valid proposals of one node the first by proposal id is
     accepted, the others are duplicates.
     """
-    rows = proposals.join(F.broadcast(kinds), "kind", "left")  # one row for each kind of the registry
+    rows = proposals.join(kinds, "kind", "left")  # one row for each kind of the registry
     key = F.col("key")
     fields = F.array_sort(F.map_keys(key))
     node = F.concat_ws(":", "kind", F.array_join(F.transform(fields, lambda f: F.concat(f, F.lit("="), key[f])), ";"))
@@ -65,7 +65,7 @@ def validate_relations(proposals: DataFrame, relations: DataFrame, entities: Dat
     known = entities.where(F.col("outcome") == ACCEPTED).select(F.col("proposal_id").alias("end"), "node_id", "kind")
     known = known.unionByName(base.select(F.col("node_id").alias("end"), "node_id", "kind"))
     end = lambda name: known.select(F.col("end").alias(name), F.col("node_id").alias(f"{name}_id"), F.col("kind").alias(f"{name}_kind"))
-    rows = proposals.join(F.broadcast(relations), "relation", "left").join(end("source"), "source", "left").join(end("target"), "target", "left")
+    rows = proposals.join(relations, "relation", "left").join(end("source"), "source", "left").join(end("target"), "target", "left")
     code = first_of(
         (F.col("registry_digest") != registry_digest, "registry_mismatch"),
         (F.col("source_kinds").isNull(), "unknown_relation_kind"),

@@ -386,6 +386,14 @@ def _(s: Source):
     return own_components(s).select(F.col("node_id").alias("package"), "component")
 
 
+@query("d2_components_by_colours", """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, (o_custkey * 7 + o_orderkey) % 400 AS dst FROM orders WHERE o_custkey < 400 AND o_orderkey % 3 = 0), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), r(a, b) AS (SELECT node, node FROM n UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
+    SELECT x.a AS node_id, CAST(min(x.b) AS BIGINT) AS component FROM r x JOIN r y ON y.a = x.b AND y.b = x.a GROUP BY x.a""")
+def _(s: Source):  # the way that large graphs take
+    e = s.orders.where("o_custkey < 400 AND o_orderkey % 3 = 0").select(F.col("o_custkey").alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 400).alias("dst")).distinct()
+    nodes = e.select(F.col("src").alias("node_id")).unionByName(e.select(F.col("dst").alias("node_id"))).distinct()
+    return G.strong_components(e, nodes, small=0)
+
+
 @query("d3_levels", SCC + """, e AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM d JOIN scc a ON a.package = d.src JOIN scc b ON b.package = d.dst WHERE a.component <> b.component),
     lv(component, level) AS (SELECT component, 0 FROM scc UNION SELECT e.src, lv.level + 1 FROM lv JOIN e ON e.dst = lv.component) SELECT component, max(level) AS level FROM lv GROUP BY component""", "packages dependencies")
 def _(s: Source):
