@@ -235,14 +235,27 @@ def rebind(addresses: DataFrame, partitions: DataFrame, nodes: DataFrame) -> Dat
     return rows.withColumn("state", state).select("address", F.when(F.col("state") == "bound", F.col("node")).alias("node_id"), "state")
 
 
+def descriptor_of(fields: Sequence[str]) -> Column:
+    """Digest of exactly these fields, each preceded by its length; null is its own value."""
+    return F.sha2(F.concat_ws("|", *[F.concat(F.coalesce(F.length(F.col(f).cast("string")).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]), 256)
+
+
+def navigate_back(asked: DataFrame, sources: DataFrame, fields: Sequence[str], most: int) -> DataFrame:
+    """(descriptor, source_id, place, more): of each distinct descriptor that is asked for (fields) the first ``most`` sources (source_id, fields) with exactly the same one, by id, and whether there are more."""
+    wanted = asked.select(descriptor_of(fields).alias("descriptor")).distinct()
+    mine = sources.select("source_id", descriptor_of(fields).alias("descriptor")).join(wanted, "descriptor", "left_semi")
+    n = mine.groupBy("descriptor").agg((F.count(F.lit(1)) > most).alias("more"))
+    first = mine.withColumn("place", F.row_number().over(Window.partitionBy("descriptor").orderBy("source_id"))).where(F.col("place") <= most)  # cut before the shuffle
+    return first.join(n, "descriptor").select("descriptor", "source_id", "place", "more")
+
+
 def same_descriptor(left: DataFrame, right: DataFrame, fields: Sequence[str]) -> DataFrame:
     """(descriptor, left_count, right_count): sources that both sides describe by exactly the same fields; overlap is not identity.
 
     One row for each descriptor and not for each pair, so a common one costs no product;
     who has it is a join with either side on ``descriptor``.
     """
-    digest = F.sha2(F.concat_ws("|", *[F.concat(F.coalesce(F.length(F.col(f).cast("string")).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]), 256)
-    count = lambda df, name: df.groupBy(digest.alias("descriptor")).agg(F.count(F.lit(1)).alias(name))
+    count = lambda df, name: df.groupBy(descriptor_of(fields).alias("descriptor")).agg(F.count(F.lit(1)).alias(name))
     return count(left, "left_count").join(count(right, "right_count"), "descriptor")
 
 

@@ -302,6 +302,15 @@ def _(s: Source):
     return G.same_descriptor(d.where("lang = 'en'"), d.where("lang <> 'en'"), ("source", "size"))
 
 
+_DESCRIBED = "d AS (SELECT doc_id, lang, sha256(concat(length(source), ':', source, '|', length(CAST(n_chars % 40 AS VARCHAR)), ':', n_chars % 40)) AS descriptor FROM documents)"
+
+
+@query("j14_navigated_sources", f"WITH {_DESCRIBED}, s AS (SELECT descriptor, doc_id AS source_id, CAST(row_number() OVER (PARTITION BY descriptor ORDER BY doc_id) AS INTEGER) AS place, count(*) OVER (PARTITION BY descriptor) > 3 AS more FROM d WHERE lang <> 'en' AND descriptor IN (SELECT descriptor FROM d WHERE lang = 'en')) SELECT * FROM s WHERE place <= 3")
+def _(s: Source):
+    d = s.documents.select(F.col("doc_id").alias("source_id"), "lang", "source", (F.col("n_chars") % 40).alias("size"))
+    return G.navigate_back(d.where("lang = 'en'"), d.where("lang <> 'en'"), ("source", "size"), 3)
+
+
 @query("j15_rebinding", """WITH pt AS (SELECT n_nationkey AS producer, n_nationkey % 3 AS generation FROM nation WHERE n_nationkey <> 7), n AS (SELECT c_nationkey AS producer, c_mktsegment AS kind, c_custkey % 20 AS local_key, min(concat('customer:', c_custkey)) AS node, count(*) AS n FROM customer WHERE c_custkey % 2 = 0 GROUP BY ALL),
     a AS (SELECT c_custkey AS address, c_nationkey AS producer, c_mktsegment AS kind, c_custkey % 20 AS local_key, CASE WHEN c_custkey % 9 = 0 THEN 5 ELSE c_nationkey % 3 END AS generation FROM customer), s AS (SELECT a.address, n.node, CASE WHEN pt.producer IS NULL THEN 'unknown_producer' WHEN pt.generation <> a.generation THEN 'stale' WHEN n.n IS NULL THEN 'unpublished' WHEN n.n > 1 THEN 'ambiguous' ELSE 'bound' END AS state FROM a LEFT JOIN pt USING (producer) LEFT JOIN n USING (producer, kind, local_key))
     SELECT address, CASE WHEN state = 'bound' THEN node END AS node_id, state FROM s""")

@@ -451,6 +451,7 @@ def _(s: Source):  # every element inherits from one other
     return D.inheritance_cycles(edges).select("cycle", "members")
 
 
-@query("d15_excerpts")
+@query("d15_excerpts", """WITH c AS (SELECT doc_id, list_transform(generate_series(1, least(length(text), 31)), lambda i: substr(text, CAST(i AS INTEGER), 1)) AS chars FROM documents), p AS (SELECT doc_id, unnest(chars) AS c, unnest(generate_series(1, len(chars))) AS i FROM c), b AS (SELECT doc_id, c, i, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM p),
+    e AS (SELECT doc_id, string_agg(c, '' ORDER BY i) AS excerpt FROM b WHERE stop - strlen(c) >= 10 AND stop <= 30 GROUP BY doc_id) SELECT d.doc_id, coalesce(e.excerpt, '') AS excerpt, CASE WHEN strlen(d.text) >= 30 THEN 'read' ELSE 'out_of_range' END AS state FROM documents d LEFT JOIN e USING (doc_id)""")
 def _(s: Source):  # whole texts of all languages: bytes 10 to 30, moved to the borders of characters, checked by the text's digest
     return D.excerpts(s.documents.select("doc_id", "text", F.sha2("text", 256).alias("digest")), 10, 30)
