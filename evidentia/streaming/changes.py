@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,14 +45,27 @@ def fold(rows: Iterable[tuple], state: tuple | None) -> tuple[list[tuple[int, st
 
 
 def fold_batch(log: DataFrame) -> DataFrame:
-    """The log of a table, each document in the order of seq."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out, _ = fold(pdf[["seq", "kind", "version", "base", "digest"]].itertuples(index=False, name=None), None)
-        return pd.DataFrame([(pdf.document.iloc[0], *o) for o in out], columns=["document", "seq", "outcome", "version"])
-
-    return log.groupBy("document").applyInPandas(run, OUTCOME)
+    """The log of a table, each document in the order of seq.
+
+    As long as a document isn't lost, a change either repeats the row before it or follows
+    on from it, so whether it fits is told by that row alone; from the first that doesn't
+    fit up to the next snapshot everything is lost.  Windows over one sort do it, whose
+    rows may spill.
+    """
+    by_seq = Window.partitionBy("document").orderBy("seq")
+    upto = by_seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    snap = F.col("kind") == "snapshot"
+    rows = log.withColumn("segment", F.count_if(snap).over(upto))
+    before = {c: F.lag(c).over(by_seq) for c in ("version", "digest")} | {"base": F.lag(F.when(~snap, F.col("base"))).over(by_seq)}
+    repeats = (F.col("version") == before["version"]) & F.col("base").eqNullSafe(before["base"]) & F.col("digest").eqNullSafe(before["digest"])
+    follows = (F.col("version") == before["version"] + 1) & F.col("base").eqNullSafe(before["digest"])
+    told = F.when(snap, "snapshot").when(repeats, "repeated").when(follows, "accepted")
+    rows = rows.withColumn("told", told)
+    of_segment = Window.partitionBy("document", "segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("lost", (F.col("segment") == 0) | (F.count_if(F.col("told").isNull()).over(of_segment) > 0))
+    held = F.last(F.when(~F.col("lost"), F.col("version")), ignorenulls=True).over(of_segment)
+    version = F.when(F.col("segment") == 0, -1).otherwise(held).cast("long")
+    return rows.select("document", "seq", F.when(F.col("lost"), "resync").otherwise(F.col("told")).alias("outcome"), version.alias("version"))
 
 
 def fold_stream(log: DataFrame) -> DataFrame:

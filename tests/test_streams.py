@@ -102,3 +102,32 @@ def test_a_batch_that_runs_twice_changes_nothing(spark, tmp_path):
     held.apply(delta, 0)
     held.apply(delta, 0)
     assert [tuple(r) for r in held.read(1).collect()] == [("a", "2")] and held.outcomes(1).where(F.col("outcome") == "update").count() == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_the_edit_log_of_a_table_equals_the_fold(spark, seed):
+    from evidentia.streaming import changes
+
+    rng, rows = random.Random(seed), []
+    for d in range(8):
+        version, digest = 1, "d0"
+        for seq in range(40):
+            kind = rng.choices(["snapshot", "change", "repeat", "bad"], [2, 8, 2, 1])[0]
+            if kind == "snapshot":
+                version, digest = rng.randint(1, 5), f"d{rng.randint(0, 3)}"
+                rows.append((f"doc{d}", seq, "snapshot", version, rng.choice([None, "x"]), digest))
+            elif kind == "change":
+                new = f"d{rng.randint(0, 3)}"
+                rows.append((f"doc{d}", seq, "change", version + 1, digest, new))
+                version, digest = version + 1, new
+            elif kind == "repeat" and rows and rows[-1][0] == f"doc{d}":
+                rows.append((f"doc{d}", seq, "change", *rows[-1][3:]))
+            else:
+                rows.append((f"doc{d}", seq, "change", rng.randint(1, 9), rng.choice([None, "d1"]), rng.choice([None, "d2"])))
+    rng.shuffle(rows)
+    got = sorted(tuple(r) for r in changes.fold_batch(spark.createDataFrame(rows, changes.CHANGE)).collect())
+    want = []
+    for d in range(8):
+        out, _ = changes.fold([r[1:] for r in sorted((r for r in rows if r[0] == f"doc{d}"), key=lambda r: r[1])], None)
+        want += [(f"doc{d}", *o) for o in out]
+    assert got == sorted(want)
