@@ -37,7 +37,7 @@ def table(spark, links):
     return spark.createDataFrame([(n, x, w) for n, (x, w) in links.items()], "node long, next long, weight long")
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_chains(spark, seed):
     rng = random.Random(seed)
     links = {n: (rng.choice([None, n, rng.randrange(70), rng.randrange(55)]) if rng.random() < 0.3 else rng.randrange(60), rng.randrange(9)) for n in range(60)}

