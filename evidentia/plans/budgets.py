@@ -31,6 +31,7 @@ from evidentia.plans import rules as R
 from evidentia.shared import keep
 
 MOST_EXPANSIONS = 1_000_000
+NO_CAP = (1 << 63) - 2  # one above it is the largest long, in which the counters are returned
 EXPANSION, COPY = "matcher.join-expansion.truncated", "matcher.proof-copy.truncated"
 NESTED = ("exists", "not_exists", "all_of", "any_of")
 _WIDE = "decimal(38,0)"
@@ -112,7 +113,7 @@ def counted(facts: DataFrame, kinds: Sequence[str], bundle: str) -> DataFrame:
 
 
 def charges(pack: R.Pack, facts: DataFrame, coverage: Mapping[str, str], caps: int | Mapping[str, int] = MOST_EXPANSIONS, bundle: str | None = None) -> DataFrame:
-    """(rule_id, bundle, expansions, copies, blocker) of each rule and bundle; a counter that goes over the cap reads one above it, no blocker means that the rule may run.
+    """(rule_id, bundle, expansions, copies, blocker) of each rule and bundle; a counter that goes over the cap reads one above it (with NO_CAP both are whole), no blocker means that the rule may run.
 
     Without ``bundle`` all facts are one, named 0.
     """

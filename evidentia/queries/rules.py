@@ -306,7 +306,7 @@ _PAIRS = "(SELECT count(*) FROM f a JOIN f b ON a.scope_id = b.scope_id AND a.k
 def _(s: Source):
     f, clauses = facts(s), [fact("a", "signup"), fact("b", "purchase"), scope("a", "b"), join("a", "b")]
     p = R.compile_pack({"pack_id": "bounds", "rules": [{"rule_id": r, "clauses": clauses} for r in ("below", "at", "above")]})
-    copies = B.charges(p, f, COVERAGE, 1 << 40).agg(F.max("copies")).collect()[0][0]
+    copies = B.charges(p, f, COVERAGE, B.NO_CAP).agg(F.max("copies")).collect()[0][0]
     return B.run(p, f, COVERAGE, {"below": copies + 1, "at": copies, "above": copies - 1})[1]
 
 

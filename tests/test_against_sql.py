@@ -22,3 +22,10 @@ def differences(spark, folder, name, **tables):
 def test_more_than_a_hundred_rows_are_complete(spark, tmp_path):
     part = spark.range(1000).select(F.col("id").alias("p_partkey"), F.when(F.col("id") % 3 == 0, "small ring").otherwise("large bolt").alias("p_name"), (F.col("id") % 2 + 1).cast("int").alias("p_size"))
     assert differences(spark, tmp_path, "b1_refusal", part=part) == (set(), set())
+
+
+def test_charges_above_two_to_the_fortieth(spark, tmp_path):
+    i = F.col("id")
+    kind = F.when(i % 2 == 0, "signup").otherwise("purchase")
+    events = spark.range(1 << 21).select(i.alias("event_id"), F.timestamp_seconds(i).alias("ts"), F.floor(i / 1000).alias("user_id"), kind.alias("event_type"), (i % 90).cast("double").alias("value"), F.concat(F.lit('{"k": '), i % 1000, F.lit("}")).alias("props"))
+    assert differences(spark, tmp_path, "b3_rule_budget", events=events) == (set(), set())
