@@ -321,8 +321,8 @@ def schema_components(documents: DataFrame, key: str, text: str) -> DataFrame:
     return _mapped(documents, key, text, component_rows, "ordinal int, component string, name string, type string, owner string")
 
 
-def unit_of(reader: Reader, pieces: list[Event], plain: bool) -> tuple[str, list[tuple[int, int, int, int, bool]]]:
-    """Text of a body, and its segments (unit bytes from, to, file bytes from, to, exact): runs that are copied byte by byte, and references that stand for other text."""
+def unit_of(reader: Reader, pieces: list[Event], plain: bool, only: str | None = None) -> tuple[str, list[tuple[int, int, int, int, bool]]]:
+    """Text of a body, and its segments (unit bytes from, to, file bytes from, to, exact): runs that are copied byte by byte, and references that stand for other text (of those, if given, the ones that ``only`` matches)."""
     out, segments, n = [], [], 0
 
     def add(text: bytes, begin: int, end: int, exact: bool) -> None:
@@ -342,7 +342,7 @@ def unit_of(reader: Reader, pieces: list[Event], plain: bool) -> tuple[str, list
         text, last, begin = reader.data[e.begin : e.end].decode("utf-8", "replace"), 0, e.begin
         for m in _REFERENCE.finditer(text):
             value = decode_reference(m, reader.html)
-            if value is None:
+            if value is None or (only and not re.fullmatch(only, m[0])):
                 continue
             run = text[last : m.start()].encode()
             add(run, begin, begin + len(run), True)
@@ -355,7 +355,7 @@ def unit_of(reader: Reader, pieces: list[Event], plain: bool) -> tuple[str, list
     return b"".join(out).decode("utf-8", "replace"), segments
 
 
-def bodies_of(value: str | None, tags: set[str], html: bool) -> Iterator[tuple[Element, str, list[tuple]]]:
+def bodies_of(value: str | None, tags: set[str], html: bool, only: str | None = None) -> Iterator[tuple[Element, str, list[tuple]]]:
     """Each element of these tags in the order in which they begin, with its own text and segments; what elements inside it hold is theirs."""
     reader, held, done = Reader(value, html), {}, []
     for what, e, x in reader.walk():
@@ -365,7 +365,7 @@ def bodies_of(value: str | None, tags: set[str], html: bool) -> Iterator[tuple[E
             held[x.number].append(e)
         elif what == "end" and x.number in held:
             plain = html and x.name in RAW - DECODED_RAW
-            done.append((x, *unit_of(reader, held.pop(x.number), plain)))
+            done.append((x, *unit_of(reader, held.pop(x.number), plain, only)))
     yield from sorted(done, key=lambda d: d[0].number)
 
 
@@ -374,9 +374,9 @@ def inline_units(documents: DataFrame, key: str, text: str, tags: set[str], html
     return _mapped(documents, key, text, lambda v: [(n, x.name, json.dumps(x.start.attributes, sort_keys=True), body) for n, (x, body, _) in enumerate(bodies_of(v, tags, html))], "unit int, tag string, attributes string, body string")
 
 
-def unit_segments(documents: DataFrame, key: str, text: str, tags: set[str], html: bool = False) -> DataFrame:
-    """(key, unit, from_start, from_end, to_start, to_end, exact): where the bytes of each unit lie in its document."""
-    return _mapped(documents, key, text, lambda v: [(n, *s) for n, (_, _, segments) in enumerate(bodies_of(v, tags, html)) for s in segments], "unit int, from_start long, from_end long, to_start long, to_end long, exact boolean")
+def unit_segments(documents: DataFrame, key: str, text: str, tags: set[str], html: bool = False, only: str | None = None) -> DataFrame:
+    """(key, unit, from_start, from_end, to_start, to_end, exact): where the bytes of each unit lie in its document; ``only``: a pattern of the references that are decoded, if not all are."""
+    return _mapped(documents, key, text, lambda v: [(n, *s) for n, (_, _, segments) in enumerate(bodies_of(v, tags, html, only)) for s in segments], "unit int, from_start long, from_end long, to_start long, to_end long, exact boolean")
 
 
 def inline_bodies(documents: DataFrame, key: str, text: str, tag: str, html: bool = True) -> DataFrame:

@@ -29,3 +29,9 @@ def test_charges_above_two_to_the_fortieth(spark, tmp_path):
     kind = F.when(i % 2 == 0, "signup").otherwise("purchase")
     events = spark.range(1 << 21).select(i.alias("event_id"), F.timestamp_seconds(i).alias("ts"), F.floor(i / 1000).alias("user_id"), kind.alias("event_type"), (i % 90).cast("double").alias("value"), F.concat(F.lit('{"k": '), i % 1000, F.lit("}")).alias("props"))
     assert differences(spark, tmp_path, "b3_rule_budget", events=events) == (set(), set())
+
+
+def test_titles_cut_within_a_reference(spark, tmp_path):
+    titles = ["a &amp; b&amp;", "a &amp; b&amp", "&amp;&amp", "&#233;&frac12;&lt;", "plain"]
+    pages = spark.createDataFrame([(n, f"<html><title>{t}</title><svg><title>x &gt;</title></svg></html>") for n, t in enumerate(titles)], "page_id long, html string")
+    assert differences(spark, tmp_path, "d16_composed_maps", pages=pages) == (set(), set())
