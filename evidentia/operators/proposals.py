@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.operators.graph import POSSIBLE, PROVEN, strong_components
+from evidentia.shared import keep, release
 
 ACCEPTED = "accepted"
 ENTITY_CODES = ("registry_mismatch", "unknown_entity_kind", "universe_not_allowed", "confidence_not_allowed", "identity_fields_mismatch", "invalid_graph_record", "duplicate_semantic_entity")
@@ -77,26 +78,28 @@ def validate_relations(proposals: DataFrame, relations: DataFrame, entities: Dat
     return rows.select("proposal_id", "relation", F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.coalesce(code, F.lit(ACCEPTED)).alias("outcome"))
 
 
-def validate_derivations(derivations: DataFrame, inputs: DataFrame, confidences: DataFrame) -> DataFrame:
+def validate_derivations(derivations: DataFrame, inputs: DataFrame, confidences: DataFrame | None = None, basis: str = "output", required: bool = False) -> DataFrame:
     """(output, verdict) of derivations (output, missing count) with inputs (output, input, rebuttal).
 
     derived_proven: a derived assertion claims to be proven; missing_input: an input that
-    nobody asserted; promoted: it claims more than an input that is no rebuttal;
-    incomplete_confirmed: something is missing and yet it is not merely possible; cycle:
-    it depends on itself, through rebuttals too; else valid.
+    nobody asserted, or with ``required`` none at all; promoted: it claims more than an
+    input that is no rebuttal; incomplete_confirmed: something is missing and yet it is not
+    merely possible; cycle: it depends on itself, through rebuttals too; else valid.
+
+    ``basis``: a column of both tables; the outputs of one basis share its inputs, which
+    are never repeated for each of them.  Without ``confidences`` both tables carry the
+    ``confidence`` of what was asserted, null if nobody did.
     """
-    c = confidences.select(F.col("assertion").alias("input"), F.col("confidence").alias("of_input"))
-    told = inputs.join(c, "input", "left").groupBy("output").agg(F.bool_or(F.col("of_input").isNull()).alias("unknown"), F.max(F.when(~F.col("rebuttal"), F.col("of_input"))).alias("worst"))
-    edges = inputs.select(F.col("output").alias("src"), F.col("input").alias("dst"))
-    nodes = edges.select(F.col("src").alias("node_id")).unionByName(edges.select(F.col("dst").alias("node_id"))).distinct()
-    size = strong_components(edges, nodes)
-    rings = size.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cyclic = size.join(rings, "component").select(F.col("node_id").alias("output")).unionByName(edges.where("src = dst").select(F.col("src").alias("output"))).distinct().withColumn("cyclic", F.lit(True))
-    own = confidences.select(F.col("assertion").alias("output"), "confidence")
-    rows = derivations.join(own, "output", "left").join(told, "output", "left").join(cyclic, "output", "left")
+    if confidences is not None:
+        c = confidences.select("assertion", "confidence")
+        derivations = derivations.join(c.withColumnRenamed("assertion", "output"), "output", "left")
+        inputs = inputs.join(c.withColumnRenamed("assertion", "input"), "input", "left")
+    told = inputs.groupBy(basis).agg(F.bool_or(F.col("confidence").isNull()).alias("unknown"), F.max(F.when(~F.col("rebuttal"), F.col("confidence"))).alias("worst"))
+    cyclic = cyclic_outputs(derivations, inputs, basis).withColumn("cyclic", F.lit(True))
+    rows = derivations.join(told, basis, "left").join(cyclic, "output", "left")
     verdict = first_of(
         (F.col("confidence") == PROVEN, "derived_proven"),
-        (F.coalesce("unknown", F.lit(False)) | F.col("confidence").isNull(), "missing_input"),
+        (F.coalesce("unknown", F.lit(required)) | F.col("confidence").isNull(), "missing_input"),
         (F.col("confidence") < F.col("worst"), "promoted"),
         ((F.col("missing") > 0) & (F.col("confidence") < POSSIBLE), "incomplete_confirmed"),
         (F.col("cyclic"), "cycle"),
@@ -104,6 +107,35 @@ def validate_derivations(derivations: DataFrame, inputs: DataFrame, confidences:
     return rows.select("output", F.coalesce(verdict, F.lit("valid")).alias("verdict"))
 
 
+def cyclic_outputs(derivations: DataFrame, inputs: DataFrame, basis: str) -> DataFrame:
+    """(output) of those that depend on themselves.
+
+    Only an input that is an output too can be on a cycle: such inputs are found by a hash
+    of 8 bytes first (equal hashes of others leave a few rows more), so that what is
+    compared as a whole is small where derivations are shallow.
+    """
+    made = derivations.select(F.xxhash64("output").alias("hash"))
+    used = inputs.select(F.xxhash64("input").alias("hash"), "input", basis)
+    both = keep(used.select("hash").join(made, "hash", "left_semi").distinct())
+    release(derivations.sparkSession)
+    if both.isEmpty():
+        return derivations.select("output").where("false")
+    pairs = keep(used.join(both, "hash", "left_semi").select(basis, "input"))
+    if basis == "output":
+        edges = pairs.select(F.col("output").alias("src"), F.col("input").alias("dst"))
+    else:  # an output stands before its basis, which is a node of its own
+        own = derivations.withColumn("hash", F.xxhash64("output")).join(both, "hash", "left_semi").select("output", basis)
+        node = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+        edges = own.select(node("o", "output").alias("src"), node("b", basis).alias("dst")).unionByName(pairs.select(node("b", basis).alias("src"), node("o", "input").alias("dst")))
+    nodes = edges.select(F.col("src").alias("node_id")).unionByName(edges.select(F.col("dst").alias("node_id"))).distinct()
+    size = strong_components(edges, nodes)
+    rings = size.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = size.join(rings, "component").select("node_id").unionByName(edges.where("src = dst").select(F.col("src").alias("node_id"))).distinct()
+    if basis != "output":
+        found = found.where("node_id like 'o%'").selectExpr("substr(node_id, 2) node_id")
+    return found.select(F.col("node_id").cast(derivations.schema["output"].dataType).alias("output"))
+
+
 def disagreements(rows: DataFrame, subject: str, values: Sequence[str], kind: str) -> DataFrame:
     """(kind, subject, participants) of the subjects about which the rows do not agree."""
     if kind not in CONFLICTS:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import threading
 import time
 
@@ -96,6 +97,25 @@ def test_packs_refuse_as_a_whole_and_trace_every_item(spark):
     assert got == {("p", "a", 1): ("selected_required", "packed"), ("p", "a", 2): ("omitted_duplicate", "omitted"), ("p", "b", 3): ("omitted_stale", "omitted"), ("p", "c", 4): ("selected_ranked", "packed"), ("q", "a", 1): ("selected_ranked", "refused")}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_outputs_that_share_their_inputs(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(30)]
+    told = {n: rng.randrange(3) for n in names}
+    made = [(n, f"b{rng.randrange(6)}", told[n], int(rng.random() < 0.2)) for n in names[:20]]
+    used = [(f"b{b}", i, told.get(i), rng.random() < 0.2) for b in range(5) for i in rng.sample([*names[10:], "nobody"], 3)]
+    derivations = spark.createDataFrame(made, "output string, basis string, confidence int, missing int")
+    inputs = spark.createDataFrame(used, "basis string, input string, confidence int, rebuttal boolean")
+    own = spark.createDataFrame(list(told.items()), "assertion string, confidence int")
+    apart = derivations.select("output", "basis").join(inputs, "basis").select("output", "input", "rebuttal")
+    want = {r.output: r.verdict for r in proposals.validate_derivations(derivations.select("output", "missing"), apart, own).collect()}
+    got = proposals.validate_derivations(derivations, inputs, basis="basis")
+    assert {r.output: r.verdict for r in got.collect()} == want and got.count() == 20
+    without = {o for o, b, c, _ in made if b == "b5" and c > 0}
+    needed = {r.output: r.verdict for r in proposals.validate_derivations(derivations, inputs, basis="basis", required=True).collect()}
+    assert needed == {**want, **{o: "missing_input" for o in without}}
+
+
 def test_derivations_of_an_empty_graph_and_a_self_cycle(spark):
     d = lambda rows: spark.createDataFrame(rows, "output string, missing int")
     inputs = spark.createDataFrame([("a", "a", True)], "output string, input string, rebuttal boolean")
