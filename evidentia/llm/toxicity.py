@@ -46,11 +46,11 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.labelled import MAX_LABELLED, crc_part, labelled_texts, pick
-from evidentia.shared import keep
 
 # fixed values: letters of other alphabets that look like Latin ones, and what digits and signs stand for
 LOOKALIKES = "аaеeоoрpсcуyхxіiјjѕsԁdɡgһhԛqԝwкkмmтtвbнhαaεeιiοoρpτtυuνvκkχxγyωwıiℓlƖl"
@@ -213,7 +213,11 @@ def entries(toxic: dict[str, tuple[int, int]], clean: dict[str, tuple[int, int]]
 
 
 def learn(documents: DataFrame, labels: DataFrame, label: str, usable, max_labelled: int = MAX_LABELLED) -> Lexicon:
-    """Lexicon from labelled rows for which ``usable`` (a Column over doc_id) holds."""
+    """Lexicon from labelled rows for which ``usable`` (a Column over doc_id) holds.
+
+    The folded rows, bounded by ``max_labelled``, are cached while they are learnt from:
+    Spark starts a process for each checkpoint file on a local disk.
+    """
     rows = labelled_texts(documents, pick(labels, label, usable, max_labelled))
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +225,15 @@ def learn(documents: DataFrame, labels: DataFrame, label: str, usable, max_label
             texts = pa.array([fold(t.as_py() or "") for t in batch.column("text")], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts, batch.column("y")], ["doc_id", "folded", "y"])
 
-    rows = keep(rows.mapInArrow(folded, "doc_id long, folded string, y int"))
+    rows = rows.mapInArrow(folded, "doc_id long, folded string, y int").persist(StorageLevel.DISK_ONLY)
+    try:
+        return learnt_from(rows, max_labelled)
+    finally:
+        rows.unpersist()
+
+
+def learnt_from(rows: DataFrame, max_labelled: int) -> Lexicon:
+    """Lexicon from rows (doc_id, folded, y)."""
     last_third = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
     learnt = rows.where(~last_third)
     toxic = {r["w"]: (r["docs"], r["n"]) for r in counted(learnt.where("y = 1")).where(f"docs >= {SUPPORT} or w = ''").collect()}

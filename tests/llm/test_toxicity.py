@@ -1,5 +1,6 @@
 """The lexicon: folding, the matcher against naive search, and stems that are learnt."""
 
+import os
 import random
 import re
 
@@ -93,3 +94,12 @@ def test_empty_tables_and_ties(spark):
     assert toxicity.learn(docs, labels.where("toxic = 0"), "toxic", crc_part(5) != 0).weights == {}
     kept = toxicity.harmless(docs, toxicity.Lexicon())
     assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_learning_writes_no_files_and_leaves_no_cache(spark):
+    docs, labels = corpus(spark, 300)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    files = lambda: {os.path.join(at, f) for at, _, names in os.walk(folder) for f in names}
+    before = files()
+    assert toxicity.learn(docs, labels, "toxic", crc_part(5) != 0).weights
+    assert not files() - before and not spark.sparkContext._jsc.getPersistentRDDs()
