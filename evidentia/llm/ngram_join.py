@@ -42,6 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -554,9 +555,14 @@ def segments_of(table: pa.Table) -> dict[int, np.ndarray]:
 
 
 def nodes_with_components(blocks: DataFrame) -> DataFrame:
-    """(node, doc_id, n, root) of every document row; root is the smallest node of the component."""
+    """(node, doc_id, n, root) of every document row; root is the smallest node of the component.
+
+    Spark starts a process for each file that it creates on a local disk, so tables of
+    few rows are stored in few files, and what each block tells is cached.
+    """
     parts, spark = ranges(blocks), blocks.sparkSession
-    facts = keep(describe(blocks))
+    few = max(1, parts // 4)
+    facts = describe(blocks).persist(StorageLevel.DISK_ONLY)
     n = facts.count()
     first = facts.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
     copies = keep(facts.where("n > 0").join(first, ["n", "f1", "f2"]).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")), n)
@@ -564,7 +570,7 @@ def nodes_with_components(blocks: DataFrame) -> DataFrame:
     once = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
     rows = facts.join(once, "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
     groups = by_range(send_signatures(blocks, parts), lambda t: gather(t, parts), "p int, groups binary")
-    groups = keep(by_range(groups, meet, "p int, groups binary"))
+    groups = keep(by_range(groups, meet, "p int, groups binary").coalesce(few))
     release(spark)
 
     def rooted(roots: DataFrame) -> DataFrame:
@@ -577,13 +583,15 @@ def nodes_with_components(blocks: DataFrame) -> DataFrame:
     found = found.unionByName(near)
     release(spark)
     # what is left between different components is compared as a whole, so no link can be missing after it
-    left = keep(links(blocks, groups, rooted(keep(components(found), n)).join(speak, "node"), parts))
-    return rooted(keep(components(found.unionByName(left)), n))
+    left = keep(links(blocks, groups, rooted(keep(components(found), n)).join(speak, "node"), parts).coalesce(few))
+    nodes = keep(rooted(keep(components(found.unionByName(left)), n)), n).select("node", "doc_id", "n", "root")
+    facts.unpersist()
+    return nodes
 
 
 def rows_with_components(blocks: DataFrame) -> DataFrame:
     """(node, doc_id, n, component_id, keeper) of every document row; the keeper is the component's row with the smallest doc_id."""
-    nodes = keep(nodes_with_components(blocks))
+    nodes = nodes_with_components(blocks)
     release(blocks.sparkSession)
     smallest = nodes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")).alias("k"))
     return nodes.join(smallest, "root").select("node", "doc_id", "n", F.col("k.doc_id").alias("component_id"), F.col("k.node").alias("keeper"))
