@@ -23,8 +23,10 @@ share a group but no component are compared, if their sizes and the number of
 fragments they share allow a link, so that no link can be missing.
 
 Pairs travel packed, to a place that both sets of a family mostly have in common
-(the smallest node of all their groups; families of over ``FAMILY`` sets have several
-places), and are verified there in tasks of bounded pairs and bounded shingles.
+(the smallest node of all their groups; families of over ``MEETING`` pairs have several
+places).  A pair comes from each place of the groups that its sets share, so far more
+arrive than there are: they stay packed, and about ``HELD`` at a time are summed.  What
+may link is verified in tasks of bounded pairs and bounded shingles.
 
 Cases: null, empty and wordless texts have an empty set and link with nothing (the
 component is the doc_id itself); texts of fewer than four words are one shingle;
@@ -55,8 +57,8 @@ from evidentia.llm.textblocks import WordSlice, mix, window_hash, word_slices
 N, PERCENT, FRAGMENTS = 4, 85, 4
 CLOSEST, NEIGHBOURS = 3, 8  # partners of a set that are verified before the rest, and those looked at in a group
 PAIRS, SHINGLES = 500_000, 4_000_000  # of a task, at most (but for one set and its partners)
-FAMILY = 20_000  # sets that meet in one place
-HELD = 1_000_000  # pairs that a task gathers before it packs them
+MEETING = 2_000_000  # pairs of different sets that meet at one spot
+HELD = 400_000  # pairs that a task holds unpacked
 _SIX = 6
 
 
@@ -265,11 +267,12 @@ FACTS = ("node", "root", "n", "need", "spot")
 
 
 def spots(home: DataFrame) -> DataFrame:
-    """(node, spot): where the pairs of a set are verified; homes of more than FAMILY sets have several spots.
+    """(node, spot): where the pairs of a set are verified; homes whose sets have more than MEETING pairs have several spots.
 
-    At most one in FAMILY sets is a home of so many, so the broadcast side is that much smaller than the sets.
+    Those are homes of over 2,000 sets, so the broadcast side is that much smaller than the sets.
     """
-    many = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / FAMILY).alias("s")).where("s > 1")
+    sets = F.count(F.lit(1)).cast("double")
+    many = home.groupBy("home").agg(F.ceil(sets * sets / (2 * MEETING)).alias("s")).where("s > 1")
     salt = F.pmod(F.xxhash64("node"), F.coalesce("s", F.lit(1)))
     return home.join(F.broadcast(many), "home", "left").select("node", F.xxhash64("home", salt).alias("spot"))
 
@@ -411,6 +414,81 @@ def cut(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> list[in
     return [*ends, len(x)] if pairs else ends
 
 
+PAIR = ("x", "y", "k", "nx", "ny", "need")
+
+
+def packed_pairs(columns) -> bytes:
+    return pack(pa.table({c: pa.array([v]) for c, v in zip(PAIR, columns, strict=True)}))
+
+
+def pairs_of(value: bytes | pa.Scalar) -> list[np.ndarray]:
+    t = unpack(value)
+    return [np.asarray(t.column(c)[0].values) for c in PAIR]
+
+
+def slices(table: pa.Table) -> Iterator[list[np.ndarray]]:
+    """The pairs of a place (columns as in PAIR), about HELD at a time and all of one x together; the others stay packed meanwhile."""
+    count = max(1, -(-pa.compute.sum(table.column("pairs")).as_py() // HELD))
+    parts: list[list] = [[] for _ in range(count)]
+    if count == 1:
+        parts[0] = list(table.column("shared"))
+    for value in table.column("shared") if count > 1 else ():
+        columns = pairs_of(value)
+        to = (mix(columns[0].astype(np.uint64)) % np.uint64(count)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        for own in np.split(order, firsts(to[order])[1:]):
+            parts[to[own[0]]].append(packed_pairs([c[own] for c in columns]))
+    for part in parts:
+        if part:
+            yield [np.concatenate(c) for c in zip(*map(pairs_of, part), strict=True)]
+
+
+def wanted(x: np.ndarray, y: np.ndarray, k: np.ndarray, nx: np.ndarray, ny: np.ndarray, need: np.ndarray, most: int) -> list[np.ndarray]:
+    """(x, y, nx, ny) of the pairs to verify, k summed over all that tell of a pair: each x's ``most`` closest, or those with as many fragments as a link demands."""
+    order = np.lexsort((y, x))
+    new = np.ones(len(x), bool)
+    new[1:] = (x[order[1:]] != x[order[:-1]]) | (y[order[1:]] != y[order[:-1]])
+    at = np.flatnonzero(new)
+    one, k = order[at], np.add.reduceat(k[order], at)
+    if not most:
+        one = one[k >= need[one]]
+        return [c[one] for c in (x, y, nx, ny)]
+    one = one[best(x[one], np.arange(len(one)), k, most)[1]]
+    x, y, nx, ny = x[one], y[one], nx[one], ny[one]
+    return [np.minimum(x, y), np.maximum(x, y), np.where(x < y, nx, ny), np.where(x < y, ny, nx)]
+
+
+def tasks(table: pa.Table, most: int) -> pa.Table:
+    """Of one place: the tasks (g, task) that verify its pairs, and a row (g, node) for each set that a task needs."""
+    p = table.column("p")[0].as_py()
+    made, nodes = [], []
+
+    def make(held: list[list[np.ndarray]]) -> None:
+        x, y, nx, ny = map(np.concatenate, zip(*held, strict=True))
+        _, one = np.unique(np.stack([x, y], axis=1), axis=0, return_index=True)  # in the order of x
+        x, y, nx, ny = x[one], y[one], nx[one], ny[one]
+        a = 0
+        for b in cut(x, y, nx, ny):
+            g = p << 24 | len(made)
+            ids, index, place = np.unique(np.concatenate([x[a:b], y[a:b]]), return_index=True, return_inverse=True)
+            n = np.concatenate([nx[a:b], ny[a:b]])[index].astype(np.int64)
+            made.append((g, pack(pa.table({c: pa.array([v]) for c, v in (("ids", ids), ("n", n), ("x", place[: b - a]), ("y", place[b - a :]))}))))
+            nodes.append((np.full(len(ids), g), ids))
+            a = b
+
+    held, pairs = [], 0
+    for some in slices(table):
+        held.append(wanted(*some, most))
+        pairs += len(held[-1][0])
+        if pairs >= PAIRS:
+            make(held)
+            held, pairs = [], 0
+    if pairs:
+        make(held)
+    g = np.concatenate([np.array([t[0] for t in made], np.int64), *[n[0] for n in nodes]])
+    return pa.table({"g": pa.array(g, pa.int64()), "task": pa.array([t[1] for t in made] + [None] * (len(g) - len(made)), pa.binary()), "node": pa.array(np.concatenate([np.zeros(len(made), np.int64), *[n[1] for n in nodes]]), pa.int64())})
+
+
 def links(blocks: DataFrame, groups: DataFrame, known: DataFrame, parts: int, most: int = 0) -> DataFrame:
     """(a, b): links between sets of different components that share a group; of each set's ``most`` closest only, if given.
 
@@ -420,7 +498,6 @@ def links(blocks: DataFrame, groups: DataFrame, known: DataFrame, parts: int, mo
     the overlaps of a set with all others are counted in each fragment of the order
     and travel packed, and the sums over the fragments leave only the links.
     """
-    names = ("x", "y", "k", "nx", "ny", "need")
     meeting = max(1, parts // 4)  # places where pairs meet: pairs are far smaller than the keys that found them
 
     def share(table: pa.Table) -> pa.Table:
@@ -432,37 +509,11 @@ def links(blocks: DataFrame, groups: DataFrame, known: DataFrame, parts: int, mo
             bounds = [*firsts(to).tolist(), len(to)]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 columns = (mixed.ids[x[a:b]], mixed.ids[y[a:b]], *(v.astype(np.int32) for v in (k[a:b], mixed.n[x[a:b]], mixed.n[y[a:b]], mixed.need[x[a:b]])))
-                out.append((int(to[a]), pack(pa.table({c: pa.array([v]) for c, v in zip(names, columns, strict=True)}))))
-        return pa.table({"p": pa.array([q for q, _ in out], pa.int32()), "shared": pa.array([v for _, v in out], pa.binary())})
-
-    def tasks(table: pa.Table) -> pa.Table:
-        p = table.column("p")[0].as_py()
-        x, y, k, nx, ny, need = (np.concatenate(c) for c in zip(*[[np.asarray(t.column(c)[0].values) for c in names] for t in map(unpack, table.column("shared"))], strict=True))
-        order = np.lexsort((y, x))
-        new = np.ones(len(x), bool)
-        new[1:] = (x[order[1:]] != x[order[:-1]]) | (y[order[1:]] != y[order[:-1]])
-        at = np.flatnonzero(new)
-        one, k = order[at], np.add.reduceat(k[order], at)
-        if most:
-            x, y, nx, ny = x[one], y[one], nx[one], ny[one]
-            kept = best(x, np.arange(len(x)), k, most)[1]
-            x, y, nx, ny = np.minimum(x, y)[kept], np.maximum(x, y)[kept], np.where(x < y, nx, ny)[kept], np.where(x < y, ny, nx)[kept]
-            _, one = np.unique(np.stack([x, y], axis=1), axis=0, return_index=True)  # in the order of x
-        else:
-            one = one[k >= need[one]]
-        x, y, nx, ny = x[one], y[one], nx[one], ny[one]
-        tasks, nodes, a = [], [], 0
-        for i, b in enumerate(cut(x, y, nx, ny)):
-            ids, index, place = np.unique(np.concatenate([x[a:b], y[a:b]]), return_index=True, return_inverse=True)
-            n = np.concatenate([nx[a:b], ny[a:b]])[index].astype(np.int64)
-            tasks.append((p << 24 | i, pack(pa.table({c: pa.array([v]) for c, v in (("ids", ids), ("n", n), ("x", place[: b - a]), ("y", place[b - a :]))}))))
-            nodes.append((np.full(len(ids), p << 24 | i), ids))
-            a = b
-        g = np.concatenate([np.array([t[0] for t in tasks], np.int64), *[n[0] for n in nodes]])
-        return pa.table({"g": pa.array(g, pa.int64()), "task": pa.array([t[1] for t in tasks] + [None] * (len(g) - len(tasks)), pa.binary()), "node": pa.array(np.concatenate([np.zeros(len(tasks), np.int64), *[n[1] for n in nodes]]), pa.int64())})
+                out.append((int(to[a]), int(b - a), packed_pairs(columns)))
+        return pa.table({"p": pa.array([q for q, _, _ in out], pa.int32()), "pairs": pa.array([n for _, n, _ in out], pa.int64()), "shared": pa.array([v for _, _, v in out], pa.binary())})
 
-    shared = by_range(with_facts(groups, known), share, "p int, shared binary")
-    todo = keep(by_range(shared, tasks, "g long, task binary, node long").coalesce(meeting))
+    shared = by_range(with_facts(groups, known), share, "p int, pairs long, shared binary")
+    todo = keep(by_range(shared, lambda t: tasks(t, most), "g long, task binary, node long").coalesce(meeting))
     sent = send_segments(blocks, todo.where("task is null").select("node", "g")).withColumn("task", F.lit(None).cast("binary"))
     told = todo.where("task is not null").select("g", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("p"), F.lit(None).cast("binary").alias("segments"), "task")
     partial = sent.unionByName(told).groupBy("g", "p").applyInArrow(light(count), "g long, p int, counts binary")
